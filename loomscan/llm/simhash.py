@@ -14,7 +14,6 @@ meaning; repeated rows are copies; extra columns are ignored; an empty table giv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +27,7 @@ from loomscan.llm.common import add_columns, as_bytes, stored
 
 BITS, SEED = 64, 42
 #: Variants sorted at once in a task: bounds its memory.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Fingerprints for each prefix at most, on average.
 PER_PREFIX = 1024
 
@@ -77,10 +76,11 @@ def prefixes(fps: DataFrame, bits: int, radius: int) -> DataFrame:
     return fps.select("fp", F.explode(flip).alias("f")).select(top.bitwiseXOR(F.col("f.m")).alias("prefix"), "fp", F.col("f.left").alias("left"))
 
 
-def meet(fp: np.ndarray, left: np.ndarray, free: int, link: list, variants: dict) -> None:
+def meet(fp: np.ndarray, who: np.ndarray, left: np.ndarray, free: int, link: list, variants: dict) -> None:
     """Unite fingerprints that share a value: all have the same bits above the lowest `free`, up to the flips used.
 
-    Too many variants for one piece are split by the next bit's value, which costs no variant.
+    fp and who (a fingerprint's number in the task) go together. Too many variants for one piece are split by the next
+    bit's value, which costs no variant. Each piece leaves at most one link for a fingerprint.
     """
     size = sum(int(n) * len(variants[free, k]) for k, n in enumerate(np.bincount(left, minlength=3)) if n)
     if len(fp) < 2:
@@ -90,25 +90,27 @@ def meet(fp: np.ndarray, left: np.ndarray, free: int, link: list, variants: dict
         for v in (0, 1):
             same = bit == v
             keep = same | (left > 0)
-            meet(fp[keep], np.where(same, left, left - 1)[keep], free - 1, link, variants)
+            meet(fp[keep], who[keep], np.where(same, left, left - 1)[keep], free - 1, link, variants)
         return
     low = np.uint64((1 << free) - 1)
-    keys, who = [], []
+    keys, own, n = np.empty(size, np.uint64), np.empty(size, np.int32), 0
     for k in range(3):
-        if (own := np.flatnonzero(left == k)).size:
+        if (at := np.flatnonzero(left == k)).size:
             masks = variants[free, k]
-            keys.append((((fp[own] & low)[:, None]) ^ masks[None, :]).ravel())
-            who.append(np.repeat(own.astype(np.int32), len(masks)))
-    keys, who = np.concatenate(keys), np.concatenate(who)
+            m = n + len(at) * len(masks)
+            np.bitwise_xor((fp[at] & low)[:, None], masks[None, :], out=keys[n:m].reshape(len(at), -1))
+            own[n:m] = np.repeat(at.astype(np.int32), len(masks))
+            n = m
     order = np.argsort(keys)
-    keys, who = keys[order], who[order]
+    keys, own = keys[order], own[order]
+    del order
     same = np.flatnonzero(keys[1:] == keys[:-1])
     if same.size:
-        a, b = who[same], who[same + 1]
+        a, b = own[same], own[same + 1]
         pair = np.unique(np.minimum(a, b).astype(np.int64) * len(fp) + np.maximum(a, b))
         a, b = pair // len(fp), pair % len(fp)
         near = np.bitwise_count(fp[a] ^ fp[b]) <= 4  # verify
-        link.append((fp[a[near]], fp[b[near]]))
+        link.append(roots(who[a[near]], who[b[near]]))
 
 
 class Variants(dict):
@@ -141,12 +143,14 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
         fp, left = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["left"].to_numpy(np.int64)
-        meet(fp, left, free, out, Variants())
+        order = np.argsort(fp.view(np.int64))  # so that the smallest number is the smallest fingerprint
+        fp, left = fp[order], left[order]
+        meet(fp, np.arange(len(fp)), left, free, out, Variants())
         if not out:
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        nodes, root = roots(*(np.concatenate(x).view(np.int64) for x in zip(*out, strict=True)))
-        other = nodes != root
-        return pd.DataFrame({"a": root[other], "b": nodes[other]})
+        nodes, root = roots(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        other, fp = nodes != root, fp.view(np.int64)
+        return pd.DataFrame({"a": fp[root[other]], "b": fp[nodes[other]]})
 
     return prefixes(fps, bits, radius).groupBy("prefix").applyInPandas(run, "a long, b long").distinct()
 
