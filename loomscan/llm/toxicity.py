@@ -133,25 +133,28 @@ def dense(rows: list, n: int) -> np.ndarray:
     return x
 
 
-def train(x: np.ndarray, y: np.ndarray, change: np.ndarray, penalty: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic weights by accelerated proximal descent; `penalty` times the mean squared score change of swaps."""
-    n, k = x.shape
-    w, b = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) * 0.5 + 0.5
-    rate = 1 / (0.25 * float(np.max(balance)) * float(np.square(x).sum(axis=1).max() + 1) + l2 + (2 * penalty * float(np.square(change).sum(axis=1).max()) if len(change) else 0))
+def train(x: np.ndarray, y: np.ndarray, count: np.ndarray, change: np.ndarray, penalty: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Logistic weights by accelerated proximal descent; `penalty` times the mean squared score change of swaps.
+
+    A row of x stands for `count` texts with the same features and label.
+    """
+    n, mean = count.sum(), float(np.average(y, weights=count))
+    w, b = np.zeros(x.shape[1], np.float32), float(np.log(mean / (1 - mean)))
+    share = (np.where(y == 1, 0.25 / mean, 0.25 / (1 - mean)) + 0.5) * count / n
+    most = float(np.square(x).sum(axis=1).max(initial=0)) + 1
+    rate = np.float32(20 / (0.25 * (0.5 + 0.25 / min(mean, 1 - mean)) * most + l2 + 2 * penalty * float(np.square(change).sum(axis=1).max(initial=0))))
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30)))
-        err = (p - y) * balance
-        grad = x.T @ err / n + l2 * v
+        err = ((1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y) * share).astype(np.float32)
+        grad = err @ x + np.float32(l2) * v
         if len(change):
-            grad += 2 * penalty * (change.T @ (change @ v)) / len(change)
-        new = v - rate * 20 * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * 20 * l1, 0)
-        bias, t2 = c - rate * 20 * err.mean(), (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = new + (t - 1) / t2 * (new - w), bias + (t - 1) / t2 * (bias - b)
+            grad += np.float32(2 * penalty / len(change)) * ((change @ v) @ change)
+        new = v - rate * grad
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * np.float32(l1), 0)
+        bias, t2 = c - float(rate) * float(err.sum()), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, c = (new + np.float32((t - 1) / t2) * (new - w)).astype(np.float32), bias + (t - 1) / t2 * (bias - b)
         w, b, t = new, bias, t2
-    return w, b
+    return w.astype(np.float64), b
 
 
 def fit(docs: DataFrame, labels: DataFrame, identity: list[str] | None = None, penalty: float = 1.0) -> dict:
@@ -173,11 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, identity: list[str] | None = None, p
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["y", "own", "swaps"])
 
     rows = sample.mapInArrow(run, "y int, own array<int>, swaps array<array<int>>").groupBy("y", "own", "swaps").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    rows = rows.loc[rows.index.repeat(rows["n"])]
     x, y = dense(rows["own"].tolist(), len(chosen)), rows["y"].to_numpy(np.float64)
     change = [(own, s) for own, swaps in zip(rows["own"], rows["swaps"], strict=True) for s in swaps]
     gap = dense([s for _, s in change], len(chosen)) - dense([o for o, _ in change], len(chosen)) if change else np.zeros((0, len(chosen)), np.float32)
-    w, b = train(x, y, gap[np.abs(gap).sum(axis=1) > 0], penalty)
+    w, b = train(x, y, rows["n"].to_numpy(np.float64), gap[np.abs(gap).sum(axis=1) > 0], penalty)
     return {"chosen": chosen, "weights": w, "bias": b, "identity": identity}
 
 
