@@ -14,7 +14,9 @@ An empty corpus or benchmark gives empty matches. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -44,34 +46,34 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     each shard and term (ascending places as packed int32 differences)."""
     spark = docs.sparkSession
 
-    def shard_rows(number: int, ids: list, counts: list[int], codes: np.ndarray, terms: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key = (pa_task() << 24) + number
-        counts_ = np.array(counts, np.int64)
-        base = np.concatenate([[0], np.cumsum(counts_ + GAP)[:-1]]) if ids else counts_
-        n = len(ids)
-        yield batch(["doc"] * n, key, [None] * n, counts_, ids, base, [None] * n)
-        place = np.arange(len(codes)) + np.repeat(np.arange(n) * GAP, counts_)
-        order = np.argsort(codes, kind="stable")
-        place, ends = place[order].astype(np.int32), np.cumsum(np.bincount(codes, minlength=len(terms)))
+    names = ["kind", "shard", "term", "n", "doc_id", "base", "places"]
+
+    def batch(kind: str, key: int, term: pa.Array | None, n: np.ndarray, ids: list | None, base: np.ndarray | None, places: pa.Array | None) -> pa.RecordBatch:
+        none = lambda t: pa.nulls(len(n), t)
+        return pa.RecordBatch.from_arrays([
+            pa.repeat(pa.scalar(kind), len(n)), pa.repeat(pa.scalar(key, pa.int64()), len(n)), none(pa.binary()) if term is None else term, pa.array(n, pa.int64()),
+            none(pa.int64()) if ids is None else pa.array(ids, pa.int64()), none(pa.int64()) if base is None else pa.array(base, pa.int64()), none(pa.binary()) if places is None else places,
+        ], names=names)
+
+    def shard_rows(key: int, ids: list, counts: list[int], codes: np.ndarray, terms: list[bytes]) -> Iterator[pa.RecordBatch]:
+        words, n = np.array(counts, np.int64), len(ids)
+        base = np.cumsum(words + GAP) - words - GAP
+        yield batch("doc", key, None, words, ids, base, None)
+        place = (np.arange(len(codes)) + np.repeat(np.arange(n) * GAP, words))[np.argsort(codes, kind="stable")].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(terms)))]).astype(np.int32)
+        step = np.diff(place, prepend=np.int32(0))
+        step[ends[:-1][: len(terms)]] = place[ends[:-1][: len(terms)]]
         for i in range(0, len(terms), 20_000):
             part = terms[i : i + 20_000]
-            lists = [np.diff(place[a:b], prepend=np.int32(0)).tobytes() for a, b in zip(np.concatenate([[0], ends])[i : i + len(part)], ends[i : i + len(part)], strict=True)]
-            m = len(part)
-            yield batch(["term"] * m, key, part, [len(x) // 4 for x in lists], [None] * m, [None] * m, lists)
+            own = ends[i : i + len(part) + 1]
+            lists = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((own - own[0]) * np.int32(4)), pa.py_buffer(step[own[0] : own[-1]].tobytes())])
+            yield batch("term", key, pa.array(part, pa.binary()), np.diff(own), None, None, lists)
 
-    def batch(kind, key, term, n, ids, base, places) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(kind, pa.string()), pa.array([key] * len(kind), pa.int64()), pa.array(term, pa.binary()), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(base, pa.int64()), pa.array(places, pa.binary())],
-            names=["kind", "shard", "term", "n", "doc_id", "base", "places"],
-        )
-
-    def pa_task() -> int:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        return TaskContext.get().partitionId()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, code, ids, counts, parts, total = 0, {}, [], [], [], 0
+        key, total = TaskContext.get().partitionId() << 24, 0
+        code, ids, counts, parts = defaultdict(count().__next__), [], [], []
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -79,13 +81,14 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     words = ascii_words(t)
                     ids.append(k)
                     counts.append(len(words))
-                    parts.append(np.array([code.setdefault(w, len(code)) for w in words], np.int32))
+                    parts.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
                     total += len(words)
                 if total >= SHARD_WORDS:
-                    yield from shard_rows(number, ids, counts, np.concatenate(parts), list(code))
-                    number, code, ids, counts, parts, total = number + 1, {}, [], [], [], 0
+                    yield from shard_rows(key, ids, counts, np.concatenate(parts), list(code))
+                    key, total = key + 1, 0
+                    code, ids, counts, parts = defaultdict(count().__next__), [], [], []
         if ids:
-            yield from shard_rows(number, ids, counts, np.concatenate(parts), list(code))
+            yield from shard_rows(key, ids, counts, np.concatenate(parts), list(code))
 
     path = fresh_path(spark, "positional-index")
     docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, INDEX).write.partitionBy("kind").option("compression", "zstd").parquet(path)
@@ -152,8 +155,10 @@ def search(index: str, terms: DataFrame, blocks: int, window: int = 10, slop: in
         raise ValueError(f"window and slop must be under {GAP}")
     spark = terms.sparkSession
     used = terms.groupBy("block", "term").agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "copy", "place", "size")).alias("uses"))
-    count = read_index(spark, index, "term").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("count"))
-    hits = read_index(spark, index, "term").select("shard", "term", "places").join(used.join(count, "term"), "term")
+    # one block has BLOCK_WORDS words at most: small enough to send; beyond that the lists are shuffled by term
+    small = F.broadcast if blocks == 1 else lambda df: df
+    counts = read_index(spark, index, "term").join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("count"))
+    hits = read_index(spark, index, "term").select("shard", "term", "places").join(small(used.join(counts, "term")), "term")
     docs = read_index(spark, index, "doc").where("n > 0").groupBy("shard").agg(F.collect_list(F.struct("base", "n", "doc_id")).alias("docs"))
     docs = docs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "docs")
 
