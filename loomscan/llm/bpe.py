@@ -29,6 +29,8 @@ from loomscan.llm.common import Bounded, add_columns
 #: Fixed value: the published pattern of byte-level BPE, by which texts are cut into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 1 << 15
+#: Words whose ids a task remembers, and texts handled at once.
+WORDS_HELD, ROWS = 300_000, 64
 #: Characters that may still move a cut before them: an apostrophe's two letters, and the one after a blank run.
 MARGIN = 3
 
@@ -164,7 +166,7 @@ class Encoder:
         self.m = merges
         self.transducer = Transducer(merges)
         self.find = regex.compile(WORDS).findall
-        self.packed = Bounded(self._word)
+        self.packed = Bounded(self._word, WORDS_HELD)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
 
     def _word(self, word: str) -> bytes:
@@ -218,21 +220,25 @@ class TextState:
         return self.state.decode(b"", True)
 
 
+def id_lists(packed: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def text_of(ids: np.ndarray, token_bytes: list[bytes]) -> str:
+    state = TextState(token_bytes)
+    return "".join([state.feed(ids[i : i + 4096].tolist()) for i in range(0, len(ids), 4096)]) + state.finish()
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with its texts' token ids (array<int>). The tokenizer file is read here and broadcast: its size is fixed."""
     shared = df.sparkSession.sparkContext.broadcast(Merges(path))
 
     def make():
         encoder = Encoder(shared.value)
+        return lambda column: [id_lists([encoder.encode(s) for s in column.to_pylist()])]
 
-        def fn(column: pa.Array) -> list:
-            packed = [encoder.encode(s) for s in column.to_pylist()]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
-
-        return fn
-
-    return add_columns(df, text, [(ids, "array<int>")], make)
+    return add_columns(df, text, [(ids, "array<int>")], make, ROWS)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -242,16 +248,27 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     def make():
         table = shared.value
 
-        def one(values: np.ndarray) -> str:
-            state = TextState(table)
-            out = [state.feed(values[i : i + 4096].tolist()) for i in range(0, len(values), 4096)]
-            return "".join(out) + state.finish()
-
         def fn(column: pa.ListArray) -> list:
             flat = column.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum([0, *(n or 0 for n in column.value_lengths().to_pylist())])
-            return [[one(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]]
+            return [[text_of(flat[a:b], table) for a, b in zip(ends, ends[1:], strict=False)]]
+
+        return fn
+
+    return add_columns(df, ids, [(text, "string")], make, ROWS)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """df with its texts' ids and with the text of those ids, in one pass over the texts."""
+    shared = df.sparkSession.sparkContext.broadcast(Merges(path))
+
+    def make():
+        encoder = Encoder(shared.value)
+
+        def fn(column: pa.Array) -> list:
+            packed = [encoder.encode(s) for s in column.to_pylist()]
+            return [id_lists(packed), [text_of(np.frombuffer(p, np.int32), encoder.m.bytes) for p in packed]]
 
         return fn
 
-    return add_columns(df, ids, [(text, "string")], make)
+    return add_columns(df, text, [(ids, "array<int>"), (decoded, "string")], make, ROWS)

@@ -22,9 +22,7 @@ def remainder(n: int, column: str = "doc_id") -> F.Column:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    both = bpe.decode(ids, path)
+    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
