@@ -36,8 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and whether decoding them gives its text again."""
-    path = tokenizer_path()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    both = bpe.round_trip(docs.select("doc_id", "text"), tokenizer_path())
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("exact"))
 
 
