@@ -104,7 +104,8 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     payload = F.encode("html", "utf-8")
     keyed = own.withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(payload))
-    shared = first_pages(own, least).select("digest", "size", "first")
+    # payloads are dealt by digest but never sorted: the side of repeated digests is hashed, and holds no payload
+    shared = first_pages(own, least).select("digest", "size", "first").hint("shuffle_hash")
     marked = keyed.join(shared, ["digest", "size"], "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +115,8 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
         try:
             for b in batches:
                 rows = []
-                for i in range(0, b.num_rows, 256):
-                    for page, url, html, first in zip(*(c.to_pylist() for c in b.slice(i, 256).columns), strict=True):
+                for i in range(0, b.num_rows, 64):
+                    for page, url, html, first in zip(*(c.to_pylist() for c in b.slice(i, 64).columns), strict=True):
                         member = record(page, url, (html or "").encode(), first)
                         out = out or store.open_output_stream(f"{path}/{name}", compression=None)
                         out.write(member)
