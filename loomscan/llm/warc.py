@@ -264,5 +264,7 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
         return pages.sparkSession.createDataFrame([], RECORD)
     directory, path = index(captures)
     blocks = directory.select("folder").limit(1).collect()[0]["folder"]
-    wanted = captures.groupBy("key", "page_id").count().repartitionByRange(F.encode("key", "utf-8"), "page_id").sortWithinPartitions(F.encode("key", "utf-8"), "page_id")
+    held = directory.count()
+    parts = max(1, min(held, max(pages.sparkSession.sparkContext.defaultParallelism, held // 16)))  # runs of index blocks
+    wanted = captures.groupBy("key", "page_id").count().repartitionByRange(parts, F.encode("key", "utf-8"), "page_id").sortWithinPartitions(F.encode("key", "utf-8"), "page_id")
     return lookup(wanted.select("key", "page_id"), path, blocks, folder[0]["folder"])
