@@ -133,6 +133,17 @@ def dense(rows: list, n: int) -> np.ndarray:
     return x
 
 
+def largest(x: np.ndarray) -> float:
+    """Largest eigenvalue of x'x, by power iteration: the steepest curvature that a step must respect."""
+    v = np.ones(x.shape[1], np.float32)
+    for _ in range(40):
+        n = np.linalg.norm(v)
+        if not n:
+            return 0.0
+        v = (x @ (v / n)) @ x
+    return float(np.linalg.norm(v))
+
+
 def train(x: np.ndarray, y: np.ndarray, count: np.ndarray, change: np.ndarray, penalty: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic weights by accelerated proximal descent; `penalty` times the mean squared score change of swaps.
 
@@ -141,8 +152,8 @@ def train(x: np.ndarray, y: np.ndarray, count: np.ndarray, change: np.ndarray, p
     n, mean = count.sum(), float(np.average(y, weights=count))
     w, b = np.zeros(x.shape[1], np.float32), float(np.log(mean / (1 - mean)))
     share = (np.where(y == 1, 0.25 / mean, 0.25 / (1 - mean)) + 0.5) * count / n
-    most = float(np.square(x).sum(axis=1).max(initial=0)) + 1
-    rate = np.float32(20 / (0.25 * (0.5 + 0.25 / min(mean, 1 - mean)) * most + l2 + 2 * penalty * float(np.square(change).sum(axis=1).max(initial=0))))
+    z = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1) * np.sqrt(share)[:, None].astype(np.float32)
+    rate = np.float32(1 / (1.2 * (0.25 * largest(z) + l2 + (2 * penalty / len(change) * largest(change) if len(change) else 0)) + 1e-6))
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
         err = ((1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y) * share).astype(np.float32)
