@@ -15,7 +15,7 @@ def candidates(imports: DataFrame) -> DataFrame:
     """(from_path, target, ord): paths that an import (from_path, spec) may mean, relative ones only, best first."""
     folder = F.regexp_replace("from_path", "[^/]*$", "")
     python = F.col("from_path").endswith(".py")
-    spec = F.when(python & F.col("spec").startswith("."), F.concat(F.lit("./"), F.replace(F.ltrim(F.lit("."), F.col("spec")), F.lit("."), F.lit("/")))).when(python, F.replace(F.col("spec"), F.lit("."), F.lit("/"))).otherwise(F.col("spec"))
+    spec = F.when(python & F.col("spec").startswith("."), F.concat(F.lit("./"), F.replace(F.ltrim(F.col("spec"), F.lit(".")), F.lit("."), F.lit("/")))).when(python, F.replace(F.col("spec"), F.lit("."), F.lit("/"))).otherwise(F.col("spec"))
     base = F.when(spec.startswith("."), folded(F.concat(folder, spec))).when(python, spec)
     tries = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("suffix")) for i, s in enumerate(SUFFIXES)])
     return imports.withColumn("base", base).where("base is not null").select("from_path", "spec", "base", F.explode(tries).alias("t")).select("from_path", "spec", F.concat("base", "t.suffix").alias("target"), F.col("t.ord").alias("ord"))

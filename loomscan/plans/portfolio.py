@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions.text import basename
@@ -10,11 +10,14 @@ from loomscan.operators import history, state
 from loomscan.schemas import SEVERITIES
 from loomscan.sources import fixtures as fx
 
-NOW = F.lit(fx.NOW).cast("timestamp_ntz")
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
 
 
+def now() -> Column:
+    return F.lit(fx.NOW).cast("timestamp_ntz")
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -39,13 +42,13 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def active_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return state.active(fx.issues(spark, sf), fx.triage(spark, sf), fx.rules(spark), NOW)
+    return state.active(fx.issues(spark, sf), fx.triage(spark, sf), fx.rules(spark), now())
 
 
 def latest_active(spark: SparkSession, sf: str) -> DataFrame:
     """Active findings of the last scan of each app that is not archived; other scans go before triage is joined."""
     scans = history.latest(fx.snapshots(spark, sf)).join(live(spark, sf).select("app_id"), "app_id", "left_semi").select("scan_id")
-    return state.active(fx.issues(spark, sf).join(scans, "scan_id", "left_semi"), fx.triage(spark, sf), fx.rules(spark), NOW)
+    return state.active(fx.issues(spark, sf).join(scans, "scan_id", "left_semi"), fx.triage(spark, sf), fx.rules(spark), now())
 
 
 def severities(spark: SparkSession) -> DataFrame:
@@ -70,7 +73,7 @@ def issues_with_triage(spark, sf):
 
 @query(ctes(fx.SQL_ISSUES, fx.SQL_RULES) + f"SELECT scan_id, file, line, category FROM issues i WHERE EXISTS (SELECT 1 FROM rules r WHERE (r.rule_category = 'any' OR r.rule_category = i.category) AND (r.expires_at IS NULL OR r.expires_at >= TIMESTAMP '{fx.NOW}') AND regexp_full_match(i.file, r.regex))")
 def suppressed_issues(spark, sf):
-    return state.suppressed(fx.issues(spark, sf), fx.rules(spark), NOW).select("scan_id", "file", "line", "category")
+    return state.suppressed(fx.issues(spark, sf), fx.rules(spark), now()).select("scan_id", "file", "line", "category")
 
 
 SQL_PAIRS = "pairs AS (SELECT scan_id, app_id, scanned_at, lag(scan_id) OVER (PARTITION BY app_id ORDER BY scanned_at, scan_id) AS previous_id FROM snapshots)"
@@ -95,7 +98,7 @@ def resolved_issues(spark, sf):
 @query(ctes(fx.SQL_SNAPSHOTS, fx.SQL_ISSUES, SQL_PAIRS) + f"SELECT p.app_id, count(*) AS resolved FROM pairs p JOIN issues i ON i.scan_id = p.previous_id WHERE p.scanned_at >= TIMESTAMP '{fx.NOW}' - INTERVAL 90 DAY AND NOT EXISTS (SELECT 1 FROM issues o WHERE o.scan_id = p.scan_id AND o.fingerprint = i.fingerprint) GROUP BY 1")
 def resolved_in_window(spark, sf):
     """Findings gone between consecutive scans of the last 90 days (the lag sees older scans, the diff only these)."""
-    pairs = history.consecutive(fx.snapshots(spark, sf)).where(F.col("scanned_at") >= NOW - F.expr("interval 90 days"))
+    pairs = history.consecutive(fx.snapshots(spark, sf)).where(F.col("scanned_at") >= now() - F.expr("interval 90 days"))
     rows = fx.issues(spark, sf).select("scan_id", "fingerprint")
     gone = history.diff(pairs, rows, "fingerprint").where("change = 'resolved'")
     return gone.join(pairs.select("scan_id", "app_id"), "scan_id").groupBy("app_id").agg(F.count(F.lit(1)).alias("resolved"))
@@ -103,7 +106,7 @@ def resolved_in_window(spark, sf):
 
 def days(spark: SparkSession, n: int = 14) -> DataFrame:
     """The last n days, each with its end; the length is fixed, not data."""
-    d = spark.range(n).select(F.date_sub(NOW.cast("date"), F.col("id").cast("int")).alias("day"))
+    d = spark.range(n).select(F.date_sub(now().cast("date"), F.col("id").cast("int")).alias("day"))
     return d.withColumn("day_end", (F.col("day").cast("timestamp_ntz") + F.expr("interval 1 day")))
 
 
@@ -123,7 +126,7 @@ def trend_asof(spark, sf):
 
 @query(ctes(fx.SQL_SNAPSHOTS) + f"SELECT app_id, scan_id, scanned_at FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY old DESC, CASE WHEN old THEN scanned_at END DESC, CASE WHEN old THEN scan_id END DESC, scanned_at, scan_id) AS rn FROM (SELECT *, scanned_at <= TIMESTAMP '{fx.NOW}' - INTERVAL 7 DAY AS old FROM snapshots)) WHERE rn = 1")
 def digest_baseline(spark, sf):
-    return history.baseline(fx.snapshots(spark, sf), NOW - F.expr("interval 7 days"))
+    return history.baseline(fx.snapshots(spark, sf), now() - F.expr("interval 7 days"))
 
 
 @query(ctes(fx.SQL_APPS, fx.SQL_SNAPSHOTS, fx.SQL_LATEST) + "SELECT CASE WHEN scan_id IS NULL THEN 'Not Started' WHEN duration_ms > 40000 THEN 'Failed' ELSE 'Done' END AS status, count(*) AS n FROM apps LEFT JOIN latest USING (app_id) WHERE NOT archived GROUP BY 1")
@@ -139,7 +142,7 @@ def apps_by_environment(spark, sf):
 
 
 def ages(spark: SparkSession, sf: str) -> DataFrame:
-    return live(spark, sf).join(history.latest(fx.snapshots(spark, sf)), "app_id", "left").withColumn("days", F.floor((F.unix_timestamp(NOW.cast("timestamp")) - F.unix_timestamp(F.col("scanned_at").cast("timestamp"))) / 86400))
+    return live(spark, sf).join(history.latest(fx.snapshots(spark, sf)), "app_id", "left").withColumn("days", F.floor((F.unix_timestamp(now().cast("timestamp")) - F.unix_timestamp(F.col("scanned_at").cast("timestamp"))) / 86400))
 
 
 @query(ctes(fx.SQL_APPS, fx.SQL_SNAPSHOTS, fx.SQL_LATEST) + f"SELECT app_id, name, floor((epoch(TIMESTAMP '{fx.NOW}') - epoch(scanned_at)) / 86400)::bigint AS days FROM apps LEFT JOIN latest USING (app_id) WHERE NOT archived AND (scanned_at IS NULL OR floor((epoch(TIMESTAMP '{fx.NOW}') - epoch(scanned_at)) / 86400) > 14)")
@@ -159,7 +162,7 @@ def slow_apps(spark, sf):
 def scan_calendar(spark, sf):
     own = live(spark, sf).where("schedule_minutes > 0").join(history.latest(fx.snapshots(spark, sf)), "app_id", "left")
     due = F.col("scanned_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("schedule_minutes"))
-    return own.select("app_id", "schedule_minutes", due.alias("next_due"), F.coalesce(due <= NOW, F.lit(True)).alias("overdue"))
+    return own.select("app_id", "schedule_minutes", due.alias("next_due"), F.coalesce(due <= now(), F.lit(True)).alias("overdue"))
 
 
 @query(ctes(fx.SQL_APPS, *BASE[:2], fx.SQL_LATEST) + """SELECT tech, count(*) AS n, string_agg(app_id::varchar, ',' ORDER BY app_id) AS apps FROM (
@@ -192,7 +195,7 @@ SQL_COMPARE = "c AS (SELECT app_id, severity, count(*) AS n FROM active WHERE sc
 def compare_apps(spark, sf):
     """Two apps side by side, suppression rules applied to both."""
     scans = history.latest(fx.snapshots(spark, sf).where("app_id in (1, 2)")).select("scan_id")
-    rows = state.active(fx.issues(spark, sf).join(scans, "scan_id", "left_semi"), fx.triage(spark, sf), fx.rules(spark), NOW)
+    rows = state.active(fx.issues(spark, sf).join(scans, "scan_id", "left_semi"), fx.triage(spark, sf), fx.rules(spark), now())
     n = rows.groupBy("severity").agg(F.count_if(F.col("app_id") == 1).alias("l"), F.count_if(F.col("app_id") == 2).alias("r"))
     zero = F.lit(0).cast("long")
     return severities(spark).join(n, "severity", "left").select("severity", F.coalesce("l", zero).alias("left_n"), F.coalesce("r", zero).alias("right_n"), (F.coalesce("l", zero) != F.coalesce("r", zero)).alias("differs"))
