@@ -194,8 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, identity: list[str] | None = None, p
     return {"chosen": chosen, "weights": w, "bias": b, "identity": identity}
 
 
-def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """df with `score`, 0 to 1, of each whole text. The model has at most MAX_FEATURES weights."""
+def score(df: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
+    """df with column `name`, 0 to 1, the score of each whole text. The model has at most MAX_FEATURES weights."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -210,4 +210,4 @@ def score(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
         return fn
 
-    return add_columns(df, text, [("score", "double")], make)
+    return add_columns(df, text, [(name, "double")], make)

@@ -360,5 +360,9 @@ def test_pipeline_brute_force(spark, tmp_path):
                 root = {k: a if v == b else v for k, v in root.items()}
     firsts = [i for i, _ in left if root[i] == i]
     assert sorted(r["doc_id"] for r in got) == [i for i in firsts if "x " not in texts[i]] and all(r["exact"] for r in got)
+    extra = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("own")).withColumn("fp", F.lit(7))
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, spark.createDataFrame(rows, DOCS), sf).columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out = stage(spark, extra, sf)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "fp"]
+        assert [tuple(r) for r in out.select("score", "fp").distinct().collect()] == [("own", 7)]
+        assert stage(spark, extra.limit(0), sf).count() == 0
