@@ -1,4 +1,7 @@
-"""Corpus cleaning as five stages; each reads what the one before it kept and returns documents with their columns."""
+"""Corpus cleaning as five stages; each reads what the one before it kept and returns documents with their columns.
+
+Extra columns of documents pass through all stages but the last; the stages' own columns have names of their own.
+"""
 
 from __future__ import annotations
 
@@ -13,17 +16,17 @@ from loomscan.llm.queries import remainder, tokenizer_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.7 stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
-    return toxicity.score(docs, model).where("score < 0.7").select(*docs.columns)
+    return toxicity.score(docs, model, name="__toxicity").where("__toxicity < 0.7").select(*docs.columns)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay but for those that no model explains, and those without a letter."""
     model = langid.fit(docs.where(remainder(5) != 0))
-    return langid.predict(docs, model).where("not rejected and lang_pred <> 'und'").select(*docs.columns)
+    return langid.predict(docs, model, prefix="__").where("not __rejected and __lang_pred <> 'und'").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays."""
+    """Of each component the document with the smallest id stays; of rows that repeat an id, one; rows without an id go."""
     firsts = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(firsts, "doc_id", "left_semi").select(*docs.columns)
 
