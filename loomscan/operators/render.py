@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions.text import html_escaped
@@ -47,13 +47,17 @@ def to_html(text: Column) -> Column:
 
 
 def webhook_text(new_issues: DataFrame, threshold: str, lines: int = 10) -> DataFrame:
-    """(app_id, text): the first findings at the threshold or worse, and how many more there are."""
+    """(app_id, text): the first findings at the threshold or worse, and how many more there are; tasks keep only an
+    app's first ones before the shuffle."""
     from loomscan.operators.state import at_least
 
-    rows = new_issues.where(at_least(F.col("severity"), threshold)).groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct(rank(F.col("severity")).alias("r"), "file", "line", "summary"))).alias("x"))
-    shown = F.array_join(F.transform(F.slice("x", 1, lines), lambda i: F.concat(i["file"], F.lit(":"), i["line"].cast("string"), F.lit(" "), i["summary"])), "\n")
-    more = F.when(F.size("x") > lines, F.concat(F.lit("\n+ "), (F.size("x") - lines).cast("string"), F.lit(" more"))).otherwise("")
-    return rows.select("app_id", F.concat(shown, more).alias("text"))
+    bad = new_issues.where(at_least(F.col("severity"), threshold)).select("app_id", rank(F.col("severity")).alias("r"), "file", "line", "summary")
+    first = bad.withColumn("rn", F.row_number().over(Window.partitionBy("app_id").orderBy("r", "file", "line", "summary"))).where(F.col("rn") <= lines)
+    line = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(" "), F.col("summary"))
+    shown = first.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("rn", line.alias("text")))).alias("x"))
+    both = shown.join(bad.groupBy("app_id").agg(F.count(F.lit(1)).alias("n")), "app_id")
+    more = F.when(F.col("n") > lines, F.concat(F.lit("\n+ "), (F.col("n") - lines).cast("string"), F.lit(" more"))).otherwise("")
+    return both.select("app_id", F.concat(F.array_join(F.transform("x", lambda i: i["text"]), "\n"), more).alias("text"))
 
 
 def write_pages(pages: DataFrame, folder: str) -> None:

@@ -83,13 +83,13 @@ def tree(files: DataFrame, depth: int = 4) -> DataFrame:
 def bulk_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(apps, rejects) of import lines: a bare path, or `name,path,environment,owner,tags...`; tags may hold commas."""
     line = F.trim("value")
-    rows = lines.where((line != "") & ~line.startswith("#")).select(line.alias("line"), F.transform(F.split(line, ","), F.trim).alias("p"))
+    rows = lines.where((line != "") & ~line.startswith("#")).select(line.alias("line"), F.transform(F.split(line, ","), lambda t: F.trim(t)).alias("p"))
     single = F.size("p") == 1
     path = F.when(single, F.col("p")[0]).otherwise(F.get("p", F.lit(1)))
     derived = F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, r"[/\\]+$", ""), r"[/\\]"), -1), r"\.git$", "")
     apps = rows.select(
         "line", F.when(single, derived).otherwise(F.coalesce(F.nullif(F.col("p")[0], F.lit("")), derived)).alias("name"), path.alias("path"), F.get("p", F.lit(2)).alias("environment"), F.get("p", F.lit(3)).alias("owner"),
-        F.filter(F.transform(F.split(F.array_join(F.slice("p", 5, 1 << 20), ","), ","), F.trim), lambda t: t != "").alias("tags"),
+        F.filter(F.transform(F.split(F.array_join(F.slice("p", 5, 1 << 20), ","), ","), lambda t: F.trim(t)), lambda t: t != "").alias("tags"),
     )
     good = F.coalesce(F.col("path"), F.lit("")) != ""
     return apps.where(good), apps.where(~good).select("line", F.lit("no path").alias("error"))

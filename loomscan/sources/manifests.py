@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscan.functions.globs import version_less
@@ -104,10 +104,8 @@ def audit_rows(report: Column) -> Column:
 
 def capped(rows: DataFrame, order: list, what: str) -> DataFrame:
     """The report's first rows, and one row that says how many more there are."""
-    w = Window.orderBy(*order)
-    numbered = rows.withColumn("rn", F.row_number().over(w))
     more = rows.agg((F.count(F.lit(1)) - TOP).alias("n")).where("n > 0").select(F.concat(F.col("n").cast("string"), F.lit(f" more {what}")).alias("summary"))
-    return numbered.where(F.col("rn") <= TOP).drop("rn").unionByName(more, allowMissingColumns=True)
+    return rows.orderBy(*order).limit(TOP).unionByName(more, allowMissingColumns=True)
 
 
 def installed(files: DataFrame) -> DataFrame:

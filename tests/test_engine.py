@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from loomscan import cli
 from loomscan.functions import globs, text
 from loomscan.operators import detect, extract, graph, history, incremental, lexer, render, state
-from loomscan.plans import corpus, portfolio
+from loomscan.plans import corpus, inventory, portfolio
 from loomscan.sources import files as src
 from loomscan.sources import manifests
 from loomscan.streaming import events
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FILES = "rel_path string, ext string, size_bytes long, mtime_ms long, content string"
-assert corpus
+assert corpus and inventory
 
 
 def files(spark, **by_name):
