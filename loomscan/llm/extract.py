@@ -31,18 +31,36 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 FURNITURE = frozenset("nav header footer aside form button select menu dialog head".split())
 #: Words of class, id and role names that mark furniture.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal cookie cookies consent notice notices alert newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments discussion disqus reply replies respond complementary contentinfo".split())
+#: Words and names that say that something else has such a part.
+HAVING = frozenset("has with without".split())
+LACKING = frozenset("no-sidebar nosidebar".split())
+WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A form around one of these is a page's wrapper, no form of the page.
+MAIN = re.compile("<(?:article|main|h1)[\\s>]", re.I)
+FORM_END = re.compile("</form", re.I)
 #: Elements that an opening tag of the key closes, up to the nearest of the last set.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 SCOPE = frozenset("html body article section div table ul ol dl td th main aside nav header footer form blockquote".split())
 
 
+def names_furniture(attributes: str, inside: bool) -> bool:
+    """Whether a class, id or role names furniture; inside an article its own header is none."""
+    for value in NAMED.findall(attributes):
+        for name in value.strip("\"'").split():
+            words = {w.lower() for w in WORDS.findall(name)}
+            if not words & HAVING and name.lower() not in LACKING and MARKS & (words - {"header"} if inside else words):
+                return True
+    return False
+
+
 class Node:
-    __slots__ = ("chars", "density", "end", "furniture", "links", "link_tags", "name", "parent", "start", "sum", "tags")
+    __slots__ = ("chars", "density", "end", "furniture", "inside", "links", "link_tags", "name", "parent", "start", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, furniture: bool, start: int):
         self.name, self.parent, self.furniture, self.start, self.end = name, parent, furniture, start, start
         self.chars = self.links = self.link_tags = self.tags = 0
         self.density = self.sum = 0.0
+        self.inside = name in ("article", "main") or parent is not None and parent.inside
 
 
 def parse(page: str) -> tuple[list[Node], list[str | None]]:
@@ -50,6 +68,14 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
     root = Node("#", None, False, 0)
     nodes, pieces, open_ = [root], [], [root]
     at, low, n = 0, None, len(page)
+    ahead = {MAIN: -1, FORM_END: -1}
+
+    def next_(pattern: re.Pattern) -> int:
+        """Place of the pattern's next match; searched anew only when passed, so all searches together are one pass."""
+        if ahead[pattern] < at:
+            m = pattern.search(page, at)
+            ahead[pattern] = m.start() if m else n
+        return ahead[pattern]
 
     def text(raw: str) -> None:
         top = open_[-1]
@@ -101,9 +127,10 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
             open_[-1].tags += 1
             continue
         parent = open_[-1]
-        marked = parent.furniture or name in FURNITURE and not (name == "header" and any(x.name in ("article", "main") for x in open_))
-        if not marked and name not in ("html", "body", "article", "main"):
-            marked = any(MARKS.intersection(re.split(r"[^a-z0-9]+", v.lower())) for v in NAMED.findall(m[3] or ""))
+        marked = parent.furniture or name in FURNITURE and not (name == "header" and parent.inside) and not (name == "form" and next_(MAIN) < next_(FORM_END))
+        if not marked and name not in ("html", "body", "article"):
+            marked = names_furniture(m[3] or "", parent.inside)
+        marked = marked and name != "main"  # whatever its wrappers are called
         node = Node(name, parent, marked, len(pieces))
         nodes.append(node)
         if not m[3].endswith("/") or name in BLOCK:

@@ -307,6 +307,24 @@ def test_main_text(page, text):
     assert extract.main_text(page) == text
 
 
+BODY = "<h1>Title of it</h1><p>First words of the text, long enough.</p><p>Second words of the text, also long.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><div class="layout has-sidebar"><div id="text">{BODY}</div><div class="leftSidebar"><p>Other things to see here</p></div></div>',
+    f'<body><form id="aspnetForm"><div class="siteHeader">Name</div><div>{BODY}</div><div id="pageFooter">Rights</div></form>',
+    f'<body><article><div class="entry-header"><h1>Title of it</h1></div>{BODY[len("<h1>Title of it</h1>"):]}</article><form><p>Your name</p></form>',
+    f'<body><div class="widget-area"><main>{BODY}</main><p>Left out</p></div><div class="commentList"><p>I like it very much, thank you all.</p></div>',
+    f'<body><div class="no-sidebar">{BODY}<div class="comments-area"><p>So do I</p></div></div>',
+])
+def test_names_of_wrappers(page):
+    assert extract.main_text(page).split("\n") == ["Title of it", "First words of the text, long enough.", "Second words of the text, also long."]
+
+
+def test_deep_and_unclosed_pages_in_one_pass():
+    assert extract.main_text("<div>" * 20000 + "<form>" * 20000 + "x") == "" and extract.main_text("<form><h1>" * 20000 + "word").endswith("word")
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "<p>" + "word " * 50000), (2, None)], "page_id long, html string").withColumn("main_text", F.lit(1))
     got = {r["page_id"]: r["main_text"] for r in extract.extract(df).collect()}
