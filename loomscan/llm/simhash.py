@@ -4,7 +4,8 @@ Two fingerprints at most 4 bits apart share a value at most 2 bits from each. Ev
 values of its 2-bit ball; fingerprints that meet at a value are linked. The shuffle key is a value's first bits, and a
 row carries (fingerprint, flips left): it stands for all of the fingerprint's variants with that prefix, which the
 receiving task spells out. So the ball crosses the shuffle in tens of rows instead of 2,081, and the prefix grows with
-the number of fingerprints to keep tasks the same size. Inside a task the variants are sorted in bounded pieces;
+the number of fingerprints to keep tasks the same size; a prefix that many near copies crowd is cut by further bits
+until none is crowded (a full value has 2,081 fingerprints at most). Inside a task the variants are sorted in bounded pieces;
 fingerprints that meet are verified and united, and a task emits one link for each fingerprint that met a smaller one.
 Components come from minimum labels with pointer jumping, over distinct fingerprints only; copies join at the end.
 
@@ -30,6 +31,8 @@ BITS, SEED = 64, 42
 PIECE = 1 << 19
 #: Fingerprints for each prefix at most, on average.
 PER_PREFIX = 1024
+#: Rows of a prefix over which it is cut by DEEPER more bits: bounds what a task gets of near copies that crowd together.
+CROWD, DEEPER = 1 << 20, 8
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -76,6 +79,28 @@ def prefixes(fps: DataFrame, bits: int, radius: int) -> DataFrame:
     return fps.select("fp", F.explode(flip).alias("f")).select(top.bitwiseXOR(F.col("f.m")).alias("prefix"), "fp", F.col("f.left").alias("left"))
 
 
+def deeper(rows: DataFrame, bits: int, more: int, radius: int) -> DataFrame:
+    """Rows of prefixes of `bits` bits as rows of prefixes with `more` further bits."""
+    flip = F.array(*[F.struct(F.lit(int(m)).alias("m"), F.lit(int(m).bit_count()).alias("used")) for m in flips(range(more), radius)])
+    own = F.shiftrightunsigned("fp", BITS - bits - more).bitwiseAND(F.lit((1 << more) - 1))
+    cut = rows.select("prefix", "fp", "left", F.explode(flip).alias("f")).where("f.used <= left")
+    return cut.select(F.shiftleft("prefix", more).bitwiseOR(own.bitwiseXOR(F.col("f.m"))).alias("prefix"), "fp", (F.col("left") - F.col("f.used")).alias("left"))
+
+
+def dealt(fps: DataFrame, bits: int, radius: int) -> DataFrame:
+    """(bits, prefix, fp, left): prefixes of `bits` bits, crowded ones cut deeper."""
+    rows, out = prefixes(fps, bits, radius), None
+    while True:
+        crowded = stored(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("prefix"), "crowded")
+        done = bits == BITS or crowded.isEmpty()
+        calm = (rows if done else rows.join(crowded, "prefix", "left_anti")).select(F.lit(bits).alias("bits"), "prefix", "fp", "left")
+        out = calm if out is None else out.union(calm)
+        if done:
+            return out
+        more = min(DEEPER, BITS - bits)
+        rows, bits = deeper(rows.join(crowded, "prefix", "left_semi"), bits, more, radius), bits + more
+
+
 def meet(fp: np.ndarray, who: np.ndarray, left: np.ndarray, free: int, link: list, variants: dict) -> None:
     """Unite fingerprints that share a value: all have the same bits above the lowest `free`, up to the flips used.
 
@@ -138,21 +163,20 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b) links between distinct fingerprints at most 2 * radius bits apart; a joins all of a task's component."""
     n = fps.count()
     bits = max(8, int(np.ceil(np.log2(max(n, 1) / PER_PREFIX))))
-    free = BITS - bits
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list = []
         fp, left = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["left"].to_numpy(np.int64)
         order = np.argsort(fp.view(np.int64))  # so that the smallest number is the smallest fingerprint
         fp, left = fp[order], left[order]
-        meet(fp, np.arange(len(fp)), left, free, out, Variants())
+        meet(fp, np.arange(len(fp)), left, BITS - int(key[0]), out, Variants())
         if not out:
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         nodes, root = roots(*(np.concatenate(x) for x in zip(*out, strict=True)))
         other, fp = nodes != root, fp.view(np.int64)
         return pd.DataFrame({"a": fp[root[other]], "b": fp[nodes[other]]})
 
-    return prefixes(fps, bits, radius).groupBy("prefix").applyInPandas(run, "a long, b long").distinct()
+    return dealt(fps, bits, radius).groupBy("bits", "prefix").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -251,6 +251,31 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_crowded_prefixes_are_cut_deeper(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centre = int(rng.integers(0, 1 << 62))
+    near = {centre ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 9)), replace=False)) for _ in range(150)}
+    fps = sorted(near | {int(v) for v in rng.integers(0, 1 << 62, 100)})
+    df = simhash.stored(spark.createDataFrame([(v - (1 << 64) if v >= 1 << 63 else v,) for v in fps], "fp long"), "fps")
+
+    def roots() -> dict:
+        return {r["node"] & (1 << 64) - 1: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+
+    label = {v: v for v in fps}  # brute force
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 4 and label[a] != label[b]:
+                old, new = label[a], label[b]
+                label = {k: new if v == old else v for k, v in label.items()}
+    plain = roots()
+    monkeypatch.setattr(simhash, "CROWD", 40)
+    monkeypatch.setattr(simhash, "DEEPER", 28)
+    cut = roots()
+    assert cut == plain and len(cut) > 50
+    same = lambda labels: {frozenset(k for k, v in labels.items() if v == x) for x in set(labels.values())}
+    assert same(cut) == {g for g in same(label) if len(g) > 1}
+
+
 # --- 7
 
 
