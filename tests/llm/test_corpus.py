@@ -268,8 +268,8 @@ def test_crowded_prefixes_are_cut_deeper(spark, monkeypatch):
                 old, new = label[a], label[b]
                 label = {k: new if v == old else v for k, v in label.items()}
     plain = roots()
-    monkeypatch.setattr(simhash, "CROWD", 40)
-    monkeypatch.setattr(simhash, "DEEPER", 28)
+    monkeypatch.setattr(simhash, "CROWD", 110)
+    assert simhash.dealt(df, 8, 2).select("bits").distinct().count() > 1
     cut = roots()
     assert cut == plain and len(cut) > 50
     same = lambda labels: {frozenset(k for k, v in labels.items() if v == x) for x in set(labels.values())}
