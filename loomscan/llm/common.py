@@ -91,13 +91,15 @@ def ascii_words(text: bytes | None) -> list[bytes]:
 
 
 class Bounded(dict):
-    """A memo that forgets everything when it is full: constant memory."""
+    """A memo of keys up to a length that forgets everything when it is full: constant memory."""
 
-    def __init__(self, make: Callable, limit: int = 500_000):
-        self.make, self.limit = make, limit
+    def __init__(self, make: Callable, limit: int = 500_000, longest: int = 256):
+        self.make, self.limit, self.longest = make, limit, longest
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomscan.llm import bpe, chat, decontam, extract, langid, licenses, mtree, queries, simhash, toxicity, warc
+from loomscan.llm.common import Bounded
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [None, "", "   ", "é😀　x", "Word " * 3000, "a" * 20000, "MIT License", "MIT License", "The quick brown fox jumps over the lazy dog today again"]
@@ -356,6 +357,14 @@ def test_extract_table(spark):
     assert len(got[1]) == 249999 and got[2] == "" and extract.extract(df.limit(0)).count() == 0
 
 
+# --- memo
+
+
+def test_memo_is_bounded_in_rows_and_key_length():
+    memo = Bounded(len, 3)
+    assert memo["x" * 300] == 300 and not memo and [memo[w] for w in ("a", "b", "c", "d", "d")] == [1] * 5 and list(memo) == ["d"]
+
+
 # --- 10
 
 
