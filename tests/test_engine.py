@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from loomscan import cli
 from loomscan.functions import globs, text
-from loomscan.operators import detect, extract, graph, history, incremental, lexer, render, state
+from loomscan.operators import detect, extract, graph, history, incremental, lexer, pages, render, state
 from loomscan.plans import corpus, inventory, portfolio
+from loomscan.plans import pages as page_plans
 from loomscan.sources import files as src
 from loomscan.sources import manifests
 from loomscan.streaming import events
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FILES = "rel_path string, ext string, size_bytes long, mtime_ms long, content string"
-assert corpus and inventory
+assert corpus and inventory and page_plans
 
 
 def files(spark, **by_name):
@@ -197,3 +198,17 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_schedules(spark):
     a = spark.createDataFrame([(1, 60, "Done", "2001-01-01 00:00:00"), (2, 60, "Scanning", None), (3, 0, "Done", None), (4, 60, None, None), (5, 600, "Done", "2001-01-01 00:30:00")], "app_id long, schedule_minutes int, status string, s string").withColumn("scanned_at", F.col("s").cast("timestamp"))
     assert rows(events.due(a, F.lit("2001-01-01 01:00:00").cast("timestamp")), "app_id") == [(1,), (4,)]
+
+
+def test_pages_of_components_and_models(spark):
+    c = spark.createDataFrame([(1, "src/a.js", "import", "./b", "", 1), (1, "src/a.js", "class", "A", "B", 3), (1, "src/a.js", "function", "f", "x, y", 2), (1, "src/b.js", "export", "z", "", 1), (1, "m.py", "function", "g", "", 1)], "app_id long, rel_path string, kind string, name string, extra string, line int")
+    got = {r["path"]: r["content"] for r in pages.component_pages(c).collect()}
+    assert set(got) == {"Components/src.md", "Components/root.md"}
+    assert got["Components/src.md"] == "# Components: src\n\n## `src/a.js`\n\n**Imports**\n\n`./b`\n\n**Classes**\n\n- `A` of `B` (line 3)\n\n**Functions**\n\n- `f(x, y)` (line 2)\n\n## `src/b.js`\n\n_none found_\n\n"
+    fields = spark.createDataFrame([(1, "s.sql", "sql", "T", "id", "INT", 1), (1, "s.sql", "sql", "T", "name", "TEXT", 1), (1, "s.sql", "sql", "T", "z", "INT", 1)], "app_id long, rel_path string, origin string, model string, field string, type string, line int")
+    texts = spark.createDataFrame([("T", "id", "the key", "some id"), ("T", "name", None, "a name")], "model string, field string, written string, generated string")
+    (page,) = pages.dictionary_pages(fields, texts).collect()
+    assert page["path"] == "Data-Dictionary/t.md" and page["content"].endswith("| `id` | INT | the key _(edited)_ |\n| `name` | TEXT | a name _(generated)_ |\n| `z` | INT | — |\n")
+    routes = spark.createDataFrame([(2, "GET", "/x", "h", "a.js")], "app_id long, method string, path string, handler string, rel_path string")
+    by_app = {r["app_id"]: r["content"] for r in pages.model_pages(fields, routes).collect()}
+    assert "| T | sql | `s.sql` | 3 |" in by_app[1] and by_app[1].endswith("## Routes\n\n_none found_\n") and "| GET | `/x` | `h` | `a.js` |" in by_app[2]
