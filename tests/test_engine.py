@@ -13,7 +13,7 @@ from loomscan.plans import corpus, inventory, portfolio
 from loomscan.plans import pages as page_plans
 from loomscan.sources import files as src
 from loomscan.sources import manifests
-from loomscan.streaming import events
+from loomscan.streaming import changes, events
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FILES = "rel_path string, ext string, size_bytes long, mtime_ms long, content string"
@@ -212,3 +212,16 @@ def test_pages_of_components_and_models(spark):
     routes = spark.createDataFrame([(2, "GET", "/x", "h", "a.js")], "app_id long, method string, path string, handler string, rel_path string")
     by_app = {r["app_id"]: r["content"] for r in pages.model_pages(fields, routes).collect()}
     assert "| T | sql | `s.sql` | 3 |" in by_app[1] and by_app[1].endswith("## Routes\n\n_none found_\n") and "| GET | `/x` | `h` | `a.js` |" in by_app[2]
+
+
+def test_change_stream_keeps_the_last_scan(spark, tmp_path):
+    schema = "app_id long, scan_id long, scanned_at timestamp, fingerprints array<string>"
+    folder = str(tmp_path / "scans")
+    for day, found in ((1, ["a", "b"]), (3, ["b", "c", "c"]), (2, ["z"]), (4, None)):
+        spark.createDataFrame([(7, day, f"2024-01-0{day} 00:00:00", found), (8, 10 + day, f"2024-01-0{day} 00:00:00", ["k"])], schema.replace("timestamp", "string")).selectExpr("app_id", "scan_id", "cast(scanned_at as timestamp) scanned_at", "fingerprints").coalesce(1).write.mode("append").parquet(folder)
+    stream = changes.change_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = stream.writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = rows(spark.table("changes"), "app_id", "scan_id", "new", "resolved", "late")
+    assert [r for r in got if r[0] == 7] == [(7, 1, 0, 0, False), (7, 2, 0, 0, True), (7, 3, 2, 1, False), (7, 4, 0, 3, False)]
+    assert [r[2:] for r in got if r[0] == 8] == [(0, 0, False), (0, 0, True), (0, 0, False), (0, 0, False)]
