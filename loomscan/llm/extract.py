@@ -2,7 +2,9 @@
 
 For every DOM node: characters for each tag, adjusted for link characters and link tags (composite text density), and
 the sum of its child blocks' densities (elements inside a line of text only count as tags). The least density on the path from the body to the node of the greatest sum is
-the threshold; the subtree of the greatest sum among nodes at or over it is the main text. Parts that are furniture
+the threshold; of every block at or over it the subtree of the greatest sum is marked, and the main text is all that
+is marked, in page order. A mark in an article (or else in main) stands for all of it, and headings right before marked
+parts belong to them: their density is low whatever they head. Parts that are furniture
 by element or by their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments) are left out of the tree's text.
 
@@ -34,6 +36,7 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponso
 #: Words and names that say that something else has such a part.
 HAVING = frozenset("has with without".split())
 LACKING = frozenset("no-sidebar nosidebar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: A form around one of these is a page's wrapper, no form of the page.
 MAIN = re.compile("<(?:article|main|h1)[\\s>]", re.I)
@@ -54,13 +57,15 @@ def names_furniture(attributes: str, inside: bool) -> bool:
 
 
 class Node:
-    __slots__ = ("chars", "density", "end", "furniture", "inside", "links", "link_tags", "name", "parent", "start", "sum", "tags")
+    __slots__ = ("chars", "density", "end", "frame", "furniture", "links", "link_tags", "name", "parent", "start", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, furniture: bool, start: int):
         self.name, self.parent, self.furniture, self.start, self.end = name, parent, furniture, start, start
         self.chars = self.links = self.link_tags = self.tags = 0
         self.density = self.sum = 0.0
-        self.inside = name in ("article", "main") or parent is not None and parent.inside
+        above = parent.frame if parent else None
+        #: The outermost article around, or else the outermost main.
+        self.frame = self if name == "article" and not (above and above.name == "article") or name == "main" and not above else above
 
 
 def parse(page: str) -> tuple[list[Node], list[str | None]]:
@@ -127,9 +132,9 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
             open_[-1].tags += 1
             continue
         parent = open_[-1]
-        marked = parent.furniture or name in FURNITURE and not (name == "header" and parent.inside) and not (name == "form" and next_(MAIN) < next_(FORM_END))
+        marked = parent.furniture or name in FURNITURE and not (name == "header" and parent.frame) and not (name == "form" and next_(MAIN) < next_(FORM_END))
         if not marked and name not in ("html", "body", "article"):
-            marked = names_furniture(m[3] or "", parent.inside)
+            marked = names_furniture(m[3] or "", parent.frame is not None)
         marked = marked and name != "main"  # whatever its wrappers are called
         node = Node(name, parent, marked, len(pieces))
         nodes.append(node)
@@ -162,6 +167,50 @@ def densities(nodes: list[Node]) -> None:
                 up.sum += node.density
 
 
+def marked(live: list[Node], best: Node) -> list[Node]:
+    """Nodes whose subtrees are the main text, in page order, none in another."""
+    if not best.sum:  # text without elements
+        best = max(live, key=lambda x: x.density)
+        while best.parent and best.name not in BLOCK:
+            best = best.parent
+        return [best.frame or best]
+    threshold, up = best.density, best
+    while up.parent and up.name != "body":
+        up = up.parent
+        threshold = min(threshold, up.density)
+    top = {x: x for x in live}  # of each subtree the node of the greatest sum, the first of equals
+    for node in reversed(live):
+        if node.parent in top and top[node].sum >= top[node.parent].sum and top[node].sum > node.parent.sum:
+            top[node.parent] = top[node]
+    # nodes come before those in them, so what is marked further down is known when it is reached
+    picked: set[Node] = set()
+    covered: set[Node] = set()
+    for node in live:
+        if node.parent in covered or node in picked:
+            covered.add(node)
+        elif node.density >= threshold and (node.name in BLOCK or not node.parent):
+            picked.add(top[node].frame or top[node])
+            if node in picked:
+                covered.add(node)
+    holding, follows = set(picked), {}
+    for node in reversed(live):  # the next block after each heading
+        if node.name in BLOCK:
+            if node.name in HEADINGS and follows.get(node.parent):
+                picked.add(node)
+                holding.add(node)
+            follows[node.parent] = node in holding
+        if node in holding and node.parent:
+            holding.add(node.parent)
+    out, covered = [], set()
+    for node in live:
+        if node.parent in covered:
+            covered.add(node)
+        elif node in picked:
+            covered.add(node)
+            out.append(node)
+    return out
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -171,22 +220,15 @@ def main_text(page: str | None) -> str:
     if not live:
         return ""
     best = max(live, key=lambda x: x.sum)
-    threshold, up = best.density, best
-    while up and up.name not in ("body", "#"):
-        threshold, up = min(threshold, up.density), up.parent
-    chosen = max((x for x in live if x.density >= threshold), key=lambda x: x.sum)
-    if not chosen.sum:  # text without elements
-        chosen = max(live, key=lambda x: x.density)
-    while chosen.parent and chosen.name not in BLOCK:
-        chosen = chosen.parent
     blocks, held = [], []
-    for piece in [*pieces[chosen.start : chosen.end], None]:
-        if piece is not None:
-            held.append(piece)
-        elif held:
-            if block := " ".join("".join(held).split()):
-                blocks.append(block)
-            held = []
+    for node in marked(live, best):
+        for piece in [*pieces[node.start : node.end], None]:
+            if piece is not None:
+                held.append(piece)
+            elif held:
+                if block := " ".join("".join(held).split()):
+                    blocks.append(block)
+                held = []
     return "\n".join(blocks)
 
 

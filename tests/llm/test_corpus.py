@@ -347,6 +347,22 @@ def test_names_of_wrappers(page):
     assert extract.main_text(page).split("\n") == ["Title of it", "First words of the text, long enough.", "Second words of the text, also long."]
 
 
+PARTS = "".join(f"<section><h2>Heading {i}</h2>{'<p>' + 'words ' * 60 + '</p>'}{'<p>' + 'again ' * 60 + '</p>'}</section>" for i in range(3))
+ALL = [x for i in range(3) for x in (f"Heading {i}", ("words " * 60).strip(), ("again " * 60).strip())]
+LINKS = "<div>" + "<a href=/>Some page</a> " * 8 + "</div>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body>{LINKS}<article><h1>Title of it</h1>{PARTS}</article>{LINKS}</body>", ["Title of it", *ALL]),
+    (f"<body>{LINKS}<main><h1>Title of it</h1><div>{PARTS}</div><p>End.</p></main>", ["Title of it", *ALL, "End."]),
+    (f"<body>{LINKS}{PARTS.replace('section', 'div')}{LINKS}</body>", ALL),
+    (f"<body>{LINKS}<h1>Title of it</h1>{PARTS.replace('<section>', '<div><div>').replace('</section>', '</div></div>' + LINKS)}</body>", ["Title of it", *ALL]),
+    (f"<body><main><article><h1>One</h1>{PARTS}</article>{LINKS}<article><h1>Two</h1>{PARTS}</article></main>", ["One", *ALL, "Two", *ALL]),
+])
+def test_every_part_of_the_main_text(page, text):
+    assert extract.main_text(page).split("\n") == text
+
+
 def test_deep_and_unclosed_pages_in_one_pass():
     assert extract.main_text("<div>" * 20000 + "<form>" * 20000 + "x") == "" and extract.main_text("<form><h1>" * 20000 + "word").endswith("word")
 
