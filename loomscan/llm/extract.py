@@ -6,7 +6,9 @@ the threshold; of every block at or over it the subtree of the greatest sum is m
 is marked, in page order. A mark in an article (or else in main) stands for all of it, and headings right before marked
 parts belong to them: their density is low whatever they head. Parts that are furniture
 by element or by their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) are left out of the tree's text.
+styles, comments) are left out of the tree's text. In an article or main, ids of headings, sections and paragraphs are
+topics (`discussion`, `related-work`) and alerts and notices among the paragraphs are text; such a part is furniture
+only if most of its characters are links.
 
 Results: null, empty and textless pages give ""; unclosed and stray tags are tolerated; equal sums go to the node that
 comes first; repeated rows are answered alike; extra columns are passed through, one named as an output (`main_text`)
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from loomscan.llm.common import add_columns
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 #: Elements without content, with raw content, that start a block, and that are furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg math iframe object".split())
@@ -37,6 +39,9 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponso
 HAVING = frozenset("has with without".split())
 LACKING = frozenset("no-sidebar nosidebar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose ids are topics inside an article, and marks that paragraphs there may have.
+TOPICS = HEADINGS | {"section", "p"}
+CALLOUTS = frozenset("alert notice notices".split())
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: A form around one of these is a page's wrapper, no form of the page.
 MAIN = re.compile("<(?:article|main|h1)[\\s>]", re.I)
@@ -46,23 +51,28 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr"
 SCOPE = frozenset("html body article section div table ul ol dl td th main aside nav header footer form blockquote".split())
 
 
-def names_furniture(attributes: str, inside: bool) -> bool:
-    """Whether a class, id or role names furniture; inside an article its own header is none."""
-    for value in NAMED.findall(attributes):
-        for name in value.strip("\"'").split():
-            words = {w.lower() for w in WORDS.findall(name)}
-            if not words & HAVING and name.lower() not in LACKING and MARKS & (words - {"header"} if inside else words):
-                return True
-    return False
+def names_furniture(element: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether a class, id or role names furniture, and whether one names what is a topic or a callout of an article
+    but may be furniture; inside an article its own header is none."""
+    found = [(kind.lower(), name, {w.lower() for w in WORDS.findall(name)}) for kind, value in NAMED.findall(attributes) for name in value.strip("\"'").split()]
+    topic = inside and (element in TOPICS or any(kind == "class" and name.lower() == "section" for kind, name, _ in found))
+    doubtful = False
+    for kind, name, words in found:
+        if not words & HAVING and name.lower() not in LACKING and (marks := MARKS & (words - {"header"} if inside else words)):
+            if not (topic and (kind == "id" or element == "p" and marks <= CALLOUTS)):
+                return True, False
+            doubtful = True
+    return False, doubtful
 
 
 class Node:
-    __slots__ = ("chars", "density", "end", "frame", "furniture", "links", "link_tags", "name", "parent", "start", "sum", "tags")
+    __slots__ = ("chars", "density", "doubtful", "end", "frame", "furniture", "links", "link_tags", "name", "parent", "start", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, furniture: bool, start: int):
         self.name, self.parent, self.furniture, self.start, self.end = name, parent, furniture, start, start
         self.chars = self.links = self.link_tags = self.tags = 0
         self.density = self.sum = 0.0
+        self.doubtful = False
         above = parent.frame if parent else None
         #: The outermost article around, or else the outermost main.
         self.frame = self if name == "article" and not (above and above.name == "article") or name == "main" and not above else above
@@ -133,17 +143,39 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
             continue
         parent = open_[-1]
         marked = parent.furniture or name in FURNITURE and not (name == "header" and parent.frame) and not (name == "form" and next_(MAIN) < next_(FORM_END))
+        doubtful = False
         if not marked and name not in ("html", "body", "article"):
-            marked = names_furniture(m[3] or "", parent.frame is not None)
+            marked, doubtful = names_furniture(name, m[3] or "", parent.frame is not None)
         marked = marked and name != "main"  # whatever its wrappers are called
         node = Node(name, parent, marked, len(pieces))
+        node.doubtful = doubtful
         nodes.append(node)
         if not m[3].endswith("/") or name in BLOCK:
             open_.append(node)
     close(len(open_))
+    if any(x.doubtful for x in nodes):
+        drop_link_lists(nodes, pieces)
     return nodes, pieces
 
 
+def drop_link_lists(nodes: list[Node], pieces: list[str | None]) -> None:
+    """Doubtful parts that are mostly links become furniture."""
+    chars, links = {x: x.chars for x in nodes}, {x: x.links for x in nodes}
+    for node in reversed(nodes):
+        if node.parent and not node.furniture:
+            chars[node.parent] += chars[node]
+            links[node.parent] += links[node]
+    dropped: set[Node] = set()
+    for node in nodes:
+        if node.parent in dropped:
+            node.furniture = True
+            dropped.add(node)
+        elif node.doubtful and 2 * links[node] > chars[node]:
+            node.furniture = True
+            dropped.add(node)
+            pieces[node.start : node.end] = [None] * (node.end - node.start)
+
+
 def densities(nodes: list[Node]) -> None:
     """Subtree counts, composite densities and density sums, children before parents."""
     for node in reversed(nodes):

@@ -349,7 +349,7 @@ def test_names_of_wrappers(page):
 
 PARTS = "".join(f"<section><h2>Heading {i}</h2>{'<p>' + 'words ' * 60 + '</p>'}{'<p>' + 'again ' * 60 + '</p>'}</section>" for i in range(3))
 ALL = [x for i in range(3) for x in (f"Heading {i}", ("words " * 60).strip(), ("again " * 60).strip())]
-LINKS = "<div>" + "<a href=/>Some page</a> " * 8 + "</div>"
+LINKS = "<div>" + "<a href='/x'>Some page</a> " * 8 + "</div>"
 
 
 @pytest.mark.parametrize("page, text", [
@@ -363,6 +363,18 @@ def test_every_part_of_the_main_text(page, text):
     assert extract.main_text(page).split("\n") == text
 
 
+LONG = "words of the text " * 12
+
+
+def test_topics_of_an_article_are_no_furniture():
+    kept = f'<section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section><h2 id="related-work">Related work</h2><p class="alert">{LONG}</p><div class="section" id="comments-on-sharing"><h2 id="sharing-data">Sharing data</h2><p>{LONG}</p></div>'
+    gone = f'<section id="related"><h2>Related</h2>{LINKS}</section><section class="comments"><p>{LONG}</p></section><div id="comments"><p>{LONG}</p></div><p class="ad">{LONG}</p>'
+    text = ["Title of it", "Discussion", LONG.strip(), "Related work", LONG.strip(), "Sharing data", LONG.strip()]
+    for frame in ("article", "main"):
+        assert extract.main_text(f"<body><{frame}><h1>Title of it</h1>{kept}{gone}</{frame}>").split("\n") == text
+    assert extract.main_text(f'<body><div><p>{LONG}</p><p>{LONG}</p></div><section id="discussion"><p>{LONG}</p></section>') == "\n".join([LONG.strip()] * 2)
+
+
 def test_deep_and_unclosed_pages_in_one_pass():
     assert extract.main_text("<div>" * 20000 + "<form>" * 20000 + "x") == "" and extract.main_text("<form><h1>" * 20000 + "word").endswith("word")
 
