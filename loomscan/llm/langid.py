@@ -1,14 +1,15 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
 Letters are lower-cased; every other run of characters is one boundary symbol. Counts of character 4-grams come from
-all training documents, summed by Spark; each language's model is a set of sorted hash arrays (n-gram hash, log
-probability, back-off weight) for orders 1 to 4. A text gets the language of the lowest cross-entropy a symbol over
+all training documents; every distinct one is kept with its own count. Continuation counts, discounts and log
+probabilities are Spark aggregations and joins; each language's model is a set of sorted hash arrays (n-gram hash, log
+probability; context hash, back-off weight) for orders 1 to 4, written by the tasks as files of about PART entries in
+the shared folder, which scoring tasks map into memory. A text gets the language of the lowest cross-entropy a symbol over
 the whole text; `rejected` marks texts whose cross-entropy lies three times as far from the language's mean as any of
 a calibration sample of training documents (distances grow with the root of the length, as chance does).
 
-Bounds: a language's 4-grams are kept by SLOTS hash slots (colliding ones share a slot and its count), so the
-broadcast model has at most SLOTS entries an order and language, however large the corpus is. CALIBRATION documents
-set the rejection limits.
+Bounds: models grow with the distinct 4-grams; the driver and the broadcast hold only the list of their files. CALIBRATION
+documents set the rejection limits.
 
 Results: null texts and texts without a letter, and all texts if nothing was learned, are `und` with score 0 and not
 rejected as foreign; equal scores go to the language first in the alphabet; repeated rows are answered alike; extra
@@ -17,17 +18,25 @@ columns are passed through, one named as an output (`lang_pred`, `score`, `entro
 
 from __future__ import annotations
 
+import mmap
+import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import add_columns
+from loomscan.llm.common import add_columns, fresh_path, stored
 
+#: Slots of a scorer's memo of looked-up 4-grams.
 SLOTS = 1 << 21
+#: Entries of a model file, on average at most.
+PART = 1 << 20
 CALIBRATION = 2000
 #: Symbols worked on at once.
 PIECE = 400_000
@@ -75,7 +84,7 @@ def slot(keys: np.ndarray) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, slot, gram, n) over all texts with a language; gram: the smallest of a slot."""
+    """(lang, gram, n) of all distinct 4-grams over all texts with a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -90,7 +99,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 keys, n = squeeze(parts)
                 for i in range(0, len(keys), 100_000):
                     k, c = keys[i : i + 100_000], n[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(slot(k)), pa.array(k.view(np.int64)), pa.array(c)], names=["lang", "slot", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k.view(np.int64)), pa.array(c)], names=["lang", "gram", "n"])
             held.clear()
 
         for b in batches:
@@ -116,7 +125,7 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         yield from out()
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "lang string, slot long, gram long, n long").groupBy("lang", "slot").agg(F.min("gram").alias("gram"), F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def discount(n: np.ndarray) -> float:
@@ -125,7 +134,10 @@ def discount(n: np.ndarray) -> float:
 
 
 def kneser_ney(keys: np.ndarray, n: np.ndarray) -> list[dict]:
-    """By order 1..4: sorted hashes of the seen n-grams with log probabilities, and of contexts with log back-offs."""
+    """By order 1..4: sorted hashes of the seen n-grams with log probabilities, and of contexts with log back-offs.
+
+    In memory, for small sets; write_models() does the same for counts of any size.
+    """
     count = {4: (keys, n.astype(np.float64))}
     for order in (3, 2, 1):  # an n-gram counts once for each symbol seen before it
         k, c = np.unique(count[order + 1][0] & np.uint64((1 << 16 * order) - 1), return_counts=True)
@@ -147,6 +159,101 @@ def kneser_ney(keys: np.ndarray, n: np.ndarray) -> list[dict]:
     return out
 
 
+def write_models(counts: DataFrame, langs: list[str]) -> tuple[str, list[tuple]]:
+    """Models of stored (lang, gram, n): their folder, and (language, order, kind, bucket, file, entries) of each file."""
+    spark = counts.sparkSession
+    folder = fresh_path(spark, "models")
+    at = spark.createDataFrame(list(enumerate(langs)), "l int, lang string")
+    count = {4: counts.join(F.broadcast(at), "lang").select("l", F.col("gram").alias("k"), F.col("n").cast("double").alias("c"))}
+    for order in (3, 2, 1):  # an n-gram counts once for each symbol seen before it
+        suffix = F.col("k").bitwiseAND((1 << 16 * order) - 1)
+        count[order] = stored(count[order + 1].groupBy("l", suffix.alias("k")).agg(F.count(F.lit(1)).cast("double").alias("c")), "counts")
+    size = reduce(DataFrame.union, [d.groupBy("l").agg(F.lit(o).alias("o"), F.count(F.lit(1)).alias("size"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")) for o, d in count.items()])
+    d = F.when((F.col("ones") > 0) & (F.col("twos") > 0), F.col("ones") / (F.col("ones") + 2 * F.col("twos"))).otherwise(0.5)
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / PART))).cast("int")
+    facts = spark.createDataFrame(size.select("l", "o", d.alias("d"), bits.alias("bits")).collect(), "l int, o int, d double, bits int")  # four rows a language
+    parts, lower = [], None
+    for order in (1, 2, 3, 4):
+        own = count[order].withColumn("x", F.shiftrightunsigned("k", 16)).join(F.broadcast(facts.where(F.col("o") == order)), "l")
+        context = own.groupBy("l", "x").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("types"), F.first("d").alias("d"), F.first("bits").alias("bits"))
+        context = stored(context.select("l", "x", "total", "bits", (F.col("d") * F.col("types") / F.col("total")).alias("back")), "contexts")
+        own = own.join(context.select("l", "x", "total", "back"), ["l", "x"])
+        base = F.lit(1 / 65536)
+        if lower is not None:
+            own = own.withColumn("s", F.col("k").bitwiseAND((1 << 16 * (order - 1)) - 1)).join(lower.select("l", F.col("k").alias("s"), "p"), ["l", "s"])
+            base = F.col("p")
+        lower = stored(own.select("l", "k", "bits", ((F.col("c") - F.col("d")) / F.col("total") + F.col("back") * base).alias("p")), "grams")
+        parts.append(hashed(lower.select("l", F.col("k").alias("key"), "bits", F.log("p").alias("value")), order, 0))
+        parts.append(hashed(context.select("l", F.col("x").alias("key"), "bits", F.log("back").alias("value")), order, 1))
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        h = pdf["hash"].to_numpy(np.int64).view(np.uint64)
+        o = np.argsort(h)
+        store, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        store.create_dir(path)
+        name = uuid.uuid4().hex  # only files named in the rows of tasks that finished are ever read
+        with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(h[o].tobytes())
+            out.write(pdf["value"].to_numpy(np.float64)[o].astype(np.float32).tobytes())
+        return pd.DataFrame([[*key, name, len(h)]], columns=["l", "o", "kind", "bucket", "file", "n"])
+
+    files = reduce(DataFrame.union, parts).groupBy("l", "o", "kind", "bucket").applyInPandas(write, "l int, o int, kind int, bucket long, file string, n long")
+    return folder, [tuple(r) for r in stored(files, "files").orderBy("l", "o", "kind", "bucket").collect()]
+
+
+def hashed(df: DataFrame, order: int, kind: int) -> DataFrame:
+    """(l, o, kind, bucket, hash, value): the bucket is the hash's first bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            h = mix(np.asarray(b.column(1)).view(np.uint64), order)
+            bits = np.asarray(b.column(2)).astype(np.uint64)
+            bucket = np.where(bits > 0, h >> ((np.uint64(64) - bits) & np.uint64(63)), 0).astype(np.int64)
+            cols = [b.column(0), pa.array(np.full(n, order, np.int32)), pa.array(np.full(n, kind, np.int32)), pa.array(bucket), pa.array(h.view(np.int64)), b.column(3)]
+            yield pa.RecordBatch.from_arrays(cols, names=["l", "o", "kind", "bucket", "hash", "value"])
+
+    return df.mapInArrow(run, "l int, o int, kind int, bucket long, hash long, value double")
+
+
+def open_models(folder: str, files: list[tuple], n: int) -> list[list[dict]]:
+    """Levels of n languages, their arrays (lists of parts in order of hashes) mapped from files; none for a language without files."""
+    store, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+    models: list[list[dict]] = [[] for _ in range(n)]
+    for l, order, kind, _, name, size in files:
+        if isinstance(store, fs.LocalFileSystem):
+            with open(f"{path}/{name}", "rb") as f:
+                raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        else:  # a copy on the task's disk that goes with its last use
+            with tempfile.TemporaryFile() as f, store.open_input_stream(f"{path}/{name}") as source:
+                while data := source.read(1 << 22):
+                    f.write(data)
+                f.flush()
+                raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+        if len(models[l]) < order:
+            models[l].append({"order": order, "hash": [], "logp": [], "context": [], "back": []})
+        keys, values = ("context", "back") if kind else ("hash", "logp")
+        models[l][-1][keys].append(np.frombuffer(raw, np.uint64, size))
+        models[l][-1][values].append(np.frombuffer(raw, np.float32, size, 8 * size))
+    return models
+
+
+def look(sorted_: np.ndarray | list, held: np.ndarray | list, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is held for each value, and whether there is any; sorted arrays may come in parts."""
+    if not isinstance(sorted_, list):
+        sorted_, held = [sorted_], [held]
+    if len(sorted_) == 1:
+        at, seen = find(sorted_[0], values)
+        return held[0][at], seen
+    out, seen = np.zeros(len(values), np.float32), np.zeros(len(values), bool)
+    part = np.searchsorted(np.array([p[0] for p in sorted_]), values, side="right") - 1
+    for i in np.unique(part[part >= 0]):
+        own = np.flatnonzero(part == i)
+        at, seen[own] = find(sorted_[i], values[own])
+        out[own] = held[i][at]
+    return out, seen
+
+
 def find(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(sorted_, values)
     at[at == len(sorted_)] = 0
@@ -155,13 +262,14 @@ def find(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def log_prob(keys: np.ndarray, levels: list[dict]) -> np.ndarray:
     """log P(last symbol | those before it), from the highest order that has been seen, with back-off weights."""
-    at, seen = find(levels[0]["hash"], mix(keys, 1))
-    out = np.where(seen, levels[0]["logp"][at], levels[0]["back"][0] + np.log(1 / 65536))
+    logp, seen = look(levels[0]["hash"], levels[0]["logp"], mix(keys, 1))
+    back, _ = look(levels[0]["context"], levels[0]["back"], mix(np.zeros(1, np.uint64), 1))
+    out = np.where(seen, logp, back[0] + np.log(1 / 65536))
     for level in levels[1:]:
-        at, seen = find(level["hash"], mix(keys, level["order"]))
+        logp, seen = look(level["hash"], level["logp"], mix(keys, level["order"]))
         under = (keys & np.uint64((1 << 16 * level["order"]) - 1)) >> np.uint64(16)
-        ctx, known = find(level["context"], mix(under, level["order"]))
-        out = np.where(seen, level["logp"][at], out + np.where(known, level["back"][ctx], 0))
+        back, known = look(level["context"], level["back"], mix(under, level["order"]))
+        out = np.where(seen, logp, out + np.where(known, back, 0))
     return out
 
 
@@ -224,19 +332,15 @@ class Scorer:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """Models of the languages in `docs` (its rows are the training set), and their rejection limits."""
     spark = docs.sparkSession
-    rows = count_grams(docs, text, lang).toPandas()  # at most SLOTS a language
-    langs = sorted(rows["lang"].unique())
-    models = []
-    for name in langs:
-        own = rows[rows["lang"] == name]
-        models.append(kneser_ney(own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy()))
-    model = {"langs": langs, "models": models, "mean": np.zeros(len(langs)), "limit": np.full(len(langs), np.inf)}
+    counts = stored(count_grams(docs, text, lang), "counts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    folder, files = write_models(counts, langs) if langs else ("", [])
+    model = {"langs": langs, "folder": folder, "files": files, "mean": np.zeros(len(langs)), "limit": np.full(len(langs), np.inf)}
     if not langs:
         return model
-    shared = spark.sparkContext.broadcast((langs, models))
 
     def make():
-        scorer = Scorer(*shared.value)
+        scorer = Scorer(langs, open_models(folder, files, len(langs)))
 
         def fn(column: pa.Array) -> list:
             total, n = scorer.sums(column.to_pylist())
@@ -265,7 +369,7 @@ def predict(df: DataFrame, model: dict, text: str = "text", prefix: str = "") ->
 
     def make():
         m = shared.value
-        scorer = Scorer(m["langs"], m["models"]) if langs else None
+        scorer = Scorer(m["langs"], open_models(m["folder"], m["files"], len(m["langs"]))) if langs else None
 
         def fn(column: pa.Array) -> list:
             texts = column.to_pylist()

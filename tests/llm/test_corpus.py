@@ -320,6 +320,30 @@ def test_kneser_ney_sums_to_one():
     assert abs(np.exp(langid.log_prob(every, levels)).sum() - 1) < 1e-3
 
 
+def test_models_hold_every_gram_in_files(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PART", 500)
+    base = 0x4E00  # two grams of one slot: both are kept, with their own counts
+    seen: dict = {}
+    for i in range(20000):
+        text = "".join(chr(base + x) for x in (i % 97, i // 97 % 89, i % 83, i % 71))
+        key = langid.grams(langid.symbols(text))[-1]
+        other = seen.setdefault(int(langid.slot(np.array([key]))[0]), text)
+        if other != text:
+            break
+    rng = random.Random(8)
+    texts = [other] * 3 + [text] * 9 + ["".join(chr(base + rng.randrange(60)) for _ in range(200)) for _ in range(20)]
+    rows = [(i, t, "zz") for i, t in enumerate(texts)] + [(99, "abracadabra cadabra bar rab", "aa")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keys, n = np.unique(np.concatenate([langid.grams(langid.symbols(t)) for t in texts]), return_counts=True)
+    counts = langid.stored(langid.count_grams(d, "text", "lang"), "counts")
+    assert {r["gram"] % (1 << 64): r["n"] for r in counts.where("lang = 'zz'").collect()} == dict(zip(keys.tolist(), n.tolist()))
+    folder, files = langid.write_models(counts, ["aa", "zz"])
+    levels = langid.open_models(folder, files, 2)[1]
+    assert [x["order"] for x in levels] == [1, 2, 3, 4] and len(levels[3]["hash"]) > 4 and sum(map(len, levels[3]["hash"])) == len(keys)
+    probes = np.concatenate([keys, keys ^ np.uint64(3), keys ^ np.uint64(5 << 48), np.arange(50, dtype=np.uint64)])
+    assert np.allclose(langid.log_prob(probes, levels), langid.log_prob(probes, langid.kneser_ney(keys, n)), atol=1e-4)
+
+
 # --- 9
 
 
