@@ -9,7 +9,8 @@ block, finds the line, and range-reads the record.
 A task's files carry a random name; only files named in the rows of tasks that finished are ever read, so repeated or
 lost attempts do no harm.
 
-Results: a null payload is empty; a null URL has the key ")"; equal URLs and equal page ids are told apart by their
+Results: a null payload is empty; a null URL has the key ")"; a null page id is an empty field and of equal payloads
+comes last; blanks, control characters and line separators are percent-encoded in keys; equal URLs and equal page ids are told apart by their
 place in the index; of equal payloads of at least `least` bytes that with the smallest page id is `response`, the
 others `revisit` it; an empty table gives empty archives; extra columns are ignored.
 """
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from loomscan.llm.common import fresh_path, stored
 
 BLOCK_LINES = 3000
+#: Blanks, control characters, line and paragraph separators.
+UNSAFE = re.compile("[\\s\\x00-\\x20\\x7f-\\x9f]")
 CAPTURE = "key string, page_id long, file string, offset long, length long"
 DIRECTORY = "first string, last string, file string, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
@@ -41,12 +45,16 @@ def url_key(url: str | None) -> str:
     url = (url or "").strip()
     parts = urlsplit(url if "//" in url else "//" + url) if _splits(url) else None
     if parts is None:
-        return ")" + url.lower()
+        return escaped(")" + url.lower())
     host = (parts.netloc.rpartition("@")[2]).lower().partition(":")[0]
     if host.startswith("www."):
         host = host[4:]
     rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    return ",".join(reversed(host.split("."))) + ")" + rest.lower().replace(" ", "%20").replace("\n", "%0a")
+    return escaped(",".join(reversed(host.split("."))) + ")" + rest.lower())
+
+
+def escaped(key: str) -> str:
+    return UNSAFE.sub(lambda m: quote(m[0], safe="").lower(), key)
 
 
 def _splits(url: str) -> bool:
@@ -61,11 +69,15 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, first: int | None) -> bytes:
+def number(text: str) -> int | None:
+    return int(text) if text else None
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
     """One gzip member. first: the page that this one's payload repeats; such a record keeps no payload."""
     body = b"" if first is not None else payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '').encode('unicode_escape').decode()}", f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}",
         *([f"WARC-Refers-To: <urn:page:{first}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if first is not None else []),
         "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}",
@@ -82,7 +94,7 @@ def parse(member: bytes) -> dict:
     refers = fields.get("WARC-Refers-To")
     said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     return {
-        "page_id": int(fields["WARC-Record-ID"][10:-1]), "url": fields["WARC-Target-URI"].encode().decode("unicode_escape"), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": said,
+        "page_id": number(fields["WARC-Record-ID"][10:-1]), "url": fields["WARC-Target-URI"].encode().decode("unicode_escape"), "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": said,
         "record_type": fields["WARC-Type"], "refers_to": int(refers[10:-1]) if refers else None, "intact": fields["WARC-Type"] == "revisit" or digest(body) == said, "payload": body,
     }
 
@@ -106,7 +118,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
     keyed = own.withColumn("digest", F.sha1(payload)).withColumn("size", F.octet_length(payload))
     # payloads are dealt by digest but never sorted: the side of repeated digests is hashed, and holds no payload
     shared = first_pages(own, least).select("digest", "size", "first").hint("shuffle_hash")
-    marked = keyed.join(shared, ["digest", "size"], "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
+    marked = keyed.join(shared, ["digest", "size"], "left").select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = opened(folder)
@@ -146,7 +158,7 @@ def index(captures: DataFrame) -> tuple[DataFrame, str]:
         def block() -> pa.RecordBatch:
             nonlocal at, out
             pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-            data = pack.compress("".join(f"{k} {p} {f} {o} {n}\n" for k, p, f, o, n in held).encode()) + pack.flush()
+            data = pack.compress("".join(f"{k} {'' if p is None else p} {f} {o} {n}\n" for k, p, f, o, n in held).encode()) + pack.flush()
             out = out or store.open_output_stream(f"{path}/{name}", compression=None)
             out.write(data)
             row, at = [[held[0][0]], [held[-1][0]], [name], [at], [len(data)]], at + len(data)
@@ -220,9 +232,9 @@ class Finder:
             if not self.held or self.held[0] != tuple(entry[2:]):
                 raw = zlib.decompress(self.read(f"{self.blocks}/{entry[2]}", entry[3], entry[4]), 31)
                 lines: dict[bytes, list] = {}
-                for line in raw.decode().splitlines():
+                for line in raw.decode().split("\n")[:-1]:
                     k, page, name, o, n = line.rsplit(" ", 4)
-                    lines.setdefault(k.encode(), []).append((int(page), name, int(o), int(n)))
+                    lines.setdefault(k.encode(), []).append((number(page), name, int(o), int(n)))
                 self.held = tuple(entry[2:]), lines
             yield from self.held[1].get(key, ())
 
@@ -235,7 +247,8 @@ class Finder:
 
 
 def lookup(wanted: DataFrame, directory: str, blocks: str, archives: str) -> DataFrame:
-    """Records of wanted keys (key, page_id; a null page_id: every capture of the key), read through the index."""
+    """Records of wanted keys (key, page_id, whole), read through the index; whole: every capture of the key, whatever
+    the page_id; where the column is missing, a null page_id says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = None
@@ -243,14 +256,15 @@ def lookup(wanted: DataFrame, directory: str, blocks: str, archives: str) -> Dat
             finder = finder or Finder(directory, blocks, archives)
             for i in range(0, b.num_rows, 512):
                 rows = []
-                for key, page in zip(*(c.to_pylist() for c in b.slice(i, 512).columns[:2]), strict=True):
+                for key, page, whole in zip(*(c.to_pylist() for c in b.slice(i, 512).columns[:3]), strict=True):
                     for own, name, offset, length in finder.block_lines(key.encode()):
-                        if page is None or own == page:
+                        if whole or own == page:
                             rows.append(parse(finder.read(f"{finder.archives}/{name}", offset, length)))
                 if rows:
                     yield pa.RecordBatch.from_pylist([{k: v for k, v in r.items() if k != "payload"} for r in rows], schema=SCHEMA)
 
-    return wanted.select("key", "page_id").mapInArrow(run, RECORD)
+    whole = "whole" if "whole" in wanted.columns else F.col("page_id").isNull().alias("whole")
+    return wanted.select("key", "page_id", whole).mapInArrow(run, RECORD)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
@@ -267,4 +281,4 @@ def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     held = directory.count()
     parts = max(1, min(held, max(pages.sparkSession.sparkContext.defaultParallelism, held // 16)))  # runs of index blocks
     wanted = captures.groupBy("key", "page_id").count().repartitionByRange(parts, F.encode("key", "utf-8"), "page_id").sortWithinPartitions(F.encode("key", "utf-8"), "page_id")
-    return lookup(wanted.select("key", "page_id"), path, blocks, folder[0]["folder"])
+    return lookup(wanted.select("key", "page_id", F.lit(False).alias("whole")), path, blocks, folder[0]["folder"])

@@ -198,6 +198,18 @@ def test_warc_index_blocks(spark, monkeypatch):
     assert warc.url_key("https://WWW.A.b.org:80/Q?x#f") == "org,b,a)/q?x"
 
 
+def test_warc_line_separators_and_null_page_ids(spark, tmp_path):
+    marks = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", " ", "\t", "\x00"]
+    urls = [f"http://{host}/a{m}b?c{m}d" for m in marks for host in ("a.example.com", f"a{m}b.example.com", "[bad")]
+    pages = [(i, u, f"body {i}") for i, u in enumerate(urls)] + [(None, "http://n.example.com/", "null id"), (None, "http://n.example.com/", "other"), (500, "http://n.example.com/", "own"), (None, None, "body 3"), (None, None, "own")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    sf = write(spark, tmp_path / "d", pages=df)
+    got = [(r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in queries.op5_warc(spark, sf).collect()]
+    want = [(i, warc.digest(h.encode()), *(("revisit", 3 if h == "body 3" else 500) if i is None and h in ("body 3", "own") else ("response", None))) for i, _, h in pages]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert not any(c.isspace() or ord(c) < 32 for u in urls for c in warc.url_key(u))
+
+
 # --- 6
 
 
