@@ -3,11 +3,13 @@
 A text's features are the hashed words and word beginnings (3 to 6 characters) that occur in it at all, so a long text
 is not diluted. Features whose training counts tell toxic from clean texts beyond chance (log-likelihood ratio over
 2 ln of the number of features tested: about one false one expected) enter a logistic model. For every training text
-that names an identity group, the model also sees the text with the term swapped for others and for a neutral word,
-and each change of its score is penalised; so a group's mere mention carries no weight.
+that names an identity group, each term is also swapped for other groups of its kind and language and for a neutral
+word, and each change of the text's score is penalised; so a group's mere mention carries no weight.
 
-Bounds: the model is fitted on at most MAX_TOXIC and MAX_CLEAN labelled texts (those of smallest id hash) and keeps at
-most MAX_FEATURES features; scoring covers whole texts.
+Bounds: the model is fitted on at most MAX_TOXIC and MAX_CLEAN labelled texts (those of smallest id hash). All their
+features that pass the test are kept, as sparse rows. A swap changes a score only by the features of two words, so
+tasks send distinct changes with counts: their number hangs on the list of terms, not on how often texts name them.
+Scoring covers whole texts.
 
 Results: null and empty texts have no features and get the base score; a doc id labelled twice counts as toxic if any
 label says so; null labels are ignored; with no usable labels, or none of a class, every score is 0. Extra columns are
@@ -16,6 +18,7 @@ passed through; a column named `score` is replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +28,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import Bounded, add_columns, as_bytes, ascii_words
+from loomscan.llm.common import Bounded, add_columns, as_bytes, ascii_words, stored
 
-MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4000, 8000, 4096
+MAX_TOXIC, MAX_CLEAN = 4000, 8000
 STARTS = (3, 4, 5, 6)
-NEUTRAL = "person"
-#: Words that name groups of people, by which labelled sentences are varied.
-IDENTITY = """women woman men man girl boy gay lesbian straight transgender bisexual queer black white asian african
-american european latino hispanic arab jewish muslim christian hindu buddhist atheist immigrant refugee disabled deaf
-blind old young elderly poor german french spanish english mexican chinese indian turkish polish russian
-frauen frau männer mann mädchen junge schwul lesbisch schwarze weiße jüdisch muslimisch christlich ausländer
-flüchtling behindert alt jung arm femmes femme hommes homme fille garçon lesbienne noir blanc juif musulman chrétien
-immigré réfugié handicapé vieux jeune pauvre mujeres mujer hombres hombre chica chico lesbiana negro blanco judío
-musulmán cristiano inmigrante refugiado discapacitado viejo joven pobre""".split()
+#: By language its neutral word, then words that name groups of people, a line for each kind. Words that
+#: are common ones of another language (`arm`) are left out.
+IDENTITY = """
+person: women woman men man girl boy
+person: gay lesbian straight transgender bisexual queer
+person: black white asian african american european latino hispanic arab
+person: jewish muslim christian hindu buddhist atheist
+person: german french spanish english mexican chinese indian turkish polish russian
+person: immigrant refugee foreigner
+person: disabled deaf blind
+person: old young elderly
+mensch: frauen frau männer mann mädchen junge
+mensch: schwul lesbisch
+mensch: schwarze weiße
+mensch: jüdisch muslimisch christlich
+mensch: ausländer flüchtling
+mensch: alt jung
+personne: femmes femme hommes homme fille garçon
+personne: lesbienne homosexuel
+personne: noir blanc
+personne: juif musulman chrétien
+personne: immigré réfugié étranger
+personne: vieux jeune
+persona: mujeres mujer hombres hombre chica chico
+persona: lesbiana homosexual
+persona: negro blanco
+persona: judío musulmán cristiano
+persona: inmigrante refugiado extranjero
+persona: viejo joven
+"""
+#: Other words of its kind that a term is swapped for, beside the neutral one.
+SWAPS = 3
+
+
+def kinds(text: str = IDENTITY) -> list[list[str]]:
+    """[neutral word, term, term, ...] of each line."""
+    return [[neutral, *terms.split()] for neutral, _, terms in (line.partition(":") for line in text.split("\n") if line.strip())]
 
 
 def features(word: bytes) -> tuple[int, ...]:
@@ -50,7 +81,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     by_hash = lambda toxic, n: rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     ids = by_hash(1, MAX_TOXIC).union(by_hash(0, MAX_CLEAN)).select("doc_id", F.col("toxic").cast("int").alias("__toxic"))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "__toxic")
+    return stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "__toxic"), "labelled")
 
 
 def choose(sample: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -95,20 +126,22 @@ def choose(sample: DataFrame) -> tuple[np.ndarray, int, int]:
         m = a + b
         llr = 2 * (term(a, m * p) + term(b, m * (1 - p)) + term(na, (yes + no - m) * p) + term(nb, (yes + no - m) * (1 - p)))
         good = counts.where("feature >= 0").withColumn("llr", llr).where((F.col("llr") > 2 * float(np.log(max(tested, 2)))) & (a > m * p) & (a >= 2))
-        top = good.orderBy(F.desc("llr"), "feature").limit(MAX_FEATURES).select("feature").toPandas()
-        return np.sort(top["feature"].to_numpy(np.int64)), yes, no
+        return np.sort(good.select("feature").toPandas()["feature"].to_numpy(np.int64)), yes, no
     finally:
         counts.unpersist()
 
 
 class Reader:
-    """Chosen features of texts, and of texts with identity terms swapped."""
+    """Chosen features of texts, and what swaps of identity terms change in them."""
 
-    def __init__(self, chosen: np.ndarray, identity: list[str]):
+    def __init__(self, chosen: np.ndarray, groups: list[list[str]]):
         place = {int(f): i for i, f in enumerate(chosen)}
         self.memo = Bounded(lambda w: frozenset(place[f] for f in features(w) if f in place), 300_000)
-        self.identity = {w.encode(): i for i, w in enumerate(identity)}
-        self.ring = [*self.identity]
+        self.others: dict[bytes, list[bytes]] = {}
+        for neutral, *terms in groups:
+            for i, t in enumerate(terms):
+                near = [terms[(i + step) % len(terms)] for step in range(1, SWAPS + 1)]
+                self.others[t.encode()] = [o.encode() for o in dict.fromkeys([neutral, *near]) if o != t]
 
     def of(self, words: set) -> list[int]:
         out: set = set()
@@ -116,91 +149,117 @@ class Reader:
             out |= found
         return sorted(out)
 
-    def swapped(self, words: set) -> list[list[int]]:
-        """Features of the text with each of its identity terms replaced by others, and by the neutral word."""
+    def swapped(self, words: set) -> list[tuple[tuple, tuple]]:
+        """(features gained, features lost) of the text with each of its terms replaced by each of that term's others."""
         out = []
-        for w in sorted(words & self.identity.keys()):
-            rest, at = words - {w}, self.identity[w]
-            others = [NEUTRAL.encode(), *(self.ring[(at + step) % len(self.ring)] for step in (1, 7, 19))]
-            out += [self.of(rest | {o}) for o in others if o != w]
+        for w in words & self.others.keys():
+            rest = set(self.of(words - {w}))
+            for o in self.others[w]:
+                gained, lost = self.memo[o] - rest, self.memo[w] - rest
+                if gained != lost:
+                    out.append((tuple(sorted(gained - lost)), tuple(sorted(lost - gained))))
         return out
 
 
-def dense(rows: list, n: int) -> np.ndarray:
-    x = np.zeros((len(rows), n), np.float32)
-    for i, r in enumerate(rows):
-        x[i, list(r)] = 1
-    return x
+class Sparse:
+    """Rows of (place, value) pairs with products from both sides."""
+
+    def __init__(self, rows: list, values: list | None, width: int):
+        self.n, self.width = len(rows), width
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.at = np.concatenate([np.asarray(r, np.int64) for r in rows]) if self.n else np.empty(0, np.int64)
+        self.value = np.ones(len(self.at)) if values is None else np.concatenate([np.asarray(v, np.float64) for v in values]) if self.n else np.empty(0)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.at], self.n)
 
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, self.value * r[self.row], self.width)
 
-def largest(x: np.ndarray) -> float:
-    """Largest eigenvalue of x'x, by power iteration: the steepest curvature that a step must respect."""
-    v = np.ones(x.shape[1], np.float32)
+
+def largest(product, width: int) -> float:
+    """Largest eigenvalue of a symmetric product, by power iteration: the steepest curvature that a step must respect."""
+    v = np.ones(width)
     for _ in range(40):
         n = np.linalg.norm(v)
         if not n:
             return 0.0
-        v = (x @ (v / n)) @ x
+        v = product(v / n)
     return float(np.linalg.norm(v))
 
 
-def train(x: np.ndarray, y: np.ndarray, count: np.ndarray, change: np.ndarray, penalty: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def train(x: Sparse, y: np.ndarray, count: np.ndarray, change: Sparse, times: np.ndarray, penalty: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic weights by accelerated proximal descent; `penalty` times the mean squared score change of swaps.
 
-    A row of x stands for `count` texts with the same features and label.
+    A row of x stands for `count` texts with the same features and label, one of change for `times` swaps.
     """
     n, mean = count.sum(), float(np.average(y, weights=count))
-    w, b = np.zeros(x.shape[1], np.float32), float(np.log(mean / (1 - mean)))
+    w, b = np.zeros(x.width), float(np.log(mean / (1 - mean)))
     share = (np.where(y == 1, 0.25 / mean, 0.25 / (1 - mean)) + 0.5) * count / n
-    z = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1) * np.sqrt(share)[:, None].astype(np.float32)
-    rate = np.float32(1 / (1.2 * (0.25 * largest(z) + l2 + (2 * penalty / len(change) * largest(change) if len(change) else 0)) + 1e-6))
+    pull = 2 * penalty * times / max(times.sum(), 1)
+
+    def curve(v: np.ndarray) -> np.ndarray:  # of the loss; the last component is the bias
+        r = share * (x.times(v[:-1]) + v[-1])
+        return np.append(0.25 * x.back(r) + l2 * v[:-1] + change.back(pull * change.times(v[:-1])), 0.25 * r.sum())
+
+    rate = 1 / (1.2 * largest(curve, x.width + 1) + 1e-6)
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
-        err = ((1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y) * share).astype(np.float32)
-        grad = err @ x + np.float32(l2) * v
-        if len(change):
-            grad += np.float32(2 * penalty / len(change)) * ((change @ v) @ change)
-        new = v - rate * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * np.float32(l1), 0)
-        bias, t2 = c - float(rate) * float(err.sum()), (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = (new + np.float32((t - 1) / t2) * (new - w)).astype(np.float32), bias + (t - 1) / t2 * (bias - b)
+        err = (1 / (1 + np.exp(-np.clip(x.times(v) + c, -30, 30))) - y) * share
+        new = v - rate * (x.back(err) + l2 * v + change.back(pull * change.times(v)))
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
+        bias, t2 = c - rate * float(err.sum()), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, c = new + (t - 1) / t2 * (new - w), bias + (t - 1) / t2 * (bias - b)
         w, b, t = new, bias, t2
-    return w.astype(np.float64), b
+    return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, identity: list[str] | None = None, penalty: float = 1.0) -> dict:
-    """Model from documents (doc_id, text) and labels (doc_id, toxic)."""
-    identity = IDENTITY if identity is None else identity
+def fit(docs: DataFrame, labels: DataFrame, groups: list[list[str]] | None = None, penalty: float = 1.0) -> dict:
+    """Model from documents (doc_id, text) and labels (doc_id, toxic); groups as kinds() gives them."""
+    groups = kinds() if groups is None else groups
     sample = labelled(docs, labels)
     chosen, yes, no = choose(sample)
     if not yes or not no:
-        return {"chosen": np.empty(0, np.int64), "weights": np.empty(0), "bias": None, "identity": identity}
+        return {"chosen": np.empty(0, np.int64), "weights": np.empty(0), "bias": None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(chosen, identity)
+        reader = Reader(chosen, groups)
+        seen: Counter = Counter()
         for b in batches:
-            own, swaps = [], []
-            for t in as_bytes(b.column(0)):
-                words = set(ascii_words(t))
-                own.append(reader.of(words))
-                swaps.append(reader.swapped(words))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["y", "own", "swaps"])
-
-    rows = sample.mapInArrow(run, "y int, own array<int>, swaps array<array<int>>").groupBy("y", "own", "swaps").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    x, y = dense(rows["own"].tolist(), len(chosen)), rows["y"].to_numpy(np.float64)
-    change = [(own, s) for own, swaps in zip(rows["own"], rows["swaps"], strict=True) for s in swaps]
-    gap = dense([s for _, s in change], len(chosen)) - dense([o for o, _ in change], len(chosen)) if change else np.zeros((0, len(chosen)), np.float32)
-    w, b = train(x, y, rows["n"].to_numpy(np.float64), gap[np.abs(gap).sum(axis=1) > 0], penalty)
-    return {"chosen": chosen, "weights": w, "bias": b, "identity": identity}
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                for t, y in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    words = set(ascii_words(t))
+                    seen[y, tuple(reader.of(words)), ()] += 1
+                    for gained, lost in reader.swapped(words):
+                        seen[None, gained, lost] += 1
+                if len(seen) > 20_000:
+                    yield out(seen)
+                    seen.clear()
+        yield out(seen)
+
+    def out(seen: Counter) -> pa.RecordBatch:
+        y, own, lost = zip(*seen, strict=True) if seen else ((), (), ())
+        lists = pa.list_(pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(own, lists), pa.array(lost, lists), pa.array(list(seen.values()), pa.int64())], names=["y", "own", "lost", "n"])
+
+    rows = sample.mapInArrow(run, "y int, own array<int>, lost array<int>, n long").groupBy("y", "own", "lost").agg(F.sum("n").cast("double").alias("n")).orderBy("y", "own", "lost").toPandas()
+    texts, swaps = rows[rows["y"].notna()], rows[rows["y"].isna()]
+    x = Sparse(texts["own"].tolist(), None, len(chosen))
+    both = [(np.concatenate([g, l]), np.repeat([1.0, -1.0], [len(g), len(l)])) for g, l in zip(swaps["own"], swaps["lost"], strict=True)]
+    change = Sparse([b[0] for b in both], [b[1] for b in both], len(chosen))
+    w, b = train(x, texts["y"].to_numpy(np.float64), texts["n"].to_numpy(), change, swaps["n"].to_numpy(), penalty)
+    return {"chosen": chosen, "weights": w, "bias": b}
 
 
 def score(df: DataFrame, model: dict, text: str = "text", name: str = "score") -> DataFrame:
-    """df with column `name`, 0 to 1, the score of each whole text. The model has at most MAX_FEATURES weights."""
+    """df with column `name`, 0 to 1, the score of each whole text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m = shared.value
-        reader, w, b = Reader(m["chosen"], m["identity"]), m["weights"], m["bias"]
+        reader, w, b = Reader(m["chosen"], []), m["weights"], m["bias"]
 
         def fn(column: pa.Array) -> list:
             if b is None:
