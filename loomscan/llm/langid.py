@@ -5,11 +5,17 @@ all training documents; every distinct one is kept with its own count. Continuat
 probabilities are Spark aggregations and joins; each language's model is a set of sorted hash arrays (n-gram hash, log
 probability; context hash, back-off weight) for orders 1 to 4, written by the tasks as files of about PART entries in
 the shared folder, which scoring tasks map into memory. A text gets the language of the lowest cross-entropy a symbol over
-the whole text; `rejected` marks texts whose cross-entropy lies three times as far from the language's mean as any of
-a calibration sample of training documents (distances grow with the root of the length, as chance does).
+the whole text.
 
-Bounds: models grow with the distinct 4-grams; the driver and the broadcast hold only the list of their files. CALIBRATION
-documents set the rejection limits.
+Rejection is calibrated on held-back texts: a second set of models leaves out every tenth training text (by a hash of
+the text), and those tenths are scored with it. For each language and length class (powers of four symbols) the limit
+lies at SLACK times the distance from the language's mean that one in a thousand of them exceeds, and not under that of
+all languages together. A class of fewer than FEW texts takes in the next shorter ones; if there are too few in all
+languages, longer ones at twice the distance a class (distances shrink with the root of the length, as chance does).
+The distance counts as LEAST nats at least; without held-back texts nothing is rejected.
+
+Bounds: models grow with the distinct 4-grams; the driver and the broadcast hold the list of their files and a histogram of
+the held-back texts' cross-entropies in steps of STEP.
 
 Results: null texts and texts without a letter, and all texts if nothing was learned, are `und` with score 0 and not
 rejected as foreign; equal scores go to the language first in the alphabet; repeated rows are answered alike; extra
@@ -28,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.llm.common import add_columns, fresh_path, stored
@@ -37,7 +43,9 @@ from loomscan.llm.common import add_columns, fresh_path, stored
 SLOTS = 1 << 21
 #: Entries of a model file, on average at most.
 PART = 1 << 20
-CALIBRATION = 2000
+#: One text of HELD is held back for the limits.
+HELD = 10
+SLACK, LEAST, FEW, STEP, CLASSES = 3.0, 0.1, 100, 0.005, 17
 #: Symbols worked on at once.
 PIECE = 400_000
 FIELDS = [("lang_pred", "string"), ("score", "double"), ("entropy", "double"), ("rejected", "boolean")]
@@ -53,7 +61,7 @@ def letters() -> np.ndarray:
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """16-bit symbols: letters, and 0 for each run of others; empty if there is no letter."""
+    """16-bit symbols: UTF-16 units of letters, and 0 for each run of others; empty if there is no letter."""
     if not text:
         return np.empty(0, np.uint64)
     code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
@@ -62,7 +70,14 @@ def symbols(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     keep = own.copy()
     keep[1:] |= own[:-1]
-    return np.where(own, np.where(code < 0xFFFF, code, code % 65521 + 1), 0)[keep].astype(np.uint64)
+    picked = np.where(own, code, 0)[keep]
+    wide = picked > 0xFFFF
+    if wide.any():  # two units
+        at = np.flatnonzero(wide) + np.arange(np.count_nonzero(wide))
+        rest = picked[wide] - 0x10000
+        picked = np.repeat(picked, 1 + wide)
+        picked[at], picked[at + 1] = 0xD800 + (rest >> 10), 0xDC00 + (rest & 0x3FF)
+    return picked.astype(np.uint64)
 
 
 def grams(x: np.ndarray) -> np.ndarray:
@@ -84,10 +99,10 @@ def slot(keys: np.ndarray) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, gram, n) of all distinct 4-grams over all texts with a language."""
+    """(lang, held, gram, n) of all distinct 4-grams over all texts with a language, held-back texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        held: dict[tuple, list] = {}
         size = 0
 
         def squeeze(parts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -99,15 +114,15 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 keys, n = squeeze(parts)
                 for i in range(0, len(keys), 100_000):
                     k, c = keys[i : i + 100_000], n[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k.view(np.int64)), pa.array(c)], names=["lang", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name[0]] * len(k)), pa.array([name[1]] * len(k)), pa.array(k.view(np.int64)), pa.array(c)], names=["lang", "held", "gram", "n"])
             held.clear()
 
         for b in batches:
             for i in range(0, b.num_rows, 64):
                 part = b.slice(i, 64)
-                by: dict[str, list] = {}
-                for name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    by.setdefault(name, []).append(symbols(t))
+                by: dict[tuple, list] = {}
+                for name, back, t in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    by.setdefault((name, back), []).append(symbols(t))
                 for name, xs in by.items():
                     keys = [grams(x) for x in xs if len(x)]
                     if keys:
@@ -124,8 +139,12 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                     size = 0
         yield from out()
 
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), held_back(text).alias("held"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "lang string, held boolean, gram long, n long").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n"))
+
+
+def held_back(text: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(HELD)) == 0
 
 
 def discount(n: np.ndarray) -> float:
@@ -159,12 +178,11 @@ def kneser_ney(keys: np.ndarray, n: np.ndarray) -> list[dict]:
     return out
 
 
-def write_models(counts: DataFrame, langs: list[str]) -> tuple[str, list[tuple]]:
-    """Models of stored (lang, gram, n): their folder, and (language, order, kind, bucket, file, entries) of each file."""
+def write_models(counts: DataFrame) -> tuple[str, list[tuple]]:
+    """Models of (l, gram, n), l a model's number: their folder, and (l, order, kind, bucket, file, entries) of each file."""
     spark = counts.sparkSession
     folder = fresh_path(spark, "models")
-    at = spark.createDataFrame(list(enumerate(langs)), "l int, lang string")
-    count = {4: counts.join(F.broadcast(at), "lang").select("l", F.col("gram").alias("k"), F.col("n").cast("double").alias("c"))}
+    count = {4: stored(counts.groupBy("l", F.col("gram").alias("k")).agg(F.sum("n").cast("double").alias("c")), "counts")}
     for order in (3, 2, 1):  # an n-gram counts once for each symbol seen before it
         suffix = F.col("k").bitwiseAND((1 << 16 * order) - 1)
         count[order] = stored(count[order + 1].groupBy("l", suffix.alias("k")).agg(F.count(F.lit(1)).cast("double").alias("c")), "counts")
@@ -329,36 +347,80 @@ class Scorer:
         return total, size
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64) // 2, CLASSES - 1)
+
+
+def limits(seen: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean cross-entropy by language, and the greatest accepted distance from it by language and length class.
+
+    seen (best, class, bin, n): held-back texts by language, length class and cross-entropy in steps of STEP.
+    """
+    seen = seen.assign(ce=(seen["bin"] + 0.5) * STEP)
+    total = seen["n"].sum()
+    whole = float((seen["ce"] * seen["n"]).sum() / total) if total else 0.0
+    mean = np.full(n, whole)
+    for l, own in seen.groupby("best"):
+        mean[int(l)] = np.average(own["ce"], weights=own["n"])
+    seen = seen.assign(far=np.maximum(seen["ce"] - mean[seen["best"].astype(int)], 0.0)).sort_values("far")
+    out = np.full((n, CLASSES), np.inf)
+
+    def quantile(rows: pd.DataFrame, far: np.ndarray) -> float:
+        order = np.argsort(far, kind="stable")
+        upto = np.cumsum(rows["n"].to_numpy()[order])
+        return float(far[order][np.searchsorted(upto, 0.999 * upto[-1])])
+
+    def enough(rows: pd.DataFrame, c: int) -> pd.DataFrame | None:
+        """Rows of class c, and of shorter ones until there are enough."""
+        for low in range(c, -1, -1):
+            part = rows[(rows["class"] <= c) & (rows["class"] >= low)]
+            if part["n"].sum() >= FEW:
+                return part
+        return None
+
+    for l in range(n if total else 0):
+        own = seen[seen["best"] == l]
+        for c in range(CLASSES):
+            parts = [p for rows in (own, seen) if (p := enough(rows, c)) is not None]
+            if not parts:
+                longer = (seen[seen["class"] <= high] for high in range(c + 1, CLASSES))
+                parts = [next((p for p in longer if p["n"].sum() >= FEW), seen)]
+            out[l, c] = SLACK * max(LEAST, *(quantile(p, p["far"].to_numpy() * 2.0 ** np.maximum(p["class"].to_numpy() - c, 0)) for p in parts))
+    return mean, out
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict:
     """Models of the languages in `docs` (its rows are the training set), and their rejection limits."""
     spark = docs.sparkSession
     counts = stored(count_grams(docs, text, lang), "counts")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    folder, files = write_models(counts, langs) if langs else ("", [])
-    model = {"langs": langs, "folder": folder, "files": files, "mean": np.zeros(len(langs)), "limit": np.full(len(langs), np.inf)}
+    model = {"langs": langs, "folder": "", "files": [], "mean": np.zeros(0), "limit": np.zeros((0, CLASSES))}
     if not langs:
         return model
+    n = len(langs)
+    at = counts.join(F.broadcast(spark.createDataFrame(list(enumerate(langs)), "l int, lang string")), "lang")
+    folder, files = write_models(at.select("l", "gram", "n").union(at.where("not held").select(F.col("l") + n, "gram", "n")))
+    part = [(l - n, *rest) for l, *rest in files if l >= n]
+    model |= {"folder": folder, "files": [f for f in files if f[0] < n]}
 
     def make():
-        scorer = Scorer(langs, open_models(folder, files, len(langs)))
+        scorer = Scorer(langs, open_models(folder, part, n))
 
         def fn(column: pa.Array) -> list:
-            total, n = scorer.sums(column.to_pylist())
+            total, size = scorer.sums(column.to_pylist())
             best = total.argmax(axis=1)
-            return [best.tolist(), (-total[np.arange(len(best)), best] / np.maximum(n, 1)).tolist(), n.tolist()]
+            ce = -total[np.arange(len(best)), best] / np.maximum(size, 1)
+            return [best.tolist(), length_class(size).tolist(), np.floor(ce / STEP).astype(np.int64).tolist(), size.tolist()]
 
         return fn
 
-    # the smallest hashes of ids: a sample of fixed size
-    keyed = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(text).alias("h"))
-    picked = keyed.distinct().orderBy("h").limit(CALIBRATION)
-    sample = docs.withColumn("h", F.xxhash64(text)).join(F.broadcast(picked), "h").dropDuplicates(["h"]).select(F.col(text).alias("text"))
-    seen = add_columns(sample, "text", [("best", "long"), ("ce", "double"), ("n", "long")], make, keep=[]).where("n > 0").toPandas()
-    for i in range(len(langs)):
-        own = seen[seen["best"] == i]
-        if len(own):
-            model["mean"][i] = mean = float(np.average(own["ce"], weights=own["n"]))
-            model["limit"][i] = 3 * max(1.0, float(((own["ce"] - mean).abs() * np.sqrt(np.minimum(own["n"], 400))).max()))
+    seen = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & held_back(text)).select(F.col(text).alias("text"))
+    seen = add_columns(seen, "text", [("best", "long"), ("class", "long"), ("bin", "long"), ("size", "long")], make, keep=[])
+    if part:
+        seen = seen.where("size > 0").groupBy("best", "class", "bin").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    else:
+        seen = pd.DataFrame({"best": [], "class": [], "bin": [], "n": []})
+    model["mean"], model["limit"] = limits(seen, n)
     return model
 
 
@@ -380,8 +442,8 @@ def predict(df: DataFrame, model: dict, text: str = "text", prefix: str = "") ->
             ce = -total / size[:, None]
             best = ce.argmin(axis=1)
             low = ce[np.arange(len(best)), best]
-            odds = np.exp(-(ce - low[:, None]) * np.minimum(size, 100)[:, None]).sum(axis=1)
-            far = some & ((low - m["mean"][best]) * np.sqrt(np.minimum(size, 400)) > m["limit"][best])
+            odds = np.exp(-(ce - low[:, None]) * size[:, None]).sum(axis=1)
+            far = some & (low - m["mean"][best] > m["limit"][best, length_class(size)])
             return [[langs[b] if s else "und" for b, s in zip(best, some, strict=True)], np.where(some, 1 / odds, 0.0).tolist(), [float(v) if s else None for v, s in zip(low, some, strict=True)], far.tolist()]
 
         return fn

@@ -1,9 +1,11 @@
 """Corpus operators against brute force, round trips and held-out accuracy, and on nulls, ties and empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -348,14 +350,58 @@ def test_models_hold_every_gram_in_files(spark, monkeypatch):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     keys, n = np.unique(np.concatenate([langid.grams(langid.symbols(t)) for t in texts]), return_counts=True)
     counts = langid.stored(langid.count_grams(d, "text", "lang"), "counts")
-    assert {r["gram"] % (1 << 64): r["n"] for r in counts.where("lang = 'zz'").collect()} == dict(zip(keys.tolist(), n.tolist()))
-    folder, files = langid.write_models(counts, ["aa", "zz"])
+    whole = counts.where("lang = 'zz'").groupBy("gram").agg(F.sum("n").alias("n"))
+    assert {r["gram"] % (1 << 64): r["n"] for r in whole.collect()} == dict(zip(keys.tolist(), n.tolist()))
+    folder, files = langid.write_models(counts.select(F.when(F.col("lang") == "zz", 1).otherwise(0).alias("l"), "gram", "n"))
     levels = langid.open_models(folder, files, 2)[1]
     assert [x["order"] for x in levels] == [1, 2, 3, 4] and len(levels[3]["hash"]) > 4 and sum(map(len, levels[3]["hash"])) == len(keys)
     probes = np.concatenate([keys, keys ^ np.uint64(3), keys ^ np.uint64(5 << 48), np.arange(50, dtype=np.uint64)])
     assert np.allclose(langid.log_prob(probes, levels), langid.log_prob(probes, langid.kneser_ney(keys, n)), atol=1e-4)
 
 
+def naive_kneser_ney(texts):
+    """log P(symbol | three before), from the definition with dictionaries."""
+    grams = Counter()
+    for t in texts:
+        x = [0, 0, 0, *langid.symbols(t).tolist()]
+        grams.update(tuple(x[i : i + 4]) for i in range(len(x) - 3))
+    count = {4: grams}
+    for order in (3, 2, 1):
+        count[order] = Counter(g[1:] for g in count[order + 1])
+
+    def p(g):
+        if not g:
+            return 1 / 65536
+        c = count[len(g)]
+        ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = [v for k, v in c.items() if k[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        return max(c[g] - d, 0) / sum(same) + d * len(same) / sum(same) * p(g[1:])
+
+    return lambda g: math.log(p(g))
+
+
+def test_kneser_ney_by_definition_and_rejection(spark):
+    rng = random.Random(9)
+    syllables = {"aa": ["ka", "to", "mi", "re"], "bb": ["schw", "ung", "kei", "𐐨𐐩"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[x]) for _ in range(3)) for _ in range(rng.choice([2, 20, 60]))), x) for i in range(500) for x in [rng.choice([*syllables])]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    levels = langid.open_models(model["folder"], model["files"], 2)
+    for l, name in enumerate(model["langs"]):
+        slow = naive_kneser_ney([t for _, t, x in rows if x == name])
+        for t in ("kato mire", "schwung", "qx 𐐨𐐩ka", "ungto"):
+            x = [0, 0, 0, *langid.symbols(t).tolist()]
+            assert np.allclose(langid.log_prob(langid.grams(langid.symbols(t)), levels[l]), [slow(tuple(x[i : i + 4])) for i in range(len(x) - 3)], atol=1e-4)
+    probe = [t for _, t, _ in rows] + ["qwxz zzkq vvbn plkj wqsd hgfd mnbv cxzl " * 3, "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura", "Совсем другое письмо, не отсюда и не оттуда, а из других мест"]
+    found = langid.predict(spark.createDataFrame(list(enumerate(probe)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["rejected"] for r in found] == [False] * len(rows) + [True] * 3
+    assert [r["lang_pred"] for r in found[: len(rows)]] == [x for *_, x in rows]
+    assert langid.symbols("a𐐨b").tolist() == [97, 0xD801, 0xDC28, 98]
+
+
 # --- 9
 
 
