@@ -2,8 +2,10 @@
 
 The merge list fixes how far ahead of a token's end anything can still change that token (`sufficient_lookahead`).
 A `Transducer` therefore keeps a window of that many bytes plus a little, merges inside it, and emits each token as
-soon as that many bytes follow it; its state does not grow with the word or the text. Texts are cut into words by
-the tokenizer's pattern in blocks, each word cut only where no later character can move the cut.
+soon as that many bytes follow it; its state does not grow with the word or the text. Every word goes through it; a
+memo before it gives the ids of short words again that it has already encoded. Texts are cut into words by the
+tokenizer's pattern in blocks, each word cut only where no later character can move the cut; a run that fills a block
+is fed to the transducer slice by slice.
 
 Results: null and empty texts give an empty id list and the text "". Rows are handled one by one, so ties, repeated
 rows and very long texts need nothing special; extra columns are passed through, and a column named as an output
@@ -13,6 +15,7 @@ rows and very long texts need nothing special; extra columns are passed through,
 from __future__ import annotations
 
 import codecs
+import functools
 import heapq
 import json
 from array import array
@@ -94,6 +97,12 @@ class Merges:
         return most
 
 
+@functools.lru_cache(2)
+def merges_of(path: str) -> Merges:
+    """The merge list of a file, read once a process."""
+    return Merges(path)
+
+
 def merge(ids: list[int], rank: dict) -> list[int]:
     """Apply merges by rank, the leftmost first."""
     if len(ids) > 64:
@@ -146,7 +155,7 @@ class Transducer:
     def feed(self, piece: bytes) -> Iterator[int]:
         for i in range(0, len(piece), self.window):
             self.buffer += piece[i : i + self.window]
-            if len(self.buffer) < self.window:
+            if len(self.buffer) < self.window:  # nothing new can be stable
                 continue
             done, stable = 0, len(self.buffer) - self.m.lookahead
             for t in self._tokens():
@@ -165,44 +174,42 @@ class Encoder:
     def __init__(self, merges: Merges):
         self.m = merges
         self.transducer = Transducer(merges)
-        self.find = regex.compile(WORDS).findall
+        pattern = regex.compile(WORDS)
+        self.find, self.match = pattern.findall, pattern.match
         self.packed = Bounded(self._word, WORDS_HELD)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
 
     def _word(self, word: str) -> bytes:
-        data, tr = word.encode(), self.transducer
-        if len(data) < tr.window:  # all of it fits into the window
-            return array("i", merge([*map(self.m.byte_id.__getitem__, data)], self.m.rank)).tobytes()
-        return array("i", [*tr.feed(data), *tr.finish()]).tobytes()
-
-    def words(self, text: str) -> Iterator[list[str]]:
-        """Words in order, a block of them at a time."""
-        at, size = 0, BLOCK
-        while at + size < len(text):
-            found = self.find(text, at, at + size)
-            end = at + size
-            while found and end > at + size - MARGIN:
+        return array("i", [*self.transducer.feed(word.encode()), *self.transducer.finish()]).tobytes()
+
+    def ids(self, text: str) -> Iterator[bytes]:
+        """Ids of a text's words as packed int32, as they become stable."""
+        at, n, get = 0, len(text), self.packed.__getitem__
+        while at < n:
+            found, end = self.find(text, at, at + BLOCK), min(at + BLOCK, n)
+            while end < n and found and end > at + BLOCK - MARGIN:
                 end -= len(found.pop())
             if found:
-                yield found
-                at, size = end, BLOCK
-            else:  # one run fills the block: look further for its end
-                size *= 2
-        if at < len(text):
-            yield self.find(text, at)
+                yield from map(get, found)
+                at = end
+            else:  # one run fills the block
+                end = self.match(text, at).end()
+                for i in range(at, end, BLOCK):
+                    yield array("i", self.transducer.feed(text[i : min(i + BLOCK, end)].encode())).tobytes()
+                yield array("i", self.transducer.finish()).tobytes()
+                at = end
 
     def encode(self, text: str | None) -> bytes:
         """Ids as packed int32."""
         if not text:
             return b""
-        get, out = self.packed.__getitem__, []
+        out: list[bytes] = []
         pieces = self.split.split(text) if self.split and any(s in text for s in self.m.special) else [text]
         for piece in pieces:
             if piece in self.m.special:
                 out.append(np.int32(self.m.special[piece]).tobytes())
             else:
-                for found in self.words(piece):
-                    out.extend(map(get, found))
+                out.extend(self.ids(piece))
         return b"".join(out)
 
 
@@ -232,7 +239,7 @@ def text_of(ids: np.ndarray, token_bytes: list[bytes]) -> str:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with its texts' token ids (array<int>). The tokenizer file is read here and broadcast: its size is fixed."""
-    shared = df.sparkSession.sparkContext.broadcast(Merges(path))
+    shared = df.sparkSession.sparkContext.broadcast(merges_of(path))
 
     def make():
         encoder = Encoder(shared.value)
@@ -243,7 +250,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text of its token ids; a null list gives "", a byte sequence that is no text gives U+FFFD."""
-    shared = df.sparkSession.sparkContext.broadcast(Merges(path).bytes)
+    shared = df.sparkSession.sparkContext.broadcast(merges_of(path).bytes)
 
     def make():
         table = shared.value
@@ -260,7 +267,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with its texts' ids and with the text of those ids, in one pass over the texts."""
-    shared = df.sparkSession.sparkContext.broadcast(Merges(path))
+    shared = df.sparkSession.sparkContext.broadcast(merges_of(path))
 
     def make():
         encoder = Encoder(shared.value)
