@@ -73,7 +73,7 @@ def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = mtree.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
-    return mtree.top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
+    return mtree.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -119,8 +119,8 @@ SELECT page_id, payload_bytes,
     + strpos('0123456789abcdef0', substr(s || '0', (5 * i) // 4 + 2, 1)) - 1) // [8, 4, 2, 1][1 + (5 * i) % 4] % 32)::int, 1)), '') AS payload_digest,
   CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to FROM d""",
         "op10_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) AS v FROM embeddings
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::double)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s) WHERE rank <= 10""",
+s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::int AS rank FROM s) WHERE rank <= 10""",
     }

@@ -479,21 +479,22 @@ def test_memo_is_bounded_in_rows_and_key_length():
 
 
 def test_top_k_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "SHARD", 300)
+    for name, value in (("SHARD", 100), ("CELL", 150), ("BLOCK", 3), ("PAGE", 16)):
+        monkeypatch.setattr(mtree, name, value)
     rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(size=(700, 8)), np.tile(rng.normal(size=(1, 8)), (200, 1)), np.zeros((20, 8))])
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(920, None), (921, [float("nan")] * 8), (922, [None] * 8), (1000, [float("inf")] * 8), (1100, [0.5] * 3), (1101, [1.0] * 3)]
-    v = mtree.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1024)
-    got: dict = {}
-    for r in mtree.top_k(v.where("vec_id % 100 = 0"), v).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    q = np.floor(1024 * x).astype(np.int64)
-    for i in range(0, 920, 100):
-        s = q @ q[i]
-        best = sorted((-int(s[j]), j) for j in range(920) if j != i)[:10]
-        assert got[i] == [(j, -a) for a, j in best]
-    assert got[1100] == [(1101, 3 * 512 * 1024)] and set(got) == {*range(0, 920, 100), 1100}
-    assert mtree.top_k(v.limit(0), v.limit(0)).count() == 0
+    x = np.concatenate([rng.normal(size=(500, 8)), rng.normal(size=(200, 8)) * 0.01 + 1, np.tile(rng.normal(size=(1, 8)), (200, 1)), np.zeros((20, 8))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(920, None), (921, [float("nan")] * 8), (922, [None] * 8), (1000, [float("inf")] * 8), (1100, [0.5] * 3), (1101, [1.0] * 3), (1200, []), (300, [0.1] * 8), (300, [0.1] * 8)]
+    rows += [(1300, [5e5] * 8), (1301, [-8e5] * 8)]  # products over 2^53
+    v = mtree.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("dim", F.lit("x")), "vec_id", "embedding", 1024)
+    got = [tuple(r) for r in mtree.top_k(v, F.col("vec_id") % 100 == 0).collect()]
+    usable = [(i, np.floor(1024 * np.array(r)).astype(object)) for i, r in rows if r is not None and all(c is not None and math.isfinite(c) for c in r)]
+    want = []
+    for n, (i, q) in enumerate(usable):
+        if i % 100 == 0:
+            best = sorted((-int(sum(int(a) * int(b) for a, b in zip(q, y, strict=True))), j) for m, (j, y) in enumerate(usable) if m != n and len(y) == len(q))[:10]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(got) == sorted(want) and len([r for r in got if r[0] == 300]) == 30
+    assert mtree.top_k(v.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
 # --- pipeline
