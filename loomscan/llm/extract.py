@@ -46,8 +46,10 @@ WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: A form around one of these is a page's wrapper, no form of the page.
 MAIN = re.compile("<(?:article|main|h1)[\\s>]", re.I)
 FORM_END = re.compile("</form", re.I)
+#: An unquoted value that ends in a slash closes no element.
+VALUE = re.compile(r"=\s*[^\s\"']*/$")
 #: Elements that an opening tag of the key closes, up to the nearest of the last set.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "a": {"a"}} | {t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 SCOPE = frozenset("html body article section div table ul ol dl td th main aside nav header footer form blockquote".split())
 
 
@@ -66,13 +68,13 @@ def names_furniture(element: str, attributes: str, inside: bool) -> tuple[bool,
 
 
 class Node:
-    __slots__ = ("chars", "density", "doubtful", "end", "frame", "furniture", "links", "link_tags", "name", "parent", "start", "sum", "tags")
+    __slots__ = ("chars", "density", "doubtful", "end", "frame", "furniture", "link", "links", "link_tags", "name", "parent", "start", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None, furniture: bool, start: int):
         self.name, self.parent, self.furniture, self.start, self.end = name, parent, furniture, start, start
         self.chars = self.links = self.link_tags = self.tags = 0
         self.density = self.sum = 0.0
-        self.doubtful = False
+        self.doubtful = self.link = False
         above = parent.frame if parent else None
         #: The outermost article around, or else the outermost main.
         self.frame = self if name == "article" and not (above and above.name == "article") or name == "main" and not above else above
@@ -82,7 +84,7 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
     """Nodes in page order, and the page's pieces of text (None: a block ends); a node spans pieces start to end."""
     root = Node("#", None, False, 0)
     nodes, pieces, open_ = [root], [], [root]
-    at, low, n = 0, None, len(page)
+    at, low, n, links = 0, None, len(page), 0
     ahead = {MAIN: -1, FORM_END: -1}
 
     def next_(pattern: re.Pattern) -> int:
@@ -98,12 +100,15 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
             raw = html.unescape(raw)
             pieces.append(raw)
             top.chars += (k := len("".join(raw.split())))
-            if any(x.name == "a" for x in open_[-4:]):
+            if links:
                 top.links += k
 
     def close(count: int) -> None:
+        nonlocal links
         for _ in range(count):
-            open_.pop().end = len(pieces)
+            node = open_.pop()
+            node.end = len(pieces)
+            links -= node.link
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -150,8 +155,10 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
         node = Node(name, parent, marked, len(pieces))
         node.doubtful = doubtful
         nodes.append(node)
-        if not m[3].endswith("/") or name in BLOCK:
+        if name in BLOCK or not m[3].endswith("/") or VALUE.search(m[3]):
             open_.append(node)
+            node.link = name == "a" and "href" in (m[3] or "").lower()
+            links += node.link
     close(len(open_))
     if any(x.doubtful for x in nodes):
         drop_link_lists(nodes, pieces)
