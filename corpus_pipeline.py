@@ -26,15 +26,22 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of rows that repeat an id, one; rows without an id go."""
-    firsts = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(firsts, "doc_id", "left_semi").select(*docs.columns)
+    """Of each component one row stays: that of the smallest id (rows without one come last), then of the smallest hash of
+    all columns; of rows that are equal in all columns, one."""
+    key = F.xxhash64(*docs.columns)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key"))
+    found = simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    firsts = found.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.key").alias("__key")).distinct()
+    own = docs.withColumn("__own", key)
+    kept = own.join(firsts, (F.col("__own") == F.col("__key")) & own["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__own"]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have any benchmark window go."""
-    _, matches = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(matches.where("kind = 'exact'").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that have any benchmark window go; rows are told apart by id and text, not by id alone."""
+    own = docs.withColumn("__own", F.xxhash64("doc_id", "text"))
+    _, matches = decontam.decontaminate(own, table(spark, sf_dir, "benchmark"), doc_id="__own")
+    return own.join(matches.where("kind = 'exact'").select(F.col("doc_id").alias("__own")).distinct(), "__own", "left_anti").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
