@@ -3,18 +3,19 @@
 `build_index` cuts the corpus into shards (bounded runs of documents), and stores for each shard and term one posting
 list: the places of the term in the shard's numbering, in which documents lie GAP apart so that no window spans two.
 Term counts over the whole corpus come from the stored lists. `search` joins the benchmark's terms to the lists and,
-shard by shard, intersects offset-adjusted lists from a window's rarest term on; `slop` also finds windows whose terms
-stand near the rarest one in any order. No document text is shuffled; one row is a (shard, term) list, so a frequent
-term is spread over all shards.
+shard by shard, intersects offset-adjusted lists from a window's rarest term on. With `slop` it also finds stretches of
+at most `slop` words more than the window that hold all its words in any order, each at a place of its own. No document
+text is shuffled; one row is a (shard, term) list, so a frequent term is spread over all shards.
 
 Results: null, empty and wordless texts have no words and no hits. A repeated item id counts as one item with several
-texts; repeated documents are found one by one (doc ids that repeat share a row, lengths and spans of all texts in it).
-An empty corpus or benchmark gives empty matches. Extra columns are ignored.
+texts. A document is a row, named by its shard and first place: rows that repeat an id, or have none, are found and
+reported one by one. An empty corpus or benchmark gives empty matches. Ids may be of any simple type; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -23,22 +24,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomscan.llm.common import as_bytes, ascii_words, fresh_path
 
 #: Words between two documents of a shard: over any window length and slop that may be asked for.
 GAP = 128
-#: A shard is closed at this many words: bounds what a search task holds.
-SHARD_WORDS = 2_000_000
+#: A shard is closed at this many words or documents: bounds what a search task holds, and keeps places in 32 bits.
+SHARD_WORDS, SHARD_DOCS = 2_000_000, 200_000
 #: Benchmark words in one block of items: bounds a search task's other side.
 BLOCK_WORDS = 200_000
 
-INDEX = "kind string, shard long, term binary, n long, doc_id long, base long, places binary"
+INDEX = "kind string, shard long, term binary, n long, doc_id {}, base long, places binary"
 
 
 def read_index(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """`doc` or `term` rows of a stored index."""
-    return spark.read.schema(INDEX).parquet(path).where(F.col("kind") == kind)
+    return spark.read.parquet(path).where(F.col("kind") == kind)
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> str:
@@ -46,13 +48,16 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     each shard and term (ascending places as packed int32 differences)."""
     spark = docs.sparkSession
 
+    ids_of = docs.select(F.col(doc_id).alias("doc_id")).schema
+    id_type = to_arrow_schema(ids_of).field(0).type
+    index_schema = INDEX.format(ids_of[0].dataType.simpleString())
     names = ["kind", "shard", "term", "n", "doc_id", "base", "places"]
 
     def batch(kind: str, key: int, term: pa.Array | None, n: np.ndarray, ids: list | None, base: np.ndarray | None, places: pa.Array | None) -> pa.RecordBatch:
         none = lambda t: pa.nulls(len(n), t)
         return pa.RecordBatch.from_arrays([
             pa.repeat(pa.scalar(kind), len(n)), pa.repeat(pa.scalar(key, pa.int64()), len(n)), none(pa.binary()) if term is None else term, pa.array(n, pa.int64()),
-            none(pa.int64()) if ids is None else pa.array(ids, pa.int64()), none(pa.int64()) if base is None else pa.array(base, pa.int64()), none(pa.binary()) if places is None else places,
+            none(id_type) if ids is None else pa.array(ids, id_type), none(pa.int64()) if base is None else pa.array(base, pa.int64()), none(pa.binary()) if places is None else places,
         ], names=names)
 
     def shard_rows(key: int, ids: list, counts: list[int], codes: np.ndarray, terms: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +88,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     counts.append(len(words))
                     parts.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
                     total += len(words)
-                if total >= SHARD_WORDS:
+                if total >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
                     yield from shard_rows(key, ids, counts, np.concatenate(parts), list(code))
                     key, total = key + 1, 0
                     code, ids, counts, parts = defaultdict(count().__next__), [], [], []
@@ -91,7 +96,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield from shard_rows(key, ids, counts, np.concatenate(parts), list(code))
 
     path = fresh_path(spark, "positional-index")
-    docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, INDEX).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, index_schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return path
 
 
@@ -113,9 +118,40 @@ def member(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_[at] == values
 
 
-def near(sorted_: np.ndarray, values: np.ndarray, slop: int) -> np.ndarray:
-    at = np.searchsorted(sorted_, values - slop)
-    return (at < len(sorted_)) & (sorted_[np.minimum(at, len(sorted_) - 1)] <= values + slop)
+def near(sorted_: np.ndarray, values: np.ndarray, reach: int) -> np.ndarray:
+    at = np.searchsorted(sorted_, values - reach)
+    return (at < len(sorted_)) & (sorted_[np.minimum(at, len(sorted_) - 1)] <= values + reach)
+
+
+def stretches(terms: list[bytes], lists: dict[bytes, np.ndarray], count: dict[bytes, int], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the shortest stretches of at most `width` words that hold all terms, repeats included."""
+    none = np.empty(0, np.int64), np.empty(0, np.int64)
+    wanted = Counter(terms)
+    if any(t not in lists for t in wanted):
+        return none
+    rarest, *others = sorted(wanted, key=lambda t: (count[t], t))
+    found = lists[rarest]
+    for t in others:
+        found = found[near(lists[t], found, width - 1)]
+        if not len(found):
+            return none
+    # all places of terms within reach of what is left, in order; then one pass with two ends
+    own = [p[near(found, p, width - 1)] for p in (lists[t] for t in wanted)]
+    place = np.concatenate(own)
+    term = np.repeat(np.arange(len(own)), [len(p) for p in own])
+    order = np.argsort(place, kind="stable")
+    place, term, need = place[order].tolist(), term[order].tolist(), [*wanted.values()]
+    left, missing, starts, stops = 0, len(terms), [], []
+    for at, t in zip(place, term, strict=True):
+        missing -= need[t] > 0
+        need[t] -= 1
+        while need[term[left]] < 0:
+            need[term[left]] += 1
+            left += 1
+        if not missing and at - place[left] < width and not (starts and starts[-1] == place[left]):
+            starts.append(place[left])
+            stops.append(at + 1)
+    return np.array(starts, np.int64), np.array(stops, np.int64)
 
 
 def windows_of(terms: list, window: int) -> list[list]:
@@ -124,36 +160,29 @@ def windows_of(terms: list, window: int) -> list[list]:
     return [terms[i : i + n] for i in range(len(terms) - n + 1)]
 
 
-def intersect(terms: list[bytes], lists: dict[bytes, np.ndarray], count: dict[bytes, int], slop: int | None) -> np.ndarray:
-    """First places of a window's occurrences (with slop: places of its rarest term that have all others near)."""
+def intersect(terms: list[bytes], lists: dict[bytes, np.ndarray], count: dict[bytes, int]) -> np.ndarray:
+    """First places of a window's occurrences."""
     if any(t not in lists for t in terms):
         return np.empty(0, np.int64)
     order = sorted(range(len(terms)), key=lambda i: (count[terms[i]], i))
-    first = order[0]
-    if slop is None:
-        found = lists[terms[first]] - first
-        for i in order[1:]:
-            if not len(found):
-                break
-            found = found[member(lists[terms[i]], found + i)]
-        return found
-    found = lists[terms[first]]
+    found = lists[terms[order[0]]] - order[0]
     for i in order[1:]:
         if not len(found):
             break
-        found = found[near(lists[terms[i]], found, slop)]
+        found = found[member(lists[terms[i]], found + i)]
     return found
 
 
-MATCHES = "doc_id long, item string, kind string, start long, stop long"
+MATCHES = "shard long, base long, doc_id {}, item string, kind string, start long, stop long"
 
 
 def search(index: str, terms: DataFrame, blocks: int, window: int = 10, slop: int | None = None) -> DataFrame:
-    """Matches (doc_id, item, kind, start, stop): document words [start, stop) inside occurrences of an item's windows,
-    overlapping ones of an item merged (kind `exact`); with slop also kind `near`, one row for each place."""
-    if slop is not None and slop >= GAP or window > GAP:
-        raise ValueError(f"window and slop must be under {GAP}")
+    """Matches (shard, base, doc_id, item, kind, start, stop): document words [start, stop) inside occurrences of an item's
+    windows, overlapping ones of an item merged (kind `exact`); with slop also kind `near`, each stretch a row."""
+    if window + (slop or 0) > GAP:
+        raise ValueError(f"window and slop must be at most {GAP} together")
     spark = terms.sparkSession
+    id_type = read_index(spark, index, "doc").schema["doc_id"].dataType.simpleString()
     used = terms.groupBy("block", "term").agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "copy", "place", "size")).alias("uses"))
     # one block has BLOCK_WORDS words at most: small enough to send; beyond that the lists are shuffled by term
     small = F.broadcast if blocks == 1 else lambda df: df
@@ -165,7 +194,7 @@ def search(index: str, terms: DataFrame, blocks: int, window: int = 10, slop: in
     def find(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
-            where = sorted((d["base"], d["n"], d["doc_id"]) for d in right["docs"].iloc[0])
+            where = sorted(((d["base"], d["n"], d["doc_id"]) for d in right["docs"].iloc[0]), key=lambda d: d[0])
             base = np.array([d[0] for d in where], np.int64)
             places = {t: np.cumsum(np.frombuffer(p, np.int32), dtype=np.int64) for t, p in zip(left["term"], left["places"], strict=True)}
             count = dict(zip(left["term"], left["count"], strict=True))
@@ -173,40 +202,46 @@ def search(index: str, terms: DataFrame, blocks: int, window: int = 10, slop: in
             for t, uses in zip(left["term"], left["uses"], strict=True):
                 for u in uses:
                     items.setdefault((u["item"], u["copy"]), [None] * u["size"])[u["place"]] = t
-            done: dict[tuple, np.ndarray] = {}
+            done: dict[tuple, tuple] = {}
             for (item, _), words in items.items():
-                for kind, s in (("exact", None), *((("near", slop),) if slop is not None else ())):
-                    starts = []
+                for kind in ("exact", *(("near",) if slop is not None else ())):
+                    spans = []
                     for w in windows_of(words, window):
                         if None in w:
                             continue
                         if (k := (kind, *w)) not in done:
-                            done[k] = intersect(w, places, count, s)
-                        starts.append(done[k])
-                    starts = np.unique(np.concatenate(starts)) if starts else np.empty(0, np.int64)
+                            if kind == "near":
+                                done[k] = stretches(w, places, count, len(w) + slop)
+                            else:
+                                starts = intersect(w, places, count)
+                                done[k] = starts, starts + len(w)
+                        spans.append(done[k])
+                    starts, stops = (np.concatenate(x) for x in zip(*spans, strict=True)) if spans else (np.empty(0, np.int64),) * 2
                     if not len(starts):
                         continue
-                    stops = starts + (min(window, len(words)) if s is None else 1)
+                    starts, stops = np.unique(np.stack([starts, stops]), axis=1)
                     doc = np.searchsorted(base, starts, side="right") - 1
-                    new = np.concatenate([[True], (starts[1:] > stops[:-1]) | (doc[1:] != doc[:-1])])
-                    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])
-                    out += [(where[d][2], item, kind, a - base[d], b - base[d]) for d, a, b in zip(doc[new], starts[new], stops[last], strict=True)]
-        return pd.DataFrame(out, columns=["doc_id", "item", "kind", "start", "stop"])
+                    if kind == "exact":
+                        new = np.concatenate([[True], (starts[1:] > stops[:-1]) | (doc[1:] != doc[:-1])])
+                        last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])
+                        doc, starts, stops = doc[new], starts[new], stops[last]
+                    out += [(int(key[0]), where[d][0], where[d][2], item, kind, a - base[d], b - base[d]) for d, a, b in zip(doc, starts, stops, strict=True)]
+        return pd.DataFrame(out, columns=["shard", "base", "doc_id", "item", "kind", "start", "stop"])
 
-    return hits.groupBy("shard", "block").cogroup(docs.groupBy("shard", "block")).applyInPandas(lambda key, a, b: find(key, a, b), MATCHES)
+    return hits.groupBy("shard", "block").cogroup(docs.groupBy("shard", "block")).applyInPandas(lambda key, a, b: find(key, a, b), MATCHES.format(id_type))
 
 
 def document_report(index: str, matches: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, items): words of a document, those inside any exact match, and its sorted item ids."""
+    """(doc_id, n_words, n_hit, items) of every row: its words, those inside any exact match, and its sorted item ids."""
     spans = matches.where("kind = 'exact'")
-    before = Window.partitionBy("doc_id").orderBy("start", "stop", "item").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard", "base").orderBy("start", "stop", "item").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.col("stop") - F.greatest(F.col("start"), F.coalesce(F.max("stop").over(before), F.col("start"))), F.lit(0))
-    hit = spans.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    docs = read_index(matches.sparkSession, index, "doc").groupBy("doc_id").agg(F.sum("n").alias("n_words"))
-    return docs.join(hit, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    hit = spans.withColumn("fresh", fresh).groupBy("shard", "base").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    docs = read_index(matches.sparkSession, index, "doc").select("shard", "base", "doc_id", F.col("n").alias("n_words"))
+    return docs.join(hit, ["shard", "base"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> tuple[str, DataFrame]:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id") -> tuple[str, DataFrame]:
     """(index path, matches) of a corpus against a benchmark."""
-    index = build_index(docs)
+    index = build_index(docs, doc_id)
     return index, search(index, *item_terms(items), window)

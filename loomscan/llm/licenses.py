@@ -1,9 +1,11 @@
 """Licence scan with a positional rare-token index over licence templates.
 
-Document counts of all template words give their IDF. A template is filed under its highest-IDF words: a file's words
-are looked up from the rarest on, each hit proposes (template, relative position), and the template's other words are
-intersected at the same relative position. A template holds at a place if enough of its words stand there; then its
-mandatory key phrases must stand there in full. Short phrases are templates all of whose words are mandatory.
+Templates are the clauses of licence texts and notices. Document counts of all template words give their IDF. A template
+is filed under the highest-IDF words of its mandatory key phrase: a file's words are looked up from the rarest on, each
+hit proposes (template, relative position), and the key phrase must stand there word for word. The template's other
+words are intersected by relative position: each must stand at its place or at most SHIFT words off, so that inserted or
+missing words elsewhere do not move a clause out of reach; enough of them make a hit. Short phrases are templates all of
+whose words are mandatory.
 
 Results: null and empty texts have no words and no labels; a word may serve several templates; repeated places of one
 template all count; extra columns are passed through, one named as an output is replaced; an empty table gives an
@@ -24,21 +26,37 @@ from loomscan.llm.common import add_columns, as_bytes, ascii_words
 
 #: Phrase, label. Every word is mandatory.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
-#: Template words (public licence wording), label, mandatory key phrase.
-TEMPLATES = [
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", "permission is hereby granted free of charge"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", "redistribution and use in source and binary forms"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc", "modify and or distribute this software"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla public license"),
-    ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered software released"),
-    ("you should have received a copy of the gnu lesser general public license", "lgpl", "gnu lesser general public license"),
-    ("you should have received a copy of the gnu affero general public license", "agpl", "gnu affero general public license"),
-    ("you may obtain a copy of the license at http www apache org licenses license 2 0", "apache", "apache org licenses license 2 0"),
-    ("cc by nc", "cc-by-nc", "cc by nc"),
-    ("cc by sa", "cc-by-sa", "cc by sa"),
-    ("cc by nd", "cc-by-nd", "cc by nd"),
-    ("creative commons attribution", "cc-by", "creative commons attribution"),
-]
+#: Label and clause (public licence wording), its mandatory key phrase in brackets.
+CLAUSES = """
+mit: [permission is hereby granted free of charge] to any person obtaining a copy of this software and associated documentation files
+mit: to deal in the software without restriction including without limitation [the rights to use copy modify merge publish distribute sublicense and or sell copies of the software]
+mit: [the above copyright notice and this permission notice shall be included in all copies] or substantial portions of the software
+bsd: [redistribution and use in source and binary forms] with or without modification are permitted provided that the following conditions are met
+bsd: [redistributions of source code must retain the above copyright notice] this list of conditions and the following disclaimer
+bsd: [redistributions in binary form must reproduce the above copyright notice] this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+bsd-3: neither the name of the copyright holder nor the names of its contributors may be used to [endorse or promote products derived from this software] without specific prior written permission
+isc: permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and [this permission notice appear in all copies]
+isc: permission to use copy [modify and or distribute this software] for any purpose with or without fee is hereby granted
+zlib: [in no event will the authors be held liable] for any damages arising from the use of this software
+zlib: [the origin of this software must not be misrepresented] you must not claim that you wrote the original software
+zlib: [altered source versions must be plainly marked as such] and must not be misrepresented as being the original software
+boost: [boost software license] version 1 0
+unlicense: this is free and [unencumbered software released] into the public domain
+unlicense: anyone is free to copy modify publish use compile sell or distribute this software [either in source code form or as a compiled binary]
+mpl: this source code form is subject to the terms of the [mozilla public license]
+gpl: this program is free software [you can redistribute it and or modify it under the terms of the gnu general public license] as published by the free software foundation
+lgpl: you should have received a copy of the [gnu lesser general public license]
+agpl: you should have received a copy of the [gnu affero general public license]
+apache: you may obtain a copy of the license at http www [apache org licenses license 2 0]
+apache: [you may not use this file except in compliance with the license]
+cc-by-nc: [cc by nc]
+cc-by-sa: [cc by sa]
+cc-by-nd: [cc by nd]
+cc-by: [creative commons attribution]
+cc0: [cc0 1 0 universal]
+"""
+#: How far from its place a word of a clause may stand.
+SHIFT = 3
 #: Share of a template's words that must stand at their places.
 ENOUGH = 0.7
 #: Rarest words of a long template under which it is filed.
@@ -46,8 +64,19 @@ RARE = 3
 FIELDS = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "array<string>"), ("labels", "array<string>"), ("score", "double"), ("hits", "array<struct<label:string,start:long,words:long,share:double>>")]
 
 
+def templates() -> list[dict]:
+    """Words, label, first key word, number of key words, and whether it is a base phrase, of every template."""
+    out = [{"words": p.split(), "label": label, "at": 0, "key": len(p.split()), "base": True} for p, label in PHRASES]
+    for line in CLAUSES.strip().split("\n"):
+        label, _, clause = line.partition(": ")
+        before, _, rest = clause.partition("[")
+        key, _, after = rest.partition("]")
+        out.append({"words": [*before.split(), *key.split(), *after.split()], "label": label, "at": len(before.split()), "key": len(key.split()), "base": False})
+    return out
+
+
 def vocabulary() -> list[bytes]:
-    return sorted({w.encode() for t, *_ in [*PHRASES, *TEMPLATES] for w in t.split()})
+    return sorted({w.encode() for t in templates() for w in t["words"]})
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,15 +102,13 @@ class Index:
         self.rarity = np.array([count.get(w, 0) for w in self.code])
         self.filed: dict[int, list] = {}  # word: (template, its places in it)
         self.templates = []
-        for words, label, key, base in [*((t, n, t, True) for t, n in PHRASES), *((t, n, k, False) for t, n, k in TEMPLATES)]:
-            codes = np.array([self.code[w.encode()] for w in words.split()])
-            wanted = [self.code[w.encode()] for w in key.split()]
-            at = next(i for i in range(len(codes)) if codes[i : i + len(wanted)].tolist() == wanted)
-            number = len(self.templates)
-            self.templates.append({"codes": codes, "label": label, "key": range(at, at + len(wanted)), "base": base})
-            mandatory = sorted({*wanted}, key=lambda c: (self.rarity[c], c))  # one of these always stands in a hit
-            for c in mandatory[:1] if base or len(codes) <= 4 else mandatory[:RARE]:
-                self.filed.setdefault(c, []).append((number, np.flatnonzero(codes == c)))
+        for number, t in enumerate(templates()):
+            codes = np.array([self.code[w.encode()] for w in t["words"]])
+            key = range(t["at"], t["at"] + t["key"])
+            self.templates.append({"codes": codes, "label": t["label"], "key": key, "base": t["base"]})
+            mandatory = sorted({int(codes[i]) for i in key}, key=lambda c: (self.rarity[c], c))  # each of these stands in a hit
+            for c in mandatory[: 1 if len(key) <= 4 else RARE]:
+                self.filed.setdefault(c, []).append((number, np.array([i for i in key if codes[i] == c])))
 
     def scan(self, words: list[bytes]) -> list[tuple]:
         """(template, start, share) of all hits."""
@@ -98,11 +125,20 @@ class Index:
                 for i in t["key"]:  # mandatory words, each at its place
                     start = start[found[start + i] == t["codes"][i]]
                 for s in start.tolist():
-                    a, b = max(s, 0), min(s + len(t["codes"]), len(found))
-                    share = float((found[a:b] == t["codes"][a - s : b - s]).sum()) / len(t["codes"])
-                    if share >= ENOUGH:
-                        out[number, s] = share
-        return sorted((n, s, share) for (n, s), share in out.items())
+                    if (number, s) not in out:
+                        out[number, s] = self.share(found, s, t["codes"])
+        return sorted((n, s, share) for (n, s), share in out.items() if share >= ENOUGH)
+
+    @staticmethod
+    def share(found: np.ndarray, start: int, codes: np.ndarray) -> float:
+        """Share of a template's words that stand at most SHIFT words off their places."""
+        hit = np.zeros(len(codes), bool)
+        for d in range(-SHIFT, SHIFT + 1):
+            a, b = max(start + d, 0), min(start + d + len(codes), len(found))
+            if a < b:
+                own = slice(a - start - d, b - start - d)
+                hit[own] |= found[a:b] == codes[own]
+        return float(hit.sum()) / len(codes)
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:

@@ -84,20 +84,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def license_rows() -> str:
+    """The templates as SQL rows: texts only, the matching is the query's own."""
+    return ", ".join(f"({i}, '{t['label']}', {t['base']}, [{', '.join(repr(w) for w in t['words'])}], {t['at']}, {t['key']})" for i, t in enumerate(licenses.templates()))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": f"""
-WITH d AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({WORDS}, []) AS w FROM documents),
 b AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS k
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
-place AS (SELECT doc_id, s.n, w, unnest(range(1, len(w) - s.n + 2)) AS i FROM d, sizes s WHERE len(w) >= s.n),
-hit AS (SELECT p.doc_id, p.i, p.n, win.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM place) p JOIN win USING (n, k)),
-words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hit) GROUP BY 1),
-items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS t FROM hit GROUP BY 1)
+place AS (SELECT r, s.n, w, unnest(range(1, len(w) - s.n + 2)) AS i FROM d, sizes s WHERE len(w) >= s.n),
+hit AS (SELECT p.r, p.i, p.n, win.item_id FROM (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS k FROM place) p JOIN win USING (n, k)),
+words AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS x FROM hit) GROUP BY 1),
+items AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::varchar, ',' ORDER BY item_id::varchar) AS t FROM hit GROUP BY 1)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
         "op3_preferences": """
 WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, '') AS role, coalesce(text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
@@ -118,6 +123,17 @@ SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((strpos('0123456789abcdef', substr(s, (5 * i) // 4 + 1, 1)) - 1) * 16
     + strpos('0123456789abcdef0', substr(s || '0', (5 * i) // 4 + 2, 1)) - 1) // [8, 4, 2, 1][1 + (5 * i) % 4] % 32)::int, 1)), '') AS payload_digest,
   CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to FROM d""",
+        "op7_licenses": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({WORDS}, []) AS w FROM documents),
+t(id, label, base, words, key_at, key_n) AS (VALUES {license_rows()}),
+place AS (SELECT r, w, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+found AS (SELECT p.r, p.w, t.*, p.i - 1 - key_at AS s FROM place p JOIN t ON p.word = t.words[key_at + 1] WHERE p.w[p.i : p.i + key_n - 1] = t.words[key_at + 1 : key_at + key_n]),
+hit AS (SELECT r, label, base, s, len(list_filter(range(1, len(words) + 1), lambda j: s + j + 3 >= 1 AND list_contains(w[greatest(s + j - 3, 1) : s + j + 3], words[j])))::double / len(words) AS share FROM found),
+kept AS (SELECT * FROM hit WHERE share >= 0.7),
+a AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(s) FILTER (WHERE base) AS first_word, max(s) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM kept GROUP BY r)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word, last_word::bigint AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::double AS score
+FROM d LEFT JOIN a USING (r)""",
         "op10_topk": """
 WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::double)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
