@@ -20,7 +20,7 @@ def scan(spark: SparkSession, root: str, rules: list[tuple[str, str, str]] = (),
     """All static findings of a tree. Contents are read and lexed once, for every detector."""
     found = src.contents(src.visible(src.listing(spark, root), list(ignore)), root).where(F.col("content").isNotNull()).persist()
     code = lexer.masked(found.where(F.col("ext").isin(sorted(src.CODE_EXTENSIONS)))).persist()
-    parts = [detect.raw_findings(found), detect.code_findings(code), detect.entropy_findings(code), detect.unpaginated(found), metrics.findings(metrics.blocks(code))]
+    parts = [detect.raw_findings(found), detect.code_findings(code), detect.entropy_findings(code), metrics.findings(metrics.blocks(code))]
     if rules:
         own = detect.custom_rules(found, list(rules))
         parts.append(own.select(F.col("rel_path").alias("file"), "line", "severity", "category", F.substring("match", 1, 80).alias("summary"), F.lit("").alias("suggested_fix"), F.lit("static").alias("source")))

@@ -10,28 +10,31 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+#: Marks a match's start in a copy of the text; a text's own ones become blanks there.
+MARK = "\x01"
+
+
 def matches_with_lines(text: Column, pattern: str) -> Column:
     """array<struct<match, line>>: all matches of a pattern and the line each starts on, without positions.
 
-    The text is split by the same pattern; a match's line is one more than the line ends in the pieces and matches
-    before it. Linear in the text: one running count.
+    Each match is marked, and the marked text is cut into lines: a line gives its number once for each mark. Linear.
     """
-    found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(parts, F.lit(1), F.size(found)).alias("p"))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<match:string,line:int>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + newlines(x["p"]) + newlines(x["m"])).cast("int").alias("at"),
-        F.concat(acc["out"], F.array(F.struct(x["m"].alias("match"), (acc["at"] + newlines(x["p"])).cast("int").alias("line")))).alias("out"),
-    )
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<match:string,line:int>>"))
-
-
-def entropy(text: Column, digits: int = 2) -> Column:
-    """Shannon entropy of a string's characters in bits, rounded."""
+    plain = F.translate(text, MARK, " ")
+    cut = F.split(F.regexp_replace(plain, pattern, MARK + "$0"), "\n")
+    marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(MARK), F.lit("")))
+    lines = F.flatten(F.transform(cut, lambda t, i: F.array_repeat((i + 1).cast("int"), marks(t).cast("int"))))
+    both = F.arrays_zip(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)).alias("match"), lines.alias("line"))
+    none = F.array().cast("array<struct<match:string,line:int>>")
+    return F.when(text.rlike(pattern), both.cast("array<struct<match:string,line:int>>")).otherwise(none)
+
+
+def entropy(text: Column, digits: int | None = 2) -> Column:
+    """Shannon entropy of a string's characters in bits, rounded to some digits if asked for."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     n = F.size(chars).cast("double")
     share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.round(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))), digits)
+    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    return bits if digits is None else F.round(bits, digits)
 
 
 def slug(text: Column) -> Column:

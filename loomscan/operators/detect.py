@@ -1,37 +1,102 @@
-"""Detectors: rules as data, matched by Spark's own regular expressions with line numbers; the few that need quoting or
-nesting read a masked text that one Arrow pass prepares."""
+"""Detectors: rules as data, matched by Spark's own regular expressions with line numbers. All rules read a file in one
+pass; those that need quoting read the masked text that the lexer's Arrow pass prepares."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.functions.text import entropy, matches_with_lines, newlines
+from loomscan.functions.text import entropy, matches_with_lines
+
+CODE_EXT = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
+
+
+class Rule(NamedTuple):
+    """A detector: `keep` says of a match (a struct with match and line) whether it counts."""
+
+    id: str
+    category: str
+    severity: str
+    pattern: str
+    fix: str
+    keep: Callable[[Column], Column] | None = None
+
+
+#: Keys of credentials, values that are none, token formats, schemes of connection strings.
+CREDENTIAL = (
+    r"(?i)['\"](?:aws_?(?:access|secret)_?key|api[_-]?key|secret|secret[_-]?key|password|passwd|token|auth[_-]?token|private[_-]?key)['\"]"
+    r"\s*[:=]\s*['\"]([^'\"]{8,})['\"]"
+)
+NO_CREDENTIAL = "changeme xxxxxxxx your_api_key placeholder example test dummy todo secret password yourpassword".split()
+CONNECTION = r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^:/\s'\"]+:[^@/\s'\"]+@[^/\s'\"]+"
+#: Text built from parts: a template with a value in it, or a literal and a plus.
+BUILT = r"(?:`[^`]*\$\{[^`]*\}[^`]*`|['\"][^'\"]*['\"]\s*\+)"
+INTERPOLATION = r"\$\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+#: Expressions that carry no markup.
+HARMLESS = (
+    r"(?i:^[\w.]*\b(?:escape|sanitize|purify|encode)\w*\s*\()|^\d+$"
+    r"|^[\w.]+\.(?:length|count|size|line|lineNo|lineNumber|column|col|index|idx|row)$"
+)
+MARKUP = r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:\s*([^}]+)\}\}"
+LOOP_OVER = r"for\s*\(\s*(?:const|let|var)\s+\w+\s+of\s+(?:await\s+)?([\s\S]*?)\)\s*\{"
+#: Methods that query, words that say that a query is read in pages, words of secrets and of passwords.
+QUERY = r"\.(?:findMany|findFirst|findUnique|findById|findOne|findAll|query|execute|aggregate)\s*\("
+PAGED = r"(?i)\b(?:take|limit|first|pageSize)\b"
+SENSITIVE = r"(?i)token|session|password|secret|csrf|nonce|otp|api[_-]?key|auth"
+PASSWORD = r"(?i)password|passwd|credential"
+#: Strings that are URLs or paths, and shapes of generated ids.
+LOCATION = r"^(?:https?://|/|\./|\.\./|[A-Za-z]:[\\/])"
+ID_SHAPES = r"(?i:^c[0-9a-z]{24}$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9a-f]{24}$)|^[A-Za-z0-9_-]{21}$"
+ENTROPY = 4.0
+
+
+def real_value(x: Column) -> Column:
+    value = F.regexp_extract(x["match"], CREDENTIAL, 1)
+    return ~F.lower(value).isin(NO_CREDENTIAL) & ~F.contains(value, F.lit("process.env")) & ~F.contains(value, F.lit("${"))
+
+
+def unsafe_markup(x: Column) -> Column:
+    parts = F.transform(F.regexp_extract_all(x["match"], F.lit(INTERPOLATION), 1), lambda p: F.trim(p))
+    template = F.regexp_extract(x["match"], r"=\s*(.)", 1) == "`"
+    return ~(template & (F.size(parts) > 0) & F.forall(parts, lambda p: p.rlike(HARMLESS)))
+
+
+def no_literal(x: Column) -> Column:
+    return ~F.trim(F.regexp_extract(x["match"], MARKUP, 1)).rlike(r"^(['\"]).*\1$")
+
+
+def whole_query(x: Column) -> Column:
+    source = F.regexp_extract(x["match"], LOOP_OVER, 1)
+    return source.rlike(QUERY) & ~source.rlike(PAGED)
+
 
-#: Rules on raw text: category, severity, pattern, fix. Patterns are RE2 compatible where they can be.
+#: Rules on raw text. The first six are the hardcoded secrets.
 RAW_RULES = [
-    ("Hardcoded Secret", "Critical", r"(?i)[\"'](?:api_?key|secret|token|password|passwd|auth)[\"']\s*[:=]\s*[\"'][^\"'\s]{8,}[\"']", "Move the value to the environment or a secret store."),
-    ("Hardcoded Secret", "Critical", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "Revoke the key and use a role."),
-    ("Hardcoded Secret", "Critical", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", "Remove the key from the source and replace it."),
-    ("Hardcoded Secret", "Critical", r"\bxox[abprs]-[0-9A-Za-z-]{10,}", "Revoke the token."),
-    ("Hardcoded Secret", "Critical", r"\bgh[pousr]_[0-9A-Za-z]{36,}", "Revoke the token."),
-    ("Hardcoded Secret", "Critical", r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^\s:/@\"']+:[^\s@/\"']+@[^\s\"']+", "Read the connection string from the environment."),
-    ("SQL Injection Risk", "High", r"(?i)\.(?:query|execute)\(\s*(?:`[^`]*\$\{[^`]*`|[\"'][^\"'\n]*[\"']\s*\+)", "Bind parameters instead of building the statement."),
-    ("XSS Risk", "High", r"\.innerHTML\s*=\s*[^\s\"'`;][^;\n]*|\.innerHTML\s*=\s*`[^`]*\$\{[^`]*`", "Set text, or sanitise the markup."),
-    ("XSS Risk", "High", r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:\s*[^\"'`\s][^}]*\}\}", "Sanitise the markup."),
-    ("Command Injection Risk", "Critical", r"\bexec(?:Sync)?\(\s*(?:`[^`]*\$\{[^`]*`|[\"'][^\"'\n]*[\"']\s*\+)", "Pass arguments as a list."),
-    ("Unresolved TODO", "Low", r"//[^\n]*\b(?:TODO|FIXME|HACK|XXX)\b[^\n]{0,80}", "Resolve or file the note."),
+    Rule("D1", "Hardcoded Secret", "Critical", CREDENTIAL, "Move the value to the environment or a secret store.", real_value),
+    Rule("D2", "Hardcoded Secret", "Critical", r"AKIA[0-9A-Z]{16}", "Revoke the key and use a role."),
+    Rule("D3", "Hardcoded Secret", "Critical", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "Remove the key from the source and replace it."),
+    Rule("D4", "Hardcoded Secret", "Critical", r"\bxox[baprs]-[0-9A-Za-z-]{10,}", "Revoke the token."),
+    Rule("D5", "Hardcoded Secret", "Critical", r"\bgh[oprsu]_[0-9A-Za-z]{36,}", "Revoke the token."),
+    Rule("D6", "Hardcoded Secret", "Critical", CONNECTION, "Read the connection string from the environment."),
+    Rule("D8", "SQL Injection Risk", "High", r"\.(?:query|execute)\(\s*" + BUILT, "Bind parameters instead of building the statement."),
+    Rule("D11", "Cross-Site Scripting (XSS) Risk", "High", r"\.innerHTML\s*=\s*" + BUILT, "Set text, or sanitise the markup.", unsafe_markup),
+    Rule("D12", "Cross-Site Scripting (XSS) Risk", "High", MARKUP, "Sanitise the markup.", no_literal),
+    Rule("D13", "Command Injection Risk", "Critical", r"\b(?:child_process\.)?(?:exec|execSync)\(\s*" + BUILT, "Pass arguments as a list."),
+    Rule("D17", "Unresolved TODO", "Low", r"//\s*(?:TODO|FIXME|HACK|XXX)\b[^\n]*", "Resolve or file the note."),
+    Rule("D22", "Unbounded Loop Over Unpaginated Data", "Low", LOOP_OVER, "Read in pages.", whole_query),
 ]
+SECRET_RULES = RAW_RULES[:6]
 #: Rules on masked code (comments and strings blanked).
 CODE_RULES = [
-    ("Code Injection Risk", "High", r"(?<![.\w])eval\s*\(", "Avoid evaluating text."),
-    ("Code Injection Risk", "Medium", r"\bnew\s+Function\s*\(", "Avoid building functions from text."),
+    Rule("D9", "Code Injection Risk", "High", r"\beval\s*\(", "Avoid evaluating text."),
+    Rule("D10", "Code Injection Risk", "Medium", r"new\s+Function\s*\(", "Avoid building functions from text."),
 ]
-PLACEHOLDER = r"(?i)(?:your|example|changeme|placeholder|dummy|sample|test|xxx+|<[^>]+>|process\.env|\$\{)"
-SENSITIVE = r"(?i)(?:token|secret|password|session|nonce|salt|otp|csrf|key)"
-#: Values that look random and are not secrets.
-ID_SHAPES = r"^(?:c[a-z0-9]{24}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9a-f]{24}|[A-Za-z0-9_-]{21})$"
-CODE_EXT = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
+LOGGING = r"console\.(?:log|debug)\("
+WEAK_HASH = r"(?i)createHash\(\s*(['\"])(?:md5|sha1)\1"
+FINDING = "array<struct<line:int,severity:string,category:string,summary:string,suggested_fix:string>>"
 
 
 def pattern_rows(files: DataFrame, pattern: str, column: str = "content") -> DataFrame:
@@ -52,57 +117,86 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def finding(x: Column, category: str, severity: Column | str, fix: str, summary: Column | None = None) -> Column:
+    level = F.lit(severity) if isinstance(severity, str) else severity
+    shown = F.concat(F.lit(f"{category} near: "), F.substring(F.trim(x["match"]), 1, 80)) if summary is None else summary
+    return F.struct(x["line"].cast("int").alias("line"), level.alias("severity"), F.lit(category).alias("category"), shown.alias("summary"), F.lit(fix).alias("suggested_fix"))
+
+
+def hits(rule: Rule, text: Column) -> Column:
+    """array of findings of a rule in a text."""
+    found = matches_with_lines(text, rule.pattern)
+    kept = F.filter(found, rule.keep) if rule.keep else found
+    return F.transform(kept, lambda x: finding(x, rule.category, rule.severity, rule.fix)).cast(FINDING)
+
+
+def exploded(files: DataFrame, found: Column) -> DataFrame:
+    return files.select(F.col("rel_path").alias("file"), F.explode(found).alias("x")).select("file", "x.*", F.lit("static").alias("source"))
+
+
 def custom_rules(files: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """Findings of user rules (name, severity, pattern) on raw text; all rules read a file in one pass."""
+    """(rel_path, category, severity, match, line) of user rules (name, severity, pattern) on raw text, in one pass."""
 
-    def hits(name: str, severity: str, pattern: str) -> Column:
+    def own(name: str, severity: str, pattern: str) -> Column:
         return F.transform(matches_with_lines(F.col("content"), pattern), lambda x: F.struct(F.lit(name).alias("category"), F.lit(severity).alias("severity"), x["match"].alias("match"), x["line"].alias("line")))
 
-    found = F.concat(*[hits(*rule) for rule in rules])
+    found = F.concat(*[own(*rule) for rule in rules])
     any_ = F.lit(False)
     for *_, p in rules:
         any_ = any_ | F.col("content").rlike(p)
     return files.where(any_).select("rel_path", F.explode(found).alias("x")).select("rel_path", "x.*")
 
 
-def raw_findings(files: DataFrame) -> DataFrame:
-    keep = lambda d, c: d.where(~F.col("match").rlike(PLACEHOLDER)) if c == "Hardcoded Secret" else d
-    return union([issue_rows(keep(pattern_rows(files, p), c), c, s, fix) for c, s, p, fix in RAW_RULES])
+def raw_findings(files: DataFrame, rules: list[Rule] = RAW_RULES) -> DataFrame:
+    """Findings on raw text; every file is read once, files without any match leave first."""
+    any_ = F.lit(False)
+    for r in rules:
+        any_ = any_ | F.col("content").rlike(r.pattern)
+    return exploded(files.where(any_), F.concat(*[hits(r, F.col("content")) for r in rules]))
+
+
+def debug_logging(code: Column) -> Column:
+    found = matches_with_lines(code, LOGGING)
+    told = F.concat(F.size(found).cast("string"), F.lit(" console calls"))
+    return F.transform(F.slice(found, 1, 1), lambda x: finding(x, "Leftover Debug Logging", "Low", "Remove the calls or use a logger.", told)).cast(FINDING)
+
+
+def weak_random(code: Column, content: Column) -> Column:
+    """Math.random() where its line or one of the five above speaks of a secret."""
+    lines = F.split(content, "\n")
+    first = lambda x: F.greatest(x["line"] - 5, F.lit(1))
+    near = lambda x: F.array_join(F.slice(lines, first(x), x["line"] - first(x) + 1), "\n").rlike(SENSITIVE)
+    found = F.filter(matches_with_lines(code, r"Math\.random\(\)"), near)
+    return F.transform(found, lambda x: finding(x, "Weak Random Number Generation", "High", "Use a cryptographic generator.")).cast(FINDING)
+
+
+def weak_hash(words: Column, content: Column) -> Column:
+    """MD5 and SHA-1 in live code (short strings of which are still there); worse on lines that speak of passwords."""
+    lines = F.split(content, "\n")
+    level = lambda x: F.when(F.get(lines, x["line"] - 1).rlike(PASSWORD), "Critical").otherwise("Medium")
+    return F.transform(matches_with_lines(words, WEAK_HASH), lambda x: finding(x, "Weak Password Hashing", level(x), "Use a slow, salted hash.")).cast(FINDING)
 
 
 def code_findings(masked: DataFrame) -> DataFrame:
     """Findings on code without comments and strings; masked: lexer.masked(files)."""
-    code = masked.where(F.col("ext").isin(CODE_EXT))
-    plain = [issue_rows(pattern_rows(code, p, "masked"), c, s, fix) for c, s, p, fix in CODE_RULES]
-    logs = code.withColumn("n", F.regexp_count("masked", F.lit(r"\bconsole\.(?:log|debug|info)\s*\("))).where("n > 0")
-    first = F.element_at(matches_with_lines(F.col("masked"), r"\bconsole\.(?:log|debug|info)\s*\("), 1)
-    logged = issue_rows(logs.select("rel_path", "n", first["match"].alias("match"), first["line"].alias("line")), "Leftover Debug Logging", "Low", "Remove the calls or use a logger.", F.concat(F.col("n").cast("string"), F.lit(" console calls")))
-    weak = code.select("rel_path", F.posexplode(F.split("masked", "\n")).alias("i", "code"), F.split("content", "\n").alias("lines")).where(F.col("code").rlike(r"\bMath\.random\s*\("))
-    near = F.array_join(F.slice("lines", F.greatest(F.col("i") - 4, F.lit(1)), F.col("i") + 2 - F.greatest(F.col("i") - 4, F.lit(1))), "\n")
-    random = issue_rows(weak.where(near.rlike(SENSITIVE)).select("rel_path", F.lit("Math.random()").alias("match"), (F.col("i") + 1).alias("line")), "Weak Random Number Generation", "High", "Use a cryptographic generator.")
-    hashed = code.select("rel_path", F.explode(F.transform(F.split("content", "\n"), lambda t, i: F.struct(t.alias("t"), (i + 1).alias("line")))).alias("x")).select("rel_path", F.col("x.t").alias("match"), "x.line").where(F.col("match").rlike(r"createHash\(\s*([\"'])(?:md5|sha1)\1"))
-    password = F.col("match").rlike("(?i)passw|pwd|credential")
-    weak_hash = [issue_rows(hashed.where(cond), "Weak Password Hashing", s, "Use a slow, salted hash.") for cond, s in ((password, "Critical"), (~password, "Medium"))]
-    return union([*plain, logged, random, *weak_hash])
-
-
-def entropy_findings(masked: DataFrame, threshold: float = 4.0) -> DataFrame:
-    """String literals that look random: 20 to 200 characters without blanks, digits and letters, no path, URL or id."""
-    s = masked.select("rel_path", F.explode("strings").alias("x")).select("rel_path", F.col("x.value").alias("match"), "x.line")
-    shaped = s.where(F.length("match").between(20, 200) & ~F.col("match").rlike(r"\s|^[a-z]+://|^[./]|/.*/") & F.col("match").rlike("[0-9]") & F.col("match").rlike("[A-Za-z]") & ~F.col("match").rlike(ID_SHAPES))
-    scored = shaped.withColumn("e", entropy(F.col("match"))).where(F.col("e") >= threshold)
-    return issue_rows(scored, "Possible High-Entropy Secret", "Medium", "Check whether the value is a secret.", F.concat(F.lit("entropy "), F.col("e").cast("string")))
-
-
-def unpaginated(files: DataFrame) -> DataFrame:
-    """Loops over a whole table read without any paging word in the file."""
-    p = r"(?:for\s*\([^)]*\bof\s+await\s+[\w.]+\.(?:findMany|findAll|find)\(|\.(?:findMany|findAll)\(\s*\))"
-    return issue_rows(pattern_rows(files.where(~F.col("content").rlike(r"(?i)\b(?:take|limit|first|pageSize)\b")), p), "Unbounded Loop Over Unpaginated Data", "Low", "Read in pages.")
+    code = F.col("masked")
+    parts = [*(hits(r, code) for r in CODE_RULES), weak_random(code, F.col("content")), weak_hash(F.col("words"), F.col("content")), debug_logging(code)]
+    return exploded(masked, F.concat(*parts))
 
 
-def license_class(text: Column) -> Column:
-    return F.when(text.rlike("AGPL|GPL|CC BY-NC|GNU General Public"), "restrictive").when(text.rlike("LGPL|MPL|EPL"), "weak").when(text.rlike("MIT|Apache|BSD|ISC"), "permissive").otherwise("unknown")
+def entropy_findings(masked: DataFrame, threshold: float = ENTROPY) -> DataFrame:
+    """String literals that look random: 20 to 200 characters without blanks, digits and letters, no path, URL or id, and not
+    on a line that has a hardcoded secret."""
+    secret = F.concat(*[F.transform(hits(r, F.col("content")), lambda x: x["line"]) for r in SECRET_RULES])
+    v = F.col("match")
+    s = masked.select("rel_path", secret.alias("flagged"), F.explode("strings").alias("x")).select("rel_path", "flagged", F.col("x.value").alias("match"), "x.line")
+    mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & ~v.rlike(r"\s")
+    shaped = s.where(F.length(v).between(20, 200) & mixed & ~v.rlike(LOCATION) & ~v.rlike(ID_SHAPES) & ~F.array_contains("flagged", F.col("line")))
+    scored = shaped.withColumn("e", entropy(v, None)).where(F.col("e") >= threshold)
+    told = F.concat(F.lit("entropy "), F.round("e", 2).cast("string"))
+    return issue_rows(scored, "Possible High-Entropy Secret", "Medium", "Check whether the value is a secret.", told)
 
 
-def console_share(files: DataFrame) -> DataFrame:
-    return files.select("rel_path", (newlines(F.col("content")) + 1).alias("lines"))
+def license_class(text: Column) -> Column:
+    """Class of a licence name; lesser licences hold the name of the stricter one, so they are asked for first."""
+    return F.when(text.rlike("LGPL|MPL|EPL|GNU Lesser"), "weak").when(text.rlike("AGPL|GPL|CC BY-NC|GNU General Public"), "restrictive").when(text.rlike("MIT|Apache|BSD|ISC"), "permissive").otherwise("unknown")

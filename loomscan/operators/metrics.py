@@ -7,56 +7,148 @@ blanked where other functions lie inside it, so that their branches are their ow
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomscan.operators import detect
 from loomscan.operators.detect import CODE_EXT, issue_rows, union
 from loomscan.operators.lexer import blank
 
-BLOCKS = "rel_path string, kind string, name string, line int, lines int, depth int, body string, raw string"
-HEADS = [
-    ("function", re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)?\s*\([^)]*\)[^{;]*\{|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)[^={;]*=>\s*\{|(?<![\w$.])(?!(?:if|for|while|switch|catch|function|return|with)\b)([A-Za-z_$][\w$]*)\s*\([^()]*\)\s*\{|=>\s*\{")),
-    ("loop", re.compile(r"\b(?:for|while)\s*(?:await\s*)?\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*\{|\bdo\s*\{|\.(?:forEach|map)\(\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>\s*\{")),
-    ("effect", re.compile(r"\buseEffect\(\s*(?:async\s*)?\(\s*\)\s*=>\s*\{")),
-]
-DECISION = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\?|(?<![?.])\?(?![?.:])"
-QUERY = r"\.(?:findMany|findFirst|findUnique|findById|findOne|findAll|query|execute|aggregate)\s*\("
-
-
-def closing(text: str, start: int) -> int:
-    """Place of the brace that closes the one at `start`; the text's end if none does."""
-    depth = 0
-    for m in re.finditer("[{}]", text[start:]):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return start + m.start()
-    return len(text)
+BLOCKS = "rel_path string, kind string, name string, line int, lines int, depth int, body string, raw string, queried int"
+FUNCTION = (
+    r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)?\s*\([^)]*\)[^{;]*\{"
+    r"|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)[^={;]*=>\s*\{"
+    r"|(?<![\w$.])(?!(?:if|for|while|switch|catch|function|return|with)\b)([A-Za-z_$][\w$]*)\s*\([^()]*\)\s*\{|=>\s*\{"
+)
+LOOP = r"\b(?:for|while)\s*(?:await\s*)?\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*\{|\bdo\s*\{"
+EACH = r"\.(?:forEach|map)\(\s*(?:async\s*)?(?:(?:\([^)]*\)|[\w$]+)\s*=>|function\s*[\w$]*\s*\([^)]*\))\s*(\{)?"
+EFFECT = r"\buseEffect\(\s*(?:async\s*)?(?:\([^)]*\)\s*=>|function\s*[\w$]*\s*\([^)]*\))\s*(\{)?"
+HEADS = [("function", re.compile(FUNCTION)), ("loop", re.compile(LOOP)), ("loop", re.compile(EACH)), ("effect", re.compile(EFFECT))]
+DECISION = r"(?<![.\w$])(?:if|for|while|case|catch)\b|&&(?!=)|\|\|(?!=)|\?\?(?!=)|(?<![?.])\?(?![?.:])"
+FLOW = re.compile(r"(?<![.\w$])(if|for|while|do|switch|try|catch|finally|else)\b|[{}();]")
+CLEANUP = re.compile(r"\breturn\s+(?:async\s*)?(?:(?:\([^)]*\)|[\w$]+)\s*=>|function\b)")
+QUERY = re.compile(detect.QUERY)
+FAR = 1 << 60
+
+
+def closings(text: str) -> dict[int, int]:
+    """Place of the closing partner of every brace and parenthesis; the text's end where there is none."""
+    out, open_ = {}, []
+    for m in re.finditer("[{}()]", text):
+        if m[0] in "{(":
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.start()
+    return out | dict.fromkeys(open_, len(text))
+
+
+def nesting(body: str) -> int:
+    """Deepest control flow: if, loops, switch, try, catch; an `else if` lies in its `if`, a catch in its try."""
+    most = parens = 0
+    frames = [[0, 0, 0]]  # level, level of the last if, of the last try
+    pending: tuple[int, int] | None = None  # level of the statement whose block is awaited, parentheses around it
+    after_else = after_do = False
+    for m in FLOW.finditer(body):
+        token = m[0]
+        frame = frames[-1]
+        here = pending[0] if pending and pending[1] == parens else frame[0]
+        if token == "(":
+            parens += 1
+        elif token == ")":
+            parens = max(parens - 1, 0)
+        elif token == ";":
+            if pending and pending[1] == parens:
+                pending = None
+        elif token == "{":
+            frames.append([pending[0] if pending and pending[1] == parens else frame[0], 0, 0])
+            if pending and pending[1] == parens:
+                pending = None
+        elif token == "}":
+            if len(frames) > 1:
+                frames.pop()
+        elif token == "else":
+            pending, after_else = (frame[1], parens), True
+            continue
+        elif token == "finally":
+            pending = (frame[2], parens)
+        elif token == "while" and after_do:
+            after_do = False
+        else:
+            level = frame[1] + 1 if token == "if" and after_else else frame[2] + 1 if token == "catch" else here + 1
+            if token == "if":
+                frame[1] = level
+            elif token == "try":
+                frame[2] = level
+            after_do = token == "do" or after_do
+            most, pending = max(most, level), (level, parens)
+        after_else = False
+    return most
 
 
 def bodies(code: str, content: str) -> list[dict]:
+    """Functions, loops and effects with their bodies; what lies in functions inside (and for loops, in inner loops) is
+    blanked. One pass for the braces; a body costs its own length."""
+    close = closings(code)
     found = []
     for kind, head in HEADS:
         for m in head.finditer(code):
-            start, end = m.end() - 1, closing(code, m.end() - 1)
-            name = next((g for g in m.groups() if g), None) if m.groups() else None
-            found.append((kind, name or "(anonymous)", m.start(), start + 1, end))
+            if code[m.end() - 1] == "{":
+                start, end = m.end(), close.get(m.end() - 1, len(code))
+            else:  # an expression: up to the end of the call around it
+                start, end = m.end(), close.get(code.index("(", m.start()), len(code))
+            name = next((g for g in m.groups() if g and g != "{"), None)
+            found.append((kind, name or "(anonymous)", m.start(), start, end))
+    functions = sorted((a, b) for kind, _, _, a, b in found if kind == "function")
+    loops = sorted((a, b) for kind, _, _, a, b in found if kind == "loop")
+    line = LineOf(code)
     out = []
     for kind, name, head, a, b in found:
-        own = code[a:b]
-        for other, _, _, c, d in found:
-            if a < c and d < b and (other == "function" if kind == "function" else other == kind):
-                own = own[: c - a] + blank(own[c - a : d - a]) + own[d - a :]
-        depth = most = 0
-        for brace in re.findall("[{}]", own):
-            depth += 1 if brace == "{" else -1
-            most = max(most, depth)
-        out.append({"kind": kind, "name": name, "line": code.count("\n", 0, head) + 1, "lines": code.count("\n", head, b) + 1, "depth": most, "body": own, "raw": content[a:b]})
+        inner = [*within(functions, a, b), *(within(loops, a, b) if kind == "loop" else ())]
+        own, at = [], a
+        for c, d in sorted(inner):
+            if c >= at:
+                own += [code[at:c], blank(code[c:d])]
+                at = d
+        body = "".join([*own, code[at:b]])
+        query = QUERY.search(body) if kind == "loop" else None
+        out.append({
+            "kind": kind, "name": name, "line": line(head), "lines": line(b) - line(head) + 1, "depth": nesting(body) if kind == "function" else 0, "body": body,
+            "raw": content[a:b], "queried": line(a + query.start()) if query else None,
+        })
+        if kind == "effect":
+            out[-1]["queried"] = leaks(code[a:b], body)
     return out
 
 
+def within(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of a sorted list that lie inside (a, b)."""
+    low, high = bisect_right(spans, (a, FAR)), bisect_right(spans, (b, FAR))
+    return [s for s in spans[low:high] if s[1] <= b]
+
+
+def leaks(effect: str, own: str) -> int | None:
+    """1 if an effect starts a timer, 2 if a listener, 3 if both, without a returned function that stops it."""
+    m = CLEANUP.search(own)
+    undo = effect[m.start() :] if m else ""
+    timer = re.search(r"\b(?:setInterval|setTimeout)\s*\(", effect) and not re.search(r"\b(?:clearInterval|clearTimeout)\s*\(", undo)
+    listener = re.search(r"\.addEventListener\s*\(", effect) and not re.search(r"\.removeEventListener\s*\(", undo)
+    return bool(timer) + 2 * bool(listener) or None
+
+
+class LineOf:
+    """Line of a place, by bisection over the line ends."""
+
+    def __init__(self, text: str):
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+
+    def __call__(self, at: int) -> int:
+        return bisect_left(self.ends, at) + 1
+
+
 def blocks(masked: DataFrame) -> DataFrame:
     """Bodies of the functions, loops and effects of masked JavaScript and TypeScript files."""
 
@@ -71,7 +163,10 @@ def blocks(masked: DataFrame) -> DataFrame:
     return masked.where(F.col("ext").isin(CODE_EXT)).select("rel_path", "masked", "content").mapInArrow(run, BLOCKS)
 
 
-SCHEMA = pa.schema([("rel_path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("lines", pa.int32()), ("depth", pa.int32()), ("body", pa.string()), ("raw", pa.string())])
+SCHEMA = pa.schema([
+    ("rel_path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("lines", pa.int32()), ("depth", pa.int32()),
+    ("body", pa.string()), ("raw", pa.string()), ("queried", pa.int32()),
+])
 
 
 def findings(blocks_: DataFrame, long: int = 80, branches: int = 10, deep: int = 5) -> DataFrame:
@@ -79,8 +174,8 @@ def findings(blocks_: DataFrame, long: int = 80, branches: int = 10, deep: int =
     f = blocks_.where("kind = 'function'").withColumn("branches", F.regexp_count("body", F.lit(DECISION)) + 1).withColumn("match", F.col("name"))
     told = lambda what, c: F.concat(F.col("name"), F.lit(f": {what} "), F.col(c).cast("string"))
     level = lambda rows, cond, c, s, fix, summary: issue_rows(rows.where(cond), c, s, fix, summary)
-    loops = blocks_.where("kind = 'loop'").withColumn("match", F.regexp_extract("body", QUERY, 0)).where("match <> ''")
-    effects = blocks_.where("kind = 'effect'").withColumn("match", F.regexp_extract("body", r"\b(?:setInterval|setTimeout|addEventListener)\s*\(", 0)).where(r"match <> '' and not body rlike '\\breturn\\b'")
+    loops = blocks_.where("kind = 'loop' and queried is not null").withColumn("match", F.regexp_extract("body", detect.QUERY, 0)).withColumn("line", F.col("queried"))
+    effects = blocks_.where("kind = 'effect' and queried is not null").withColumn("match", F.get(F.array(F.lit("a timer"), F.lit("a listener"), F.lit("a timer and a listener")), F.col("queried") - 1))
     return union([
         level(f, F.col("lines").between(long + 1, 2 * long), "Oversized Function", "Low", "Split the function.", told("lines", "lines")),
         level(f, F.col("lines") > 2 * long, "Oversized Function", "Medium", "Split the function.", told("lines", "lines")),
