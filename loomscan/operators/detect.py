@@ -198,5 +198,6 @@ def entropy_findings(masked: DataFrame, threshold: float = ENTROPY) -> DataFrame
 
 
 def license_class(text: Column) -> Column:
-    """Class of a licence name; lesser licences hold the name of the stricter one, so they are asked for first."""
-    return F.when(text.rlike("LGPL|MPL|EPL|GNU Lesser"), "weak").when(text.rlike("AGPL|GPL|CC BY-NC|GNU General Public"), "restrictive").when(text.rlike("MIT|Apache|BSD|ISC"), "permissive").otherwise("unknown")
+    """Class of the licences that a text names: any restrictive one wins; the lesser licence's name holds the stricter's."""
+    strict = text.rlike("(?:^|[^L])GPL|CC BY-NC|GNU General Public|GNU Affero")
+    return F.when(strict, "restrictive").when(text.rlike("LGPL|MPL|EPL|GNU Lesser"), "weak").when(text.rlike("MIT|Apache|BSD|ISC"), "permissive").otherwise("unknown")

@@ -96,7 +96,7 @@ def route_groups(spark, sf):
     return fx.read(spark, sf, "pages").groupBy(name.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, 'LGPL|MPL|EPL|GNU Lesser') THEN 'weak' WHEN regexp_matches(text, 'AGPL|GPL|CC BY-NC|GNU General Public') THEN 'restrictive' WHEN regexp_matches(text, 'MIT|Apache|BSD|ISC') THEN 'permissive' ELSE 'unknown' END AS class FROM documents) GROUP BY 1""")
+@query("""SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(^|[^L])GPL|CC BY-NC|GNU General Public|GNU Affero') THEN 'restrictive' WHEN regexp_matches(text, 'LGPL|MPL|EPL|GNU Lesser') THEN 'weak' WHEN regexp_matches(text, 'MIT|Apache|BSD|ISC') THEN 'permissive' ELSE 'unknown' END AS class FROM documents) GROUP BY 1""")
 def license_class(spark, sf):
     """Class of the licence that a text names."""
     return fx.read(spark, sf, "documents").groupBy(detect.license_class(F.col("text")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
