@@ -26,24 +26,38 @@ def env_vars(files: DataFrame) -> DataFrame:
     return js.union(py).distinct()
 
 
+COMPONENT = "array<struct<kind:string,name:string,extra:string,line:int>>"
+OTHER = [".go", ".rs", ".java", ".kt", ".cs", ".rb", ".php", ".swift", ".scala"]
+#: Kind, extensions, pattern, and whether a second group holds parameters or a base.
+COMPONENTS = [
+    ("function", JS, r"(?m)^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(([^)]*)\)", True),
+    ("function", JS, r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|[\w$]+)\s*=>", True),
+    ("class", JS, r"(?m)^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([\w$.]+))?", True),
+    ("import", JS, r"(?:from\s+|import\s+|require\(\s*|import\(\s*)[\"']([^\"'\n]+)[\"']", False),
+    ("export", JS, r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)", False),
+    ("function", [".py"], r"(?m)^[ \t]*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)", True),
+    ("class", [".py"], r"(?m)^[ \t]*class\s+([A-Za-z_]\w*)(?:\(([^)]*)\))?\s*:", True),
+    ("import", [".py"], r"(?m)^[ \t]*import\s+([\w.]+)", False),
+    ("import", [".py"], r"(?m)^[ \t]*from\s+(\.+)\s*import\s+\w+", False),
+    ("import", [".py"], r"(?m)^[ \t]*from\s+(\.*\w[\w.]*)\s+import\b", False),
+    (
+        "function", OTHER,
+        r"(?m)^\s*(?:(?:pub|public|private|protected|static|async|final|override)\s+)*(?:func|fn|fun|def|function)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)", True,
+    ),
+    ("class", OTHER, r"(?m)^\s*(?:(?:pub|public|private|abstract|final|sealed|data)\s+)*(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)", False),
+]
+
+
 def components(files: DataFrame) -> DataFrame:
-    """(rel_path, kind, name, extra, line): functions, classes, imports and exports, by language family."""
-    part = lambda kind, exts, p, name=1, extra=0: rows(files, exts, p, ("name", name), ("extra", extra) if extra else ("extra", name)).select("rel_path", F.lit(kind).alias("kind"), "name", (F.col("extra") if extra else F.lit("")).alias("extra"), "line")
-    other = [".go", ".rs", ".java", ".kt", ".cs", ".rb", ".php", ".swift", ".scala"]
-    return union([
-        part("function", JS, r"(?m)^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(([^)]*)\)", 1, 2),
-        part("function", JS, r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|[\w$]+)\s*=>", 1, 2),
-        part("class", JS, r"(?m)^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([\w$.]+))?", 1, 2),
-        part("import", JS, r"(?:from\s+|import\s+|require\(\s*|import\(\s*)[\"']([^\"'\n]+)[\"']"),
-        part("export", JS, r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)"),
-        part("function", [".py"], r"(?m)^[ \t]*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)", 1, 2),
-        part("class", [".py"], r"(?m)^[ \t]*class\s+([A-Za-z_]\w*)(?:\(([^)]*)\))?\s*:", 1, 2),
-        part("import", [".py"], r"(?m)^[ \t]*import\s+([\w.]+)"),
-        part("import", [".py"], r"(?m)^[ \t]*from\s+(\.+)\s*import\s+\w+"),
-        part("import", [".py"], r"(?m)^[ \t]*from\s+(\.*\w[\w.]*)\s+import\b"),
-        part("function", other, r"(?m)^\s*(?:(?:pub|public|private|protected|static|async|final|override)\s+)*(?:func|fn|fun|def|function)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)", 1, 2),
-        part("class", other, r"(?m)^\s*(?:(?:pub|public|private|abstract|final|sealed|data)\s+)*(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)"),
-    ])
+    """(rel_path, kind, name, extra, line): functions, classes, imports and exports, by language family, in one pass."""
+
+    def part(kind: str, exts: list[str], pattern: str, more: bool) -> Column:
+        extra = lambda x: F.regexp_extract(x["match"], pattern, 2) if more else F.lit("")
+        row = lambda x: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(x["match"], pattern, 1).alias("name"), extra(x).alias("extra"), x["line"].alias("line"))
+        return F.when(F.col("ext").isin(exts), F.transform(matches_with_lines(F.col("content"), pattern), row).cast(COMPONENT)).otherwise(F.array().cast(COMPONENT))
+
+    known = files.where(F.col("ext").isin(JS + [".py"] + OTHER))
+    return known.select("rel_path", F.explode(F.concat(*[part(*c) for c in COMPONENTS])).alias("x")).select("rel_path", "x.*")
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -65,6 +79,15 @@ def routes(files: DataFrame) -> DataFrame:
     return union([as_route(d) for d in (express, flask, fastapi, go, handled, rails, resources, spring, laravel)] + [next_routes(files)])
 
 
+def route_calls(routes_: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Routes with the function that handles them: an inline one by its file and line, else a named one of the same file."""
+    own = blocks.where("kind = 'function'").select("rel_path", "name", F.col("line").alias("at"), "body")
+    inline = routes_.where("handler = '(inline)'").join(own, ["rel_path"]).where(F.col("at") == F.col("line"))
+    named = routes_.where("handler <> '(inline)'").withColumn("wanted", F.element_at(F.split("handler", r"\."), -1)).join(own.withColumn("wanted", F.col("name")), ["rel_path", "wanted"])
+    shown = ["rel_path", "method", "path", "name", F.col("at").alias("line"), "body"]
+    return inline.select(*shown).unionByName(named.select(*shown))
+
+
 def next_path(path: Column) -> Column:
     """URL of a file under app/ or pages/: the page suffix, groups and index go, [id] becomes :id."""
     bare = F.regexp_replace(F.regexp_replace(path, r"^(?:src/)?(?:app|pages)", ""), r"\.[jt]sx?$", "")

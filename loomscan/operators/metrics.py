@@ -211,3 +211,10 @@ def body_trace(blocks_: DataFrame) -> DataFrame:
     body = F.col("body")
     codes = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col("raw"), F.lit(r"\.(?:status|sendStatus)\(\s*(\d{3})"), 1)))
     return blocks_.where("kind = 'function'").select("rel_path", "name", codes.alias("status_codes"), F.regexp_count(body, F.lit(r"\bif\b")).alias("branches"), body.rlike(r"\bcatch\b|\bnext\(").alias("handles_errors"), body.rlike(r"\bres\b[^;\n]*\.(?:json|send|end|render|redirect|sendStatus)\s*\(").alias("responds"))
+
+
+def steps(traces: DataFrame) -> DataFrame:
+    """body_trace rows with what a handler does in words."""
+    branches = F.when(F.col("branches") == 1, "1 branch").when(F.col("branches") > 1, F.concat(F.col("branches").cast("string"), F.lit(" branches")))
+    answers = F.when(F.size("status_codes") > 0, F.concat(F.lit("answers "), F.array_join("status_codes", ", "))).when(F.col("responds"), "answers")
+    return traces.withColumn("steps", F.array_compact(F.array(branches, F.when(F.col("handles_errors"), "handles errors"), answers)))

@@ -52,7 +52,7 @@ def npm_deps(files: DataFrame) -> DataFrame:
 
 def lines(files: DataFrame, name: str) -> DataFrame:
     own = files.where(basename(F.col("rel_path")) == name)
-    return own.select("rel_path", F.explode(F.split("content", r"\r?\n")).alias("line")).select("rel_path", F.trim("line").alias("line"))
+    return own.select("rel_path", F.explode(F.split("content", r"\r?\n")).alias("line")).select("rel_path", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
 
 
 def pip_deps(files: DataFrame) -> DataFrame:
@@ -127,6 +127,41 @@ def license_findings(packages_: DataFrame) -> DataFrame:
     return packages_.select("name", "license", status.alias("status"), severity.alias("severity")).where("status <> 'permissive'")
 
 
+def installed_versions(files: DataFrame) -> DataFrame:
+    """(name, declared, version): declared dependencies with the version that is installed; missing ones are left out."""
+    declared = npm_deps(files.where("rel_path not like '%node_modules/%'")).select("name", F.col("version").alias("declared"))
+    return declared.join(installed(files).select("name", "version"), "name").select("name", "declared", "version")
+
+
+def dependency_issue(file: Column, severity: Column, category: str, summary: Column, fix: str) -> list[Column]:
+    return [file.alias("file"), F.lit(1).alias("line"), severity.alias("severity"), F.lit(category).alias("category"), summary.alias("summary"), F.lit(fix).alias("suggested_fix"), F.lit("dependency-audit").alias("source")]
+
+
+def advisory_findings(files: DataFrame, spark: SparkSession) -> DataFrame:
+    """Findings of declared packages below the first good version of the built-in list."""
+    advisories = F.broadcast(spark.createDataFrame(ADVISORIES, "name string, fixed string"))  # a fixed list
+    told = F.concat(F.col("name"), F.lit("@"), F.col("version"), F.lit(" is below "), F.col("fixed"))
+    own = npm_deps(files.where("rel_path not like '%node_modules/%'"))
+    return vulnerable(own, advisories).select(*dependency_issue(F.col("rel_path"), F.lit("High"), "Outdated/Vulnerable Dependency", told, "Upgrade the package."))
+
+
+def license_issues(files: DataFrame) -> DataFrame:
+    """Findings of installed packages whose licence is restrictive, missing or not recognised."""
+    text = F.when(F.col("status") == "missing", F.lit(": no licence")).when(F.col("status") == "restrictive", F.concat(F.lit(": restrictive licence "), F.col("license"))).otherwise(F.concat(F.lit(": unknown licence "), F.col("license")))
+    return license_findings(installed(files)).select(*dependency_issue(F.lit("package.json"), F.col("severity"), "License Compliance", F.concat(F.col("name"), text), "Check that the licence fits."))
+
+
+def audit_findings(reports: DataFrame) -> DataFrame:
+    """Findings of audit reports (tool, report): at most TOP rows a tool and one that counts the rest; a tool without a report
+    gives one row that says so. Reports are the scan's own, so a tool's rows fit one array."""
+    rows = reports.where("report is not null").select("tool", F.array_sort(audit_rows(F.col("report"))).alias("r"))
+    shown = rows.select("tool", F.explode(F.slice("r", 1, TOP)).alias("x")).select("tool", F.col("x.severity").alias("severity"), F.concat("x.name", F.lit(" "), "x.range").alias("summary"))
+    more = rows.where(F.size("r") > TOP).select("tool", F.lit("Low").alias("severity"), F.concat((F.size("r") - TOP).cast("string"), F.lit(" more advisories")).alias("summary"))
+    found = shown.union(more).select(*dependency_issue(F.lit("package.json"), F.col("severity"), "Outdated/Vulnerable Dependency", F.col("summary"), "Upgrade the package."))
+    missing = reports.where("report is null").select(*dependency_issue(F.lit("package.json"), F.lit("Low"), "Scan Limitation", F.concat(F.col("tool"), F.lit(": not available")), "Run the audit where it is available."))
+    return found.union(missing)
+
+
 def owners(files: DataFrame, rules: list[tuple[str, str]], committers: DataFrame | None = None) -> DataFrame:
     """(rel_path, owner, origin): the last code-owner rule that matches, else the most frequent committer."""
     owner = F.lit(None).cast("string")
