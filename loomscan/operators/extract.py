@@ -30,11 +30,11 @@ COMPONENT = "array<struct<kind:string,name:string,extra:string,line:int>>"
 OTHER = [".go", ".rs", ".java", ".kt", ".cs", ".rb", ".php", ".swift", ".scala"]
 #: Kind, extensions, pattern, and whether a second group holds parameters or a base.
 COMPONENTS = [
-    ("function", JS, r"(?m)^\s*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(([^)]*)\)", True),
-    ("function", JS, r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|[\w$]+)\s*=>", True),
-    ("class", JS, r"(?m)^\s*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([\w$.]+))?", True),
+    ("function", JS, r"(?m)^[ \t]*(?:export\s+(?:default\s+)?)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\(([^)]*)\)", True),
+    ("function", JS, r"(?m)^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|[\w$]+)\s*=>", True),
+    ("class", JS, r"(?m)^[ \t]*(?:export\s+(?:default\s+)?)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([\w$.]+))?", True),
     ("import", JS, r"(?:from\s+|import\s+|require\(\s*|import\(\s*)[\"']([^\"'\n]+)[\"']", False),
-    ("export", JS, r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)", False),
+    ("export", JS, r"(?m)^[ \t]*export\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([A-Za-z_$][\w$]*)", False),
     ("function", [".py"], r"(?m)^[ \t]*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)", True),
     ("class", [".py"], r"(?m)^[ \t]*class\s+([A-Za-z_]\w*)(?:\(([^)]*)\))?\s*:", True),
     ("import", [".py"], r"(?m)^[ \t]*import\s+([\w.]+)", False),
@@ -42,9 +42,9 @@ COMPONENTS = [
     ("import", [".py"], r"(?m)^[ \t]*from\s+(\.*\w[\w.]*)\s+import\b", False),
     (
         "function", OTHER,
-        r"(?m)^\s*(?:(?:pub|public|private|protected|static|async|final|override)\s+)*(?:func|fn|fun|def|function)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)", True,
+        r"(?m)^[ \t]*(?:(?:pub|public|private|protected|static|async|final|override)\s+)*(?:func|fn|fun|def|function)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)", True,
     ),
-    ("class", OTHER, r"(?m)^\s*(?:(?:pub|public|private|abstract|final|sealed|data)\s+)*(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)", False),
+    ("class", OTHER, r"(?m)^[ \t]*(?:(?:pub|public|private|abstract|final|sealed|data)\s+)*(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)", False),
 ]
 
 

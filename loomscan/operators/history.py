@@ -31,20 +31,28 @@ def only_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def diff(pairs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """(scan_id, change, row...) for each pair (previous_id, scan_id): rows of the newer scan that the older lacks
-    (`new`), and of the older that the newer lacks (`resolved`)."""
-    p = pairs.where("previous_id is not null").select("scan_id", "previous_id")
-    now = p.join(rows, "scan_id")
-    before = p.join(rows.withColumnRenamed("scan_id", "previous_id"), "previous_id")
-    on = ["scan_id", key]
-    return only_left(now, before, on).withColumn("change", F.lit("new")).unionByName(only_left(before, now, on).withColumn("change", F.lit("resolved")))
-
-
-def as_of(days: DataFrame, snapshots: DataFrame, day_end: Column) -> DataFrame:
-    """The last snapshot of each app at or before each day's end. Only days times apps rows leave the join: each
-    snapshot meets the few days of the spine, and maxima are formed before the shuffle."""
-    joined = snapshots.join(F.broadcast(days), F.col("scanned_at") <= day_end)
-    best = joined.groupBy("app_id", "day").agg(F.max(F.struct("scanned_at", "scan_id")).alias("s"))
-    return best.select("app_id", "day", F.col("s.scan_id").alias("scan_id"), F.col("s.scanned_at").alias("scanned_at"))
+    (`new`), and of the older that the newer lacks (`resolved`). Rows are read once: a scan's rows are the newer side of
+    its own pair and the older side of the next, and one shuffle by pair and key tells which keys have both."""
+    p = pairs.where("previous_id is not null")
+    roles = p.select(F.col("scan_id").alias("at"), "scan_id", F.lit("new").alias("change")).union(p.select(F.col("previous_id").alias("at"), "scan_id", F.lit("resolved").alias("change")))
+    sides = rows.withColumnRenamed("scan_id", "at").join(roles, "at").drop("at")
+    same = Window.partitionBy("scan_id", key)
+    both = sides.withColumn("__low", F.min("change").over(same)).withColumn("__high", F.max("change").over(same))
+    return both.where("__low = __high").drop("__low", "__high")
+
+
+def daily(snapshots: DataFrame, last_day: Column, n: int) -> DataFrame:
+    """(app_id, day, scan_id, scanned_at): the last snapshot of each app at the end of each of n days up to last_day.
+
+    A snapshot counts from its own day or the first on; each app keeps the last one of each such day before days are
+    multiplied, at most n rows.
+    """
+    first = F.date_sub(last_day, n - 1)
+    day = F.greatest(F.col("scanned_at").cast("date"), first)
+    best = snapshots.where(F.col("scanned_at").cast("date") <= last_day).groupBy("app_id", day.alias("from_day")).agg(F.max(F.struct("scanned_at", "scan_id")).alias("s"))
+    each = best.withColumn("day", F.explode(F.sequence("from_day", last_day)))
+    last = each.groupBy("app_id", "day").agg(F.max("s").alias("s"))
+    return last.select("app_id", "day", F.col("s.scan_id").alias("scan_id"), F.col("s.scanned_at").alias("scanned_at"))
 
 
 def baseline(snapshots: DataFrame, since: Column) -> DataFrame:

@@ -33,7 +33,8 @@ def app_filter(spark, sf):
 def issue_filter(spark, sf):
     """Open or acknowledged findings that no rule suppresses, at a severity or worse, that hold a term."""
     words = F.lower(F.concat_ws(" ", "category", "file", "summary"))
-    rows = state.active(fx.issues(spark, sf).where(state.at_least(F.col("severity"), "High") & F.contains(words, F.lit("ring"))), fx.triage(spark, sf), fx.rules(spark), pf.now())
+    kept = fx.issues(spark, sf).where(state.at_least(F.col("severity"), "High") & F.contains(words, F.lit("ring")))
+    rows = state.active(kept, fx.triage(spark, sf, kept), fx.rules(spark), pf.now())
     return rows.select("scan_id", "file", "line", "category", "severity")
 
 

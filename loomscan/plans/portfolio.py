@@ -41,14 +41,16 @@ def live(spark: SparkSession, sf: str) -> DataFrame:
     return fx.apps(spark, sf).where("not archived")
 
 
-def active_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return state.active(fx.issues(spark, sf), fx.triage(spark, sf), fx.rules(spark), now())
+def active_of(spark: SparkSession, sf: str, scans: DataFrame) -> DataFrame:
+    """Active findings of some scans (scan_id); triage is asked for these findings only."""
+    kept = fx.issues(spark, sf, scans)
+    return state.active(kept, fx.triage(spark, sf, kept), fx.rules(spark), now())
 
 
 def latest_active(spark: SparkSession, sf: str) -> DataFrame:
-    """Active findings of the last scan of each app that is not archived; other scans go before triage is joined."""
+    """Active findings of the last scan of each app that is not archived."""
     scans = history.latest(fx.snapshots(spark, sf)).join(live(spark, sf).select("app_id"), "app_id", "left_semi").select("scan_id")
-    return state.active(fx.issues(spark, sf).join(scans, "scan_id", "left_semi"), fx.triage(spark, sf), fx.rules(spark), now())
+    return active_of(spark, sf, scans)
 
 
 def severities(spark: SparkSession) -> DataFrame:
@@ -104,12 +106,6 @@ def resolved_in_window(spark, sf):
     return gone.join(pairs.select("scan_id", "app_id"), "scan_id").groupBy("app_id").agg(F.count(F.lit(1)).alias("resolved"))
 
 
-def days(spark: SparkSession, n: int = 14) -> DataFrame:
-    """The last n days, each with its end; the length is fixed, not data."""
-    d = spark.range(n).select(F.date_sub(now().cast("date"), F.col("id").cast("int")).alias("day"))
-    return d.withColumn("day_end", (F.col("day").cast("timestamp_ntz") + F.expr("interval 1 day")))
-
-
 SQL_ASOF = f"""days AS (SELECT (TIMESTAMP '{fx.NOW}' - to_days(i::int))::date AS day FROM range(14) t(i)),
 at_day AS (SELECT day, app_id, scan_id FROM (SELECT day, s.app_id, s.scan_id, row_number() OVER (PARTITION BY day, s.app_id ORDER BY scanned_at DESC, s.scan_id DESC) AS rn
  FROM days JOIN snapshots s ON s.scanned_at < day + INTERVAL 1 DAY JOIN apps USING (app_id) WHERE NOT archived) WHERE rn = 1)"""
@@ -119,9 +115,11 @@ at_day AS (SELECT day, app_id, scan_id FROM (SELECT day, s.app_id, s.scan_id, ro
 def trend_asof(spark, sf):
     """Daily active findings over the last snapshots at each day's end, with today's triage and rules."""
     scans = fx.snapshots(spark, sf).join(live(spark, sf).select("app_id"), "app_id", "left_semi")
-    at = history.as_of(days(spark), scans, F.col("day_end") - F.expr("interval 1 microsecond")).select("day", "scan_id")
-    rows = at.join(active_issues(spark, sf), "scan_id")
-    return rows.groupBy("day").agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES], F.count(F.lit(1)).alias("total"))
+    at = history.daily(scans, now().cast("date"), 14).select("day", "scan_id")
+    found = active_of(spark, sf, at.select("scan_id").distinct()).groupBy("scan_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+    rows = at.join(found, "scan_id")
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0).cast("long")).alias(s.lower())
+    return rows.groupBy("day").agg(*map(of, SEVERITIES), F.sum("n").alias("total"))
 
 
 @query(ctes(fx.SQL_SNAPSHOTS) + f"SELECT app_id, scan_id, scanned_at FROM (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY old DESC, CASE WHEN old THEN scanned_at END DESC, CASE WHEN old THEN scan_id END DESC, scanned_at, scan_id) AS rn FROM (SELECT *, scanned_at <= TIMESTAMP '{fx.NOW}' - INTERVAL 7 DAY AS old FROM snapshots)) WHERE rn = 1")
@@ -151,11 +149,11 @@ def stale_apps(spark, sf):
     return ages(spark, sf).where("days is null or days > 14").select("app_id", "name", "days").orderBy(F.desc_nulls_first("days"), "app_id")
 
 
-@query(ctes(fx.SQL_APPS, fx.SQL_SNAPSHOTS, fx.SQL_LATEST) + "SELECT app_id, duration_ms FROM apps JOIN latest USING (app_id) WHERE NOT archived AND duration_ms > greatest(5000, 1.5 * (SELECT avg(duration_ms) FROM apps JOIN latest USING (app_id) WHERE NOT archived))")
+@query(ctes(fx.SQL_APPS, fx.SQL_SNAPSHOTS, fx.SQL_LATEST) + "SELECT app_id, duration_ms FROM apps JOIN latest USING (app_id) WHERE NOT archived AND duration_ms > greatest(5000, 2 * (SELECT avg(duration_ms) FROM apps JOIN latest USING (app_id) WHERE NOT archived))")
 def slow_apps(spark, sf):
     last = live(spark, sf).join(history.latest(fx.snapshots(spark, sf)), "app_id")
     mean = last.agg(F.avg("duration_ms").alias("mean"))  # one row
-    return last.join(F.broadcast(mean), F.col("duration_ms") > F.greatest(F.lit(5000.0), 1.5 * F.col("mean"))).select("app_id", "duration_ms")
+    return last.join(F.broadcast(mean), F.col("duration_ms") > F.greatest(F.lit(5000.0), 2 * F.col("mean"))).select("app_id", "duration_ms")
 
 
 @query(ctes(fx.SQL_APPS, fx.SQL_SNAPSHOTS, fx.SQL_LATEST) + f"SELECT app_id, schedule_minutes, scanned_at + to_minutes(schedule_minutes) AS next_due, coalesce(scanned_at + to_minutes(schedule_minutes) <= TIMESTAMP '{fx.NOW}', true) AS overdue FROM apps LEFT JOIN latest USING (app_id) WHERE NOT archived AND schedule_minutes > 0")
@@ -165,15 +163,16 @@ def scan_calendar(spark, sf):
     return own.select("app_id", "schedule_minutes", due.alias("next_due"), F.coalesce(due <= now(), F.lit(True)).alias("overdue"))
 
 
-@query(ctes(fx.SQL_APPS, *BASE[:2], fx.SQL_LATEST) + """SELECT tech, count(*) AS n, string_agg(app_id::varchar, ',' ORDER BY app_id) AS apps FROM (
-SELECT DISTINCT app_id, tech FROM (SELECT app_id, unnest(tags) AS tech FROM apps WHERE NOT archived UNION ALL SELECT app_id, lower(category) AS tech FROM latest JOIN issues USING (scan_id, app_id) JOIN apps USING (app_id) WHERE NOT archived)) GROUP BY 1 HAVING count(*) > 1""")
+@query(ctes(fx.SQL_APPS, *BASE[:2], fx.SQL_LATEST) + """SELECT tech, app_id, n FROM (SELECT *, count(*) OVER (PARTITION BY tech) AS n FROM (
+SELECT DISTINCT app_id, tech FROM (SELECT app_id, unnest(tags) AS tech FROM apps WHERE NOT archived UNION ALL SELECT app_id, lower(category) AS tech FROM latest JOIN issues USING (scan_id, app_id) JOIN apps USING (app_id) WHERE NOT archived))) WHERE n > 1""")
 def tech_stack_shared(spark, sf):
-    """Technologies that several apps have: named by hand, or seen in the last scan."""
+    """Technologies that several apps have, a row for each app: named by hand, or seen in the last scan."""
     own = live(spark, sf)
     scans = history.latest(fx.snapshots(spark, sf)).select("scan_id")
-    seen = fx.issues(spark, sf).join(scans, "scan_id", "left_semi").select("app_id", F.lower("category").alias("tech")).distinct().join(own.select("app_id"), "app_id", "left_semi")
+    seen = fx.issues(spark, sf, scans).select("app_id", F.lower("category").alias("tech")).distinct().join(own.select("app_id"), "app_id", "left_semi")
     rows = own.select("app_id", F.explode("tags").alias("tech")).union(seen).distinct()
-    return rows.groupBy("tech").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("app_id")), lambda x: x.cast("string")), ",").alias("apps")).where("n > 1")
+    shared = rows.groupBy("tech").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(shared, "tech").select("tech", "app_id", "n")
 
 
 @query(ctes(fx.SQL_APPS) + "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM apps WHERE NOT archived) GROUP BY 1")
@@ -195,8 +194,7 @@ SQL_COMPARE = "c AS (SELECT app_id, severity, count(*) AS n FROM active WHERE sc
 def compare_apps(spark, sf):
     """Two apps side by side, suppression rules applied to both."""
     scans = history.latest(fx.snapshots(spark, sf).where("app_id in (1, 2)")).select("scan_id")
-    rows = state.active(fx.issues(spark, sf).join(scans, "scan_id", "left_semi"), fx.triage(spark, sf), fx.rules(spark), now())
-    n = rows.groupBy("severity").agg(F.count_if(F.col("app_id") == 1).alias("l"), F.count_if(F.col("app_id") == 2).alias("r"))
+    n = active_of(spark, sf, scans).groupBy("severity").agg(F.count_if(F.col("app_id") == 1).alias("l"), F.count_if(F.col("app_id") == 2).alias("r"))
     zero = F.lit(0).cast("long")
     return severities(spark).join(n, "severity", "left").select("severity", F.coalesce("l", zero).alias("left_n"), F.coalesce("r", zero).alias("right_n"), (F.coalesce("l", zero) != F.coalesce("r", zero)).alias("differs"))
 

@@ -38,22 +38,26 @@ def severity() -> F.Column:
     return F.when((r == "R") & (s == "F"), "Critical").when(r == "R", "High").when(r == "A", "Medium").otherwise("Low")
 
 
-def issues(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings with their app; the fingerprint holds the line, so a shifted line is a new finding."""
+def issues(spark: SparkSession, sf: str, scans: DataFrame | None = None) -> DataFrame:
+    """Findings with their app; the fingerprint holds the line, so a shifted line is a new finding. With `scans` (scan_id) only
+    theirs: the others leave before a part is looked up."""
     line, part = read(spark, sf, "lineitem"), read(spark, sf, "part")
-    scans = snapshots(spark, sf).select("scan_id", "app_id")
+    known = snapshots(spark, sf).select("scan_id", "app_id")
+    known = known if scans is None else known.join(scans.select("scan_id"), "scan_id", "left_semi")
     file = F.concat(F.lit("src/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("/")), F.lit(".js"))
-    own = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("scan_id"), F.col("p_type").alias("category"), file.alias("file"), F.col("l_linenumber").alias("line"),
-        severity().alias("severity"), F.col("p_brand").alias("summary"),
+    own = line.withColumnRenamed("l_orderkey", "scan_id").join(known, "scan_id").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "scan_id", F.col("p_type").alias("category"), file.alias("file"), F.col("l_linenumber").alias("line"),
+        severity().alias("severity"), F.col("p_brand").alias("summary"), "app_id",
     )
-    return own.join(scans, "scan_id").withColumn("fingerprint", F.concat_ws("::", "category", "file", F.col("line").cast("string"), "summary"))
+    return own.withColumn("fingerprint", F.concat_ws("::", "category", "file", F.col("line").cast("string"), "summary"))
 
 
-def triage(spark: SparkSession, sf: str) -> DataFrame:
+def triage(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """(app_id, fingerprint, state) of triaged findings; with `of`, of those findings only."""
     h = F.substring(F.md5(F.concat(F.col("app_id").cast("string"), F.lit("|"), F.col("fingerprint"))), 1, 1)
     state = F.when(h.isin("0", "1", "2"), "false_positive").when(h.isin("3", "4"), "fixed").when(h.isin("5", "6"), "acknowledged")
-    return issues(spark, sf).select("app_id", "fingerprint").distinct().withColumn("state", state).where("state is not null")
+    asked = issues(spark, sf) if of is None else of
+    return asked.select("app_id", "fingerprint").withColumn("state", state).where("state is not null").distinct()
 
 
 def rules(spark: SparkSession) -> DataFrame:
