@@ -94,6 +94,12 @@ CODE_RULES = [
     Rule("D9", "Code Injection Risk", "High", r"\beval\s*\(", "Avoid evaluating text."),
     Rule("D10", "Code Injection Risk", "Medium", r"new\s+Function\s*\(", "Avoid building functions from text."),
 ]
+#: Weakness class and risk group of the categories that have one.
+WEAKNESSES = [
+    ("Hardcoded Secret", "CWE-798", "A07:2021"), ("Possible High-Entropy Secret", "CWE-798", "A07:2021"), ("SQL Injection Risk", "CWE-89", "A03:2021"), ("Code Injection Risk", "CWE-94", "A03:2021"),
+    ("Cross-Site Scripting (XSS) Risk", "CWE-79", "A03:2021"), ("Command Injection Risk", "CWE-78", "A03:2021"), ("Weak Random Number Generation", "CWE-338", "A02:2021"),
+    ("Weak Password Hashing", "CWE-916", "A02:2021"), ("Outdated/Vulnerable Dependency", "CWE-1104", "A06:2021"),
+]
 LOGGING = r"console\.(?:log|debug)\("
 WEAK_HASH = r"(?i)createHash\(\s*(['\"])(?:md5|sha1)\1"
 FINDING = "array<struct<line:int,severity:string,category:string,summary:string,suggested_fix:string>>"
@@ -197,6 +203,18 @@ def entropy_findings(masked: DataFrame, threshold: float = ENTROPY) -> DataFrame
     return issue_rows(scored, "Possible High-Entropy Secret", "Medium", "Check whether the value is a secret.", told)
 
 
+def with_weakness(findings: DataFrame) -> DataFrame:
+    """Findings with the weakness class and risk group of their category; none for categories that are no weakness."""
+    dims = findings.sparkSession.createDataFrame(WEAKNESSES, "category string, cwe string, owasp string")
+    return findings.join(F.broadcast(dims), "category", "left")  # a fixed list
+
+
+def with_proposals(findings: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Findings with a proposed fix (fingerprint, proposal) in place of the general one."""
+    own = findings.join(proposals.select("fingerprint", "proposal"), "fingerprint", "left")
+    return own.withColumn("suggested_fix", F.coalesce("proposal", "suggested_fix")).drop("proposal")
+
+
 def license_class(text: Column) -> Column:
     """Class of the licences that a text names: any restrictive one wins; the lesser licence's name holds the stricter's."""
     strict = text.rlike("(?:^|[^L])GPL|CC BY-NC|GNU General Public|GNU Affero")

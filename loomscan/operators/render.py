@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscan.functions.text import html_escaped
+from loomscan.functions.text import folded, html_escaped
 from loomscan.operators.state import rank
 
 
@@ -63,3 +69,110 @@ def webhook_text(new_issues: DataFrame, threshold: str, lines: int = 10) -> Data
 def write_pages(pages: DataFrame, folder: str) -> None:
     """(path, content) rows as a table, one folder an app: the engine's site output."""
     pages.write.mode("overwrite").parquet(folder)
+
+
+SITE = "app_id long, path string, html string"
+
+
+def targets(pages: DataFrame) -> DataFrame:
+    """(app_id, path, links): for each page a map of its link targets, as written, to the pages that they mean and that
+    exist; targets are relative to the page's folder."""
+    written = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\]\(([^)\s]+\.md)\)"), 1)))
+    found = pages.select("app_id", "path", written.alias("target")).where(~F.col("target").rlike("^https?://"))
+    meant = folded(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("target")))
+    known = pages.select("app_id", F.col("path").alias("meant")).distinct()
+    own = found.withColumn("meant", meant).join(known, ["app_id", "meant"])
+    return own.groupBy("app_id", "path").agg(F.map_from_entries(F.collect_set(F.struct("target", "meant"))).alias("links"))
+
+
+def flat_wiki(pages: DataFrame) -> DataFrame:
+    """(app_id, path, content): page names without folders, links to pages that exist rewritten to those names."""
+    linked = pages.join(targets(pages), ["app_id", "path"], "left")
+    pairs = F.coalesce(F.map_entries("links"), F.array().cast("array<struct<key:string,value:string>>"))
+    text = F.aggregate(pairs, F.col("content"), lambda acc, e: F.replace(acc, F.concat(F.lit("]("), e["key"], F.lit(")")), F.concat(F.lit("]("), F.replace(e["value"], F.lit("/"), F.lit("-")), F.lit(")"))))
+    return linked.select("app_id", F.replace("path", F.lit("/"), F.lit("-")).alias("path"), text.alias("content"))
+
+
+def inline(text: str, links: dict[str, str]) -> str:
+    """Code, emphasis and links of one line; a link to a page that does not exist is its text."""
+
+    def link(m: re.Match) -> str:
+        label, target = m.groups()
+        if re.match("https?://", target):
+            return f'<a href="{target}" target="_blank" rel="noopener">{label}</a>'
+        meant = links.get(html.unescape(target))
+        return f'<a href="{meant.removesuffix(".md")}.html">{label}</a>' if meant else label
+
+    out = re.sub("`([^`]+)`", r"<code>\1</code>", html.escape(text, quote=True).replace("&#x27;", "'"))
+    return re.sub(r"\[([^\]]+)\]\(([^)]+)\)", link, re.sub(r"\*\*([^*]+)\*\*", r"<strong>\1</strong>", out))
+
+
+def kind_of(line: str) -> str:
+    return (
+        "row" if re.match(r"\s*\|.*\|\s*$", line) else "item" if re.match(r"-\s+", line) else "number" if re.match(r"\d+\.\s+", line)
+        else "head" if re.match(r"#{1,6}\s+", line) else "rule" if line.strip() == "---" else "text" if line.strip() else "blank"
+    )
+
+
+def markdown_html(text: str, links: dict[str, str]) -> str:
+    """HTML of a page: runs of lines of one kind become tables, lists and code blocks."""
+    marked, code = [], 0
+    for line in text.replace("\r\n", "\n").split("\n"):
+        fence = line.startswith("```")
+        code += fence
+        marked.append(("fence" if fence else "code" if code % 2 else kind_of(line), line))
+    out: list[str] = []
+    opened = False
+    for kind, run in groupby(marked, lambda x: x[0]):
+        lines = [line for _, line in run]
+        if kind == "fence":
+            for _ in lines:
+                out.append("</code></pre>" if opened else "<pre><code>")
+                opened = not opened
+        elif kind == "code":
+            out += [html.escape(line).replace("&#x27;", "'") for line in lines]
+        elif kind == "row":
+            cells = [[c.strip() for c in line.strip()[1:-1].split("|")] for line in lines]
+            rows = [c for c in cells if not all(re.fullmatch("-+", x) for x in c)]
+            tagged = [("th" if i == 0 else "td", c) for i, c in enumerate(rows)]
+            out += ["<table>", *("<tr>" + "".join(f"<{t}>{inline(x, links)}</{t}>" for x in c) + "</tr>" for t, c in tagged), "</table>"]
+        elif kind in ("item", "number"):
+            tag = "ul" if kind == "item" else "ol"
+            out += [f"<{tag}>", *(f"<li>{inline(re.sub(r'^(?:-|[0-9]+[.])[ ]+', '', line), links)}</li>" for line in lines), f"</{tag}>"]
+        elif kind == "head":
+            for line in lines:
+                mark, _, title = line.partition(" ")
+                out.append(f"<h{len(mark)}>{inline(title.strip(), links)}</h{len(mark)}>")
+        else:
+            out += ["<hr>" if kind == "rule" else "" if kind == "blank" else f"<p>{inline(line, links)}</p>" for line in lines]
+    return "\n".join(out)
+
+
+def site(pages: DataFrame) -> DataFrame:
+    """(app_id, path, html) of pages (app_id, path, content): every page, and an index that leads to Home where there is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
+                made = [markdown_html(t or "", dict(x or ())) for t, x in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string())], names=["app_id", "path", "html"])
+
+    linked = pages.select("app_id", "path", "content").join(targets(pages), ["app_id", "path"], "left").select("app_id", "path", "content", "links")
+    body = linked.mapInArrow(run, SITE).select("app_id", F.regexp_replace("path", r"\.md$", ".html").alias("path"), "html")
+    home = pages.where("path = 'Home.md'").select("app_id", F.lit("index.html").alias("path"), F.lit('<a href="Home.html">Continue</a>').alias("html"))
+    return body.unionByName(home)
+
+
+def portfolio_index(apps: DataFrame, pages: DataFrame) -> DataFrame:
+    """(app_id, row, exported): a table row for each app (app_id, name, environment, status, slug, issues), with its pages or the
+    reason why there are none."""
+    n = pages.groupBy("app_id").agg(F.count(F.lit(1)).alias("pages"))
+    own = apps.join(n, "app_id", "left").withColumn("exported", F.col("pages").isNotNull())
+    cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))
+    name = F.when(F.col("exported"), F.concat(F.lit('<a href="'), F.col("slug"), F.lit('/Home.html">'), html_escaped(F.col("name")), F.lit("</a>"))).otherwise(html_escaped(F.col("name")))
+    last = F.when(F.col("exported"), F.concat(F.col("pages").cast("string"), F.lit(" page(s)"))).otherwise(F.lit("No wiki generated yet"))
+    issues = F.coalesce(F.col("issues").cast("string"), F.lit("—"))
+    environment = F.coalesce(F.nullif("environment", F.lit("")), F.lit("—"))
+    row = F.concat(F.lit("<tr>"), cell(name), cell(environment), cell(F.col("status")), cell(issues), cell(last), F.lit("</tr>"))
+    return own.select("app_id", row.alias("row"), "exported")

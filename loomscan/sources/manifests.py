@@ -30,6 +30,8 @@ RESTRICTIVE_MEDIUM = "LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0
 PACKAGE = "dependencies map<string,string>, devDependencies map<string,string>, main string, scripts map<string,string>"
 INSTALLED = "name string, version string, license string, licenses array<struct<type:string>>"
 TOP = 30
+#: Packages asked for at once, ids shown of one.
+BATCH, IDS = 500, 3
 
 
 def manifests(files: DataFrame, spark: SparkSession) -> DataFrame:
@@ -108,6 +110,16 @@ def capped(rows: DataFrame, order: list, what: str) -> DataFrame:
     return rows.orderBy(*order).limit(TOP).unionByName(more, allowMissingColumns=True)
 
 
+def advisory_hits(answers: DataFrame) -> DataFrame:
+    """(name, ids) of a batch's answers (names, results by position): packages with ids, at most TOP of them with at most IDS
+    ids each, and a row that says how many more there are."""
+    both = F.filter(F.arrays_zip("names", "results"), lambda x: F.size(x["results"]) > 0)
+    rows = answers.select(F.transform(F.slice("names", 1, BATCH), lambda n: n).alias("names"), "results").select(both.alias("x"))
+    shown = rows.select(F.explode(F.slice("x", 1, TOP)).alias("x")).select(F.col("x.names").alias("name"), F.slice("x.results", 1, IDS).alias("ids"))
+    more = rows.where(F.size("x") > TOP).select(F.concat((F.size("x") - TOP).cast("string"), F.lit(" more")).alias("name"), F.array().cast("array<string>").alias("ids"))
+    return shown.union(more)
+
+
 def installed(files: DataFrame) -> DataFrame:
     """(name, version, license) of package.json files under node_modules; the older list form is joined by OR."""
     own = files.where(F.col("rel_path").rlike(r"(^|/)node_modules/(?:@[^/]+/)?[^/]+/package\.json$")).select(F.from_json("content", INSTALLED).alias("p"), F.get_json_object("content", "$.license.type").alias("typed"))
