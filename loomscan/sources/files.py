@@ -1,4 +1,4 @@
-"""Source trees as file rows: the driver lists and prunes names, tasks read contents."""
+"""Source trees as file rows: tasks list, prune and read."""
 
 from __future__ import annotations
 
@@ -33,10 +33,38 @@ def walk(root: str, depth: int | None = None) -> Iterator[tuple[str, str, int, i
             yield path, os.path.splitext(name)[1].lower(), stat.st_size, int(stat.st_mtime * 1000)
 
 
+def folders(root: str, depth: int | None) -> list[tuple[str, bool]]:
+    """(folder, with all below): work for the listing tasks; only folders of the first two levels are listed here."""
+    out, level = [], [""]
+    for n in range(3):
+        deep = n == 2 and (depth is None or depth > 2)
+        out += [(f, deep) for f in level]
+        if n == 2 or depth is not None and n + 1 >= depth:
+            break
+        level = [f"{f}/{e.name}".lstrip("/") for f in level for e in os.scandir(os.path.join(root, f)) if e.is_dir() and e.name not in IGNORED_DIRS and not e.name.startswith(".")]
+    return out
+
+
 def listing(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
-    """File rows without content; binaries and lock files are left out."""
-    rows = [r for r in walk(root, depth) if r[1] not in BINARY_EXTENSIONS and r[0].rpartition("/")[2] not in LOCK_FILES]
-    return spark.createDataFrame(rows, "rel_path string, ext string, size_bytes long, mtime_ms long")
+    """File rows without content; binaries and lock files are left out. Tasks list the folders, so the tree lies where all of
+    them can read it; the driver sees folders of the first two levels only."""
+    root = os.path.abspath(root)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+    work = sorted(folders(root, depth))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for folder, deep in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                below = None if depth is None else depth - folder.count("/") - (folder != "")
+                found = walk(os.path.join(root, folder), below if deep else 1)
+                rows = [(f"{folder}/{p}".lstrip("/"), *rest) for p, *rest in found if rest[0] not in BINARY_EXTENSIONS and p.rpartition("/")[2] not in LOCK_FILES]
+                for i in range(0, len(rows), 10_000):
+                    columns = zip(*rows[i : i + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rel_path", "ext", "size_bytes", "mtime_ms"])
+
+    spread = spark.createDataFrame(work, "folder string, deep boolean").repartition(max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism)))
+    return spread.mapInArrow(run, "rel_path string, ext string, size_bytes long, mtime_ms long")
 
 
 def top_level(spark: SparkSession, root: str) -> DataFrame:
