@@ -16,13 +16,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS = 256
 
 
+#: Folders under the shared one that this session made.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or where it is unset, as in tests, a local one; a
+    cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         sc = spark.sparkContext
         path = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
         if not path:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomscan-"))
             path = sc.getCheckpointDir()
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -31,7 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove the intermediate tables, indexes and archives of this session; results that are still lazy need them."""
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

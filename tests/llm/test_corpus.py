@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -193,6 +194,69 @@ def test_toxicity_held_out_and_counterfactual(spark):
         assert toxicity.score(probe, empty).agg(F.max("score")).collect()[0][0] == 0.0
 
 
+def plain_fit(rows, penalty=1.0):
+    """The classifier from its definition: counts, likelihood ratios, and gradient descent over dense rows."""
+    of = {}
+    feats = lambda w: of.setdefault(w, set(toxicity.features(w.encode())))
+    sets = [(set().union(*map(feats, set(words(t)))) if words(t) else set(), y) for _, t, y in rows]
+    yes, no = sum(y for _, y in sets), sum(1 - y for _, y in sets)
+    a, m = Counter(f for s, y in sets if y for f in s), Counter(f for s, _ in sets for f in s)
+    p, n = yes / (yes + no), yes + no
+    term = lambda x, e: x * math.log(x / e) if x > 0 else 0.0
+    llr = lambda f: 2 * (term(a[f], m[f] * p) + term(m[f] - a[f], m[f] * (1 - p)) + term(yes - a[f], (n - m[f]) * p) + term(no - m[f] + a[f], (n - m[f]) * (1 - p)))
+    chosen = sorted(f for f in m if llr(f) > 2 * math.log(max(len(m) + 1, 2)) and a[f] > m[f] * p and a[f] >= 2)
+    vector = lambda s: np.array([f in s for f in chosen], float)
+    x, y = np.array([vector(s) for s, _ in sets]), np.array([y for _, y in sets])
+    change = []
+    for _, t, _ in rows:
+        own = set(words(t))
+        for neutral, *terms in toxicity.kinds():
+            for i, w in enumerate(terms):
+                if w in own:
+                    others = dict.fromkeys([neutral, *(terms[(i + k) % len(terms)] for k in (1, 2, 3))])
+                    after = [set().union(*map(feats, (own - {w}) | {o})) for o in others if o != w]
+                    change += [d for s in after if (d := vector(s) - vector(set().union(*map(feats, own)))).any()]
+    change = np.array(change).reshape(-1, len(chosen))
+    share = (np.where(y == 1, 0.25 / p, 0.25 / (1 - p)) + 0.5) / n
+
+    def loss(w, b):
+        z = x @ w + b
+        fit = (share * (np.logaddexp(0, z) - y * z)).sum()
+        return fit + 0.5e-4 * w @ w + 2e-4 * np.abs(w).sum() + (penalty * ((change @ w) ** 2).mean() if len(change) else 0)
+
+    return chosen, loss
+
+
+def test_toxicity_fit_by_definition(spark):
+    rows = toxic_set(random.Random(8), 240)
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    chosen, loss = plain_fit(rows)
+    assert model["chosen"].tolist() == chosen and len(chosen) > 3
+    best = loss(model["weights"], model["bias"])
+    rng = np.random.default_rng(1)
+    for size in (1e-3, 1e-2, 0.1, 1.0):  # no weights near or far have a lower loss
+        for _ in range(50):
+            assert loss(model["weights"] + size * rng.normal(size=len(chosen)), model["bias"] + size * rng.normal()) > best - 1e-6
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    for i, t, _ in rows[:50]:
+        own = set().union(*(toxicity.features(w.encode()) for w in set(words(t))))
+        z = model["bias"] + sum(w for f, w in zip(chosen, model["weights"]) if f in own)
+        assert abs(got[i] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_swaps_stay_in_kind_and_do_not_grow_with_mentions(spark):
+    reader = toxicity.Reader(np.array(sorted({f for w in (b"gay", b"straight", b"person", b"women") for f in toxicity.features(w)})), toxicity.kinds())
+    assert {o for o in reader.others[b"gay"]} == {b"person", b"lesbian", b"straight", b"transgender"} and b"arm" not in reader.others
+    every = " ".join(t for _, *terms in toxicity.kinds() for t in terms)
+    rows = [(i, every + (" idiot" if i % 2 else " tree"), i % 2) for i in range(60)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    assert score[1] > 0.7 > 0.3 > score[0]
+
+
 # --- 5
 
 
@@ -680,3 +744,37 @@ def test_pipeline_brute_force(spark, tmp_path):
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "fp"]
         assert [tuple(r) for r in out.select("score", "fp").distinct().collect()] == [("own", 7)]
         assert stage(spark, extra.limit(0), sf).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    vocab = ["tree", "river", "cloud", "stone", "walk", "green", "light", "paper", "music", "sand", "wind", "glass"]
+    clean = [" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(150)]
+    item = " ".join(rng.choice(vocab) + "x" for _ in range(14))
+    odd = [(None, clean[0] + " own", "en"), (None, None, None), (500, None, None), (501, "", "en"), (502, "12 34", None), (3, clean[3], "en"), (3, "a wholly " + clean[20][::-1], "en"), (7, clean[140] + " " + item, "en"), (503, "long " + " ".join(clean * 20), "en")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(clean)] + [(i, t, x, None, None) for i, t, x in odd]
+    d = spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit("own")).withColumn("row", F.lit(1)).withColumn("key", F.lit(2))
+    sf = write(spark, tmp_path / "d", documents=d, labels=spark.createDataFrame([(i, 0) for i in range(50)], "doc_id long, toxic int"), benchmark=spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))
+    kept = {name: stage(spark, d, sf).collect() for name, stage in corpus_pipeline.STAGES[:-1]}
+    assert all(r.asDict()["fp"] == "own" and (r["row"], r["key"]) == (1, 2) for out in kept.values() for r in out)
+    pairs = lambda name: Counter((r["doc_id"], r["text"]) for r in kept[name])
+    whole = Counter((i, t) for i, t, *_ in rows)
+    assert pairs("toxicity") == whole
+    assert whole - pairs("language ID") >= Counter({(None, None): 1, (500, None): 1, (501, ""): 1, (502, "12 34"): 1}) and pairs("language ID")[(None, odd[0][1])] == 1
+    near = pairs("SimHash near-dedup")
+    fp = {t: slow_fingerprint(t) for _, t in whole}
+    assert near[(3, clean[3])] == 1 and near[(3, odd[6][1])] == 1 and sum(n for (_, t), n in near.items() if fp[t] == 0) == 1 and near[(500, None)] + near[(501, "")] == 1
+    assert pairs("benchmark decontamination") == whole - Counter({(7, odd[7][1]): 1})
+    done = corpus_pipeline.run(spark, sf).collect()
+    assert all(r["exact"] for r in done) and Counter(r["doc_id"] for r in done)[3] == 2
+
+
+def test_stored_folders_can_be_dropped(spark):
+    from loomscan.llm import common
+
+    path = common.fresh_path(spark, "probe")
+    spark.range(3).write.parquet(path)
+    common.drop_stored(spark)
+    assert not common._made and not os.path.exists(path.removeprefix("file:"))
