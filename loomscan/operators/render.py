@@ -23,9 +23,11 @@ def issue_pages(active: DataFrame) -> DataFrame:
 
 
 def flowchart(edges: DataFrame, key: str = "entry") -> DataFrame:
-    """(entry, text): Mermaid text of edges (entry, src, dst), labels cut at 80 characters."""
-    label = lambda c: F.replace(F.replace(F.substring(c, 1, 80), F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
-    line = F.concat(F.lit('  n'), F.crc32(F.col("src").cast("binary")).cast("string"), F.lit('["'), label(F.col("src")), F.lit('"] --> n'), F.crc32(F.col("dst").cast("binary")).cast("string"), F.lit('["'), label(F.col("dst")), F.lit('"]'))
+    """(entry, text): Mermaid text of edges (entry, src, dst); labels over 80 characters are cut and say so."""
+    plain = lambda c: F.replace(F.replace(F.col(c), F.lit('"'), F.lit("'")), F.lit("\n"), F.lit(" "))
+    label = lambda c: F.when(F.length(c) > 80, F.concat(F.substring(plain(c), 1, 79), F.lit("…"))).otherwise(plain(c))
+    node = lambda c: F.concat(F.lit("n"), F.substring(F.sha1(F.col(c).cast("binary")), 1, 12), F.lit('["'), label(c), F.lit('"]'))
+    line = F.concat(F.lit("  "), node("src"), F.lit(" --> "), node("dst"))
     return edges.groupBy(key).agg(F.concat(F.lit("flowchart TD\n"), F.array_join(F.array_sort(F.collect_set(line)), "\n")).alias("text"))
 
 

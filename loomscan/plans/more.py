@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscan.operators import detect, extract, history, render
+from loomscan.operators import detect, extract, history, render, state
 from loomscan.plans import portfolio as pf
 from loomscan.plans.portfolio import ctes, query
 from loomscan.plans.scans import TREE, files, register, values
@@ -201,6 +201,37 @@ golden(
 )
 
 
+FLOW = [("a", "load users", 'check "id"'), ("a", 'check "id"', "x" * 90), ("a", "load users", 'check "id"'), ("b", "one", "two")]
+LABEL = "CASE WHEN len({0}) > 80 THEN replace({0}, chr(34), chr(39))[1:79] || '…' ELSE replace({0}, chr(34), chr(39)) END"
+NODE = "'n' || substr(sha1({0}), 1, 12) || '[\"' || " + LABEL + " || '\"]'"
+EDGE = f"'  ' || {NODE.format('src')} || ' --> ' || {NODE.format('dst')}"
+register(
+    "mermaid_flow", lambda spark: render.flowchart(spark.createDataFrame(FLOW, "entry string, src string, dst string")),
+    f"SELECT entry, 'flowchart TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT DISTINCT entry, {EDGE} AS line FROM ({values('entry, src, dst', *FLOW)})) GROUP BY entry",
+    "Flowcharts of edges.",
+)
+register(
+    "broken_links", lambda spark: render.broken_links(wiki(spark).select("path", "content")),
+    values("path, target", ("Home.md", "Gone.md"), ("Home.md", "https://a.org/x.md"), ("Process-Flows/users.md", "../Home.md")),
+    "Links, as written, that name no page from the root.",
+)
+
+
+@query("""WITH log AS (SELECT user_id % 50 AS app_id, event_type AS fingerprint, ['open', 'acknowledged', 'false_positive', 'fixed'][(event_id % 4 + 1)::int] AS state,
+ CASE WHEN event_id % 3 = 0 THEN '' ELSE 'u' || user_id % 3 END AS assignee, ts AS updated_at FROM events)
+SELECT app_id, fingerprint, state, assignee FROM (SELECT *, row_number() OVER (PARTITION BY app_id, fingerprint ORDER BY updated_at DESC, state DESC) AS rn FROM log) WHERE rn = 1 AND NOT (state = 'open' AND assignee = '')""")
+def triage_upsert(spark, sf):
+    """The triage table after a log of decisions."""
+    e = fx.read(spark, sf, "events")
+    states = F.array(*map(F.lit, ("open", "acknowledged", "false_positive", "fixed")))
+    assignee = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")))
+    log = e.select(
+        (F.col("user_id") % 50).alias("app_id"), F.col("event_type").alias("fingerprint"), F.get(states, (F.col("event_id") % 4).cast("int")).alias("state"),
+        assignee.alias("assignee"), F.col("ts").alias("updated_at"),
+    )
+    return state.upsert(log).select("app_id", "fingerprint", "state", "assignee")
+
+
 @query(ctes(fx.SQL_APPS) + "SELECT environment, count(*) AS apps, count(*) FILTER (WHERE NOT archived) AS exported FROM apps GROUP BY 1")
 def export_counts(spark, sf):
     return fx.apps(spark, sf).groupBy("environment").agg(F.count(F.lit(1)).alias("apps"), F.count_if(~F.col("archived")).alias("exported"))

@@ -233,6 +233,7 @@ def onboarding_signals(spark, sf):
 def override_coalesce(spark, sf):
     """A person's text, else a generated one, else the placeholder."""
     f = fx.issues(spark, sf).select("file", "category").distinct()
-    own = f.where("file like 'src/red/%'").select("file", F.concat(F.lit("owner of "), F.col("file")).alias("o")).distinct()
-    made = f.where("category in ('ECONOMY', 'PROMO')").select("category", F.concat(F.lit("about "), F.col("category")).alias("g")).distinct()
-    return f.join(own, "file", "left").join(made, "category", "left").select("file", "category", F.coalesce("o", "g", F.lit("none")).alias("description"))
+    keys = ["file", "category"]
+    own = f.where("file like 'src/red/%'").select(*keys, F.concat(F.lit("owner of "), F.col("file")).alias("text"))
+    made = f.where("category in ('ECONOMY', 'PROMO')").select(*keys, F.concat(F.lit("about "), F.col("category")).alias("text"))
+    return state.described(f, own, made, keys, "none").select(*keys, "description")

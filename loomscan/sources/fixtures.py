@@ -79,7 +79,9 @@ SQL_ISSUES = """issues AS (SELECT *, category || '::' || file || '::' || line ||
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey))"""
 SQL_TRIAGE = """triage AS (SELECT * FROM (SELECT app_id, fingerprint, CASE WHEN h IN ('0', '1', '2') THEN 'false_positive' WHEN h IN ('3', '4') THEN 'fixed' WHEN h IN ('5', '6') THEN 'acknowledged' END AS state
  FROM (SELECT DISTINCT app_id, fingerprint, substr(md5(app_id || '|' || fingerprint), 1, 1) AS h FROM issues)) WHERE state IS NOT NULL)"""
-SQL_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{g}', '{glob_regex(g)}', {f"TIMESTAMP '{e}'" if e else 'CAST(NULL AS TIMESTAMP)'})" for i, c, g, e in RULES) + ") AS r(rule_id, rule_category, pattern, regex, expires_at))"
+#: What the globs mean, written by hand.
+MEANT = {"src/red/**": "src/red/.*", "src/small/*.js": "src/small/[^/]*[.]js", "**/ring.js": "(.*/)?ring[.]js", "**/widget.js": "(.*/)?widget[.]js"}
+SQL_RULES = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}', '{g}', '{MEANT[g]}', {f"TIMESTAMP '{e}'" if e else 'CAST(NULL AS TIMESTAMP)'})" for i, c, g, e in RULES) + ") AS r(rule_id, rule_category, pattern, regex, expires_at))"
 SQL_SEVERITY = "sev AS (SELECT * FROM (VALUES ('Critical', 0), ('High', 1), ('Medium', 2), ('Low', 3)) AS s(severity, rank))"
 SQL_ACTIVE = f"""active AS (SELECT i.* FROM issues i LEFT JOIN triage t USING (app_id, fingerprint) WHERE coalesce(t.state, 'open') NOT IN ('false_positive', 'fixed')
  AND NOT EXISTS (SELECT 1 FROM rules r WHERE (r.rule_category = 'any' OR r.rule_category = i.category) AND (r.expires_at IS NULL OR r.expires_at >= TIMESTAMP '{NOW}') AND regexp_full_match(i.file, r.regex)))"""
