@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.functions.text import matches_with_lines
-from loomscan.operators.detect import union
 
 JS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 #: What a Rails `resources` line declares: action, method, suffix.
@@ -60,23 +59,58 @@ def components(files: DataFrame) -> DataFrame:
     return known.select("rel_path", F.explode(F.concat(*[part(*c) for c in COMPONENTS])).alias("x")).select("rel_path", "x.*")
 
 
+ROUTE = "array<struct<method:string,path:string,handler:string,line:int>>"
+#: Method, path and handler of a match, by framework: groups of the pattern.
+EXPRESS = r"\b(?:app|router|\w+Router)\.(get|post|put|patch|delete|all)\(\s*[\"'`](/[^\"'`]*)[\"'`]\s*,\s*(?:[\w.]+\s*,\s*)*([A-Za-z_$][\w$.]*)?"
+FLASK = r"@\w+\.route\(\s*[\"']([^\"']+)[\"']([^)]*)\)\s*(?:@[^\n]*\n\s*)*(?:async\s+)?def\s+(\w+)"
+FASTAPI = r"@\w+\.(get|post|put|patch|delete)\(\s*[\"']([^\"']*)[\"'][^)]*\)\s*(?:async\s+)?def\s+(\w+)"
+GO = r"\b\w+\.(GET|POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)\"\s*,\s*(?:func\b|([\w.]+))"
+GO_HANDLED = r"http\.HandleFunc\(\s*\"([^\"]+)\"\s*,\s*(\w+)?"
+RAILS = r"(?m)^[ \t]*(get|post|put|patch|delete)\s+[\"']([^\"']+)[\"'](?:\s*,\s*to:\s*|\s*=>\s*)?[\"']?([\w#/]*)"
+RAILS_RESOURCES = r"(?m)^[ \t]*resources\s+:(\w+)"
+SPRING = (
+    r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*\n\s*)*"
+    r"(?:public\s+|private\s+|fun\s+)?(?:[\w<>\[\], ?]+\s+)?(\w+)\s*\("
+)
+SPRING_CLASS = r"@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*\n\s*)*(?:public\s+)?(?:abstract\s+)?class\b"
+LARAVEL = r"Route::(get|post|put|patch|delete)\(\s*[\"']([^\"']+)[\"']\s*,\s*(?:\[\s*[\w\\]+::class\s*,\s*[\"'](\w+)[\"'])?"
+
+
 def routes(files: DataFrame) -> DataFrame:
-    """(rel_path, method, path, handler, line) over eight frameworks."""
-    as_route = lambda d: d.select("rel_path", F.upper("method").alias("method"), "path", F.coalesce(F.nullif("handler", F.lit("")), F.lit("(inline)")).alias("handler"), "line")
-    express = rows(files, JS, r"\b(?:app|router|\w+Router)\.(get|post|put|patch|delete|all)\(\s*[\"'`](/[^\"'`]*)[\"'`]\s*,\s*(?:[\w.]+\s*,\s*)*([A-Za-z_$][\w$.]*)?", ("method", 1), ("path", 2), ("handler", 3)).withColumn("handler", F.when(F.col("handler").isin("async", "function"), "").otherwise(F.col("handler")))
-    flask = rows(files, [".py"], r"@\w+\.route\(\s*[\"']([^\"']+)[\"']([^)]*)\)\s*(?:@[^\n]*\n\s*)*(?:async\s+)?def\s+(\w+)", ("path", 1), ("rest", 2), ("handler", 3))
-    methods = F.regexp_extract_all(F.regexp_extract("rest", r"methods\s*=\s*[\[(]([^\])]*)", 1), F.lit(r"[\"'](\w+)[\"']"), 1)
-    flask = flask.withColumn("method", F.explode(F.when(F.size(methods) > 0, methods).otherwise(F.array(F.lit("GET")))))
-    fastapi = rows(files, [".py"], r"@\w+\.(get|post|put|patch|delete)\(\s*[\"']([^\"']*)[\"'][^)]*\)\s*(?:async\s+)?def\s+(\w+)", ("method", 1), ("path", 2), ("handler", 3))
-    go = rows(files, [".go"], r"\b\w+\.(GET|POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)\"\s*,\s*(?:func\b|([\w.]+))", ("method", 1), ("path", 2), ("handler", 3))
-    handled = rows(files, [".go"], r"http\.HandleFunc\(\s*\"([^\"]+)\"\s*,\s*(\w+)?", ("path", 1), ("handler", 2)).withColumn("method", F.lit("ANY"))
-    rails_files = files.where(F.col("rel_path").endswith("config/routes.rb"))
-    rails = rows(rails_files, None, r"(?m)^\s*(get|post|put|patch|delete)\s+[\"']([^\"']+)[\"'](?:\s*,\s*to:\s*|\s*=>\s*)?[\"']?([\w#/]*)", ("method", 1), ("path", 2), ("handler", 3)).withColumn("path", F.concat(F.lit("/"), F.ltrim(F.col("path"), F.lit("/"))))
-    seven = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(m).alias("method"), F.lit(s).alias("suffix")) for a, m, s in RESOURCES])
-    resources = rows(rails_files, None, r"(?m)^\s*resources\s+:(\w+)", ("name", 1)).withColumn("r", F.explode(seven)).select("rel_path", "line", F.col("r.method").alias("method"), F.concat(F.lit("/"), F.col("name"), F.col("r.suffix")).alias("path"), F.concat("name", F.lit("#"), F.col("r.action")).alias("handler"))
-    spring = rows(files, [".java", ".kt"], r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*\n\s*)*(?:public\s+|private\s+|fun\s+)?(?:[\w<>\[\], ?]+\s+)?(\w+)\s*\(", ("method", 1), ("path", 2), ("handler", 3))
-    laravel = rows(files, [".php"], r"Route::(get|post|put|patch|delete)\(\s*[\"']([^\"']+)[\"']\s*,\s*(?:\[\s*[\w\\]+::class\s*,\s*[\"'](\w+)[\"'])?", ("method", 1), ("path", 2), ("handler", 3)).withColumn("path", F.concat(F.lit("/"), F.ltrim(F.col("path"), F.lit("/"))))
-    return union([as_route(d) for d in (express, flask, fastapi, go, handled, rails, resources, spring, laravel)] + [next_routes(files)])
+    """(rel_path, method, path, handler, line) over eight frameworks; a file is read once."""
+    content = F.col("content")
+    group = lambda x, pattern, i: F.regexp_extract(x["match"], pattern, i)
+    rooted = lambda path: F.concat(F.lit("/"), F.ltrim(path, F.lit("/")))
+
+    def route(x: Column, method: Column, path: Column, handler: Column) -> Column:
+        return F.struct(F.upper(method).alias("method"), path.alias("path"), F.coalesce(F.nullif(handler, F.lit("")), F.lit("(inline)")).alias("handler"), x["line"].cast("int").alias("line"))
+
+    def plain(pattern: str, path=lambda p: p, handler=lambda h: h) -> Column:
+        return F.transform(matches_with_lines(content, pattern), lambda x: route(x, group(x, pattern, 1), path(group(x, pattern, 2)), handler(group(x, pattern, 3)))).cast(ROUTE)
+
+    def flask() -> Column:
+        named = lambda x: F.regexp_extract_all(F.regexp_extract(group(x, FLASK, 2), r"methods\s*=\s*[\[(]([^\])]*)", 1), F.lit(r"[\"'](\w+)[\"']"), 1)
+        methods = lambda x: F.when(F.size(named(x)) > 0, named(x)).otherwise(F.array(F.lit("GET")))
+        return F.flatten(F.transform(matches_with_lines(content, FLASK), lambda x: F.transform(methods(x), lambda m: route(x, m, group(x, FLASK, 1), group(x, FLASK, 3))))).cast(ROUTE)
+
+    def resources() -> Column:
+        seven = F.array(*[F.struct(F.lit(a).alias("action"), F.lit(m).alias("method"), F.lit(s).alias("suffix")) for a, m, s in RESOURCES])
+        name = lambda x: group(x, RAILS_RESOURCES, 1)
+        of = lambda x: F.transform(seven, lambda r: route(x, r["method"], F.concat(F.lit("/"), name(x), r["suffix"]), F.concat(name(x), F.lit("#"), r["action"])))
+        return F.flatten(F.transform(matches_with_lines(content, RAILS_RESOURCES), of)).cast(ROUTE)
+
+    handled = F.transform(matches_with_lines(content, GO_HANDLED), lambda x: route(x, F.lit("ANY"), group(x, GO_HANDLED, 1), group(x, GO_HANDLED, 2))).cast(ROUTE)
+    prefix = F.regexp_replace(F.regexp_extract(content, SPRING_CLASS, 1), "/+$", "")  # of the class
+    spring = plain(SPRING, lambda p: F.concat(prefix, F.when((p != "") | (prefix == ""), rooted(p)).otherwise(p)))
+    ext, none = F.col("ext"), F.array().cast(ROUTE)
+    by_family = [
+        (ext.isin(JS), plain(EXPRESS, handler=lambda h: F.when(h.isin("async", "function"), "").otherwise(h))), (ext == ".py", F.concat(flask(), plain(FASTAPI))), (ext == ".go", F.concat(plain(GO), handled)),
+        (F.col("rel_path").endswith("config/routes.rb"), F.concat(plain(RAILS, rooted), resources())), (ext.isin(".java", ".kt"), spring), (ext == ".php", plain(LARAVEL, rooted)),
+    ]
+    found, some = none, F.lit(False)
+    for cond, column in by_family:
+        found, some = F.when(cond, column).otherwise(found), some | cond
+    return files.where(some).select("rel_path", F.explode(found).alias("x")).select("rel_path", "x.*").unionByName(next_routes(files))
 
 
 def route_calls(routes_: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -104,17 +138,35 @@ def next_routes(files: DataFrame) -> DataFrame:
     return files.where(page).select("rel_path", F.explode(method).alias("method"), next_path(p).alias("path"), F.lit("(file)").alias("handler"), F.lit(1).alias("line"))
 
 
+MODEL = "array<struct<origin:string,model:string,field:string,type:string,line:int>>"
+#: Origin, extensions, pattern of a model (name, body), pattern of its fields (name, type).
+MODELS = [
+    (
+        "sql", [".sql"], r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([\w.]+)[\"`\]]?\s*\(((?:[^()]|\([^()]*\))*)\)",
+        r"(?im)(?:^|,)\s*[\"`\[]?(?!primary\b|unique\b|index\b|key\b|constraint\b|check\b|foreign\b)(\w+)[\"`\]]?\s+(\w+(?:\s*\([\d\s,]*\))?)",
+    ),
+    ("prisma", [".prisma"], r"(?m)^model\s+(\w+)\s*\{([^}]*)\}", r"(?m)^\s+(\w+)\s+(\w+(?:\[\])?\??)"),
+    ("django", [".py"], r"(?m)^class\s+(\w+)\([^)]*\bModel\)\s*:\n((?:[ \t]+[^\n]*\n?|\n)*)", r"(?m)^\s+(\w+)\s*=\s*models\.(\w+)\("),
+    (
+        "typeorm", JS, r"(?s)@Entity\([^)]*\)\s*(?:export\s+)?class\s+(\w+)[^{]*\{(.*?)\n\}",
+        r"(?s)@(?:PrimaryGeneratedColumn|PrimaryColumn|Column|CreateDateColumn|UpdateDateColumn)\([^)]*\)\s*(\w+)[?!]?\s*:\s*([\w\[\]]+)",
+    ),
+    (
+        "mongoose", JS, r"(?s)(\w+)\s*=\s*new\s+(?:mongoose\.)?Schema\(\s*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}",
+        r"(?s)(?:^|,)\s*(\w+)\s*:\s*(?:\{\s*type\s*:\s*)?\[?\s*(\w+)",
+    ),
+]
+
+
 def models(files: DataFrame) -> DataFrame:
-    """(rel_path, origin, model, field, type, line) of SQL tables, Prisma, Django, TypeORM and Mongoose models."""
-    sql = rows(files, [".sql"], r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([\w.]+)[\"`\]]?\s*\(((?:[^()]|\([^()]*\))*)\)", ("model", 1), ("body", 2))
-    sql = fields(sql, r"(?im)(?:^|,)\s*[\"`\[]?(?!primary\b|unique\b|index\b|key\b|constraint\b|check\b|foreign\b)(\w+)[\"`\]]?\s+(\w+(?:\s*\([\d\s,]*\))?)", "sql")
-    prisma = fields(rows(files, [".prisma"], r"(?m)^model\s+(\w+)\s*\{([^}]*)\}", ("model", 1), ("body", 2)), r"(?m)^\s+(\w+)\s+(\w+(?:\[\])?\??)", "prisma")
-    django = fields(rows(files, [".py"], r"(?m)^class\s+(\w+)\([^)]*\bModel\)\s*:\n((?:[ \t]+[^\n]*\n?|\n)*)", ("model", 1), ("body", 2)), r"(?m)^\s+(\w+)\s*=\s*models\.(\w+)\(", "django")
-    typeorm = fields(rows(files, JS, r"(?s)@Entity\([^)]*\)\s*(?:export\s+)?class\s+(\w+)[^{]*\{(.*?)\n\}", ("model", 1), ("body", 2)), r"(?s)@(?:PrimaryGeneratedColumn|PrimaryColumn|Column|CreateDateColumn|UpdateDateColumn)\([^)]*\)\s*(\w+)[?!]?\s*:\s*([\w\[\]]+)", "typeorm")
-    mongoose = fields(rows(files, JS, r"(?s)(\w+)\s*=\s*new\s+(?:mongoose\.)?Schema\(\s*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}", ("model", 1), ("body", 2)), r"(?s)(?:^|,)\s*(\w+)\s*:\s*(?:\{\s*type\s*:\s*)?\[?\s*(\w+)", "mongoose")
-    return union([sql, prisma, django, typeorm, mongoose])
-
-
-def fields(bodies: DataFrame, pattern: str, origin: str) -> DataFrame:
-    found = bodies.select("rel_path", "model", "line", F.explode(F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).alias("m"))
-    return found.select("rel_path", F.lit(origin).alias("origin"), "model", F.regexp_extract("m", pattern, 1).alias("field"), F.regexp_extract("m", pattern, 2).alias("type"), "line")
+    """(rel_path, origin, model, field, type, line) of SQL tables, Prisma, Django, TypeORM and Mongoose models; a file is
+    read once."""
+
+    def part(origin: str, exts: list[str], pattern: str, field: str) -> Column:
+        own = lambda x: F.regexp_extract_all(F.regexp_extract(x["match"], pattern, 2), F.lit(field), F.lit(0))
+        row = lambda x, m: F.struct(F.lit(origin).alias("origin"), F.regexp_extract(x["match"], pattern, 1).alias("model"), F.regexp_extract(m, field, 1).alias("field"), F.regexp_extract(m, field, 2).alias("type"), x["line"].alias("line"))
+        found = F.flatten(F.transform(matches_with_lines(F.col("content"), pattern), lambda x: F.transform(own(x), lambda m: row(x, m))))
+        return F.when(F.col("ext").isin(exts), found.cast(MODEL)).otherwise(F.array().cast(MODEL))
+
+    known = files.where(F.col("ext").isin([".sql", ".prisma", ".py", *JS]))
+    return known.select("rel_path", F.explode(F.concat(*[part(*m) for m in MODELS])).alias("x")).select("rel_path", "x.*")
