@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscan.llm import bpe, chat, decontam, extract, langid, licenses, mtree, simhash, toxicity, warc
-from loomscan.llm.common import table
+from loomscan.llm.common import spread, table
 
 
 def tokenizer_path() -> str:
@@ -22,12 +22,12 @@ def remainder(n: int, column: str = "doc_id") -> F.Column:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
+    both = bpe.round_trip(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), tokenizer_path()).drop("text")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, matches = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    index, matches = decontam.decontaminate(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     report = decontam.document_report(index, matches)
     return report.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
@@ -41,7 +41,7 @@ def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
-    scored = toxicity.score(docs, model).drop("text")
+    scored = toxicity.score(spread(docs), model).drop("text")
     return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -50,24 +50,24 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).drop("text")
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = langid.fit(docs.where(remainder(5) != 0))
     found = langid.predict(docs.drop("lang"), model).drop("text")
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+    found = extract.extract(spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))).drop("html")
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
