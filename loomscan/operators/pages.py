@@ -101,6 +101,47 @@ def change_pages(changes: DataFrame) -> DataFrame:
     return scans.groupBy("app_id").agg(in_order((-F.unix_micros(F.col("scanned_at").cast("timestamp"))).alias("t"), text=line).alias("body")).select("app_id", *page(F.lit("Change-Log.md"), F.lit("Change Log"), F.col("body")))
 
 
+def progress_pages(units: DataFrame) -> DataFrame:
+    """One page an app, from (app_id, unit, ord, status): how far the scan of each folder is."""
+    row = F.concat(F.lit("| "), F.col("unit"), F.lit(" | "), F.coalesce("status", F.lit("Not Started")), F.lit(" |"))
+    body = F.concat(F.lit("| Directory | Status |\n|---|---|\n"), in_order("ord", "unit", text=row))
+    return units.groupBy("app_id").agg(body.alias("body")).select("app_id", *page(F.lit("Progress.md"), F.lit("Progress"), F.col("body")))
+
+
+def architecture_pages(apps: DataFrame, folders: DataFrame, manifests: DataFrame, entries: DataFrame, routes: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """One page an app (app_id, models): its folders (path, level), manifests (rel_path, ecosystem, manager), entries (entry),
+    and route groups (method, path); a generated note (text) comes first. All sides carry app_id."""
+    indent = F.repeat(F.lit("  "), F.col("level") - 1)
+    last = F.element_at(F.split("path", "/"), -1)
+    by_app = lambda rows, name, *order, text: rows.groupBy("app_id").agg(in_order(*order, text=text).alias(name))
+    tree = by_app(folders, "tree", "path", text=F.concat(indent, F.lit("- "), last, F.lit("/")))
+    stack = by_app(manifests, "stack", "rel_path", text=F.concat(F.lit("- **"), F.col("ecosystem"), F.lit("**: "), ticked("rel_path"), F.lit(", "), F.col("manager")))
+    starts = by_app(entries, "starts", "entry", text=F.concat(F.lit("- "), ticked("entry")))
+    n = routes.groupBy("app_id", route_group(F.col("path")).alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    line = F.concat(F.lit("- ["), F.col("grp"), F.lit("](Process-Flows/"), slug(F.col("grp")), F.lit(".md): "), F.col("n").cast("string"), F.lit(" routes"))
+    flows = n.groupBy("app_id").agg(in_order("grp", text=line).alias("flows"), F.sum("n").alias("routes"), F.count(F.lit(1)).alias("groups"))
+    out = apps
+    for side in (tree, stack, starts, flows):
+        out = out.join(side, "app_id", "left")
+    out = out.join(notes.select("app_id", F.col("text").alias("note")), "app_id", "left") if notes is not None else out.withColumn("note", F.lit(None).cast("string"))
+    part = lambda title, c, none=NONE: F.concat(F.lit(f"## {title}\n\n"), F.coalesce(c, F.lit(none)), F.lit("\n\n"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    flow = F.concat(count("routes"), F.lit(" routes in "), count("groups"), F.lit(" groups, "), count("models"), F.lit(" models."))
+    body = F.concat(
+        F.coalesce(F.concat("note", F.lit("\n\n_(generated)_\n\n")), F.lit("")), part("Directory Structure", F.concat(F.lit("```\n"), F.col("tree"), F.lit("\n```"))),
+        part("Tech Stack", F.col("stack")), part("Entry Points", F.col("starts")), part("Data Flow", flow), F.lit("## Process Flow Groups\n\n"), F.coalesce("flows", F.lit(NONE)),
+    )
+    return out.select("app_id", *page(F.lit("Architecture.md"), F.lit("Architecture"), body))
+
+
+def no_flow_pages(apps: DataFrame, routes: DataFrame) -> DataFrame:
+    """One page for each app (app_id, frameworks) without any route."""
+    bare = apps.join(routes.select("app_id").distinct(), "app_id", "left_anti")
+    names = F.when(F.size("frameworks") > 0, F.array_join(F.array_sort("frameworks"), ", ")).otherwise("none")
+    body = F.concat(F.lit("No entry points were detected, so there is nothing to show.\n\nDetected frameworks: "), names, F.lit("."))
+    return bare.select("app_id", *page(F.lit("Process-Flows.md"), F.lit("Process Flows"), body))
+
+
 def tracker_payloads(issues: DataFrame) -> DataFrame:
     """Title and body under which a finding is filed with an issue tracker; the call itself is made elsewhere."""
     place = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"))

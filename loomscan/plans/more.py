@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscan.operators import detect, extract, history, render, state
+from loomscan.operators import detect, extract, history, pages, render, state
 from loomscan.plans import portfolio as pf
 from loomscan.plans.portfolio import ctes, query
 from loomscan.plans.scans import TREE, files, register, values
 from loomscan.plans.surface import golden
+from loomscan.sources import files as src
 from loomscan.sources import fixtures as fx
 from loomscan.sources import manifests
 
@@ -178,6 +179,28 @@ golden(
     "name, description", ("API_URL", "where the service is"), ("CACHE_DIR", ""), ("SERVICE_TOKEN", ""), ("ITEM_HOST", ""),
 )
 
+one = lambda df: df.withColumn("app_id", F.lit(1).cast("long"))
+golden(
+    "progress_pages", lambda f, s: pages.progress_pages(s.createDataFrame([(1, "src", 2, "Done"), (1, "app", 1, None), (1, "web", 3, "In Progress")], "app_id long, unit string, ord int, status string")),
+    "app_id, path, content", (1, "Progress.md", "# Progress\n\n| Directory | Status |\n|---|---|\n| app | Not Started |\n| src | Done |\n| web | In Progress |\n"),
+)
+SVC = "rel_path like 'svc/%' or rel_path = 'go.mod' or rel_path = 'config/routes.rb'"
+golden(
+    "architecture_pages",
+    lambda f, s: pages.architecture_pages(
+        s.createDataFrame([(1, 2), (2, 0)], "app_id long, models long"), one(src.tree(f.where(SVC))), one(manifests.manifests(f.where(SVC), s)), one(s.createDataFrame([("main.go",)], "entry string")),
+        one(extract.routes(f.where(SVC))), s.createDataFrame([(1, "A service.")], "app_id long, text string"),
+    ),
+    "app_id, path, content",
+    (1, "Architecture.md", "# Architecture\n\nA service.\n\n_(generated)_\n\n## Directory Structure\n\n```\n- config/\n- svc/\n```\n\n## Tech Stack\n\n- **Go**: `go.mod`, go modules\n\n## Entry Points\n\n- `main.go`\n\n## Data Flow\n\n11 routes in 5 groups, 2 models.\n\n## Process Flow Groups\n\n- [About](Process-Flows/about.md): 1 routes\n- [H](Process-Flows/h.md): 1 routes\n- [Orders](Process-Flows/orders.md): 1 routes\n- [Ping](Process-Flows/ping.md): 1 routes\n- [Posts](Process-Flows/posts.md): 7 routes\n"),
+    (2, "Architecture.md", "# Architecture\n\n## Directory Structure\n\n_none found_\n\n## Tech Stack\n\n_none found_\n\n## Entry Points\n\n_none found_\n\n## Data Flow\n\n0 routes in 0 groups, 0 models.\n\n## Process Flow Groups\n\n_none found_\n"),
+)
+golden(
+    "no_flow_pages", lambda f, s: pages.no_flow_pages(s.createDataFrame([(1, ["Vue"]), (2, ["React", "Koa"]), (3, [])], "app_id long, frameworks array<string>"), one(extract.routes(f.where(SVC)))), "app_id, path, content",
+    (2, "Process-Flows.md", "# Process Flows\n\nNo entry points were detected, so there is nothing to show.\n\nDetected frameworks: Koa, React.\n"),
+    (3, "Process-Flows.md", "# Process Flows\n\nNo entry points were detected, so there is nothing to show.\n\nDetected frameworks: none.\n"),
+)
+
 WIKI = [
     (1, "Home.md", "# Wiki & more\n\nSee [flows](Process-Flows/users.md), [none](Gone.md) and [out](https://a.org/x.md).\n- **one** `a<b`\n- two\n1. first\n---\n| A | B |\n|---|---|\n| [h](Home.md) | 2 |\n```\nx < y\n```"),
     (1, "Process-Flows/users.md", "## Users\n[back](../Home.md)"), (2, "Notes.md", "plain"),
