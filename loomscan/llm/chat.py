@@ -5,7 +5,7 @@ the prompt, what follows in each as its completion. A completion's mask lists (w
 order: weight 1 for assistant turns, 0 for turns that are context.
 
 Results: null roles and texts render as empty; turns that repeat a number are ordered by role and text; rows of a pair
-with one side only give that side as completion and an empty prompt; equal conversations give empty completions;
+with one side only give that side as completion and an empty prompt; rows without a pair id form one pair; equal conversations give empty completions;
 an empty table gives an empty table; extra columns are ignored.
 """
 

@@ -159,6 +159,16 @@ def test_preferences(spark):
     assert chat.preference_pairs(df.limit(0)).count() == 0
 
 
+def test_preferences_of_repeated_turns_long_texts_and_null_pairs(spark):
+    long = "word " * 200_000
+    rows = [(1, True, 0, "user", "b"), (1, True, 0, "user", "a"), (1, False, 0, "user", "a"), (1, False, 0, "user", "c"), (None, True, 0, "user", "q"), (None, False, 0, "user", "q"), (2, True, 0, "user", long), (2, False, 0, "user", long), (2, True, 1, "assistant", long), (2, False, None, "assistant", None)]
+    got = {r["pair_id"]: r for r in chat.preference_pairs(spark.createDataFrame(rows, "pair_id long, chosen boolean, turn int, role string, text string")).collect()}
+    show = lambda *texts: "".join(f"<|user|>\n{t}\n<|end|>\n" for t in texts)
+    assert (got[1]["prompt"], got[1]["chosen"], got[1]["rejected"]) == (show("a"), show("b"), show("c"))
+    assert (got[None]["prompt"], got[None]["chosen"], got[None]["rejected"]) == (show("q"), "", "")
+    assert got[2]["prompt_turns"] == 0 and got[2]["chosen"] == show(long) + f"<|assistant|>\n{long}\n<|end|>\n" and got[2]["rejected"].startswith("<|assistant|>\n\n<|end|>")  # a null turn comes first
+
+
 # --- 4
 
 
