@@ -118,8 +118,11 @@ def quoted(v: object) -> str:
 
 
 def values(columns: str, *rows: tuple) -> str:
-    """SQL of rows worked out by hand."""
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS t({columns})"
+    """SQL of rows worked out by hand; a column may name its type, as in `n::bigint`."""
+    names = [c.strip() for c in columns.split(",")]
+    bare = ", ".join(c.partition("::")[0] for c in names)
+    shown = ", ".join(f"{c} AS {c.partition('::')[0]}" if "::" in c else c for c in names)
+    return f"SELECT {shown} FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS t({bare})"
 
 
 def code_table(tree: dict[str, str]) -> str:
@@ -133,7 +136,7 @@ HIDDEN = r"""regexp_replace(content, '"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''
 def matches(pattern: str, text: str = "content", where: str = "true", source: str = "code") -> str:
     """SQL: (rel_path, content, m, line) of a pattern's matches, lines counted over the pieces between them."""
     p = quoted(pattern)
-    return f"""SELECT rel_path, content, ms[i] AS m, 1 + len(regexp_replace(array_to_string(parts[1 : i], '') || array_to_string(ms[1 : i - 1], ''), '[^\\n]', '', 'g')) AS line
+    return f"""SELECT rel_path, content, ms[i] AS m, (1 + len(regexp_replace(array_to_string(parts[1 : i], '') || array_to_string(ms[1 : i - 1], ''), '[^\\n]', '', 'g')))::int AS line
 FROM (SELECT rel_path, content, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS parts, unnest(range(1, len(regexp_extract_all(t, {p})) + 1)) AS i
   FROM (SELECT rel_path, content, {text} AS t FROM {source} WHERE {where}))"""
 

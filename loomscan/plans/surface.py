@@ -162,7 +162,7 @@ golden(
 )
 golden(
     "graph_degrees", lambda f, s: extract.components(f).where("kind in ('function', 'class') and rel_path like 'src/%'").groupBy("rel_path").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes")),
-    "rel_path, functions, classes", ("src/app.js", 2, 0), ("src/users.ts", 4, 2), ("src/unused.js", 0, 1),
+    "rel_path, functions::bigint, classes::bigint", ("src/app.js", 2, 0), ("src/users.ts", 4, 2), ("src/unused.js", 0, 1),
 )
 
 
@@ -215,7 +215,7 @@ golden(
 AUDIT = json.dumps({"vulnerabilities": {f"p{i:02}": {"severity": ["low", "moderate", "high", "critical"][i % 4], "range": f"<{i}"} for i in range(33)}})
 REPORTS = [("npm", AUDIT), ("advisories", None)]
 golden(
-    "audit_findings", lambda f, s: manifests.audit_findings(s.createDataFrame(REPORTS, "tool string, report string")).groupBy("severity", "category").agg(F.count(F.lit(1)).alias("n"), F.min("summary").alias("first")), "severity, category, n, first",
+    "audit_findings", lambda f, s: manifests.audit_findings(s.createDataFrame(REPORTS, "tool string, report string")).groupBy("severity", "category").agg(F.count(F.lit(1)).alias("n"), F.min("summary").alias("first")), "severity, category, n::bigint, first",
     ("Critical", "Outdated/Vulnerable Dependency", 7, "p03 <3"), ("High", "Outdated/Vulnerable Dependency", 7, "p02 <2"), ("Medium", "Outdated/Vulnerable Dependency", 8, "p01 <1"),
     ("Low", "Outdated/Vulnerable Dependency", 9, "3 more advisories"), ("Low", "Scan Limitation", 1, "advisories: not available"),
 )
