@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,19 +39,27 @@ BLOCK_WORDS = 200_000
 INDEX = "kind string, shard long, term binary, n long, doc_id {}, base long, places binary"
 
 
-def read_index(spark: SparkSession, path: str, kind: str) -> DataFrame:
+class Index(NamedTuple):
+    """Where an index is stored, and the type of its document ids (an empty one has no file that tells it)."""
+
+    path: str
+    id_type: str
+
+
+def read_index(spark: SparkSession, index: Index, kind: str) -> DataFrame:
     """`doc` or `term` rows of a stored index."""
-    return spark.read.parquet(path).where(F.col("kind") == kind)
+    return spark.read.schema(INDEX.format(index.id_type)).parquet(index.path).where(F.col("kind") == kind)
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> str:
-    """Path of the stored index: a `doc` row for each document (its first place in the shard, its words) and a `term` row for
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
+    """The stored index: a `doc` row for each document (its first place in the shard, its words) and a `term` row for
     each shard and term (ascending places as packed int32 differences)."""
     spark = docs.sparkSession
 
     ids_of = docs.select(F.col(doc_id).alias("doc_id")).schema
     id_type = to_arrow_schema(ids_of).field(0).type
-    index_schema = INDEX.format(ids_of[0].dataType.simpleString())
+    type_name = ids_of[0].dataType.simpleString()
+    index_schema = INDEX.format(type_name)
     names = ["kind", "shard", "term", "n", "doc_id", "base", "places"]
 
     def batch(kind: str, key: int, term: pa.Array | None, n: np.ndarray, ids: list | None, base: np.ndarray | None, places: pa.Array | None) -> pa.RecordBatch:
@@ -97,7 +106,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     path = fresh_path(spark, "positional-index")
     docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, index_schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
-    return path
+    return Index(path, type_name)
 
 
 def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, int]:
@@ -176,13 +185,12 @@ def intersect(terms: list[bytes], lists: dict[bytes, np.ndarray], count: dict[by
 MATCHES = "shard long, base long, doc_id {}, item string, kind string, start long, stop long"
 
 
-def search(index: str, terms: DataFrame, blocks: int, window: int = 10, slop: int | None = None) -> DataFrame:
+def search(index: Index, terms: DataFrame, blocks: int, window: int = 10, slop: int | None = None) -> DataFrame:
     """Matches (shard, base, doc_id, item, kind, start, stop): document words [start, stop) inside occurrences of an item's
     windows, overlapping ones of an item merged (kind `exact`); with slop also kind `near`, each stretch a row."""
     if window + (slop or 0) > GAP:
         raise ValueError(f"window and slop must be at most {GAP} together")
     spark = terms.sparkSession
-    id_type = read_index(spark, index, "doc").schema["doc_id"].dataType.simpleString()
     used = terms.groupBy("block", "term").agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "copy", "place", "size")).alias("uses"))
     # one block has BLOCK_WORDS words at most: small enough to send; beyond that the lists are shuffled by term
     small = F.broadcast if blocks == 1 else lambda df: df
@@ -228,10 +236,10 @@ def search(index: str, terms: DataFrame, blocks: int, window: int = 10, slop: in
                     out += [(int(key[0]), where[d][0], where[d][2], item, kind, a - base[d], b - base[d]) for d, a, b in zip(doc, starts, stops, strict=True)]
         return pd.DataFrame(out, columns=["shard", "base", "doc_id", "item", "kind", "start", "stop"])
 
-    return hits.groupBy("shard", "block").cogroup(docs.groupBy("shard", "block")).applyInPandas(lambda key, a, b: find(key, a, b), MATCHES.format(id_type))
+    return hits.groupBy("shard", "block").cogroup(docs.groupBy("shard", "block")).applyInPandas(lambda key, a, b: find(key, a, b), MATCHES.format(index.id_type))
 
 
-def document_report(index: str, matches: DataFrame) -> DataFrame:
+def document_report(index: Index, matches: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, items) of every row: its words, those inside any exact match, and its sorted item ids."""
     spans = matches.where("kind = 'exact'")
     before = Window.partitionBy("shard", "base").orderBy("start", "stop", "item").rowsBetween(Window.unboundedPreceding, -1)
@@ -241,7 +249,7 @@ def document_report(index: str, matches: DataFrame) -> DataFrame:
     return docs.join(hit, ["shard", "base"], "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id") -> tuple[str, DataFrame]:
-    """(index path, matches) of a corpus against a benchmark."""
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, doc_id: str = "doc_id") -> tuple[Index, DataFrame]:
+    """(index, matches) of a corpus against a benchmark."""
     index = build_index(docs, doc_id)
     return index, search(index, *item_terms(items), window)
