@@ -67,6 +67,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, caps: dict[int, int]) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample: of each label the `caps[label]` ids of smallest hash, one row an id.
+
+    An id labelled twice has its largest label; of rows that repeat an id that of the smallest text hash counts. Only the
+    sample's ids are broadcast.
+    """
+    rows = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    parts = [rows.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in caps.items()]
+    ids = parts[0]
+    for part in parts[1:]:
+        ids = ids.union(part)
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
+
+
 def field(name: str, ddl: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(ddl), True)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscan.llm import bpe, chat, decontam, extract, langid, licenses, mtree, simhash, toxicity, warc
+from loomscan.llm import bpe, chat, decontam, extract, langid, licenses, mtree, quality, ranked, simhash, toxicity, warc, whiten
 from loomscan.llm.common import spread, table
 
 
@@ -76,8 +76,25 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
+    scored = quality.score(spread(docs), weights).drop("text")
+    return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ranked.rank(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("item", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_preferences, op4_toxicity, op5_warc, op6_simhash, op7_licenses, op8_langid, op9_extract, op10_topk)}
+    of_text = (op1_bpe, op2_decontamination, op3_preferences, op4_toxicity, op5_warc, op6_simhash, op7_licenses, op8_langid, op9_extract)
+    return {f.__name__: f for f in (*of_text, op10_topk, op11_whitening, op12_quality, op13_ranked)}
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,4 +156,15 @@ WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, l
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, q.r, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::int AS rank FROM s) WHERE rank <= 10""",
+        "op13_ranked": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {WORDS} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, {WORDS} AS w FROM benchmark),
+q AS (SELECT item_id, hash(w) AS c, t, count(*) AS times FROM (SELECT item_id, w, unnest(w) AS t FROM b) GROUP BY 1, 2, 3),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY 1, 2),
+total AS (SELECT count(*)::bigint AS docs, sum(len(w))::bigint AS words FROM d WHERE len(w) > 0),
+df AS (SELECT t, floor(1000 * ln((2.0 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint AS weight FROM p, total GROUP BY t),
+s AS (SELECT item_id, c, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(w) * docs) // words))))::bigint AS score
+  FROM q JOIN p USING (t) JOIN df USING (t) JOIN d USING (r), total GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id, c ORDER BY score DESC, doc_id)::int AS rank
+  FROM s JOIN d USING (r) WHERE score > 0) WHERE rank <= 20""",
     }
