@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.functions.text import entropy, matches_with_lines
+from loomscan.operators.balanced import nested
 
 CODE_EXT = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 
@@ -34,14 +35,14 @@ NO_CREDENTIAL = "changeme xxxxxxxx your_api_key placeholder example test dummy t
 CONNECTION = r"(?i)\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp)://[^:/\s'\"]+:[^@/\s'\"]+@[^/\s'\"]+"
 #: Text built from parts: a template with a value in it, or a literal and a plus.
 BUILT = r"(?:`[^`]*\$\{[^`]*\}[^`]*`|['\"][^'\"]*['\"]\s*\+)"
-INTERPOLATION = r"\$\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}"
+INTERPOLATION = r"\$\{(" + nested("{", "}", 4) + r")\}"
 #: Expressions that carry no markup.
 HARMLESS = (
     r"(?i:^[\w.]*\b(?:escape|sanitize|purify|encode)\w*\s*\()|^\d+$"
     r"|^[\w.]+\.(?:length|count|size|line|lineNo|lineNumber|column|col|index|idx|row)$"
 )
 MARKUP = r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:\s*([^}]+)\}\}"
-LOOP_OVER = r"for\s*\(\s*(?:const|let|var)\s+\w+\s+of\s+(?:await\s+)?([\s\S]*?)\)\s*\{"
+LOOP_OVER = r"\bfor\s*\(\s*(?:const|let|var)\s+\w+\s+of\s+(?:await\s+)?(" + nested("(", ")", 5) + r")\)\s*\{"
 #: Methods that query, words that say that a query is read in pages, words of secrets and of passwords.
 QUERY = r"\.(?:findMany|findFirst|findUnique|findById|findOne|findAll|query|execute|aggregate)\s*\("
 PAGED = r"(?i)\b(?:take|limit|first|pageSize)\b"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.functions.text import matches_with_lines
+from loomscan.operators.balanced import Head, spans
 
 JS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 #: What a Rails `resources` line declares: action, method, suffix.
@@ -41,9 +42,9 @@ COMPONENTS = [
     ("import", [".py"], r"(?m)^[ \t]*from\s+(\.*\w[\w.]*)\s+import\b", False),
     (
         "function", OTHER,
-        r"(?m)^[ \t]*(?:(?:pub|public|private|protected|static|async|final|override)\s+)*(?:func|fn|fun|def|function)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)", True,
+        r"(?m)^[ \t]*(?:(?:pub|public|private|protected|static|async|final|override)\s++)*+(?:func|fn|fun|def|function)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)", True,
     ),
-    ("class", OTHER, r"(?m)^[ \t]*(?:(?:pub|public|private|abstract|final|sealed|data)\s+)*(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)", False),
+    ("class", OTHER, r"(?m)^[ \t]*(?:(?:pub|public|private|abstract|final|sealed|data)\s++)*+(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)", False),
 ]
 
 
@@ -61,18 +62,22 @@ def components(files: DataFrame) -> DataFrame:
 
 ROUTE = "array<struct<method:string,path:string,handler:string,line:int>>"
 #: Method, path and handler of a match, by framework: groups of the pattern.
-EXPRESS = r"\b(?:app|router|\w+Router)\.(get|post|put|patch|delete|all)\(\s*[\"'`](/[^\"'`]*)[\"'`]\s*,\s*(?:[\w.]+\s*,\s*)*([A-Za-z_$][\w$.]*)?"
-FLASK = r"@\w+\.route\(\s*[\"']([^\"']+)[\"']([^)]*)\)\s*(?:@[^\n]*\n\s*)*(?:async\s+)?def\s+(\w+)"
+EXPRESS = r"\b(?:app|router|\w+Router)\.(get|post|put|patch|delete|all)\(\s*[\"'`](/[^\"'`]*)[\"'`]\s*,\s*(?:[\w.]++(?:\([^()]*+\))?+\s*+,\s*+)*+([A-Za-z_$][\w$.]*)?"
+FLASK = r"@\w+\.route\(\s*[\"']([^\"']+)[\"']([^)]*)\)\s*(?:@[^\n]*+\n\s*+)*+(?:async\s+)?def\s+(\w+)"
 FASTAPI = r"@\w+\.(get|post|put|patch|delete)\(\s*[\"']([^\"']*)[\"'][^)]*\)\s*(?:async\s+)?def\s+(\w+)"
 GO = r"\b\w+\.(GET|POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)\"\s*,\s*(?:func\b|([\w.]+))"
 GO_HANDLED = r"http\.HandleFunc\(\s*\"([^\"]+)\"\s*,\s*(\w+)?"
 RAILS = r"(?m)^[ \t]*(get|post|put|patch|delete)\s+[\"']([^\"']+)[\"'](?:\s*,\s*to:\s*|\s*=>\s*)?[\"']?([\w#/]*)"
 RAILS_RESOURCES = r"(?m)^[ \t]*resources\s+:(\w+)"
 SPRING = (
-    r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*\n\s*)*"
+    r"@(Get|Post|Put|Patch|Delete)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*+\n\s*+)*+"
     r"(?:public\s+|private\s+|fun\s+)?(?:[\w<>\[\], ?]+\s+)?(\w+)\s*\("
 )
-SPRING_CLASS = r"@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*\n\s*)*(?:public\s+)?(?:abstract\s+)?class\b"
+#: A class, with the prefix of its mapping if it has one; each class of a file has its own.
+SPRING_CLASS = (
+    r"(?:@RequestMapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"[^)]*\)\s*(?:@[^\n]*+\n\s*+)*+)?"
+    r"\b(?:public\s+)?(?:abstract\s+)?(?:final\s+)?class\s+\w+"
+)
 LARAVEL = r"Route::(get|post|put|patch|delete)\(\s*[\"']([^\"']+)[\"']\s*,\s*(?:\[\s*[\w\\]+::class\s*,\s*[\"'](\w+)[\"'])?"
 
 
@@ -100,8 +105,14 @@ def routes(files: DataFrame) -> DataFrame:
         return F.flatten(F.transform(matches_with_lines(content, RAILS_RESOURCES), of)).cast(ROUTE)
 
     handled = F.transform(matches_with_lines(content, GO_HANDLED), lambda x: route(x, F.lit("ANY"), group(x, GO_HANDLED, 1), group(x, GO_HANDLED, 2))).cast(ROUTE)
-    prefix = F.regexp_replace(F.regexp_extract(content, SPRING_CLASS, 1), "/+$", "")  # of the class
-    spring = plain(SPRING, lambda p: F.concat(prefix, F.when((p != "") | (prefix == ""), rooted(p)).otherwise(p)))
+
+    def prefixed(x: Column) -> Column:
+        above = F.filter(matches_with_lines(content, SPRING_CLASS), lambda c: c["line"] <= x["line"])
+        own = F.regexp_extract(F.coalesce(F.try_element_at(above, F.lit(-1))["match"], F.lit("")), SPRING_CLASS, 1)
+        prefix, p = F.regexp_replace(own, "/+$", ""), group(x, SPRING, 2)
+        return F.concat(prefix, F.when((p != "") | (prefix == ""), rooted(p)).otherwise(p))
+
+    spring = F.transform(matches_with_lines(content, SPRING), lambda x: route(x, group(x, SPRING, 1), prefixed(x), group(x, SPRING, 3))).cast(ROUTE)
     ext, none = F.col("ext"), F.array().cast(ROUTE)
     by_family = [
         (ext.isin(JS), plain(EXPRESS, handler=lambda h: F.when(h.isin("async", "function"), "").otherwise(h))), (ext == ".py", F.concat(flask(), plain(FASTAPI))), (ext == ".go", F.concat(plain(GO), handled)),
@@ -138,35 +149,95 @@ def next_routes(files: DataFrame) -> DataFrame:
     return files.where(page).select("rel_path", F.explode(method).alias("method"), next_path(p).alias("path"), F.lit("(file)").alias("handler"), F.lit(1).alias("line"))
 
 
-MODEL = "array<struct<origin:string,model:string,field:string,type:string,line:int>>"
-#: Origin, extensions, pattern of a model (name, body), pattern of its fields (name, type).
-MODELS = [
-    (
-        "sql", [".sql"], r"(?is)create\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[]?([\w.]+)[\"`\]]?\s*\(((?:[^()]|\([^()]*\))*)\)",
-        r"(?im)(?:^|,)\s*[\"`\[]?(?!primary\b|unique\b|index\b|key\b|constraint\b|check\b|foreign\b)(\w+)[\"`\]]?\s+(\w+(?:\s*\([\d\s,]*\))?)",
-    ),
-    ("prisma", [".prisma"], r"(?m)^model\s+(\w+)\s*\{([^}]*)\}", r"(?m)^\s+(\w+)\s+(\w+(?:\[\])?\??)"),
-    ("django", [".py"], r"(?m)^class\s+(\w+)\([^)]*\bModel\)\s*:\n((?:[ \t]+[^\n]*\n?|\n)*)", r"(?m)^\s+(\w+)\s*=\s*models\.(\w+)\("),
-    (
-        "typeorm", JS, r"(?s)@Entity\([^)]*\)\s*(?:export\s+)?class\s+(\w+)[^{]*\{(.*?)\n\}",
-        r"(?s)@(?:PrimaryGeneratedColumn|PrimaryColumn|Column|CreateDateColumn|UpdateDateColumn)\([^)]*\)\s*(\w+)[?!]?\s*:\s*([\w\[\]]+)",
-    ),
-    (
-        "mongoose", JS, r"(?s)(\w+)\s*=\s*new\s+(?:mongoose\.)?Schema\(\s*\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}",
-        r"(?s)(?:^|,)\s*(\w+)\s*:\s*(?:\{\s*type\s*:\s*)?\[?\s*(\w+)",
-    ),
-]
+#: What opens a model's body; a Django class is a run of indented lines, which needs no counting.
+MODEL_HEADS = [
+    Head("sql", [".sql"], r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[\"`\[']?([\w.]+)[\"`\]']?\s*\(", "--"),
+    Head("prisma", [".prisma"], r"(?m)^\s*model\s+(\w+)\s*\{"),
+    Head("mongoose", JS, r"(\w+)\s*=\s*new\s+(?:mongoose\.)?Schema\(\s*\{"),
+    Head("typeorm", JS, r"@Entity\([^)]*\)\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)[^{]*\{"),
+]
+DJANGO = r"(?m)^class\s+(\w+)\([^)\n]*\bModel\)\s*:[^\n]*\n((?:[ \t]++[^\n]*+\n?+|\n)*+)"
+#: Statements that a body's fields are, where commas do not part them.
+DJANGO_FIELD = r"(?m)^[ \t]+\w+\s*=\s*models\.\w+\([^)]*\)?"
+TYPEORM_FIELD = (
+    r"@(?:PrimaryGeneratedColumn|PrimaryColumn|Column|CreateDateColumn|UpdateDateColumn|OneToMany|ManyToOne|ManyToMany|OneToOne)"
+    r"\((?:[^()]++|\([^()]*+\))*+\)\s*\w+[?!]?\s*:?\s*[\w<>\[\].]*"
+)
+TABLE_LEVEL = r"(?i)^(?:primary\s+key|unique|index|key|constraint|check|foreign\s+key)\b"
+#: Field, type and the rest of a part, by origin.
+FIELDS = {
+    "sql": r"(?s)^[\"`\[']?(\w+)[\"`\]']?\s+(\w+(?:\s*\([\d\s,]*\))?)(.*)$",
+    "prisma": r"(?s)^(\w+)\s+(\w+(?:\[\])?)(\??.*)$",
+    "mongoose": r"(?s)^[\"']?(\w+)[\"']?\s*:\s*(?:\{(?:.*?[{,\s])??type\s*:\s*)?\[?\s*([\w.]+)(.*)$",
+    "django": r"(?s)^\s*(\w+)\s*=\s*models\.(\w+)\((.*)$",
+    "typeorm": r"(?s)^@\w+\(.*\)\s*(\w+)[?!]?\s*:?\s*([\w<>\[\].]*)$",
+}
+NULLABLE = {"sql": None, "prisma": r"^\?", "mongoose": None, "django": r"null\s*=\s*True", "typeorm": r"nullable\s*:\s*true"}
+DEFAULT = {
+    "sql": r"(?i)\bdefault\s+([^\s,]+)", "prisma": r"@default\(([^)]*\)?)\)", "mongoose": r"\bdefault\s*:\s*([^\s,}]+)",
+    "django": r"\bdefault\s*=\s*([^\s,)]+)", "typeorm": r"\bdefault\s*:\s*([^\s,}]+)",
+}
+#: Constraints by origin: name and what tells it.
+CONSTRAINTS = {
+    "sql": [("primary key", r"(?i)\bprimary\s+key\b"), ("unique", r"(?i)\bunique\b"), ("foreign key", r"(?i)\breferences\s")],
+    "prisma": [("primary key", r"@id\b"), ("unique", r"@unique\b"), ("foreign key / relation", r"@relation\b")],
+    "mongoose": [("unique", r"\bunique\s*:\s*true")],
+    "django": [("unique", r"unique\s*=\s*True"), ("foreign key", r"models\.(?:ForeignKey|OneToOneField|ManyToManyField)\(")],
+    "typeorm": [("primary key", r"^@Primary"), ("unique", r"unique\s*:\s*true")],
+}
+REFERENCES = r"(?i)\breferences\s+[\"`\[']?(\w+)[\"`\]']?\s*\(\s*[\"`\[']?(\w+)"
+RELATIONS = r"^@(OneToMany|ManyToOne|ManyToMany|OneToOne)\("
+
+
+def model_parts(files: DataFrame) -> DataFrame:
+    """(rel_path, origin, model, line, part): the pieces of each model's body; Prisma's are lines, others' are statements."""
+    found = spans(files, MODEL_HEADS)
+    lines = F.filter(F.transform(F.split("body", "\n"), lambda l: F.trim(l)), lambda l: (l != "") & ~l.startswith("@@"))
+    pieces = F.when(F.col("kind") == "prisma", lines).when(F.col("kind") == "typeorm", F.regexp_extract_all("body", F.lit(TYPEORM_FIELD), F.lit(0))).otherwise(F.col("parts"))
+    braced = found.select("rel_path", F.col("kind").alias("origin"), F.col("name").alias("model"), "line", F.posexplode(pieces).alias("ord", "part"))
+    classes = rows(files, [".py"], DJANGO, ("model", 1), ("body", 2))
+    statements = F.transform(F.regexp_extract_all("body", F.lit(DJANGO_FIELD), F.lit(0)), lambda s: F.trim(s))
+    django = classes.select("rel_path", F.lit("django").alias("origin"), "model", "line", F.posexplode(statements).alias("ord", "part"))
+    return braced.unionByName(django)
 
 
 def models(files: DataFrame) -> DataFrame:
-    """(rel_path, origin, model, field, type, line) of SQL tables, Prisma, Django, TypeORM and Mongoose models; a file is
-    read once."""
-
-    def part(origin: str, exts: list[str], pattern: str, field: str) -> Column:
-        own = lambda x: F.regexp_extract_all(F.regexp_extract(x["match"], pattern, 2), F.lit(field), F.lit(0))
-        row = lambda x, m: F.struct(F.lit(origin).alias("origin"), F.regexp_extract(x["match"], pattern, 1).alias("model"), F.regexp_extract(m, field, 1).alias("field"), F.regexp_extract(m, field, 2).alias("type"), x["line"].alias("line"))
-        found = F.flatten(F.transform(matches_with_lines(F.col("content"), pattern), lambda x: F.transform(own(x), lambda m: row(x, m))))
-        return F.when(F.col("ext").isin(exts), found.cast(MODEL)).otherwise(F.array().cast(MODEL))
-
-    known = files.where(F.col("ext").isin([".sql", ".prisma", ".py", *JS]))
-    return known.select("rel_path", F.explode(F.concat(*[part(*m) for m in MODELS])).alias("x")).select("rel_path", "x.*")
+    """(rel_path, origin, model, field, type, line, nullable, default_value, constraints) of SQL tables, Prisma, Django,
+    TypeORM and Mongoose models."""
+    parts = model_parts(files).where(~((F.col("origin") == "sql") & F.col("part").rlike(TABLE_LEVEL)) & ~F.col("part").rlike(RELATIONS))
+    origin, part = F.col("origin"), F.col("part")
+
+    def by_origin(of) -> Column:
+        out = F.lit(None)
+        for name in FIELDS:
+            out = F.when(origin == name, of(name)).otherwise(out)
+        return out
+
+    told = lambda name: F.array_compact(F.array(*[F.when(part.rlike(p), c) for c, p in CONSTRAINTS[name]]))
+    rest = lambda name: F.regexp_extract(part, FIELDS[name], 3) if name == "prisma" else part
+    nullable = {
+        "sql": ~part.rlike(r"(?i)\bnot\s+null\b|\bprimary\s+key\b"), "mongoose": ~part.rlike(r"\brequired\s*:\s*true"),
+        **{n: rest(n).rlike(p) for n, p in NULLABLE.items() if p},
+    }
+    return parts.select(
+        "rel_path", "origin", "model", by_origin(lambda n: F.regexp_extract(part, FIELDS[n], 1)).alias("field"), by_origin(lambda n: F.regexp_extract(part, FIELDS[n], 2)).alias("type"), "line",
+        by_origin(lambda n: nullable[n]).alias("nullable"), F.nullif(by_origin(lambda n: F.regexp_extract(part, DEFAULT[n], 1)), F.lit("")).alias("default_value"), by_origin(told).alias("constraints"),
+    ).where("field <> ''")
+
+
+def relationships(files: DataFrame) -> DataFrame:
+    """(rel_path, model, field, type, target): foreign keys of SQL, of its table level too, and relations of Prisma, Django
+    and TypeORM."""
+    p, parts = F.col("part"), model_parts(files)
+    get = lambda pattern, i: F.regexp_extract(p, pattern, i)
+    keyed = F.coalesce(F.nullif(get(r"(?i)foreign\s+key\s*\(\s*[\"`']?(\w+)", 1), F.lit("")), get(FIELDS["sql"], 1))
+    django = r"^(\w+)\s*=\s*models\.(ForeignKey|OneToOneField|ManyToManyField)\(\s*['\"]?(\w+)?"
+    orm = r"(?s)^@(OneToMany|ManyToOne|ManyToMany|OneToOne)\(\s*([^,]*?)\s*(?:,.*)?\)\s*(\w+)[?!]?\s*:?\s*[\w<>\[\].]*$"
+    row = lambda field, kind, target: F.struct(field.alias("field"), kind.alias("type"), target.alias("target"))
+    found = (
+        F.when((F.col("origin") == "sql") & p.rlike(REFERENCES), row(keyed, F.lit("foreignKey"), F.concat(get(REFERENCES, 1), F.lit("."), get(REFERENCES, 2))))
+        .when((F.col("origin") == "prisma") & p.rlike(r"@relation\b"), row(get(FIELDS["prisma"], 1), F.lit("relation"), get(FIELDS["prisma"], 2)))
+        .when((F.col("origin") == "django") & p.rlike(django), row(get(django, 1), get(django, 2), F.coalesce(F.nullif(get(django, 3), F.lit("")), F.lit("?"))))
+        .when((F.col("origin") == "typeorm") & p.rlike(RELATIONS), row(get(orm, 3), get(orm, 1), get(orm, 2)))
+    )
+    return parts.withColumn("x", found).where("x is not null").select("rel_path", "model", "x.*")

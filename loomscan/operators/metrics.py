@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomscan.operators import detect
+from loomscan.operators.balanced import nested
 from loomscan.operators.detect import CODE_EXT, issue_rows, union
 from loomscan.operators.lexer import blank
 
@@ -24,7 +25,7 @@ FUNCTION = (
     r"|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)[^={;]*=>\s*\{"
     r"|(?<![\w$.])(?!(?:if|for|while|switch|catch|function|return|with)\b)([A-Za-z_$][\w$]*)\s*\([^()]*\)\s*\{|=>\s*\{"
 )
-LOOP = r"\b(?:for|while)\s*(?:await\s*)?\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*\{|\bdo\s*\{"
+LOOP = r"\b(?:for|while)\s*(?:await\s*)?\(" + nested("(", ")", 5) + r"\)\s*\{|\bdo\s*\{"
 EACH = r"\.(?:forEach|map)\(\s*(?:async\s*)?(?:(?:\([^)]*\)|[\w$]+)\s*=>|function\s*[\w$]*\s*\([^)]*\))\s*(\{)?"
 EFFECT = r"\buseEffect\(\s*(?:async\s*)?(?:\([^)]*\)\s*=>|function\s*[\w$]*\s*\([^)]*\))\s*(\{)?"
 HEADS = [("function", re.compile(FUNCTION)), ("loop", re.compile(LOOP)), ("loop", re.compile(EACH)), ("effect", re.compile(EFFECT))]
