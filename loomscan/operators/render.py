@@ -36,12 +36,18 @@ def flat_name(path: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """(path, target) of a page's links to other pages."""
-    return pages.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"\]\(([^)#\s]+\.md)(?:#[^)]*)?\)"), 1)).alias("target")).distinct()
+    """(app_id, path, target, meant): a page's links to other pages, as written, and the page that each means: targets are
+    read from the page's folder. Pages without app_id are one app's."""
+    keys = [*(["app_id"] if "app_id" in pages.columns else []), "path"]
+    written = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\]\(([^)#\s]+\.md)(?:#[^)]*)?\)"), 1)))
+    found = pages.select(*keys, written.alias("target")).where(~F.col("target").rlike("^https?://"))
+    return found.withColumn("meant", folded(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("target"))))
 
 
 def broken_links(pages: DataFrame) -> DataFrame:
-    return links(pages).join(pages.select(F.col("path").alias("target")), "target", "left_anti").select("path", "target")
+    """Links, as written, whose page does not exist."""
+    keys = ["app_id"] if "app_id" in pages.columns else []
+    return links(pages).join(pages.select(*keys, F.col("path").alias("meant")), [*keys, "meant"], "left_anti").select(*keys, "path", "target")
 
 
 def to_html(text: Column) -> Column:
@@ -78,12 +84,9 @@ SITE = "app_id long, path string, html string"
 
 def targets(pages: DataFrame) -> DataFrame:
     """(app_id, path, links): for each page a map of its link targets, as written, to the pages that they mean and that
-    exist; targets are relative to the page's folder."""
-    written = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\]\(([^)\s]+\.md)\)"), 1)))
-    found = pages.select("app_id", "path", written.alias("target")).where(~F.col("target").rlike("^https?://"))
-    meant = folded(F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("target")))
+    exist."""
     known = pages.select("app_id", F.col("path").alias("meant")).distinct()
-    own = found.withColumn("meant", meant).join(known, ["app_id", "meant"])
+    own = links(pages).join(known, ["app_id", "meant"])
     return own.groupBy("app_id", "path").agg(F.map_from_entries(F.collect_set(F.struct("target", "meant"))).alias("links"))
 
 

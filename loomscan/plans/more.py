@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomscan.operators import detect, extract, history, pages, render, state
+from loomscan.operators import detect, history, state
 from loomscan.plans import portfolio as pf
 from loomscan.plans.portfolio import ctes, query
-from loomscan.plans.scans import TREE, files, register, values
-from loomscan.plans.surface import golden
-from loomscan.sources import files as src
 from loomscan.sources import fixtures as fx
 from loomscan.sources import manifests
 
@@ -169,77 +166,6 @@ def advisory_batch(spark, sf):
     return manifests.advisory_hits(asked).select("name", F.size("ids").alias("ids"))
 
 
-register(
-    "weakness_classes", lambda spark: detect.with_weakness(detect.raw_findings(files(spark, TREE))).groupBy("category", "cwe", "owasp").agg(F.count(F.lit(1)).alias("n")),
-    values("category, cwe, owasp, n::bigint", ("Hardcoded Secret", "CWE-798", "A07:2021", 10), ("SQL Injection Risk", "CWE-89", "A03:2021", 2), ("Cross-Site Scripting (XSS) Risk", "CWE-79", "A03:2021", 4), ("Command Injection Risk", "CWE-78", "A03:2021", 2), ("Unresolved TODO", None, None, 3), ("Unbounded Loop Over Unpaginated Data", None, None, 2)),
-    "Weakness classes of the findings on raw text.",
-)
-golden(
-    "env_descriptions", lambda f, s: extract.env_vars(f).join(s.createDataFrame([("API_URL", "where the service is"), ("OTHER", "x")], "name string, text string"), "name", "left").select("name", F.coalesce("text", F.lit("")).alias("description")),
-    "name, description", ("API_URL", "where the service is"), ("CACHE_DIR", ""), ("SERVICE_TOKEN", ""), ("ITEM_HOST", ""),
-)
-
-one = lambda df: df.withColumn("app_id", F.lit(1).cast("long"))
-golden(
-    "progress_pages", lambda f, s: pages.progress_pages(s.createDataFrame([(1, "src", 2, "Done"), (1, "app", 1, None), (1, "web", 3, "In Progress")], "app_id long, unit string, ord int, status string")),
-    "app_id::bigint, path, content", (1, "Progress.md", "# Progress\n\n| Directory | Status |\n|---|---|\n| app | Not Started |\n| src | Done |\n| web | In Progress |\n"),
-)
-SVC = "rel_path like 'svc/%' or rel_path = 'go.mod' or rel_path = 'config/routes.rb'"
-golden(
-    "architecture_pages",
-    lambda f, s: pages.architecture_pages(
-        s.createDataFrame([(1, 2), (2, 0)], "app_id long, models long"), one(src.tree(f.where(SVC))), one(manifests.manifests(f.where(SVC), s)), one(s.createDataFrame([("main.go",)], "entry string")),
-        one(extract.routes(f.where(SVC))), s.createDataFrame([(1, "A service.")], "app_id long, text string"),
-    ),
-    "app_id::bigint, path, content",
-    (1, "Architecture.md", "# Architecture\n\nA service.\n\n_(generated)_\n\n## Directory Structure\n\n```\n- config/\n- svc/\n```\n\n## Tech Stack\n\n- **Go**: `go.mod`, go modules\n\n## Entry Points\n\n- `main.go`\n\n## Data Flow\n\n11 routes in 5 groups, 2 models.\n\n## Process Flow Groups\n\n- [About](Process-Flows/about.md): 1 routes\n- [H](Process-Flows/h.md): 1 routes\n- [Orders](Process-Flows/orders.md): 1 routes\n- [Ping](Process-Flows/ping.md): 1 routes\n- [Posts](Process-Flows/posts.md): 7 routes\n"),
-    (2, "Architecture.md", "# Architecture\n\n## Directory Structure\n\n_none found_\n\n## Tech Stack\n\n_none found_\n\n## Entry Points\n\n_none found_\n\n## Data Flow\n\n0 routes in 0 groups, 0 models.\n\n## Process Flow Groups\n\n_none found_\n"),
-)
-golden(
-    "no_flow_pages", lambda f, s: pages.no_flow_pages(s.createDataFrame([(1, ["Vue"]), (2, ["React", "Koa"]), (3, [])], "app_id long, frameworks array<string>"), one(extract.routes(f.where(SVC)))), "app_id::bigint, path, content",
-    (2, "Process-Flows.md", "# Process Flows\n\nNo entry points were detected, so there is nothing to show.\n\nDetected frameworks: Koa, React.\n"),
-    (3, "Process-Flows.md", "# Process Flows\n\nNo entry points were detected, so there is nothing to show.\n\nDetected frameworks: none.\n"),
-)
-
-WIKI = [
-    (1, "Home.md", "# Wiki & more\n\nSee [flows](Process-Flows/users.md), [none](Gone.md) and [out](https://a.org/x.md).\n- **one** `a<b`\n- two\n1. first\n---\n| A | B |\n|---|---|\n| [h](Home.md) | 2 |\n```\nx < y\n```"),
-    (1, "Process-Flows/users.md", "## Users\n[back](../Home.md)"), (2, "Notes.md", "plain"),
-]
-wiki = lambda s: s.createDataFrame(WIKI, "app_id long, path string, content string")
-golden(
-    "static_site", lambda f, s: render.site(wiki(s)), "app_id::bigint, path, html",
-    (1, "Home.html", '<h1>Wiki &amp; more</h1>\n\n<p>See <a href="Process-Flows/users.html">flows</a>, none and <a href="https://a.org/x.md" target="_blank" rel="noopener">out</a>.</p>\n<ul>\n<li><strong>one</strong> <code>a&lt;b</code></li>\n<li>two</li>\n</ul>\n<ol>\n<li>first</li>\n</ol>\n<hr>\n<table>\n<tr><th>A</th><th>B</th></tr>\n<tr><td><a href="Home.html">h</a></td><td>2</td></tr>\n</table>\n<pre><code>\nx &lt; y\n</code></pre>'),
-    (1, "Process-Flows/users.html", '<h2>Users</h2>\n<p><a href="Home.html">back</a></p>'), (2, "Notes.html", "<p>plain</p>"), (1, "index.html", '<a href="Home.html">Continue</a>'),
-)
-golden(
-    "flat_wiki", lambda f, s: render.flat_wiki(wiki(s).where("path <> 'Home.md' or app_id = 1")).where("path <> 'Home.md'"), "app_id::bigint, path, content",
-    (1, "Process-Flows-users.md", "## Users\n[back](Home.md)"), (2, "Notes.md", "plain"),
-)
-APPS = [(1, "Shop <1>", "prod", "Done", "shop", 3), (2, "Notes", "", "Done", "notes", None), (3, "New", None, "Not Started", "new", None)]
-golden(
-    "portfolio_site", lambda f, s: render.portfolio_index(s.createDataFrame(APPS, "app_id long, name string, environment string, status string, slug string, issues long"), wiki(s)), "app_id::bigint, row, exported",
-    (1, '<tr><td><a href="shop/Home.html">Shop &lt;1&gt;</a></td><td>prod</td><td>Done</td><td>3</td><td>2 page(s)</td></tr>', True),
-    (2, '<tr><td><a href="notes/Home.html">Notes</a></td><td>—</td><td>Done</td><td>—</td><td>1 page(s)</td></tr>', True),
-    (3, "<tr><td>New</td><td>—</td><td>Not Started</td><td>—</td><td>No wiki generated yet</td></tr>", False),
-)
-
-
-FLOW = [("a", "load users", 'check "id"'), ("a", 'check "id"', "x" * 90), ("a", "load users", 'check "id"'), ("b", "one", "two")]
-LABEL = "CASE WHEN len({0}) > 80 THEN replace({0}, chr(34), chr(39))[1:79] || '…' ELSE replace({0}, chr(34), chr(39)) END"
-NODE = "'n' || substr(sha1({0}), 1, 12) || '[\"' || " + LABEL + " || '\"]'"
-EDGE = f"'  ' || {NODE.format('src')} || ' --> ' || {NODE.format('dst')}"
-register(
-    "mermaid_flow", lambda spark: render.flowchart(spark.createDataFrame(FLOW, "entry string, src string, dst string")),
-    f"SELECT entry, 'flowchart TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT DISTINCT entry, {EDGE} AS line FROM ({values('entry, src, dst', *FLOW)})) GROUP BY entry",
-    "Flowcharts of edges.",
-)
-register(
-    "broken_links", lambda spark: render.broken_links(wiki(spark).select("path", "content")),
-    values("path, target", ("Home.md", "Gone.md"), ("Home.md", "https://a.org/x.md"), ("Process-Flows/users.md", "../Home.md")),
-    "Links, as written, that name no page from the root.",
-)
-
-
 @query("""WITH log AS (SELECT user_id % 50 AS app_id, event_type AS fingerprint, ['open', 'acknowledged', 'false_positive', 'fixed'][(event_id % 4 + 1)::int] AS state,
  CASE WHEN event_id % 3 = 0 THEN '' ELSE 'u' || user_id % 3 END AS assignee, ts AS updated_at FROM events)
 SELECT app_id, fingerprint, state, assignee FROM (SELECT *, row_number() OVER (PARTITION BY app_id, fingerprint ORDER BY updated_at DESC, state DESC) AS rn FROM log) WHERE rn = 1 AND NOT (state = 'open' AND assignee = '')""")

@@ -1,154 +1,110 @@
-"""Registered queries of the scanner over a small literal tree, each with its SQL twin.
-
-Text rules are twins by regular expressions written for the other engine; what needs balanced braces or paths is
-compared with rows worked out by hand.
-"""
+"""Registered queries of the detectors over source files derived from `part`, each with a twin that parses the same
+texts by regular expressions written for the other engine."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomscan.operators import detect, extract, graph, lexer, metrics
-from loomscan.plans.portfolio import QUERIES, SQL
-from loomscan.sources import manifests
+from loomscan.operators import detect, lexer, metrics
+from loomscan.plans.portfolio import SQL
+from loomscan.plans.sources import Tree, lines, matches, quoted, register
 
 KEY = "AKIA" + "ABCDEFGHIJKLMNOP"
 GIT = "ghp_" + "0123456789abcdefghijklmnopqrstuvwxyzAB"
 SLACK = "xoxb-" + "1234567890-abcdef"
 BLOCK = "-----BEGIN " + "RSA PRIVATE KEY-----"
-DEEP = "function deep(a) {\n  if (a) { for (const b of a) { while (b) { switch (b) { case 1: try { if (c) { go({ x: { y: 1 } }); } } catch (e) { no(); } } } } }\n}\n"
-FLAT = "function flat(a) {\n  return { p: { q: { r: { s: { t: { u: { v: a } } } } } } };\n}\n"
-CHAIN = "function chain(x) {\n" + "".join(f"  {'else ' if i else ''}if (x === {i}) {{ f{i}(); }}\n" for i in range(6)) + "}\n"
-BRANCHY = "const branchy = (x) => {\n" + "".join(f"  if (x > {i} && y) {{ f(); }}\n" for i in range(8)) + "};\n"
-LONG = "function longest() {\n" + "  go();\n" * 170 + "}\n"
-
-#: rel_path: content.
-TREE = {
-    "src/keys.js": f"""const a = {{"api_key": "abcd1234efgh", 'password': 'changeme'}};
-const b = {{"password": "mytestserver99"}};
+
+#: Path and text of each file of an app.
+TEMPLATES = {
+    "p§k/keys.js": f"""const a = {{"api_key": "abcd§k_efgh", 'password': 'changeme'}};
+const b = {{"password": "§w"}};
 const c = {{"aws_secret_key": "wJalrXUtnFEMI1K7"}}; const d = {{"token": "${{env.TOKEN}}"}};
-const e = '{KEY}9'; const f = "{GIT}";
-const g = `{SLACK}`;
-const h = "{BLOCK}";
-const i = "POSTGRES://user:pass@db.example.com/x"; const j = "mysql://localhost/db";
+const e = '§A9'; const f = "§G";
+const g = `§S`;
+const h = "§P";
+const i = "POSTGRES://user:pass@db§k.example.com/x"; const j = "mysql://localhost/db";
 const k = {{"Secret-Key": "process.env.SECRET_VALUE", "secret_key": "q1w2e3r4t5"}};
 """,
-    "src/strings.ts": """const id = "550E8400-e29b-41d4-a716-446655440000";
-const s = "q8Zt3Lw0Xn5Rb7Vy2Kc9Hd4M";
+    "p§k/strings.ts": """const id = "550E8400-e29b-41d4-a716-446655440000";
+const s = "q8Zt3Lw0Xn§kRb7Vy2Kc9Hd4M";
 const p = "/usr/q8Zt3Lw0Xn5Rb7Vy2Kc9Hd4M"; const b64 = 'q8Zt/3Lw0X/n5Rb7Vy+2Kc9Hd4M==';
 const t = {"token": "Zq8Zt3Lw0Xn5Rb7Vy2Kc9Hd4M"};
 // "q8Zt3Lw0Xn5Rb7Vy2Kc9Hd4M"
-const low = "aaaaaaaaaaaaaaaaaaaa1";
+const low = "aaaaaaaaaaaaaaaaaaaa§k";
 """,
-    "src/inject.js": """db.query(`select * from t where id = ${id}`);
+    "p§k/inject.js": """db.query(`select * from t where §w = ${id}`);
 db.execute("select " +
   name);
 db.query("select 1"); conn.query(sql);
-el.innerHTML = `<b>${escapeHtml(name)}</b> ${rows.length} ${7}`;
+el.innerHTML = `<b>${escapeHtml(name)}</b> ${rows.§l} ${§n}`;
 el.innerHTML = `<b>${name}</b>`; el.innerHTML = "<i>" + x;
 el.innerHTML = value; el.innerHTML = `<b>${safe({a: {b: 1}})}</b>`;
 <div dangerouslySetInnerHTML={{__html: body}} /> <p dangerouslySetInnerHTML={{ __html: '<b>x</b>' }} />
-child_process.exec("ls " + dir); execSync(`rm ${f}`); execFile("ls", [dir]); exec("ls");
+child_process.exec("§w " + dir); execSync(`rm ${f}`); execFile("ls", [dir]); exec("ls");
 """,
-    "src/code.js": """eval(code); obj.eval (x); // eval(comment)
+    "p§k/code.js": """§e(code); obj.eval (x); // eval(comment)
 const t = "eval(text)"; const r = /eval(x)/;
 const f = new Function ("return 1"); medieval(1);
 function sessionId() {
-  const seed = 1;
+  const seed = §n;
   return Math.random();
 }
-const colour = 1;
+const §c = 1;
 const x1 = 1;
 const x2 = 2;
 const x3 = 3;
 const x4 = 4;
 const shade = Math.random(); const note = "Math.random()";
-crypto.createHash('md5').update(password);
+crypto.createHash('§h').update(§x);
 crypto.createHash( "SHA1" ).digest(); crypto.createHash('sha256');
 const doc = "use createHash('md5') here"; // createHash('md5')
-console.log(1); console.debug(2); // console.log(3)
+console.§d(1); console.debug(2); // console.log(3)
 console.info(4);
-// TODO first thing
+// §T first thing
 //FIXME: second; // HACK third
 // TODOS no, and todo no
 """,
-    "src/quiet.go": "package main\n// XXX here\nfunc main() { fmt.Println(\"console.log(1)\") }\n",
-    "src/paged.js": """for (const u of await db.user.findMany({ where: {} })) {
+    "p§k/quiet.go": "package main\n// XXX here\nfunc main() { fmt.Println(\"console.log(1)\") }\n",
+    "p§k/paged.js": """for (const u of await db.user.findMany({ where: {§g} })) {
 }
 for (const u of await db.user.findMany({ take: 10 })) { }
 for (let v of users.findAll()) {}
 for (const w of list) { first(w); }
 """,
-    "src/loops.js": """async function load(ids) {
-  for (const id of ids) {
-    await db.user.findOne(id);
-    ids.forEach((x) => { db.query(x); });
-  }
-  const all = ids.map((id) => api.items.findById(id));
+    "p§k/loops.js": """async function load(ids) {
+  for (const id of ids) { §q }
+  ids.forEach((x) => { db.§m(x); });
   for (const id of ids) { later(() => { db.query(id); }); }
   while (more) { step(); }
 }
 """,
-    "src/effects.jsx": """function A() {
-  useEffect(() => { const t = setInterval(f, 1); return () => clearInterval(t); }, []);
-  useEffect(() => { setTimeout(f, 1); }, []);
-  useEffect(() => {
-    window.addEventListener('x', f);
-    const t = setInterval(g, 1);
-    return () => { window.removeEventListener('x', f); };
-  }, []);
+    "p§k/effects.jsx": """function A() {
+  useEffect(() => { const t = setInterval(f, §n); §u }, []);
+  useEffect(() => { window.addEventListener('x', f); §v });
   useEffect(() => { load(); return 1; });
-  useEffect(() => window.addEventListener('y', f));
 }
 """,
-    "src/shape.js": DEEP + FLAT + CHAIN + BRANCHY,
-    "src/long.ts": LONG,
+    "p§k/branches.js": "const pick = (x) => {\n§B};\n",
+    "p§k/deep.js": "function deep(a) {\n§D§E\n}\n",
+    "p§k/long.ts": "function longest() {\n§L}\n",
 }
-EXT = lambda path: "." + path.rpartition(".")[2] if "." in path.rpartition("/")[2] else ""
-
-
-def files(spark: SparkSession, tree: dict[str, str]) -> DataFrame:
-    rows = [(p, EXT(p), len(t.encode()), 1, t) for p, t in tree.items()]
-    return spark.createDataFrame(rows, "rel_path string, ext string, size_bytes long, mtime_ms long, content string")
-
-
-def quoted(v: object) -> str:
-    return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-
-
-def values(columns: str, *rows: tuple) -> str:
-    """SQL of rows worked out by hand; a column may name its type, as in `n::bigint`."""
-    names = [c.strip() for c in columns.split(",")]
-    bare = ", ".join(c.partition("::")[0] for c in names)
-    shown = ", ".join(f"{c} AS {c.partition('::')[0]}" if "::" in c else c for c in names)
-    return f"SELECT {shown} FROM (VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS t({bare})"
-
-
-def code_table(tree: dict[str, str]) -> str:
-    return "code AS (" + values("rel_path, ext, content", *((p, EXT(p), t) for p, t in tree.items())) + ")"
+case = lambda cond, yes, no: f"CASE WHEN {cond} THEN '{yes}' ELSE '{no}' END"
+MARKS = {
+    "§A": case("p_size % 3 = 0", KEY, "none"), "§G": case("p_size % 4 = 0", GIT, "none"), "§S": case("p_size % 5 = 0", SLACK, "none"), "§P": case("p_size % 2 = 0", BLOCK, "none"),
+    "§l": case("p_size % 2 = 0", "length", "name"), "§e": case("p_size % 2 = 0", "eval", "evil"), "§c": case("p_size % 2 = 0", "token", "colour"), "§h": case("p_size % 3 = 0", "md5", "sha512"),
+    "§x": case("p_size % 2 = 0", "password", "text"), "§d": case("p_size % 2 = 0", "log", "warn"), "§T": case("p_size % 3 = 1", "TODO", "Note"), "§g": case("p_size % 2 = 0", " take: 5 ", ""),
+    "§q": case("p_size % 2 = 0", "await db.user.findOne(id);", "use(id);"), "§m": case("p_size % 3 = 0", "query", "write"),
+    "§u": case("p_size % 2 = 0", "return () => clearInterval(t);", ""), "§v": case("p_size % 3 = 0", "return () => window.removeEventListener(0);", ""),
+    "§B": "repeat(concat('  if (x && y) { f(); }', chr(10)), p_size % 9)", "§D": "repeat('if (a) { ', p_size % 9)", "§E": "repeat('} ', p_size % 9)", "§L": "repeat(concat('  go();', chr(10)), p_size * 4)",
+}
+TREE = Tree(TEMPLATES, MARKS)
 
 
 #: SQL that hides comments and literals that do not span lines.
 HIDDEN = r"""regexp_replace(content, '"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\\n]|\\.)*`|//[^\n]*|= /(?:[^/\n])+/', ' ', 'g')"""
 
 
-def matches(pattern: str, text: str = "content", where: str = "true", source: str = "code") -> str:
-    """SQL: (rel_path, content, m, line) of a pattern's matches, lines counted over the pieces between them."""
-    p = quoted(pattern)
-    return f"""SELECT rel_path, content, ms[i] AS m, (1 + len(regexp_replace(array_to_string(parts[1 : i], '') || array_to_string(ms[1 : i - 1], ''), '[^\\n]', '', 'g')))::int AS line
-FROM (SELECT rel_path, content, regexp_extract_all(t, {p}) AS ms, string_split_regex(t, {p}) AS parts, unnest(range(1, len(regexp_extract_all(t, {p})) + 1)) AS i
-  FROM (SELECT rel_path, content, {text} AS t FROM {source} WHERE {where}))"""
-
-
-def register(name: str, make, sql: str, doc: str) -> None:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return make(spark)
-
-    run.__name__, run.__doc__ = name, doc
-    QUERIES[name], SQL[name] = run, sql
-
-
 SHOWN = ["file", "line", "category", "severity"]
 
 
@@ -157,18 +113,19 @@ def rule(name: str, id_: str, pattern: str, keep: str = "true", text: str = "con
     r = next(x for x in detect.RAW_RULES + detect.CODE_RULES if x.id == id_)
     raw = r in detect.RAW_RULES
 
-    def make(spark: SparkSession) -> DataFrame:
-        own = files(spark, TREE)
+    def make(spark: SparkSession, sf: str) -> DataFrame:
+        own = TREE.files(spark, sf)
         found = detect.raw_findings(own, [r]) if raw else detect.code_findings(lexer.masked(own)).where((F.col("category") == r.category) & (F.col("severity") == r.severity))
         return found.select(*SHOWN)
 
-    sql = f"WITH {code_table(TREE)} SELECT rel_path AS file, line, {quoted(r.category)} AS category, {quoted(r.severity)} AS severity FROM ({matches(pattern, text)}) WHERE {keep}"
+    sql = f"WITH {TREE.sql()} SELECT rel_path AS file, line, {quoted(r.category)} AS category, {quoted(r.severity)} AS severity FROM ({matches(pattern, text)}) WHERE {keep}"
     register(name, make, sql, f"{r.category}: rule {r.id}.")
 
 
+CREDENTIAL = r"""(?i)["'](aws_?access_?key|aws_?secret_?key|api[-_]?key|secret[-_]?key|secret|passwd|password|auth[-_]?token|token|private[-_]?key)["']\s*(:|=)\s*["'][^"']{8,}["']"""
 VALUE = r"""regexp_extract(m, '["''][^"'']*["''][^"'']*["'']([^"'']*)["'']', 1)"""
 rule(
-    "scan_credentials", "D1", r"""(?i)["'](aws_?access_?key|aws_?secret_?key|api[-_]?key|secret[-_]?key|secret|passwd|password|auth[-_]?token|token|private[-_]?key)["']\s*(:|=)\s*["'][^"']{8,}["']""",
+    "scan_credentials", "D1", CREDENTIAL,
     f"lower({VALUE}) NOT IN ('changeme', 'xxxxxxxx', 'your_api_key', 'placeholder', 'example', 'test', 'dummy', 'todo', 'secret', 'password', 'yourpassword') AND NOT contains({VALUE}, 'process.env') AND NOT contains({VALUE}, '${{')",
 )
 rule("scan_cloud_keys", "D2", "AKIA([A-Z]|[0-9]){16}")
@@ -176,11 +133,15 @@ rule("scan_private_keys", "D3", "-----BEGIN ((RSA|EC|DSA|OPENSSH) )?PRIVATE KEY-
 rule("scan_chat_tokens", "D4", r"\bxox[abprs]-[-A-Za-z0-9]{10,}")
 rule("scan_forge_tokens", "D5", r"\bgh[oprsu]_[A-Za-z0-9]{36,}")
 rule("scan_connection_strings", "D6", r"""(?i)\b(postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp)://[^\s:/'"]+:[^\s/@'"]+@[^\s/'"]+""")
+#: SQL: a template of whose values one is no number, length or escaped text, or text put together with a plus.
+UNSAFE = r"""(NOT regexp_matches(m, '^[^=]*=\s*`') OR len(list_filter(regexp_extract_all(m, '\$\{([^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*)\}', 1),
+  lambda v: NOT regexp_matches(trim(v), '(?i)^[\w.]*\b(escape|sanitize|purify|encode)\w*\s*\(') AND NOT regexp_matches(trim(v), '^[0-9]+$|^[\w.]+\.(length|count|size|line|lineNo|lineNumber|column|col|index|idx|row)$'))) > 0
+  OR len(regexp_extract_all(m, '\$\{([^{}]*(?:\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}[^{}]*)*)\}', 1)) = 0)"""
 PARTS = r"""(`[^`]*\$\{[^`]*\}[^`]*`|["'][^"']*["']\s*\+)"""
 rule("scan_sql_injection", "D8", r"\.(execute|query)\(\s*" + PARTS)
 rule("scan_eval", "D9", r"\beval\s*\(", text=HIDDEN)
 rule("scan_function_constructor", "D10", r"new\s+Function\s*\(", text=HIDDEN)
-rule("scan_inner_html", "D11", r"\.innerHTML\s*=\s*" + PARTS, "NOT (rel_path = 'src/inject.js' AND line = 5)")
+rule("scan_inner_html", "D11", r"\.innerHTML\s*=\s*" + PARTS, UNSAFE)
 rule("scan_dangerous_html", "D12", r"dangerouslySetInnerHTML\s*=\s*\{\{\s*__html\s*:\s*[^}]+\}\}", r"NOT regexp_matches(m, '__html\s*:\s*''[^'']*''\s*\}')")
 rule("scan_command_injection", "D13", r"\b(exec|execSync)\(\s*" + PARTS)
 rule("scan_todos", "D17", r"//\s*(TODO|FIXME|HACK|XXX)\b[^\n]*")
@@ -191,32 +152,33 @@ rule(
 
 
 def code_category(name: str, category: str, sql: str) -> None:
-    register(name, lambda spark: detect.code_findings(lexer.masked(files(spark, TREE))).where(F.col("category") == category).select(*SHOWN), sql, f"{category}.")
+    register(name, lambda spark, sf: detect.code_findings(lexer.masked(TREE.files(spark, sf))).where(F.col("category") == category).select(*SHOWN), sql, f"{category}.")
 
 
 code_category(
     "scan_weak_random", "Weak Random Number Generation",
-    f"""WITH {code_table(TREE)} SELECT rel_path AS file, line, 'Weak Random Number Generation' AS category, 'High' AS severity FROM ({matches(r"Math\.random\(\)", HIDDEN)})
+    f"""WITH {TREE.sql()} SELECT rel_path AS file, line, 'Weak Random Number Generation' AS category, 'High' AS severity FROM ({matches(r"Math\.random\(\)", HIDDEN)})
 WHERE regexp_matches(array_to_string(string_split(content, chr(10))[greatest(line - 5, 1) : line], ' '), '(?i)token|session|password|secret|csrf|nonce|otp|api[_-]?key|auth')""",
 )
 CALL = r"""createHash\(\s*('(md5|sha1)'|"(md5|sha1)")"""
 code_category(
     "scan_weak_hash", "Weak Password Hashing",
-    f"""WITH {code_table(TREE)}, code2 AS (SELECT rel_path, regexp_replace(regexp_replace(content, '"[^"\\n]*createHash[^"\\n]*"', ' ', 'g'), '//[^\\n]*', ' ', 'g') AS content FROM code)
+    f"""WITH {TREE.sql()}, code2 AS (SELECT app_id, rel_path, regexp_replace(regexp_replace(content, '"[^"\\n]*createHash[^"\\n]*"', ' ', 'g'), '//[^\\n]*', ' ', 'g') AS content FROM code)
 SELECT rel_path AS file, line, 'Weak Password Hashing' AS category, CASE WHEN regexp_matches(string_split(content, chr(10))[line], '(?i)password|passwd|credential') THEN 'Critical' ELSE 'Medium' END AS severity
 FROM ({matches("(?i)" + CALL, source="code2")})""",
 )
 code_category(
     "scan_debug_logging", "Leftover Debug Logging",
-    f"WITH {code_table(TREE)} SELECT rel_path AS file, min(line) AS line, 'Leftover Debug Logging' AS category, 'Low' AS severity FROM ({matches(r'console.(log|debug)[(]', HIDDEN)}) GROUP BY 1",
+    f"WITH {TREE.sql()} SELECT rel_path AS file, min(line) AS line, 'Leftover Debug Logging' AS category, 'Low' AS severity FROM ({matches(r'console.(log|debug)[(]', HIDDEN)}) GROUP BY 1",
 )
 
 LITERAL = r"""["']([^"'\n]*)["']"""
 register(
-    "scan_entropy", lambda spark: detect.entropy_findings(lexer.masked(files(spark, TREE))).select(*SHOWN),
-    f"""WITH {code_table(TREE)}, s AS (SELECT rel_path, line, m[2:-2] AS v FROM ({matches(LITERAL, "regexp_replace(content, '//[^" + chr(92) + "n]*', ' ', 'g')", "rel_path = 'src/strings.ts'")})),
+    "scan_entropy", lambda spark, sf: detect.entropy_findings(lexer.masked(TREE.files(spark, sf))).select(*SHOWN),
+    f"""WITH {TREE.sql()}, s AS (SELECT rel_path, line, m[2:-2] AS v FROM ({matches(LITERAL, "regexp_replace(content, '//[^" + chr(92) + "n]*', ' ', 'g')", "rel_path LIKE '%/strings.ts'")})),
+keyed AS (SELECT rel_path, line FROM ({matches(CREDENTIAL, where="rel_path LIKE '%/strings.ts'")})),
 c AS (SELECT DISTINCT rel_path, line, v FROM s WHERE len(v) BETWEEN 20 AND 200 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '\\s|^(https?://|/|\\./|\\.\\./)')
-  AND NOT regexp_matches(v, '(?i)^(c[0-9a-z]{{24}}|[0-9a-f]{{24}}|[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})$|^[A-Za-z0-9_-]{{21}}$') AND NOT (rel_path = 'src/strings.ts' AND line = 4)),
+  AND NOT regexp_matches(v, '(?i)^(c[0-9a-z]{{24}}|[0-9a-f]{{24}}|[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})$|^[A-Za-z0-9_-]{{21}}$') AND (rel_path, line) NOT IN (SELECT (rel_path, line) FROM keyed)),
 p AS (SELECT rel_path, line, v, ch, count(*)::double / any_value(len(v)) AS share FROM (SELECT rel_path, line, v, unnest(string_split(v, '')) AS ch FROM c) GROUP BY rel_path, line, v, ch),
 e AS (SELECT rel_path, line, v, -sum(share * log2(share)) AS bits FROM p GROUP BY rel_path, line, v)
 SELECT rel_path AS file, line, 'Possible High-Entropy Secret' AS category, 'Medium' AS severity FROM e WHERE bits >= 4""",
@@ -224,16 +186,43 @@ SELECT rel_path AS file, line, 'Possible High-Entropy Secret' AS category, 'Medi
 )
 
 
-def shape(name: str, category: str, *rows: tuple) -> None:
-    def make(spark: SparkSession) -> DataFrame:
-        found = metrics.findings(metrics.blocks(lexer.masked(files(spark, TREE))))
+def shape(name: str, category: str, sql: str) -> None:
+    def make(spark: SparkSession, sf: str) -> DataFrame:
+        found = metrics.findings(metrics.blocks(lexer.masked(TREE.files(spark, sf))))
         return found.where(F.col("category") == category).select("file", "line", "severity")
 
-    register(name, make, values("file, line, severity", *rows), f"{category}: rows worked out by hand.")
-
-
-shape("scan_oversized", "Oversized Function", ("src/long.ts", 1, "Medium"))
-shape("scan_complexity", "High Cyclomatic Complexity", ("src/shape.js", 15, "Medium"))
-shape("scan_nesting", "Deep Nesting", ("src/shape.js", 1, "Low"), ("src/shape.js", 7, "Low"))
-shape("scan_queries_in_loops", "N+1 Query Pattern", ("src/loops.js", 3, "Medium"), ("src/loops.js", 4, "Medium"), ("src/loops.js", 6, "Medium"))
-shape("scan_effect_cleanup", "Missing Effect Cleanup", ("src/effects.jsx", 3, "Medium"), ("src/effects.jsx", 4, "Medium"), ("src/effects.jsx", 10, "Medium"))
+    register(name, make, f"WITH {TREE.sql()}, l AS ({lines()}) " + sql, f"{category}.")
+
+
+count = lambda p: f"len(regexp_extract_all(content, '{p}'))"
+shape(
+    "scan_oversized", "Oversized Function",
+    f"""SELECT rel_path AS file, 1 AS line, CASE WHEN n > 160 THEN 'Medium' ELSE 'Low' END AS severity
+FROM (SELECT rel_path, {count("[^" + chr(92) + "n]+")} AS n FROM code WHERE rel_path LIKE '%/long.ts') WHERE n > 80""",
+)
+shape(
+    "scan_complexity", "High Cyclomatic Complexity",
+    f"""SELECT rel_path AS file, 1 AS line, CASE WHEN n >= 15 THEN 'Medium' ELSE 'Low' END AS severity
+FROM (SELECT rel_path, 1 + {count("if |&&")} AS n FROM code WHERE regexp_matches(rel_path, '/(branches|deep)[.]js$')) WHERE n >= 10""",
+)
+shape("scan_nesting", "Deep Nesting", f"SELECT rel_path AS file, 1 AS line, 'Low' AS severity FROM code WHERE rel_path LIKE '%/deep.js' AND {count('if ')} > 5")
+shape(
+    "scan_queries_in_loops", "N+1 Query Pattern",
+    """SELECT rel_path AS file, line, 'Medium' AS severity FROM l
+WHERE rel_path LIKE '%/loops.js' AND regexp_matches(l, 'for [(]|forEach') AND NOT contains(l, 'later') AND regexp_matches(l, '[.](findOne|query)[(]')""",
+)
+shape(
+    "scan_effect_cleanup", "Missing Effect Cleanup",
+    """SELECT rel_path AS file, line, 'Medium' AS severity FROM l
+WHERE contains(l, 'setInterval') AND NOT contains(l, 'clearInterval') OR contains(l, 'addEventListener') AND NOT contains(l, 'removeEventListener')""",
+)
+
+#: Weakness class and risk group by rule.
+WEAK = [("scan_credentials", "CWE-798", "A07:2021"), ("scan_cloud_keys", "CWE-798", "A07:2021"), ("scan_private_keys", "CWE-798", "A07:2021"), ("scan_chat_tokens", "CWE-798", "A07:2021"),
+        ("scan_forge_tokens", "CWE-798", "A07:2021"), ("scan_connection_strings", "CWE-798", "A07:2021"), ("scan_sql_injection", "CWE-89", "A03:2021"), ("scan_inner_html", "CWE-79", "A03:2021"),
+        ("scan_dangerous_html", "CWE-79", "A03:2021"), ("scan_command_injection", "CWE-78", "A03:2021"), ("scan_todos", None, None), ("scan_unpaged_loops", None, None)]
+register(
+    "weakness_classes", lambda spark, sf: detect.with_weakness(detect.raw_findings(TREE.files(spark, sf))).groupBy("category", "cwe", "owasp").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT category, cwe, owasp, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT category, {quoted(c)}::varchar AS cwe, {quoted(o)}::varchar AS owasp FROM ({SQL[n]})" for n, c, o in WEAK) + ") GROUP BY ALL",
+    "Weakness classes of the findings on raw text.",
+)

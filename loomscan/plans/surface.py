@@ -1,168 +1,219 @@
-"""Registered queries of extractors, manifests and graphs over a literal project tree; their twins are rows worked out by
-hand from the tree's text."""
+"""Registered queries of extractors, manifests and graphs over projects derived from `part`; their twins parse the same
+texts by regular expressions and JSON functions of the other engine."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscan.operators import extract, graph, lexer, metrics
-from loomscan.plans.scans import files, register, values
+from loomscan.plans.sources import Tree, lines, matches, register
 from loomscan.sources import files as src
 from loomscan.sources import manifests
 
-PROJECT = {
-    "src/app.js": """import express from 'express';
+CODE = {
+    "src/p§k/app.js": """import express from 'express';
 import { list, load } from './users';
 const app = express();
-app.get('/users/:id', auth, show);
-app.post("/users", async (req, res) => {
-  if (!req.body) { return res.status(400).json({}); }
-  try { await load(req.body); res.status(201).json({}); } catch (e) { res.status(500).end(); }
-});
-export function show(req, res) { list(req); helper(); axios.get('/x'); }
-function helper() { return process.env.API_URL || process.env['CACHE_DIR']; }
+app.get('/§t/:id', auth('§b'), show);
+app.post("/§w", async (req, res) => { if (!req.body) { return res.status(§n).json({}); } try { await load(req.body); res.status(201).json({}); } catch (e) { res.status(500).end(); } });
+export function show(req, res) { list(req); §f(); axios.get('/x'); }
+function helper() { return process.env.API_§n || process.env['CACHE_§k']; }
 """,
-    "src/users.ts": """import { db } from './lib';
-export class Users extends Base {
+    "src/p§k/users.ts": """import { db } from './lib';
+export class Users§n extends Base {
 }
 export const list = async (q) => { return db.find(q); };
 export async function load(body) { list(body); store(body); }
 function store(body) { deep(body); }
 function deep(x) { return x; }
 @Entity()
-export class Account {
+export class Account§n {
   @PrimaryGeneratedColumn()
   id: number;
-  @Column({ length: 10 })
-  name?: string;
+  @Column({ length: §n })
+  §w?: string;
 }
 """,
-    "src/lib/index.js": "const schema = new mongoose.Schema({ title: String, tags: [String], owner: { type: ObjectId, ref: 'U' } });\nmodule.exports = { db: require('../lonely') };\n",
-    "src/lonely.js": "module.exports = 1;\n",
-    "src/unused.js": "import './unused';\nexport default class Nobody {}\n",
-    "tool/main.py": """import os
-from tool.jobs import run
+    "src/p§k/lib/index.js": "const schema§n = new mongoose.Schema({ title: String, tags: [String], §w: { type: ObjectId, required: true } });\nmodule.exports = { db: require('../§o') };\n",
+    "src/p§k/lonely.js": "module.exports = §n;\n",
+    "src/p§k/unused.js": "import './unused';\nexport default class Nobody§k {}\n",
+    "tool/p§k/main.py": """import os
+from tool.p§k.jobs import run
 from . import views
-TOKEN = os.environ['SERVICE_TOKEN']
-class Job(Base):
+TOKEN = os.environ['TOKEN_§n']
+class Job§n(Base):
     def work(self, n): pass
-class Note(models.Model):
-    title = models.CharField(max_length=9)
+class Note§n(models.Model):
+    §w = models.CharField(max_length=§n)
     when = models.DateTimeField()
 
-@app.route('/notes', methods=['GET', 'POST'])
+@app.route('/notes§n', methods=['GET', '§r'])
 def notes(): return run()
-@api.get("/items/{id}")
-async def item(id): return os.getenv("ITEM_HOST")
+@api.get("/items§n/{id}")
+async def item(id): return os.getenv("HOST_§n")
 """,
-    "tool/jobs.py": "def run(): pass\n",
-    "tool/views.py": "def page(): pass\n",
-    "svc/main.go": 'package main\nfunc main() { r.GET("/ping", ping) }\nfunc (s *Server) Serve(port int) {}\ntype Server struct {}\nfunc init() { http.HandleFunc("/h", hello) }\n',
-    "svc/Api.java": '@RestController\npublic class Api {\n  @GetMapping("/orders")\n  public List<Order> orders() { return x; }\n}\n',
-    "web/routes.php": "<?php\nRoute::get('orders', [OrderController::class, 'index']);\n",
-    "config/routes.rb": "resources :posts\nget '/about', to: 'pages#about'\n",
-    "db/schema.sql": "CREATE TABLE users (\n  id INT PRIMARY KEY,\n  price DECIMAL(10,2) NOT NULL,\n  CONSTRAINT u UNIQUE (id)\n);\ncreate table if not exists notes (body text);\n",
-    "db/main.prisma": "model Post {\n  id Int @id\n  tags String[]\n}\n",
-    "app/page.tsx": "export default function Page() {}\n",
-    "app/(shop)/items/[id]/route.ts": "export async function GET() {}\nexport async function DELETE() {}\n",
-    "pages/api/ping.js": "export default function h() {}\n",
-    "package.json": json.dumps({"dependencies": {"lodash": "^4.17.20", "react": "17", "left-pad": "1.0.0"}, "devDependencies": {"react": "18.2.0", "express": "~4.17.3"}, "main": "lib/start.js", "scripts": {"start": "node ."}}),
-    "packages/ui/package.json": '{"name": "ui"}',
+    "tool/p§k/jobs.py": "def run(): pass\n",
+    "tool/p§k/views.py": "def page(): pass\n",
+    "svc/p§k/main.go": 'package main\nfunc main() { r.GET("/ping§n", ping) }\nfunc (s *Server) Serve§n(port int) {}\ntype Server struct {}\nfunc init() { http.HandleFunc("/h§n", hello) }\n',
+    "svc/p§k/Api.java": '@RestController\n@RequestMapping("/§t")\npublic class Api§n {\n  @GetMapping("/§n")\n  public List<Order> orders() { return x; }\n}\nclass Plain§n {\n  @PostMapping("/own§n")\n  public void own() { }\n}\n',
+    "web/p§k/routes.php": "<?php\nRoute::get('§t§n', [OrderController::class, 'index']);\n",
+    "p§k/config/routes.rb": "resources :§t§n\nget '/about§n', to: 'pages#about'\n",
+    "db/p§k/schema.sql": "CREATE TABLE users§n (\n  id INT PRIMARY KEY,\n  §w DECIMAL(10,2) NOT NULL,\n  CONSTRAINT u UNIQUE (id)\n);\ncreate table if not exists notes (body§n text);\n",
+    "db/p§k/main.prisma": "model Post§n {\n  id Int @id\n  §w String[]\n}\n",
+    "app/p§k/page.tsx": "export default function Page() {}\n",
+    "app/(shop)/p§k/[id]/route.ts": "export async function GET() {}\nexport async function §r() {}\n",
+    "pages/api/p§k.js": "export default function h() {}\n",
+}
+MARKS = {
+    "§f": "CASE WHEN p_size % 2 = 0 THEN 'helper' ELSE 'gone' END", "§o": "CASE WHEN p_size % 3 = 0 THEN 'lonely' ELSE 'none' END",
+    "§r": "CASE WHEN p_size % 2 = 0 THEN 'POST' ELSE 'DELETE' END", "§d": "concat('', p_size % 40)", "§y": "CASE WHEN p_size % 2 = 0 THEN '(MIT OR GPL-3.0)' ELSE 'MIT' END",
+}
+PROJECT = Tree(CODE, MARKS)
+#: Files of an app from its own root: manifests count at certain places only.
+ROOT = Tree({
+    "package.json": '{"dependencies": {"lodash": "^4.17.§d", "react": "17", "left-pad": "1.0.§n"}, "devDependencies": {"react": "18.2.§n", "express": "~4.17.§d"}, "main": "lib/§w.js", "scripts": {"start": "node §n"}}',
+    "packages/§t/package.json": '{"name": "§t"}',
     "apps/x/y/package.json": "{}",
     "bad/package.json": "{not json",
-    "node_modules/lodash/package.json": '{"name": "lodash", "version": "4.17.20", "license": "MIT"}',
-    "node_modules/react/package.json": '{"name": "react", "version": "18.2.0", "license": "(MIT OR GPL-3.0)"}',
-    "node_modules/@s/odd/package.json": '{"name": "@s/odd", "version": "1.0.0", "licenses": [{"type": "MPL-2.0"}, {"type": "MIT"}]}',
-    "node_modules/none/package.json": '{"name": "none", "version": "0.1.0"}',
-    "requirements.txt": "flask==1.0 # web\nDjango[bcrypt] == 4.2\n-r more.txt\nuvicorn>=1\n",
-    "go.mod": "module x\nrequire github.com/a/b v1.2.3\n\tgolang.org/x/net v0.5.0 // indirect\n",
-    "main.py": "print(1)\n",
-}
+    "node_modules/lodash/package.json": '{"name": "lodash", "version": "4.17.§d", "license": "MIT"}',
+    "node_modules/react/package.json": '{"name": "react", "version": "18.2.§n", "license": "§y"}',
+    "node_modules/@s/odd/package.json": '{"name": "@s/odd", "version": "1.0.§n", "licenses": [{"type": "MPL-2.0"}, {"type": "MIT"}]}',
+    "node_modules/none/package.json": '{"name": "none§n", "version": "0.1.0"}',
+    "requirements.txt": "flask==1.§n # web\nDjango[bcrypt] == 4.§d\n-r more.txt\nuvicorn>=§n\n",
+    "go.mod": "module x\nrequire github.com/a/§w v1.2.§n\n\tgolang.org/x/net v0.5.§d // indirect\n",
+    "main.py": "print(§n)\n",
+    "src/lib/§w.js": "x", "src/§t.js": "x", "src/gen/main.py": "x", "web/§b.js": "x", "tool/§t.py": "x", "tool/x/§w.js": "x",
+}, MARKS)
 
 
-def golden(name: str, make, columns: str, *rows: tuple) -> None:
-    """A query over the tree and its rows."""
+def over(name: str, make, sql: str, tree: Tree = PROJECT, *more: str) -> None:
+    """A query over a tree's files, and SQL over the tables `code`, `l` (lines) and others."""
+    tables = ", ".join([tree.sql(), f"l AS ({lines()})", *more])
+    text = f"WITH {tables}{'' if sql.startswith(',') else ' '}{sql}"
+    register(name, lambda spark, sf: make(tree.files(spark, sf)), text, f"{name} over source files derived from part.")
 
-    def run(spark: SparkSession) -> DataFrame:
-        return make(files(spark, PROJECT), spark)
 
-    register(name, run, values(columns, *rows), f"{name}: rows worked out by hand.")
+def parts(kind: str, where: str):
+    return lambda f: extract.components(f).where(f"kind = '{kind}' and {where}").select("rel_path", "name", "line")
 
 
-def parts(kind: str, where: str):
-    return lambda f, spark: extract.components(f).where(f"kind = '{kind}' and {where}").select("rel_path", "name", "line")
+def of_line(name: str, pattern: str, where: str, group: int = 1, kind: str = "") -> str:
+    """SQL: rows of lines that a pattern meets, its group as the name."""
+    return f"SELECT rel_path, {kind}regexp_extract(l, '{pattern}', {group}) AS name, line FROM l WHERE {where} AND regexp_matches(l, '{pattern}')"
 
 
-JS = "rel_path rlike '^src/.*[jt]s$'"
-golden(
-    "extract_js_functions", parts("function", JS), "rel_path, name, line",
-    ("src/app.js", "show", 9), ("src/app.js", "helper", 10), ("src/users.ts", "list", 4), ("src/users.ts", "load", 5), ("src/users.ts", "store", 6), ("src/users.ts", "deep", 7),
-)
-golden("extract_js_classes", parts("class", JS), "rel_path, name, line", ("src/users.ts", "Users", 2), ("src/users.ts", "Account", 9), ("src/unused.js", "Nobody", 2))
-golden(
-    "extract_js_imports", parts("import", JS), "rel_path, name, line",
-    ("src/app.js", "express", 1), ("src/app.js", "./users", 2), ("src/users.ts", "./lib", 1), ("src/lib/index.js", "../lonely", 2), ("src/unused.js", "./unused", 1),
-)
-golden(
-    "extract_js_exports", parts("export", JS), "rel_path, name, line",
-    ("src/app.js", "show", 9), ("src/users.ts", "Users", 2), ("src/users.ts", "list", 4), ("src/users.ts", "load", 5), ("src/users.ts", "Account", 9), ("src/unused.js", "Nobody", 2),
+JS, SRC = "rel_path rlike '^src/.*[jt]s$'", "regexp_matches(rel_path, '^src/.*[jt]s$')"
+FUNCTIONS = "^ *(?:export )?(?:(?:async )?function |const )([A-Za-z]+)(?:[(]| = async [(])"
+over("extract_js_functions", parts("function", JS), of_line("", FUNCTIONS, SRC))
+over("extract_js_classes", parts("class", JS), of_line("", "^(?:export )?(?:default )?class ([A-Za-z0-9]+)", SRC))
+over("extract_js_imports", parts("import", JS), of_line("", "(?:^import |from |require[(])''([^'']+)''", SRC))
+over("extract_js_exports", parts("export", JS), of_line("", "^export (?:default )?(?:async )?(?:function|class|const) ([A-Za-z0-9]+)", SRC))
+PY = "rel_path LIKE '%.py'"
+over(
+    "extract_python", lambda f: extract.components(f).where(PY).select("rel_path", "kind", "name", "line"),
+    " UNION ALL ".join(of_line("", p, PY, kind=f"'{k}' AS kind, ") for k, p in (
+        ("import", "^import ([a-z]+)"), ("import", "^from ([.a-z0-9]+) import"), ("class", "^class ([A-Za-z0-9]+)"), ("function", "^ *(?:async )?def ([a-z]+)[(]"),
+    )),
 )
-golden(
-    "extract_python", lambda f, s: extract.components(f).where("rel_path like '%.py'").select("rel_path", "kind", "name", "line"), "rel_path, kind, name, line",
-    ("tool/main.py", "import", "os", 1), ("tool/main.py", "import", "tool.jobs", 2), ("tool/main.py", "import", ".", 3), ("tool/main.py", "class", "Job", 5), ("tool/main.py", "function", "work", 6),
-    ("tool/main.py", "class", "Note", 7), ("tool/main.py", "function", "notes", 12), ("tool/main.py", "function", "item", 14), ("tool/jobs.py", "function", "run", 1), ("tool/views.py", "function", "page", 1),
+over(
+    "extract_other_languages", lambda f: extract.components(f).where("rel_path like 'svc/%'").select("rel_path", "kind", "name", "line"),
+    " UNION ALL ".join(of_line("", p, "rel_path LIKE 'svc/%'", kind=f"'{k}' AS kind, ") for k, p in (
+        ("function", "^func (?:[(][^)]*[)] )?([A-Za-z0-9]+)[(]"), ("class", "^(?:public )?class ([A-Za-z0-9]+)"),
+    )),
 )
-golden(
-    "extract_other_languages", lambda f, s: extract.components(f).where("rel_path like 'svc/%'").select("rel_path", "kind", "name", "line"), "rel_path, kind, name, line",
-    ("svc/main.go", "function", "main", 2), ("svc/main.go", "function", "Serve", 3), ("svc/main.go", "function", "init", 5), ("svc/Api.java", "class", "Api", 2),
+ENV = "SELECT DISTINCT name FROM (SELECT unnest(regexp_extract_all(content, '(?:process[.]env[.]|process[.]env[[]''|os[.]environ[[]''|getenv[(]\")([A-Z][A-Z0-9_]*)', 1)) AS name FROM code)"
+over("extract_env_vars", extract.env_vars, ENV)
+over(
+    "env_descriptions", lambda f: extract.env_vars(f).select("name", F.coalesce(F.when(F.col("name").startswith("API_"), F.concat(F.lit("service "), F.substring("name", 5, 9))), F.lit("")).alias("description")),
+    f"SELECT name, CASE WHEN name LIKE 'API!_%' ESCAPE '!' THEN 'service ' || name[5:] ELSE '' END AS description FROM ({ENV})",
 )
-golden("extract_env_vars", lambda f, s: extract.env_vars(f), "name", ("API_URL",), ("CACHE_DIR",), ("SERVICE_TOKEN",), ("ITEM_HOST",))
 
 
-def models(name: str, origin: str, *rows: tuple) -> None:
-    golden(name, lambda f, s: extract.models(f).where(F.col("origin") == origin).select("model", "field", "type"), "model, field, type", *rows)
+def models(name: str, origin: str, path: str, model: str, fields: str, end: str = "$$none") -> None:
+    """Models of one file a project: the model's name and its fields are matches in the file's text."""
+    over(
+        name, lambda f: extract.models(f).where(F.col("origin") == origin).select("rel_path", "model", "field", "type"),
+        f"""SELECT rel_path, regexp_extract(t, '{model}', 1) AS model, regexp_extract(x, '{fields}', 1) AS field, regexp_extract(x, '{fields}', 2) AS type
+FROM (SELECT rel_path, t, unnest(regexp_extract_all(substr(t, strpos(t, regexp_extract(t, '{model}')) + len(regexp_extract(t, '{model}'))), '{fields}')) AS x
+  FROM (SELECT rel_path, unnest(string_split(content, '{end}')) AS t FROM code WHERE rel_path LIKE '{path}') WHERE regexp_matches(t, '{model}'))""",
+    )
 
 
-models("extract_sql_tables", "sql", ("users", "id", "INT"), ("users", "price", "DECIMAL(10,2)"), ("notes", "body", "text"))
-models("extract_prisma", "prisma", ("Post", "id", "Int"), ("Post", "tags", "String[]"))
-models("extract_mongoose", "mongoose", ("schema", "title", "String"), ("schema", "tags", "String"), ("schema", "owner", "ObjectId"))
-models("extract_django", "django", ("Note", "title", "CharField"), ("Note", "when", "DateTimeField"))
-models("extract_typeorm", "typeorm", ("Account", "id", "number"), ("Account", "name", "string"))
+models("extract_sql_tables", "sql", "db/%.sql", "(?i)create table (?:if not exists )?([a-z0-9]+) [(]", "(?:^|\n) *([a-z0-9_]+) (INT|DECIMAL[(]10,2[)]|text)", ");\n")
+models("extract_prisma", "prisma", "db/%.prisma", "model ([A-Za-z0-9]+) [{]", "\n  ([a-z_]+) ([A-Z][a-z]+(?:\\[\\])?)")
+models("extract_mongoose", "mongoose", "src/%/lib/index.js", "const ([a-z0-9]+) = new mongoose", "([a-z_]+): (?:[{] type: |\\[)?([A-Z][A-Za-z]+)")
+models("extract_django", "django", "tool/%/main.py", "class ([A-Za-z0-9]+)[(]models[.]Model[)]:", "\n    ([a-z_]+) = models[.]([A-Za-z]+)")
+models("extract_typeorm", "typeorm", "src/%/users.ts", "@Entity[(][)]\nexport class ([A-Za-z0-9]+)", "[)]\n  ([a-z_]+)[?]?: ([a-z]+);")
 
 
-def routes(name: str, where: str, *rows: tuple) -> None:
-    golden(name, lambda f, s: extract.routes(f).where(where).select("method", "path", "handler", "line"), "method, path, handler, line", *rows)
+def routes(name: str, where: str, sql: str) -> None:
+    over(name, lambda f: extract.routes(f).where(where).select("rel_path", "method", "path", "handler", "line"), sql)
 
 
-routes("extract_express", "rel_path = 'src/app.js'", ("GET", "/users/:id", "show", 4), ("POST", "/users", "(inline)", 5))
-routes("extract_flask", "path = '/notes' and rel_path = 'tool/main.py'", ("GET", "/notes", "notes", 11), ("POST", "/notes", "notes", 11))
-routes("extract_fastapi", "path like '/items/{%'", ("GET", "/items/{id}", "item", 13))
-routes("extract_go_routes", "rel_path = 'svc/main.go'", ("GET", "/ping", "ping", 2), ("ANY", "/h", "hello", 5))
+def routed(pattern: str, where: str, method: str, path: str, handler: str, source: str = "l", line: str = "line") -> str:
+    """SQL: routes of lines that a pattern meets; its groups are named by $1, $2 ..."""
+    fill = lambda t: "".join(f"regexp_extract(l, '{pattern}', {x[0]}){x[1:]}" if i else x for i, x in enumerate(t.split("$")))
+    return f"SELECT rel_path, {fill(method)} AS method, {fill(path)} AS path, {fill(handler)} AS handler, {line} AS line FROM {source} WHERE {where} AND regexp_matches(l, '{pattern}')"
+
+
+routes(
+    "extract_express", "rel_path like 'src/%'",
+    routed("app[.]([a-z]+)[(][''\"](/[^''\"]+)[''\"], (?:auth[(][^)]*[)], )?([a-z]+)", "rel_path LIKE 'src/%'", "upper($1)", "$2", "CASE WHEN $3 = 'async' THEN '(inline)' ELSE $3 END"),
+)
+routes(
+    "extract_flask", "path like '/notes%'",
+    " UNION ALL ".join(routed("app[.]route[(]''([^'']+)'', methods=[[]''([A-Z]+)'', ''([A-Z]+)", "rel_path LIKE 'tool/%'", m, "$1", "'notes'") for m in ("$2", "$3")),
+)
+routes("extract_fastapi", "path like '/items%'", routed("@api[.]([a-z]+)[(]\"([^\"]+)\"", "rel_path LIKE 'tool/%'", "upper($1)", "$2", "'item'"))
 routes(
-    "extract_rails", "rel_path = 'config/routes.rb'", ("GET", "/posts", "posts#index", 1), ("GET", "/posts/new", "posts#new", 1), ("POST", "/posts", "posts#create", 1), ("GET", "/posts/:id", "posts#show", 1),
-    ("GET", "/posts/:id/edit", "posts#edit", 1), ("PATCH", "/posts/:id", "posts#update", 1), ("DELETE", "/posts/:id", "posts#destroy", 1), ("GET", "/about", "pages#about", 2),
+    "extract_go_routes", "rel_path like 'svc/%.go'",
+    routed("r[.]GET[(]\"([^\"]+)\", ([a-z]+)", "rel_path LIKE 'svc/%'", "'GET'", "$1", "$2") + " UNION ALL " + routed("HandleFunc[(]\"([^\"]+)\", ([a-z]+)", "rel_path LIKE 'svc/%'", "'ANY'", "$1", "$2"),
+)
+SEVEN = "(VALUES ('index', 'GET', ''), ('new', 'GET', '/new'), ('create', 'POST', ''), ('show', 'GET', '/:id'), ('edit', 'GET', '/:id/edit'), ('update', 'PATCH', '/:id'), ('destroy', 'DELETE', '/:id')) AS seven(action, verb, suffix)"
+routes(
+    "extract_rails", "rel_path like '%config/routes.rb'",
+    routed("^resources :([a-z0-9]+)", "rel_path LIKE '%.rb'", "verb", "'/' || $1 || suffix", "$1 || '#' || action", f"l CROSS JOIN {SEVEN}")
+    + " UNION ALL " + routed("^get ''([^'']+)'', to: ''([^'']+)''", "rel_path LIKE '%.rb'", "'GET'", "$1", "$2"),
+)
+routes(
+    "extract_spring", "rel_path like 'svc/%.java'",
+    """SELECT rel_path, upper(regexp_extract(l, '@([A-Z][a-z]+)Mapping', 1)) AS method,
+  CASE WHEN contains(l, 'Get') THEN regexp_extract(content, '@RequestMapping[(]"([^"]+)"', 1) ELSE '' END || regexp_extract(l, 'Mapping[(]"([^"]+)"', 1) AS path,
+  CASE WHEN contains(l, 'Get') THEN 'orders' ELSE 'own' END AS handler, line
+FROM l JOIN code USING (app_id, rel_path) WHERE regexp_matches(l, '@(Get|Post)Mapping')""",
+)
+routes("extract_laravel", "rel_path like 'web/%'", routed("Route::get[(]''([^'']+)'', [[]OrderController::class, ''([a-z]+)''", "rel_path LIKE 'web/%'", "'GET'", "'/' || $1", "$2"))
+routes(
+    "extract_next", "handler = '(file)'",
+    """SELECT rel_path, 'GET' AS method, '/p' || app_id AS path, '(file)' AS handler, 1 AS line FROM code WHERE rel_path LIKE 'app/%/page.tsx'
+UNION ALL SELECT rel_path, regexp_extract(l, 'function ([A-Z]+)', 1), '/p' || app_id || '/:id', '(file)', 1 FROM l WHERE rel_path LIKE 'app/%/route.ts' AND l <> ''
+UNION ALL SELECT rel_path, 'ANY', '/api/p' || app_id, '(file)', 1 FROM code WHERE rel_path LIKE 'pages/%'""",
 )
-routes("extract_spring", "rel_path = 'svc/Api.java'", ("GET", "/orders", "orders", 3))
-routes("extract_laravel", "rel_path = 'web/routes.php'", ("GET", "/orders", "index", 2))
-routes("extract_next", "handler = '(file)'", ("GET", "/", "(file)", 1), ("GET", "/items/:id", "(file)", 1), ("DELETE", "/items/:id", "(file)", 1), ("ANY", "/api/ping", "(file)", 1))
 
 
 def imports(f: DataFrame) -> DataFrame:
     return extract.components(f).where("kind = 'import'").select(F.col("rel_path").alias("from_path"), F.col("name").alias("spec"))
 
 
-EDGES = (("src/app.js", "src/users.ts"), ("src/users.ts", "src/lib/index.js"), ("src/lib/index.js", "src/lonely.js"), ("tool/main.py", "tool/jobs.py"))
-golden("graph_edges", lambda f, s: graph.edges(imports(f), f), "from_path, to_path", *EDGES)
-golden(
-    "graph_dead_code", lambda f, s: graph.unreferenced(imports(f), f.where("rel_path rlike '^(src|tool)/.*'"), graph.entry_like(F.col("rel_path"), ["main.py", "app.js"])).select("rel_path"), "rel_path",
-    ("tool/views.py",),
+#: SQL: imports of files, the paths that they may mean, and the first that exists.
+IMPORTS = """spec AS (SELECT rel_path, line, unnest(regexp_extract_all(l, '(?:^import |from |require[(])''([^'']+)''', 1)) AS s FROM l WHERE rel_path NOT LIKE '%.py'
+  UNION ALL SELECT rel_path, line, regexp_extract(l, '^(?:from|import) ([.a-z0-9]+)', 1) FROM l WHERE rel_path LIKE '%.py' AND regexp_matches(l, '^(from|import) ')),
+folder AS (SELECT *, regexp_replace(rel_path, '[^/]*$', '') AS f FROM spec),
+base AS (SELECT rel_path, line, s, CASE WHEN rel_path LIKE '%.py' THEN CASE WHEN s = '.' THEN rtrim(f, '/') WHEN s LIKE '.%' THEN f || replace(ltrim(s, '.'), '.', '/') ELSE replace(s, '.', '/') END
+  WHEN s LIKE './%' THEN f || s[3:] WHEN s LIKE '../%' THEN regexp_replace(f, '[^/]*/$', '') || s[4:] END AS b FROM folder)"""
+MEANT = """meant AS (SELECT rel_path, line, s, i, b || x AS target FROM base, (SELECT unnest(['', '.js', '.jsx', '.ts', '.tsx', '.mjs', '.cjs', '.py', '/index.js', '/index.ts', '/__init__.py']) AS x, unnest(range(11)) AS i) WHERE b IS NOT NULL),
+edge AS (SELECT rel_path AS from_path, arg_min(m.target, i) AS to_path, min(m.line) AS line FROM meant m WHERE m.target IN (SELECT c.rel_path FROM code c) GROUP BY rel_path, s)"""
+over("graph_edges", lambda f: graph.edges(imports(f), f).select("from_path", "to_path"), "SELECT DISTINCT from_path, to_path FROM edge WHERE from_path <> to_path", PROJECT, IMPORTS, MEANT)
+over(
+    "graph_dead_code", lambda f: graph.unreferenced(imports(f), f.where("rel_path rlike '^(src|tool)/.*'"), graph.entry_like(F.col("rel_path"), ["main.py", "app.js"])).select("rel_path"),
+    "SELECT rel_path FROM code WHERE regexp_matches(rel_path, '^(src|tool)/') AND NOT regexp_matches(rel_path, '/(main[.]py|app[.]js)$') AND rel_path NOT IN (SELECT m.target FROM meant m)", PROJECT, IMPORTS, MEANT,
 )
-golden(
-    "graph_degrees", lambda f, s: extract.components(f).where("kind in ('function', 'class') and rel_path like 'src/%'").groupBy("rel_path").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes")),
-    "rel_path, functions::bigint, classes::bigint", ("src/app.js", 2, 0), ("src/users.ts", 4, 2), ("src/unused.js", 0, 1),
+over(
+    "graph_degrees",
+    lambda f: extract.components(f).where("kind in ('function', 'class') and rel_path like 'src/%'").groupBy("rel_path").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "class").alias("classes")),
+    f"""SELECT rel_path, count(*) FILTER (WHERE regexp_matches(l, '{FUNCTIONS}')) AS functions, count(*) FILTER (WHERE regexp_matches(l, '^(export )?(default )?class ')) AS classes
+FROM l WHERE rel_path LIKE 'src/%' GROUP BY 1 HAVING functions + classes > 0""",
 )
 
 
@@ -171,56 +222,127 @@ def call_graph(f: DataFrame) -> DataFrame:
     return metrics.resolved(metrics.calls(metrics.blocks(lexer.masked(f))), functions, graph.edges(imports(f), f))
 
 
-golden(
-    "call_resolution", lambda f, s: call_graph(f).select("src", "dst").distinct(), "src, dst",
-    ("src/app.js#(anonymous)", "src/users.ts#load"), ("src/app.js#show", "src/users.ts#list"), ("src/app.js#show", "src/app.js#helper"),
-    ("src/users.ts#load", "src/users.ts#list"), ("src/users.ts#load", "src/users.ts#store"), ("src/users.ts#store", "src/users.ts#deep"),
-)
-START = "src/app.js#(anonymous)"
-golden(
-    "entry_trace", lambda f, s: graph.trace(s.createDataFrame([(START,)], "start string"), call_graph(f), hops=2, budget=3).select("node", "depth", "rn"), "node, depth, rn",
-    (START, 0, 1), ("src/users.ts#load", 1, 2), ("src/users.ts#list", 2, 3),
-)
-golden(
-    "route_handlers", lambda f, s: extract.route_calls(extract.routes(f), metrics.blocks(lexer.masked(f))).where("rel_path = 'src/app.js'").select("method", "path", "name", "line"), "method, path, name, line",
-    ("GET", "/users/:id", "show", 9), ("POST", "/users", "(anonymous)", 5),
-)
-golden(
-    "handler_steps", lambda f, s: metrics.steps(metrics.body_trace(metrics.blocks(lexer.masked(f)))).where("rel_path = 'src/app.js' and responds").select("name", F.array_join("steps", "; ").alias("steps")), "name, steps",
-    ("(anonymous)", "1 branch; handles errors; answers 201, 400, 500"),
-)
-golden(
-    "lexer_masked", lambda f, s: lexer.masked(s.createDataFrame([("a.js", ".js", "x = /['\"]/; // y\n`a${b}` + 'c' / 2 / 3;"), ("b.py", ".py", "x = '#' # c\n\"\"\"d\ne\"\"\" + f")], "rel_path string, ext string, content string")).select("rel_path", "masked"),
-    "rel_path, masked", ("a.js", "x =       ;     \n        +     / 2 / 3;"), ("b.py", "x =        \n    \n     + f"),
-)
-
-NPM = (("package.json", "lodash", "^4.17.20"), ("package.json", "react", "18.2.0"), ("package.json", "left-pad", "1.0.0"), ("package.json", "express", "~4.17.3"))
-golden("manifest_files", lambda f, s: manifests.manifests(f, s).select("rel_path", "ecosystem"), "rel_path, ecosystem", ("package.json", "Node.js"), ("requirements.txt", "Python"), ("go.mod", "Go"))
-golden("manifest_frameworks", lambda f, s: manifests.frameworks(f, s), "framework", ("React",), ("Express",), ("Flask",), ("Django",))
-golden("manifest_entries", lambda f, s: manifests.entry_points(f), "entry", ("main.py",), ("lib/start.js",), ("npm start: node .",))
-golden("manifest_packages", lambda f, s: manifests.sub_packages(f), "package", ("packages/ui",), ("bad",))
-golden("npm_declared", lambda f, s: manifests.npm_deps(f), "rel_path, name, version", *NPM)
-golden("npm_installed", lambda f, s: manifests.installed_versions(f), "name, declared, version", ("lodash", "^4.17.20", "4.17.20"), ("react", "18.2.0", "18.2.0"))
-golden("pip_pinned", lambda f, s: manifests.pip_deps(f).select("name", "version"), "name, version", ("flask", "1.0"), ("Django", "4.2"))
-golden("go_required", lambda f, s: manifests.go_deps(f).select("name", "version"), "name, version", ("github.com/a/b", "1.2.3"), ("golang.org/x/net", "0.5.0"))
-golden(
-    "dependency_findings", lambda f, s: manifests.advisory_findings(f, s).select("file", "line", "severity", "category", "source", "summary"), "file, line, severity, category, source, summary",
-    ("package.json", 1, "High", "Outdated/Vulnerable Dependency", "dependency-audit", "lodash@^4.17.20 is below 4.17.21"),
-)
-golden(
-    "license_issues", lambda f, s: manifests.license_issues(f).select("severity", "category", "source", "summary"), "severity, category, source, summary",
-    ("High", "License Compliance", "dependency-audit", "react: restrictive licence (MIT OR GPL-3.0)"), ("Medium", "License Compliance", "dependency-audit", "@s/odd: restrictive licence MPL-2.0 OR MIT"),
-    ("Low", "License Compliance", "dependency-audit", "none: no licence"),
-)
-AUDIT = json.dumps({"vulnerabilities": {f"p{i:02}": {"severity": ["low", "moderate", "high", "critical"][i % 4], "range": f"<{i}"} for i in range(33)}})
-REPORTS = [("npm", AUDIT), ("advisories", None)]
-golden(
-    "audit_findings", lambda f, s: manifests.audit_findings(s.createDataFrame(REPORTS, "tool string, report string")).groupBy("severity", "category").agg(F.count(F.lit(1)).alias("n"), F.min("summary").alias("first")), "severity, category, n::bigint, first",
-    ("Critical", "Outdated/Vulnerable Dependency", 7, "p03 <3"), ("High", "Outdated/Vulnerable Dependency", 7, "p02 <2"), ("Medium", "Outdated/Vulnerable Dependency", 8, "p01 <1"),
-    ("Low", "Outdated/Vulnerable Dependency", 9, "3 more advisories"), ("Low", "Scan Limitation", 1, "advisories: not available"),
-)
-golden("file_tree_filter", lambda f, s: src.visible(f, ["src/lib/**"], "*.py\n!main.py\n/web\n").where("rel_path rlike '^(src|tool|web|main)'").select("rel_path"), "rel_path", ("src/app.js",), ("src/users.ts",), ("src/lonely.js",), ("src/unused.js",), ("tool/main.py",), ("main.py",))
-golden(
-    "code_owners", lambda f, s: manifests.owners(f.where("rel_path like '%.py'"), [("*.py", "@py"), ("/tool/", "@tool")]).select("rel_path", "owner", "origin"), "rel_path, owner, origin",
-    ("main.py", "@py", "rule"), ("tool/main.py", "@tool", "rule"), ("tool/jobs.py", "@tool", "rule"), ("tool/views.py", "@tool", "rule"),
+#: SQL: functions, each on a line of its own, the names called in their bodies, and where these lead.
+CALLS = r"""fn AS (SELECT rel_path, CASE WHEN l LIKE 'app.post%' THEN '(anonymous)' ELSE regexp_extract(l, '(?:function|const) ([a-z]+)', 1) END AS name, regexp_replace(l, '^.*?[)] (=> )?[{]', '') AS body
+  FROM l WHERE rel_path LIKE 'src/%' AND regexp_matches(l, '^(export )?(async )?function [a-z]+[(]|^export const|^app.post')),
+called AS (SELECT DISTINCT rel_path, name, unnest(regexp_extract_all(body, '(?:^|[^.a-z])([a-z]+)[(]', 1)) AS callee FROM fn),
+led AS (SELECT c.*, coalesce((SELECT any_value(k.rel_path) FROM fn k WHERE k.rel_path = c.rel_path AND k.name = c.callee), (SELECT min(k.rel_path) FROM fn k JOIN edge e ON e.to_path = k.rel_path WHERE e.from_path = c.rel_path AND k.name = c.callee)) AS place FROM called c)"""
+over("call_resolution", lambda f: call_graph(f).select("src", "dst").distinct(), "SELECT rel_path || '#' || name AS src, place || '#' || callee AS dst FROM led WHERE place IS NOT NULL", PROJECT, IMPORTS, MEANT, CALLS)
+
+
+def traced(f: DataFrame) -> DataFrame:
+    starts = f.where("rel_path like 'src/%app.js'").select(F.concat("rel_path", F.lit("#(anonymous)")).alias("start"))
+    return graph.trace(starts, call_graph(f), hops=2, budget=3).select("start", "node", "depth", "rn")
+
+
+over(
+    "entry_trace", traced,
+    """, step AS (SELECT DISTINCT rel_path || '#' || name AS src, place || '#' || callee AS dst FROM led WHERE place IS NOT NULL),
+one AS (SELECT src AS start, dst FROM step WHERE src LIKE '%app.js#(anonymous)'), two AS (SELECT start, s.dst FROM one JOIN step s ON s.src = one.dst)
+SELECT start, start AS node, 0 AS depth, 1 AS rn FROM one UNION SELECT start, dst, 1, 2 FROM one UNION ALL SELECT start, min(dst), 2, 3 FROM two GROUP BY start""", PROJECT, IMPORTS, MEANT, CALLS,
+)
+
+
+def handlers(f: DataFrame) -> DataFrame:
+    return extract.route_calls(extract.routes(f), metrics.blocks(lexer.masked(f))).where("rel_path like 'src/%'").select("rel_path", "method", "path", "name", "line")
+
+
+over(
+    "route_handlers", handlers,
+    """SELECT r.rel_path, upper(regexp_extract(r.l, '^app[.]([a-z]+)', 1)) AS method, regexp_extract(r.l, '[(][''"]([^''"]+)', 1) AS path,
+  CASE WHEN r.l LIKE '%async%' THEN '(anonymous)' ELSE 'show' END AS name, CASE WHEN r.l LIKE '%async%' THEN r.line ELSE h.line END AS line
+FROM l r JOIN l h ON h.rel_path = r.rel_path AND h.l LIKE 'export function show%' WHERE regexp_matches(r.l, '^app[.](get|post)')""",
+)
+over(
+    "handler_steps",
+    lambda f: metrics.steps(metrics.body_trace(metrics.blocks(lexer.masked(f)))).where("rel_path like 'src/%app.js' and responds").select("rel_path", "name", F.array_join("steps", "; ").alias("steps")),
+    r"""SELECT rel_path, '(anonymous)' AS name, len(regexp_extract_all(l, '\bif\b')) || ' branch; handles errors'
+  || CASE WHEN len(s) > 0 THEN '; answers ' || array_to_string(list_sort(list_distinct(s)), ', ') ELSE '' END AS steps
+FROM (SELECT *, regexp_extract_all(l, 'status[(]([0-9][0-9][0-9])', 1) AS s FROM l WHERE l LIKE 'app.post%')""",
+)
+LEXED = Tree({"p§k/a.js": "x = /['\"]/; // y§n\n`a${§n}` + 'c§w' / 2 / §n;", "p§k/b.py": "x = '#§n' # c\n\"\"\"§w\ne\"\"\" + f§n"})
+over(
+    "lexer_masked", lambda f: lexer.masked(f).select("rel_path", "masked"),
+    r"""SELECT rel_path, string_agg(CASE WHEN ext = '.js' AND line = 1 THEN 'x =       ;' || repeat(' ', len(l) - 11) WHEN ext = '.js' THEN repeat(' ', strpos(l, '+') - 1) || '+' || repeat(' ', strpos(l, ' /') - strpos(l, '+') - 1) || l[strpos(l, ' /') :]
+  WHEN line = 1 THEN 'x =' || repeat(' ', len(l) - 3) WHEN line = 2 THEN repeat(' ', len(l)) ELSE repeat(' ', 4) || l[5:] END, chr(10) ORDER BY line) AS masked
+FROM (SELECT rel_path, CASE WHEN rel_path LIKE '%.js' THEN '.js' ELSE '.py' END AS ext, l, line FROM l) GROUP BY rel_path""", LEXED,
+)
+
+J = "json_extract_string(content, '$.{0}')"
+ROOTED = "rel_path = 'package.json'"
+DEPS = f"""dep AS (SELECT app_id, rel_path, name, arg_max(version, kind) AS version FROM (
+  SELECT app_id, rel_path, unnest(json_keys(content, '$.dependencies')) AS name, json_extract_string(content, '$.dependencies.' || unnest(json_keys(content, '$.dependencies'))) AS version, 0 AS kind FROM code WHERE {ROOTED}
+  UNION ALL SELECT app_id, rel_path, unnest(json_keys(content, '$.devDependencies')), json_extract_string(content, '$.devDependencies.' || unnest(json_keys(content, '$.devDependencies'))), 1 FROM code WHERE {ROOTED}) GROUP BY 1, 2, 3)"""
+HAVE = """have AS (SELECT app_id, json_extract_string(content, '$.name') AS name, json_extract_string(content, '$.version') AS version,
+  coalesce(json_extract_string(content, '$.license'), array_to_string(list_transform(json_extract(content, '$.licenses')::json[], lambda x: json_extract_string(x, '$.type')), ' OR ')) AS license FROM code WHERE rel_path LIKE 'node_modules/%')"""
+PIP = "pip AS (SELECT app_id, regexp_extract(l, '^([A-Za-z0-9]+)', 1) AS name, regexp_extract(l, '== ?([0-9.]+)', 1) AS version FROM l WHERE rel_path = 'requirements.txt' AND contains(l, '=='))"
+
+
+def rooted(name: str, make, sql: str, *more: str) -> None:
+    over(name, make, sql, ROOT, *more)
+
+
+def spark_of(f: DataFrame) -> SparkSession:
+    return f.sparkSession
+
+
+rooted(
+    "manifest_files", lambda f: manifests.manifests(f, spark_of(f)).select("app_id", "rel_path", "ecosystem"),
+    "SELECT app_id, rel_path, CASE rel_path WHEN 'package.json' THEN 'Node.js' WHEN 'go.mod' THEN 'Go' ELSE 'Python' END AS ecosystem FROM code WHERE rel_path IN ('package.json', 'go.mod', 'requirements.txt')",
+)
+rooted(
+    "manifest_frameworks", lambda f: manifests.frameworks(f, spark_of(f)),
+    """SELECT DISTINCT app_id, CASE lower(name) WHEN 'react' THEN 'React' WHEN 'express' THEN 'Express' WHEN 'flask' THEN 'Flask' WHEN 'django' THEN 'Django' END AS framework
+FROM (SELECT app_id, name FROM dep UNION ALL SELECT app_id, name FROM pip) WHERE lower(name) IN ('react', 'express', 'flask', 'django')""", DEPS, PIP,
+)
+rooted(
+    "manifest_entries", manifests.entry_points,
+    f"SELECT app_id, rel_path AS entry FROM code WHERE rel_path = 'main.py' UNION SELECT app_id, {J.format('main')} FROM code WHERE {ROOTED} UNION SELECT app_id, 'npm start: ' || {J.format('scripts.start')} FROM code WHERE {ROOTED}",
+)
+rooted("manifest_packages", manifests.sub_packages, "SELECT app_id, regexp_replace(rel_path, '/package.json$', '') AS package FROM code WHERE regexp_matches(rel_path, '^([^/]+|packages/[^/]+)/package.json$')")
+rooted("npm_declared", manifests.npm_deps, "SELECT * FROM dep", DEPS)
+rooted("npm_installed", manifests.installed_versions, "SELECT app_id, name, dep.version AS declared, have.version FROM dep JOIN have USING (app_id, name)", DEPS, HAVE)
+rooted("pip_pinned", lambda f: manifests.pip_deps(f).select("app_id", "name", "version"), "SELECT * FROM pip", PIP)
+rooted(
+    "go_required", lambda f: manifests.go_deps(f).select("app_id", "name", "version"),
+    "SELECT app_id, regexp_extract(l, '([^ \t]+[.][a-z]+/[^ ]+) v', 1) AS name, regexp_extract(l, ' v([0-9.]+)', 1) AS version FROM l WHERE rel_path = 'go.mod' AND contains(l, ' v')",
+)
+rooted(
+    "dependency_findings", lambda f: manifests.advisory_findings(f, spark_of(f)).select("app_id", "file", "line", "severity", "category", "source", "summary"),
+    """SELECT app_id, rel_path AS file, 1 AS line, 'High' AS severity, 'Outdated/Vulnerable Dependency' AS category, 'dependency-audit' AS source, name || '@' || version || ' is below ' || fixed AS summary
+FROM dep JOIN (VALUES ('lodash', '4.17.21'), ('express', '4.17.3')) AS adv(name, fixed) USING (name) WHERE regexp_extract(version, '([0-9]+)$', 1)::int < regexp_extract(fixed, '([0-9]+)$', 1)::int""", DEPS,
+)
+rooted(
+    "license_issues", lambda f: manifests.license_issues(f).select("app_id", "severity", "category", "source", "summary"),
+    """SELECT app_id, CASE WHEN license IS NULL THEN 'Low' WHEN contains(license, 'GPL') THEN 'High' ELSE 'Medium' END AS severity, 'License Compliance' AS category, 'dependency-audit' AS source,
+  name || CASE WHEN license IS NULL THEN ': no licence' ELSE ': restrictive licence ' || license END AS summary FROM have WHERE license IS NULL OR regexp_matches(license, 'GPL|MPL')""", HAVE,
+)
+rooted(
+    "file_tree_filter", lambda f: src.visible(f, ["src/lib/**"], "*.py\n!main.py\n/web\n").where("rel_path rlike '^(src|tool|web|main)'").select("app_id", "rel_path"),
+    """SELECT app_id, rel_path FROM code WHERE regexp_matches(rel_path, '^(src|tool|web|main)') AND rel_path NOT LIKE 'src/lib/%' AND rel_path NOT LIKE 'web/%'
+AND NOT (rel_path LIKE '%.py' AND NOT regexp_matches(rel_path, '(^|/)main[.]py$'))""",
+)
+rooted(
+    "code_owners", lambda f: manifests.owners(f.where("rel_path like '%.py' or rel_path like 'tool/%'"), [("*.py", "@py"), ("/tool/", "@tool")]).select("app_id", "rel_path", "owner", "origin"),
+    "SELECT app_id, rel_path, CASE WHEN rel_path LIKE 'tool/%' THEN '@tool' ELSE '@py' END AS owner, 'rule' AS origin FROM code WHERE rel_path LIKE '%.py' OR rel_path LIKE 'tool/%'",
+)
+
+#: An audit report of each part: as many packages as its size, severities in turn; every seventh part has none.
+AUDIT = """CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE concat('{"vulnerabilities": {', array_join(transform(sequence(1, p_size), i ->
+  concat('"p', lpad(concat('', i), 2, '0'), '": {"severity": "', element_at(array('low', 'moderate', 'high', 'critical'), 1 + i % 4), '", "range": "<', i, '"}')), ', '), '}}') END"""
+
+
+def audits(spark: SparkSession, sf: str) -> DataFrame:
+    reports = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("app_id"), F.lit("npm").alias("tool"), F.expr(AUDIT).alias("report"))
+    return manifests.audit_findings(reports).groupBy("app_id", "severity", "category").agg(F.count(F.lit(1)).alias("n"), F.min("summary").alias("first"))
+
+
+register(
+    "audit_findings", audits,
+    """WITH v AS (SELECT p_partkey AS app_id, p_size, unnest(range(1, p_size + 1)) AS i FROM part WHERE p_partkey % 7 <> 0),
+r AS (SELECT app_id, ['Low', 'Medium', 'High', 'Critical'][1 + i % 4] AS severity, 'Outdated/Vulnerable Dependency' AS category, 'p' || lpad(i::varchar, 2, '0') || ' <' || i AS summary FROM v WHERE i <= 30
+UNION ALL SELECT DISTINCT app_id, 'Low', 'Outdated/Vulnerable Dependency', (p_size - 30) || ' more advisories' FROM v WHERE p_size > 30
+UNION ALL SELECT p_partkey, 'Low', 'Scan Limitation', 'npm: not available' FROM part WHERE p_partkey % 7 = 0)
+SELECT app_id, severity, category, count(*) AS n, min(summary) AS first FROM r GROUP BY ALL""",
+    "Findings of audit reports: the first 30 rows of a report, and one that counts the rest.",
 )

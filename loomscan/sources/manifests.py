@@ -34,53 +34,61 @@ TOP = 30
 BATCH, IDS = 500, 3
 
 
+def app_of(files: DataFrame) -> list[str]:
+    """The app column of a table that holds the files of many apps, each with paths from its own root; none for one tree."""
+    return ["app_id"] if "app_id" in files.columns else []
+
+
 def manifests(files: DataFrame, spark: SparkSession) -> DataFrame:
-    dim = spark.createDataFrame(MANIFESTS, "rel_path string, ecosystem string, manager string")
-    return files.join(dim, "rel_path").select("rel_path", "ecosystem", "manager")
+    dim = F.broadcast(spark.createDataFrame(MANIFESTS, "rel_path string, ecosystem string, manager string"))  # a fixed list
+    return files.join(dim, "rel_path").select(*app_of(files), "rel_path", "ecosystem", "manager")
 
 
 def packages(files: DataFrame) -> DataFrame:
     """(rel_path, pkg): parsed package.json files; broken ones are left out."""
     own = files.where(basename(F.col("rel_path")) == "package.json")
-    return own.select("rel_path", F.from_json("content", PACKAGE).alias("pkg")).where("pkg is not null")
+    return own.select(*app_of(files), "rel_path", F.from_json("content", PACKAGE).alias("pkg")).where("pkg is not null")
 
 
 def npm_deps(files: DataFrame) -> DataFrame:
     """(rel_path, name, version): declared dependencies; a development version wins over another."""
-    p = packages(files)
-    kinds = [p.select("rel_path", F.explode(f"pkg.{k}").alias("name", "version"), F.lit(i).alias("kind")) for i, k in enumerate(("dependencies", "devDependencies"))]
-    return kinds[0].union(kinds[1]).groupBy("rel_path", "name").agg(F.max_by("version", "kind").alias("version"))
+    p, keys = packages(files), [*app_of(files), "rel_path"]
+    kinds = [p.select(*keys, F.explode(f"pkg.{k}").alias("name", "version"), F.lit(i).alias("kind")) for i, k in enumerate(("dependencies", "devDependencies"))]
+    return kinds[0].union(kinds[1]).groupBy(*keys, "name").agg(F.max_by("version", "kind").alias("version"))
 
 
 def lines(files: DataFrame, name: str) -> DataFrame:
     own = files.where(basename(F.col("rel_path")) == name)
-    return own.select("rel_path", F.explode(F.split("content", r"\r?\n")).alias("line")).select("rel_path", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
+    keys = [*app_of(files), "rel_path"]
+    return own.select(*keys, F.explode(F.split("content", r"\r?\n")).alias("line")).select(*keys, F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
 
 
 def pip_deps(files: DataFrame) -> DataFrame:
     """Pinned requirements only: name==version."""
     r = lines(files, "requirements.txt").where("line rlike '^[A-Za-z0-9]'")
     p = r"^([A-Za-z0-9._-]+)(?:\[[^\]]*\])?\s*==\s*([0-9][^\s;#,]*)\s*(?:[;#].*)?$"
-    return r.where(F.col("line").rlike(p)).select("rel_path", F.regexp_extract("line", p, 1).alias("name"), F.regexp_extract("line", p, 2).alias("version"))
+    return r.where(F.col("line").rlike(p)).select(*app_of(files), "rel_path", F.regexp_extract("line", p, 1).alias("name"), F.regexp_extract("line", p, 2).alias("version"))
 
 
 def go_deps(files: DataFrame) -> DataFrame:
     p = r"^(?:require\s+)?([\w.-]+\.[\w.-]+/\S+|[\w.-]+\.[a-z]+)\s+v([0-9]\S*)"
-    return lines(files, "go.mod").where(F.col("line").rlike(p)).select("rel_path", F.regexp_extract("line", p, 1).alias("name"), F.regexp_extract("line", p, 2).alias("version"))
+    return lines(files, "go.mod").where(F.col("line").rlike(p)).select(*app_of(files), "rel_path", F.regexp_extract("line", p, 1).alias("name"), F.regexp_extract("line", p, 2).alias("version"))
 
 
 def frameworks(files: DataFrame, spark: SparkSession) -> DataFrame:
     """Frameworks by exact name in package.json, and by substring in requirements.txt."""
     dim = F.broadcast(spark.createDataFrame(FRAMEWORKS, "dep string, framework string"))  # a fixed list
-    exact = npm_deps(files).join(dim, F.col("name") == F.col("dep")).select("framework")
-    text = files.where("rel_path = 'requirements.txt'").select(F.lower("content").alias("c")).join(dim, F.contains("c", F.col("dep"))).select("framework")
+    shown = [*app_of(files), "framework"]
+    exact = npm_deps(files).join(dim, F.col("name") == F.col("dep")).select(*shown)
+    text = files.where("rel_path = 'requirements.txt'").withColumn("c", F.lower("content")).join(dim, F.contains("c", F.col("dep"))).select(*shown)
     return exact.union(text).distinct()
 
 
 def entry_points(files: DataFrame) -> DataFrame:
-    fixed = files.where(F.col("rel_path").isin(ENTRIES)).select(F.col("rel_path").alias("entry"))
+    keys = app_of(files)
+    fixed = files.where(F.col("rel_path").isin(ENTRIES)).select(*keys, F.col("rel_path").alias("entry"))
     root = packages(files.where("rel_path = 'package.json'"))
-    named = root.select(F.col("pkg.main").alias("entry")).union(root.select(F.concat(F.lit("npm start: "), F.try_element_at("pkg.scripts", F.lit("start"))).alias("entry")))
+    named = root.select(*keys, F.col("pkg.main").alias("entry")).union(root.select(*keys, F.concat(F.lit("npm start: "), F.try_element_at("pkg.scripts", F.lit("start"))).alias("entry")))
     return fixed.union(named.where("entry is not null")).distinct()
 
 
@@ -89,7 +97,7 @@ def sub_packages(files: DataFrame) -> DataFrame:
     parts = F.split("rel_path", "/")
     own = files.where(F.element_at(parts, -1).isin([m for m, *_ in MANIFESTS]))
     direct, nested = F.size(parts) == 2, (F.size(parts) == 3) & parts[0].isin(WORKSPACES)
-    return own.where(direct | nested).select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("package")).distinct()
+    return own.where(direct | nested).select(*app_of(files), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/").alias("package")).distinct()
 
 
 def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -122,10 +130,10 @@ def advisory_hits(answers: DataFrame) -> DataFrame:
 
 def installed(files: DataFrame) -> DataFrame:
     """(name, version, license) of package.json files under node_modules; the older list form is joined by OR."""
-    own = files.where(F.col("rel_path").rlike(r"(^|/)node_modules/(?:@[^/]+/)?[^/]+/package\.json$")).select(F.from_json("content", INSTALLED).alias("p"), F.get_json_object("content", "$.license.type").alias("typed"))
+    own = files.where(F.col("rel_path").rlike(r"(^|/)node_modules/(?:@[^/]+/)?[^/]+/package\.json$")).select(*app_of(files), F.from_json("content", INSTALLED).alias("p"), F.get_json_object("content", "$.license.type").alias("typed"))
     listed = F.when(F.size("p.licenses") > 0, F.array_join(F.transform("p.licenses", lambda x: x["type"]), " OR "))
     plain = F.when(~F.col("p.license").startswith("{"), F.col("p.license"))
-    return own.where("p.name is not null").select("p.name", "p.version", F.coalesce("typed", plain, listed).alias("license"))
+    return own.where("p.name is not null").select(*app_of(files), "p.name", "p.version", F.coalesce("typed", plain, listed).alias("license"))
 
 
 def license_findings(packages_: DataFrame) -> DataFrame:
@@ -136,13 +144,14 @@ def license_findings(packages_: DataFrame) -> DataFrame:
     status = F.when(missing, "missing").when(some(RESTRICTIVE_HIGH + RESTRICTIVE_MEDIUM), "restrictive").when(F.forall(parts, lambda t: t.isin(PERMISSIVE)), "permissive").otherwise("unrecognized")
     first = F.element_at(F.filter(parts, lambda t: t.isin(RESTRICTIVE_HIGH + RESTRICTIVE_MEDIUM)), 1)
     severity = F.when(missing, "Low").when(some(RESTRICTIVE_HIGH + RESTRICTIVE_MEDIUM), F.when(first.isin(RESTRICTIVE_HIGH), "High").otherwise("Medium")).otherwise("Low")
-    return packages_.select("name", "license", status.alias("status"), severity.alias("severity")).where("status <> 'permissive'")
+    return packages_.select(*app_of(packages_), "name", "license", status.alias("status"), severity.alias("severity")).where("status <> 'permissive'")
 
 
 def installed_versions(files: DataFrame) -> DataFrame:
     """(name, declared, version): declared dependencies with the version that is installed; missing ones are left out."""
-    declared = npm_deps(files.where("rel_path not like '%node_modules/%'")).select("name", F.col("version").alias("declared"))
-    return declared.join(installed(files).select("name", "version"), "name").select("name", "declared", "version")
+    keys = [*app_of(files), "name"]
+    declared = npm_deps(files.where("rel_path not like '%node_modules/%'")).select(*keys, F.col("version").alias("declared"))
+    return declared.join(installed(files).select(*keys, "version"), keys).select(*keys, "declared", "version")
 
 
 def dependency_issue(file: Column, severity: Column, category: str, summary: Column, fix: str) -> list[Column]:
@@ -154,23 +163,24 @@ def advisory_findings(files: DataFrame, spark: SparkSession) -> DataFrame:
     advisories = F.broadcast(spark.createDataFrame(ADVISORIES, "name string, fixed string"))  # a fixed list
     told = F.concat(F.col("name"), F.lit("@"), F.col("version"), F.lit(" is below "), F.col("fixed"))
     own = npm_deps(files.where("rel_path not like '%node_modules/%'"))
-    return vulnerable(own, advisories).select(*dependency_issue(F.col("rel_path"), F.lit("High"), "Outdated/Vulnerable Dependency", told, "Upgrade the package."))
+    return vulnerable(own, advisories).select(*app_of(files), *dependency_issue(F.col("rel_path"), F.lit("High"), "Outdated/Vulnerable Dependency", told, "Upgrade the package."))
 
 
 def license_issues(files: DataFrame) -> DataFrame:
     """Findings of installed packages whose licence is restrictive, missing or not recognised."""
     text = F.when(F.col("status") == "missing", F.lit(": no licence")).when(F.col("status") == "restrictive", F.concat(F.lit(": restrictive licence "), F.col("license"))).otherwise(F.concat(F.lit(": unknown licence "), F.col("license")))
-    return license_findings(installed(files)).select(*dependency_issue(F.lit("package.json"), F.col("severity"), "License Compliance", F.concat(F.col("name"), text), "Check that the licence fits."))
+    return license_findings(installed(files)).select(*app_of(files), *dependency_issue(F.lit("package.json"), F.col("severity"), "License Compliance", F.concat(F.col("name"), text), "Check that the licence fits."))
 
 
 def audit_findings(reports: DataFrame) -> DataFrame:
     """Findings of audit reports (tool, report): at most TOP rows a tool and one that counts the rest; a tool without a report
     gives one row that says so. Reports are the scan's own, so a tool's rows fit one array."""
-    rows = reports.where("report is not null").select("tool", F.array_sort(audit_rows(F.col("report"))).alias("r"))
-    shown = rows.select("tool", F.explode(F.slice("r", 1, TOP)).alias("x")).select("tool", F.col("x.severity").alias("severity"), F.concat("x.name", F.lit(" "), "x.range").alias("summary"))
-    more = rows.where(F.size("r") > TOP).select("tool", F.lit("Low").alias("severity"), F.concat((F.size("r") - TOP).cast("string"), F.lit(" more advisories")).alias("summary"))
-    found = shown.union(more).select(*dependency_issue(F.lit("package.json"), F.col("severity"), "Outdated/Vulnerable Dependency", F.col("summary"), "Upgrade the package."))
-    missing = reports.where("report is null").select(*dependency_issue(F.lit("package.json"), F.lit("Low"), "Scan Limitation", F.concat(F.col("tool"), F.lit(": not available")), "Run the audit where it is available."))
+    keys = app_of(reports)
+    rows = reports.where("report is not null").select(*keys, "tool", F.array_sort(audit_rows(F.col("report"))).alias("r"))
+    shown = rows.select(*keys, "tool", F.explode(F.slice("r", 1, TOP)).alias("x")).select(*keys, "tool", F.col("x.severity").alias("severity"), F.concat("x.name", F.lit(" "), "x.range").alias("summary"))
+    more = rows.where(F.size("r") > TOP).select(*keys, "tool", F.lit("Low").alias("severity"), F.concat((F.size("r") - TOP).cast("string"), F.lit(" more advisories")).alias("summary"))
+    found = shown.union(more).select(*keys, *dependency_issue(F.lit("package.json"), F.col("severity"), "Outdated/Vulnerable Dependency", F.col("summary"), "Upgrade the package."))
+    missing = reports.where("report is null").select(*keys, *dependency_issue(F.lit("package.json"), F.lit("Low"), "Scan Limitation", F.concat(F.col("tool"), F.lit(": not available")), "Run the audit where it is available."))
     return found.union(missing)
 
 
@@ -179,9 +189,10 @@ def owners(files: DataFrame, rules: list[tuple[str, str]], committers: DataFrame
     owner = F.lit(None).cast("string")
     for pattern, name in rules:
         owner = F.when(ignored_by_one(F.col("rel_path"), pattern), name).otherwise(owner)
-    out = files.select("rel_path", owner.alias("ruled"))
+    keys = [*app_of(files), "rel_path"]
+    out = files.select(*keys, owner.alias("ruled"))
     if committers is None:
-        return out.select("rel_path", F.col("ruled").alias("owner"), F.when(F.col("ruled").isNotNull(), "rule").alias("origin"))
+        return out.select(*keys, F.col("ruled").alias("owner"), F.when(F.col("ruled").isNotNull(), "rule").alias("origin"))
     most = committers.groupBy("rel_path").agg(F.mode("author", deterministic=True).alias("author"))
     return out.join(most, "rel_path", "left").select("rel_path", F.coalesce("ruled", "author").alias("owner"), F.when(F.col("ruled").isNotNull(), "rule").when(F.col("author").isNotNull(), "commits").alias("origin"))
 
