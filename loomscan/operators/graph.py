@@ -1,11 +1,12 @@
-"""Import graph: candidate paths, edges, files that nothing refers to, and bounded traces."""
+"""Import graph: candidate paths, edges, files that nothing refers to, budgeted traces, and the stored graph."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions.text import basename, folded
+from loomscan.sources.stores import cut, hadoop
 
 #: Suffixes tried in this order when an import names no file.
 SUFFIXES = ["", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".py", "/index.js", "/index.ts", "/__init__.py"]
@@ -17,15 +18,21 @@ def candidates(imports: DataFrame) -> DataFrame:
     python = F.col("from_path").endswith(".py")
     spec = F.when(python & F.col("spec").startswith("."), F.concat(F.lit("./"), F.replace(F.ltrim(F.col("spec"), F.lit(".")), F.lit("."), F.lit("/")))).when(python, F.replace(F.col("spec"), F.lit("."), F.lit("/"))).otherwise(F.col("spec"))
     base = F.when(spec.startswith("."), folded(F.concat(folder, spec))).when(python, spec)
+    kept = [c for c in ("from_path", "spec", "place") if c in imports.columns]
     tries = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(s).alias("suffix")) for i, s in enumerate(SUFFIXES)])
-    return imports.withColumn("base", base).where("base is not null").select("from_path", "spec", "base", F.explode(tries).alias("t")).select("from_path", "spec", F.concat("base", "t.suffix").alias("target"), F.col("t.ord").alias("ord"))
+    return imports.withColumn("base", base).where("base is not null").select(*kept, "base", F.explode(tries).alias("t")).select(*kept, F.concat("base", "t.suffix").alias("target"), F.col("t.ord").alias("ord"))
 
 
 def edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Distinct (from_path, to_path): the first candidate that exists, no file to itself."""
-    hit = candidates(imports).join(files.select(F.col("rel_path").alias("target")).distinct(), "target")
-    first = hit.groupBy("from_path", "spec").agg(F.min(F.struct("ord", "target")).alias("m"))
-    return first.select("from_path", F.col("m.target").alias("to_path")).where("from_path <> to_path").distinct()
+    """Distinct (from_path, to_path): the first candidate that exists, no file to itself. If imports tell their place
+    (`ord`), so do edges: the place of the first import that leads there."""
+    placed = "ord" in imports.columns
+    place = F.col("ord") if placed else F.lit(0)
+    own = imports.select("from_path", "spec", place.alias("place")).groupBy("from_path", "spec").agg(F.min("place").alias("place"))
+    hit = candidates(own).join(files.select(F.col("rel_path").alias("target")).distinct(), "target")
+    first = hit.groupBy("from_path", "spec", "place").agg(F.min(F.struct("ord", "target")).alias("m"))
+    met = first.groupBy("from_path", F.col("m.target").alias("to_path")).agg(F.min("place").alias("ord")).where("from_path <> to_path")
+    return met if placed else met.drop("ord")
 
 
 def unreferenced(imports: DataFrame, files: DataFrame, entries: Column | None = None) -> DataFrame:
@@ -43,13 +50,51 @@ def entry_like(path: Column, names: list[str]) -> Column:
 
 
 def trace(starts: DataFrame, calls: DataFrame, hops: int = 2, budget: int = 25) -> DataFrame:
-    """(start, node, depth): nodes reached within `hops` calls(src, dst, ord), at most `budget` a start, in order of
-    depth, then of the calls on the way. Bounded joins, no recursion."""
-    level = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("way"))
+    """(start, node, depth, rn): nodes reached within `hops` calls(src, dst, ord), at most `budget` a start, in order of
+    depth, then of the calls on the way, then of the node.
+
+    A frontier goes from hop to hop: what was seen leaves by an anti-join, what is new is ranked and cut to the budget that
+    is left before it goes on, so a start has `budget` rows at most at any time and paths never multiply. A frontier node
+    can meet no more than `budget` nodes that were seen, so of its calls only the first 2 * budget matter. Each hop is
+    stored, which cuts the plan's lineage.
+    """
+    by_call = Window.partitionBy("src").orderBy("ord", "dst")
+    firsts = calls.groupBy("src", "dst").agg(F.min("ord").cast("int").alias("ord")).withColumn("n", F.row_number().over(by_call)).where(F.col("n") <= 2 * budget).drop("n")
+    level = starts.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("way"), F.lit(1).alias("rn"))
+    level = cut(level, "trace")
     seen = level
     for depth in range(1, hops + 1):
-        level = level.join(calls, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.concat("way", F.array(F.col("ord").cast("int"))).alias("way"))
+        reached = level.join(firsts, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("way", F.array("ord"))).alias("way"))
+        fresh = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        held = seen.groupBy("start").agg(F.max("rn").alias("held"))
+        ranked = fresh.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("way", "node"))).where(F.col("n") <= budget).join(held, "start")
+        kept = ranked.withColumn("rn", (F.col("held") + F.col("n")).cast("int")).where(F.col("rn") <= budget)
+        level = cut(kept.select("start", "node", F.lit(depth).alias("depth"), "way", "rn"), "trace")
         seen = seen.unionByName(level)
-    first = seen.groupBy("start", "node").agg(F.min(F.struct("depth", "way")).alias("m"))
-    order = Window.partitionBy("start").orderBy("m.depth", "m.way", "node")
-    return first.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= budget).select("start", "node", F.col("m.depth").alias("depth"), "rn")
+    return seen.select("start", "node", "depth", "rn")
+
+
+GRAPH = "kind string, src string, dst string, ord long, app_id long"
+
+
+def write_graph(apps: DataFrame, nodes: DataFrame, edges_: DataFrame, path: str) -> None:
+    """Store the graphs of some apps (app_id): nodes (app_id, rel_path), edges (app_id, from_path, to_path, maybe ord).
+
+    Only these apps' partitions are replaced (dynamic overwrite); every app writes a row of its own, so one that has lost
+    all its files is emptied too. Partitions are rebalanced at run time, so a large app is split over files and small
+    ones share tasks.
+    """
+    ord_ = F.col("ord").cast("long") if "ord" in edges_.columns else F.lit(None).cast("long")
+    none = F.lit(None).cast("string")
+    row = lambda df, kind, src, dst, at: df.select(F.lit(kind).alias("kind"), src.alias("src"), dst.alias("dst"), at.alias("ord"), F.col("app_id").cast("long").alias("app_id"))
+    rows = row(apps.select("app_id").distinct(), "app", none, none, F.lit(None).cast("long"))
+    rows = rows.unionByName(row(nodes, "node", F.col("rel_path"), none, F.lit(None).cast("long"))).unionByName(row(edges_, "edge", F.col("from_path"), F.col("to_path"), ord_))
+    rows.hint("rebalance", "app_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("app_id").parquet(path)
+
+
+def read_graph(spark: SparkSession, path: str, kind: str = "edge") -> DataFrame:
+    """(app_id, src, dst, ord) of the stored rows of a kind; an app filter reads its partition only. No store: no rows."""
+    store, p = hadoop(spark, path)
+    if not store.exists(p):
+        return spark.createDataFrame([], GRAPH).drop("kind").select("app_id", "src", "dst", "ord")
+    return spark.read.schema(GRAPH).parquet(path).where(F.col("kind") == kind).select("app_id", "src", "dst", "ord")

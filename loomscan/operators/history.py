@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,40 @@ def append(snapshots: DataFrame, path: str) -> None:
     snapshots.write.mode("append").partitionBy("app_id").parquet(path)
 
 
+#: Snapshot files: what they hold, and the time in a file's name, whose colons and points are hyphens there.
+SNAPSHOT = (
+    "app_id long, scan_id long, scannedAt string, stats struct<files:long,issues:long,routes:long,models:long>, "
+    "issues array<struct<file:string,line:int,severity:string,category:string,summary:string>>, _corrupt_record string"
+)
+NAMED = r"(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z[^/]*\.json$"
+
+
+def write_log(snapshots: DataFrame, path: str) -> None:
+    """Append snapshots (columns of SNAPSHOT) as JSON lines, an app's in a folder of its own."""
+    rows = snapshots.select("app_id", F.to_json(F.struct(*[c for c in snapshots.columns if c != "app_id"])).alias("value"))
+    rows.hint("rebalance", "app_id").write.mode("append").partitionBy("app_id").text(path)
+
+
+def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, broken) of a folder of JSON lines, one snapshot a line, folders by app (`app_id=1`).
+
+    The schema is fixed, so nothing is inferred. A snapshot without a time takes the one in its file's name. Lines that are
+    no JSON, and snapshots that have no time at all, are kept apart as (app_id, file, line, reason).
+    """
+    lines = spark.read.option("recursiveFileLookup", True).schema(SNAPSHOT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    file = F.col("_metadata.file_path")
+    name = lambda i: F.regexp_extract(file, NAMED, i)
+    written = F.try_to_timestamp("scannedAt")
+    named = F.try_to_timestamp(F.concat(name(1), F.lit("T"), name(2), F.lit(":"), name(3), F.lit(":"), name(4), F.lit("."), name(5), F.lit("Z")))
+    folder = F.nullif(F.regexp_extract(file, r"/app_id=(\d+)/", 1), F.lit("")).cast("long")
+    rows = lines.select(
+        F.coalesce("app_id", folder).alias("app_id"), "scan_id", F.coalesce(written, named).alias("scanned_at"), "stats", "issues", file.alias("file"), F.col("_corrupt_record").alias("line"),
+    )
+    good = F.col("line").isNull() & F.col("scanned_at").isNotNull()
+    reason = F.when(F.col("line").isNotNull(), "no JSON").otherwise("no time")
+    return rows.where(good).drop("line", "file"), rows.where(~good).select("app_id", "file", "line", reason.alias("reason"))
+
+
 def latest(snapshots: DataFrame) -> DataFrame:
     """The last snapshot of each app (ties: the larger scan id); partial aggregation, no sort of an app's history."""
     rest = [c for c in snapshots.columns if c != "app_id"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.schemas import DISMISSED, SEVERITIES
+from loomscan.sources.stores import checked
 
 
 def rank(severity: Column) -> Column:
@@ -62,6 +63,26 @@ def described(fields: DataFrame, overrides: DataFrame, enriched: DataFrame, keys
     return out.withColumn("description", F.coalesce(F.nullif("__own", F.lit("")), F.nullif("__made", F.lit("")), F.lit(default))).drop("__own", "__made")
 
 
+#: A suppression may last this long at most.
+MOST_DAYS = 365
+
+
+def rule_constraints(now: Column) -> list[tuple[str, Column]]:
+    """What a suppression rule or ignore pattern (pattern, reason, expires_at) must meet to be written."""
+    filled = lambda c: F.length(F.trim(F.coalesce(F.col(c), F.lit("")))) > 0
+    at = F.col("expires_at")
+    return [
+        ("a pattern is required", filled("pattern")), ("a reason is required", filled("reason")), ("an expiry is required", at.isNotNull()),
+        ("the expiry must lie in the future", at.isNull() | (at > now)), (f"the expiry must lie within {MOST_DAYS} days", at.isNull() | (at <= now + F.expr(f"interval {MOST_DAYS} days"))),
+    ]
+
+
+def checked_rules(rules: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(rules that may be written, with a blank category as `any`; rejects with their reasons)."""
+    category = F.coalesce(F.nullif(F.trim("rule_category"), F.lit("")), F.lit("any"))
+    return checked(rules.withColumn("rule_category", category), rule_constraints(now))
+
+
 def checked_rule(reason: str, expires: str | None, now: str) -> None:
     """A rule needs a reason, and an expiry within a year from now."""
     from datetime import datetime, timedelta
