@@ -5,8 +5,8 @@ the prompt, what follows in each as its completion. A completion's mask lists (w
 order: weight 1 for assistant turns, 0 for turns that are context.
 
 Results: null roles and texts render as empty; turns that repeat a number are ordered by role and text; rows of a pair
-with one side only give that side as completion and an empty prompt; rows without a pair id form one pair; equal conversations give empty completions;
-an empty table gives an empty table; extra columns are ignored.
+with one side only give that side as completion and an empty prompt; rows without a pair id belong to no pair and are
+left out; equal conversations give empty completions; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     One shuffle, on pair_id; a task never holds more than a pair's turns for one row.
     """
     own = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sides = turns.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(F.col("chosen"), own))).alias("c"), F.sort_array(F.collect_list(F.when(~F.col("chosen"), own))).alias("r"))
+    sides = turns.where("pair_id is not null").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.when(F.col("chosen"), own))).alias("c"), F.sort_array(F.collect_list(F.when(~F.col("chosen"), own))).alias("r"))
     bare = lambda side: F.transform(side, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     both = sides.select("pair_id", bare("c").alias("c"), bare("r").alias("r"))
     short = F.least(F.size("c"), F.size("r"))

@@ -35,6 +35,8 @@ GAP = 128
 SHARD_WORDS, SHARD_DOCS = 2_000_000, 200_000
 #: Benchmark words in one block of items: bounds a search task's other side.
 BLOCK_WORDS = 200_000
+#: Bits of a stretch of places, by which matches meet documents.
+STRETCH = 12
 
 INDEX = "kind string, shard long, term binary, n long, doc_id {}, base long, places binary"
 
@@ -97,10 +99,10 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                     counts.append(len(words))
                     parts.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
                     total += len(words)
-                if total >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
-                    yield from shard_rows(key, ids, counts, np.concatenate(parts), list(code))
-                    key, total = key + 1, 0
-                    code, ids, counts, parts = defaultdict(count().__next__), [], [], []
+                    if total >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
+                        yield from shard_rows(key, ids, counts, np.concatenate(parts), list(code))
+                        key, total = key + 1, 0
+                        code, ids, counts, parts = defaultdict(count().__next__), [], [], []
         if ids:
             yield from shard_rows(key, ids, counts, np.concatenate(parts), list(code))
 
@@ -182,9 +184,6 @@ def intersect(terms: list[bytes], lists: dict[bytes, np.ndarray], count: dict[by
     return found
 
 
-MATCHES = "shard long, base long, doc_id {}, item string, kind string, start long, stop long"
-
-
 def search(index: Index, terms: DataFrame, blocks: int, window: int = 10, slop: int | None = None) -> DataFrame:
     """Matches (shard, base, doc_id, item, kind, start, stop): document words [start, stop) inside occurrences of an item's
     windows, overlapping ones of an item merged (kind `exact`); with slop also kind `near`, each stretch a row."""
@@ -196,18 +195,15 @@ def search(index: Index, terms: DataFrame, blocks: int, window: int = 10, slop:
     small = F.broadcast if blocks == 1 else lambda df: df
     counts = read_index(spark, index, "term").join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("count"))
     hits = read_index(spark, index, "term").select("shard", "term", "places").join(small(used.join(counts, "term")), "term")
-    docs = read_index(spark, index, "doc").where("n > 0").groupBy("shard").agg(F.collect_list(F.struct("base", "n", "doc_id")).alias("docs"))
-    docs = docs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "docs")
 
-    def find(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        if len(left) and len(right):
-            where = sorted(((d["base"], d["n"], d["doc_id"]) for d in right["docs"].iloc[0]), key=lambda d: d[0])
-            base = np.array([d[0] for d in where], np.int64)
-            places = {t: np.cumsum(np.frombuffer(p, np.int32), dtype=np.int64) for t, p in zip(left["term"], left["places"], strict=True)}
-            count = dict(zip(left["term"], left["count"], strict=True))
+        if len(pdf):
+            shard = int(pdf["shard"].iloc[0])
+            places = {t: np.cumsum(np.frombuffer(p, np.int32), dtype=np.int64) for t, p in zip(pdf["term"], pdf["places"], strict=True)}
+            count = dict(zip(pdf["term"], pdf["count"], strict=True))
             items: dict[tuple, list] = {}
-            for t, uses in zip(left["term"], left["uses"], strict=True):
+            for t, uses in zip(pdf["term"], pdf["uses"], strict=True):
                 for u in uses:
                     items.setdefault((u["item"], u["copy"]), [None] * u["size"])[u["place"]] = t
             done: dict[tuple, tuple] = {}
@@ -228,15 +224,19 @@ def search(index: Index, terms: DataFrame, blocks: int, window: int = 10, slop:
                     if not len(starts):
                         continue
                     starts, stops = np.unique(np.stack([starts, stops]), axis=1)
-                    doc = np.searchsorted(base, starts, side="right") - 1
-                    if kind == "exact":
-                        new = np.concatenate([[True], (starts[1:] > stops[:-1]) | (doc[1:] != doc[:-1])])
+                    if kind == "exact":  # documents lie GAP apart, so what overlaps is in one of them
+                        new = np.concatenate([[True], starts[1:] > stops[:-1]])
                         last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(starts) - 1]])
-                        doc, starts, stops = doc[new], starts[new], stops[last]
-                    out += [(int(key[0]), where[d][0], where[d][2], item, kind, a - base[d], b - base[d]) for d, a, b in zip(doc, starts, stops, strict=True)]
-        return pd.DataFrame(out, columns=["shard", "base", "doc_id", "item", "kind", "start", "stop"])
-
-    return hits.groupBy("shard", "block").cogroup(docs.groupBy("shard", "block")).applyInPandas(lambda key, a, b: find(key, a, b), MATCHES.format(index.id_type))
+                        starts, stops = starts[new], stops[last]
+                    out += [(shard, item, kind, a, b) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        return pd.DataFrame(out, columns=["shard", "item", "kind", "start", "stop"])
+
+    found = hits.groupBy("shard", "block").applyInPandas(find, "shard long, item string, kind string, start long, stop long")
+    # a match looks for its document among the few that reach into the same stretch of the shard
+    stretch = lambda c: F.shiftright(c, STRETCH)
+    docs = read_index(spark, index, "doc").where("n > 0").select("shard", "base", "n", "doc_id", F.explode(F.sequence(stretch(F.col("base")), stretch(F.col("base") + F.col("n") - 1))).alias("stretch"))
+    own = found.withColumn("stretch", stretch(F.col("start"))).join(docs, ["shard", "stretch"]).where((F.col("start") >= F.col("base")) & (F.col("start") < F.col("base") + F.col("n")))
+    return own.select("shard", "base", "doc_id", "item", "kind", (F.col("start") - F.col("base")).alias("start"), (F.col("stop") - F.col("base")).alias("stop"))
 
 
 def document_report(index: Index, matches: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ the threshold; of every block at or over it the subtree of the greatest sum is m
 is marked, in page order. A mark in an article (or else in main) stands for all of it, and headings right before marked
 parts belong to them: their density is low whatever they head. Parts that are furniture
 by element or by their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) are left out of the tree's text. In an article or main, ids of headings, sections and paragraphs are
-topics (`discussion`, `related-work`) and alerts and notices among the paragraphs are text; such a part is furniture
-only if most of its characters are links.
+styles, comments) are left out of the tree's text. In an article or main, names only make some parts doubtful: ids of
+headings, sections and paragraphs are topics, so is a name that joins a mark to a word of its own (`related-work`), alerts
+and notices among the paragraphs are text, and so are asides and content for readers without scripts. A doubtful part is
+furniture only if most of its characters are links. Formulas and drawings keep their text.
 
 Results: null, empty and textless pages give ""; unclosed and stray tags are tolerated; equal sums go to the node that
 comes first; repeated rows are answered alike; extra columns are passed through, one named as an output (`main_text`)
@@ -26,13 +27,18 @@ from pyspark.sql import DataFrame
 
 from loomscan.llm.common import add_columns
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A comment, a declaration, or a tag; a quote opens a value only after an equals sign.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)", re.S
+)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-#: Elements without content, with raw content, that start a block, and that are furniture.
+#: Elements without content, with raw content that no reader sees, that start a block, and that are furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object".split())
+RAW = {name: re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I) for name in "script style textarea title template iframe".split()}
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-FURNITURE = frozenset("nav header footer aside form button select menu dialog head".split())
+FURNITURE = frozenset("nav header footer aside form button select menu dialog head noscript".split())
+#: Of these, what may be part of an article's text if it lies in one: only its links can tell.
+INSIDE = frozenset("header aside noscript".split())
 #: Words of class, id and role names that mark furniture.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal cookie cookies consent notice notices alert newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social comment comments discussion disqus reply replies respond complementary contentinfo".split())
 #: Words and names that say that something else has such a part.
@@ -43,6 +49,13 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOPICS = HEADINGS | {"section", "p"}
 CALLOUTS = frozenset("alert notice notices".split())
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words for the boxes that furniture comes in. A mark that is joined to any other word in a name may name a
+#: topic (`related-work`, `sharing-data`).
+BOXES = frozenset(
+    "a area article articles bar block body bottom box btn button buttons by card cards col column container content count desktop div entries entry feed foot footer form frame global "
+    "grid group head heading holder icon icons id inline inner item items js label layer layout left link links list main message mobile module modules more news page panel parent "
+    "policy pop post posts primary region right root row section side site slot small space spot static sticky stories story text thread title tool tools top unit up user view views wrap wrapper zone".split()
+)
 #: A form around one of these is a page's wrapper, no form of the page.
 MAIN = re.compile("<(?:article|main|h1)[\\s>]", re.I)
 FORM_END = re.compile("</form", re.I)
@@ -60,7 +73,9 @@ def names_furniture(element: str, attributes: str, inside: bool) -> tuple[bool,
     topic = inside and (element in TOPICS or any(kind == "class" and name.lower() == "section" for kind, name, _ in found))
     doubtful = False
     for kind, name, words in found:
-        if not words & HAVING and name.lower() not in LACKING and (marks := MARKS & (words - {"header"} if inside else words)):
+        if inside and kind != "role" and words & MARKS and words - MARKS - BOXES and not words & HAVING:
+            doubtful = True
+        elif not words & HAVING and name.lower() not in LACKING and (marks := MARKS & (words - {"header"} if inside else words)):
             if not (topic and (kind == "id" or element == "p" and marks <= CALLOUTS)):
                 return True, False
             doubtful = True
@@ -84,7 +99,7 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
     """Nodes in page order, and the page's pieces of text (None: a block ends); a node spans pieces start to end."""
     root = Node("#", None, False, 0)
     nodes, pieces, open_ = [root], [], [root]
-    at, low, n, links = 0, None, len(page), 0
+    at, n, links = 0, len(page), 0
     ahead = {MAIN: -1, FORM_END: -1}
 
     def next_(pattern: re.Pattern) -> int:
@@ -138,19 +153,19 @@ def parse(page: str) -> tuple[list[Node], list[str | None]]:
                 if open_[i].name in SCOPE:
                     break
         if name in RAW:
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            at = n if end < 0 else (page.find(">", end) + 1 or n)
+            end = RAW[name].search(page, at)
+            at = (page.find(">", end.start()) + 1 or n) if end else n
             open_[-1].tags += 1
             continue
         if name in VOID:
             open_[-1].tags += 1
             continue
         parent = open_[-1]
-        marked = parent.furniture or name in FURNITURE and not (name == "header" and parent.frame) and not (name == "form" and next_(MAIN) < next_(FORM_END))
-        doubtful = False
+        marked = parent.furniture or name in FURNITURE and not (name in INSIDE and parent.frame) and not (name == "form" and next_(MAIN) < next_(FORM_END))
+        doubtful = not marked and name in ("aside", "noscript")
         if not marked and name not in ("html", "body", "article"):
-            marked, doubtful = names_furniture(name, m[3] or "", parent.frame is not None)
+            marked, named = names_furniture(name, m[3] or "", parent.frame is not None)
+            doubtful = doubtful or named
         marked = marked and name != "main"  # whatever its wrappers are called
         node = Node(name, parent, marked, len(pieces))
         node.doubtful = doubtful

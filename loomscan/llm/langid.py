@@ -39,15 +39,15 @@ from pyspark.sql import functions as F
 
 from loomscan.llm.common import add_columns, fresh_path, stored
 
-#: Slots of a scorer's memo of looked-up 4-grams.
-SLOTS = 1 << 21
+#: Slots of a scorer's memo of looked-up 4-grams, and bytes of its log probabilities; with more languages it holds fewer.
+SLOTS, MEMO = 1 << 21, 16 << 20
 #: Entries of a model file, on average at most.
 PART = 1 << 20
 #: One text of HELD is held back for the limits.
 HELD = 10
 SLACK, LEAST, FEW, STEP, CLASSES = 3.0, 0.1, 100, 0.005, 17
-#: Symbols worked on at once.
-PIECE = 400_000
+#: Log probabilities (symbols by languages) worked on at once.
+PIECE = 1_600_000
 FIELDS = [("lang_pred", "string"), ("score", "double"), ("entropy", "double"), ("rejected", "boolean")]
 
 _letters: np.ndarray | None = None
@@ -296,12 +296,14 @@ class Scorer:
 
     def __init__(self, langs: list[str], models: list[list[dict]]):
         self.langs, self.models = langs, models
+        self.room = max(1 << 10, min(1 << 20, MEMO // (4 * len(langs))))
+        self.piece = max(1 << 10, PIECE // len(langs))
         self.reset()
 
     def reset(self) -> None:
         self.row = np.full(SLOTS, -1, np.int32)
-        self.keys = np.zeros(1 << 20, np.uint64)
-        self.logp = np.zeros((1 << 20, len(self.langs)), np.float32)
+        self.keys = np.zeros(self.room, np.uint64)
+        self.logp = np.zeros((self.room, len(self.langs)), np.float32)
         self.n = 0
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
@@ -333,16 +335,16 @@ class Scorer:
                 np.add.at(total, [i for i, _ in held], np.add.reduceat(logp, starts, axis=0, dtype=np.float64))
                 held.clear()
 
-        room = PIECE
+        room = self.piece
         for i, t in enumerate(texts):
             keys = grams(x) if len(x := symbols(t)) else x
             size[i] = len(keys)
-            for j in range(0, len(keys), PIECE):
-                held.append((i, keys[j : j + PIECE]))
+            for j in range(0, len(keys), self.piece):
+                held.append((i, keys[j : j + self.piece]))
                 room -= len(held[-1][1])
                 if room <= 0:
                     flush()
-                    room = PIECE
+                    room = self.piece
         flush()
         return total, size
 

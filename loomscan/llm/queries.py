@@ -34,7 +34,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2n and 2n + 1 are taken as chosen and rejected of pair n."""
-    turns = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 2).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text")
+    turns = table(spark, sf_dir, "conversations").select(F.expr("conv_id div 2").alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text")
     return chat.preference_pairs(turns)
 
 

@@ -18,7 +18,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +31,9 @@ PIECE = 1 << 19
 #: Fingerprints for each prefix at most, on average.
 PER_PREFIX = 1024
 #: Rows of a prefix over which it is cut by DEEPER more bits: bounds what a task gets of near copies that crowd together.
-CROWD, DEEPER = 1 << 20, 8
+CROWD, DEEPER = 1 << 17, 8
+#: Parts that the copies of one fingerprint are dealt to when they get their class.
+SALTS = 8
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
@@ -164,19 +165,20 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     n = fps.count()
     bits = max(8, int(np.ceil(np.log2(max(n, 1) / PER_PREFIX))))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         out: list = []
-        fp, left = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["left"].to_numpy(np.int64)
+        fp, left = table["fp"].to_numpy().view(np.uint64), table["left"].to_numpy().astype(np.int8)
         order = np.argsort(fp.view(np.int64))  # so that the smallest number is the smallest fingerprint
         fp, left = fp[order], left[order]
-        meet(fp, np.arange(len(fp)), left, BITS - int(key[0]), out, Variants())
+        meet(fp, np.arange(len(fp), dtype=np.int32), left, BITS - key[0].as_py(), out, Variants())
         if not out:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         nodes, root = roots(*(np.concatenate(x) for x in zip(*out, strict=True)))
         other, fp = nodes != root, fp.view(np.int64)
-        return pd.DataFrame({"a": fp[root[other]], "b": fp[nodes[other]]})
+        return pa.table({"a": fp[root[other]], "b": fp[nodes[other]]})
 
-    return dealt(fps, bits, radius).groupBy("bits", "prefix").applyInPandas(run, "a long, b long").distinct()
+    rows = dealt(fps, bits, radius).select("bits", "prefix", "fp", F.col("left").cast("byte").alias("left"))
+    return rows.groupBy("bits", "prefix").applyInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,5 +209,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     root = components(links(first.select("fp")))
     linked = first.join(root, first.fp == root.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = linked.join(least, "root").select("fp", "component_id")
-    return docs.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # a class is a few bytes: it is sent to each of the parts that its fingerprint's copies are dealt to
+    classes = linked.join(least, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(classes, ["fp", "salt"]).select("doc_id", "fp", "component_id")

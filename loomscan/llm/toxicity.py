@@ -12,7 +12,7 @@ tasks send distinct changes with counts: their number hangs on the list of terms
 Scoring covers whole texts.
 
 Results: null and empty texts have no features and get the base score; a doc id labelled twice counts as toxic if any
-label says so; null labels are ignored; with no usable labels, or none of a class, every score is 0. Extra columns are
+label says so, and of texts that repeat an id one is learnt from (that of the smallest hash); null labels are ignored; with no usable labels, or none of a class, every score is 0. Extra columns are
 passed through; a column named `score` is replaced.
 """
 
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.llm.common import Bounded, add_columns, as_bytes, ascii_words, stored
+from loomscan.llm.common import Bounded, add_columns, as_bytes, ascii_words, labelled, stored
 
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 STARTS = (3, 4, 5, 6)
@@ -76,14 +76,6 @@ def features(word: bytes) -> tuple[int, ...]:
     return tuple(dict.fromkeys([xxhash.xxh32_intdigest("=" + text), *(xxhash.xxh32_intdigest(f"{n}{text[:n]}") for n in STARTS if len(text) >= n)]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of a bounded sample of labelled documents; only the sample's ids are broadcast."""
-    rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by_hash = lambda toxic, n: rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    ids = by_hash(1, MAX_TOXIC).union(by_hash(0, MAX_CLEAN)).select("doc_id", F.col("toxic").cast("int").alias("__toxic"))
-    return stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "__toxic"), "labelled")
-
-
 def choose(sample: DataFrame) -> tuple[np.ndarray, int, int]:
     """Hashes of the features that mark toxic texts, and the number of toxic and clean texts."""
 
@@ -218,7 +210,7 @@ def train(x: Sparse, y: np.ndarray, count: np.ndarray, change: Sparse, times: np
 def fit(docs: DataFrame, labels: DataFrame, groups: list[list[str]] | None = None, penalty: float = 1.0) -> dict:
     """Model from documents (doc_id, text) and labels (doc_id, toxic); groups as kinds() gives them."""
     groups = kinds() if groups is None else groups
-    sample = labelled(docs, labels)
+    sample = stored(labelled(docs, labels, "toxic", {1: MAX_TOXIC, 0: MAX_CLEAN}).select("text", "label"), "labelled")
     chosen, yes, no = choose(sample)
     if not yes or not no:
         return {"chosen": np.empty(0, np.int64), "weights": np.empty(0), "bias": None}
