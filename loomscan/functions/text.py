@@ -73,3 +73,21 @@ def snippet(text: Column, needle: str, around: int = 60) -> Column:
     stop = F.least(at + len(needle) + around, F.length(text) + 1)
     shown = F.concat(F.when(start > 1, "…").otherwise(""), F.substring(text, start, stop - start), F.when(stop <= F.length(text), "…").otherwise(""))
     return F.when(at > 0, shown)
+
+
+def duration_text(ms: Column) -> Column:
+    """`250ms`, `1.3s`, `2m 5s`; tenths of a second and seconds are rounded half up."""
+    tenths = F.floor((ms + 50) / 100)
+    seconds = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s"))
+    minutes = F.concat(F.floor(ms / 60000).cast("string"), F.lit("m "), F.floor((ms % 60000) / 1000 + 0.5).cast("string"), F.lit("s"))
+    return F.when(ms < 1000, F.concat(F.floor(ms).cast("string"), F.lit("ms"))).when(ms < 60000, seconds).otherwise(minutes)
+
+
+def due_text(due: Column, now: Column) -> Column:
+    """How far off a time is: `3h overdue`, `due now`, `due within the hour`, `due in 5h`, `due in 2d`."""
+    hours = (F.unix_micros(due.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 3_600_000_000
+    whole = lambda x: F.floor(x + 0.5).cast("string")
+    return (
+        F.when(hours < -1, F.concat(whole(-hours), F.lit("h overdue"))).when(hours < 0, "due now").when(hours < 1, "due within the hour")
+        .when(hours < 24, F.concat(F.lit("due in "), whole(hours), F.lit("h"))).otherwise(F.concat(F.lit("due in "), whole(hours / 24), F.lit("d")))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.functions.text import matches_with_lines
@@ -121,16 +121,52 @@ def routes(files: DataFrame) -> DataFrame:
     found, some = none, F.lit(False)
     for cond, column in by_family:
         found, some = F.when(cond, column).otherwise(found), some | cond
-    return files.where(some).select("rel_path", F.explode(found).alias("x")).select("rel_path", "x.*").unionByName(next_routes(files))
+    return files.where(some).select("rel_path", F.posexplode(found).alias("ord", "x")).select("rel_path", "x.*", "ord").unionByName(next_routes(files).withColumn("ord", F.lit(0)))
 
 
-def route_calls(routes_: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Routes with the function that handles them: an inline one by its file and line, else a named one of the same file."""
-    own = blocks.where("kind = 'function'").select("rel_path", "name", F.col("line").alias("at"), "body")
-    inline = routes_.where("handler = '(inline)'").join(own, ["rel_path"]).where(F.col("at") == F.col("line"))
-    named = routes_.where("handler <> '(inline)'").withColumn("wanted", F.element_at(F.split("handler", r"\."), -1)).join(own.withColumn("wanted", F.col("name")), ["rel_path", "wanted"])
+#: What binds names of another file: an import clause, or a name or pattern that takes a require().
+IMPORT_CLAUSE = r"\bimport\s+(?:type\s+)?([\w$*{][^'\";=]*?)\s*\bfrom\s*[\"']([^\"'\n]+)[\"']"
+REQUIRED = r"\b(?:const|let|var)\s+(\{[^}]*\}|[\w$]+)\s*=\s*(?:await\s+)?(?:require|import)\(\s*[\"']([^\"'\n]+)[\"']\s*\)"
+
+
+def bindings(files: DataFrame) -> DataFrame:
+    """(rel_path, local, spec, line): the names that JavaScript files bind by imports and requires, renamed ones by their new
+    name; `* as x` binds x."""
+    content = F.col("content")
+
+    def part(pattern: str) -> Column:
+        return F.transform(matches_with_lines(content, pattern), lambda x: F.struct(F.regexp_extract(x["match"], pattern, 1).alias("clause"), F.regexp_extract(x["match"], pattern, 2).alias("spec"), x["line"].alias("line")))
+
+    found = files.where(F.col("ext").isin(JS)).select("rel_path", F.explode(F.concat(part(IMPORT_CLAUSE), part(REQUIRED))).alias("x"))
+    pieces = F.split(F.translate("x.clause", "{}", ",,"), ",")
+    each = found.select("rel_path", "x.spec", "x.line", F.explode(pieces).alias("piece")).withColumn("piece", F.trim(F.regexp_replace("piece", r"\s+", " ")))
+    local = F.regexp_extract(F.regexp_replace("piece", r"\s*=.*$", ""), r"([\w$]+)$", 1)
+    return each.select("rel_path", local.alias("local"), "spec", "line").where("local <> ''").distinct()
+
+
+def route_calls(routes_: DataFrame, blocks: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """Routes with the function that handles them: an inline one on the route's line (the n-th route of a line has its n-th
+    handler), else a named one of the same file, else of the file that the name is imported from (bound: rel_path, local,
+    to_path). A method is found by its own name too."""
+    own = blocks.where("kind = 'function'").select("rel_path", "name", F.col("line").alias("at"), "body", "place")
+    nth = lambda order: F.row_number().over(Window.partitionBy("rel_path", "line").orderBy(*order))
+    inline = routes_.where("handler = '(inline)'")
+    ordered = inline.withColumn("n", nth([*(["ord"] if "ord" in routes_.columns else []), "path", "method"]))
+    anonymous = own.where("name = '(anonymous)'").withColumn("line", F.col("at")).withColumn("n", nth(["place"]))
     shown = ["rel_path", "method", "path", "name", F.col("at").alias("line"), "body"]
-    return inline.select(*shown).unionByName(named.select(*shown))
+    out = ordered.join(anonymous, ["rel_path", "line", "n"]).select(*shown)
+    named = routes_.where("handler <> '(inline)'").drop("line")
+    by_name = own.withColumn("wanted", F.element_at(F.split("name", r"\."), -1)).groupBy("rel_path", "wanted").agg(F.min(F.struct("at", "name", "body")).alias("f"))
+    by_name = by_name.select("rel_path", "wanted", "f.name", "f.at", "f.body")
+    wanted = F.element_at(F.split("handler", r"\."), -1)
+    local = named.withColumn("wanted", wanted).join(by_name, ["rel_path", "wanted"])
+    out = out.unionByName(local.select(*shown))
+    if bound is None:
+        return out
+    far = by_name.select(F.col("rel_path").alias("to_path"), "wanted", "name", "at", "body")
+    left = named.withColumn("wanted", wanted).join(by_name.select("rel_path", "wanted"), ["rel_path", "wanted"], "left_anti")
+    met = left.withColumn("local", F.split("handler", r"\.")[0]).join(bound.select("rel_path", "local", "to_path").distinct(), ["rel_path", "local"]).join(far, ["to_path", "wanted"])
+    return out.unionByName(met.select(*shown))
 
 
 def next_path(path: Column) -> Column:

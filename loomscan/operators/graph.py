@@ -35,6 +35,12 @@ def edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     return met if placed else met.drop("ord")
 
 
+def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(from_path, spec, to_path): the file that each import means, if the tree has it."""
+    hit = candidates(imports.select("from_path", "spec").distinct()).join(files.select(F.col("rel_path").alias("target")).distinct(), "target")
+    return hit.groupBy("from_path", "spec").agg(F.min(F.struct("ord", "target")).alias("m")).select("from_path", "spec", F.col("m.target").alias("to_path"))
+
+
 def unreferenced(imports: DataFrame, files: DataFrame, entries: Column | None = None) -> DataFrame:
     """Files that no import may mean (every candidate counts, self references too), entry files excepted."""
     left = files.join(candidates(imports).select(F.col("target").alias("rel_path")), "rel_path", "left_anti")

@@ -19,7 +19,7 @@ from loomscan.operators.balanced import nested
 from loomscan.operators.detect import CODE_EXT, issue_rows, union
 from loomscan.operators.lexer import blank
 
-BLOCKS = "rel_path string, kind string, name string, line int, lines int, depth int, body string, raw string, queried int"
+BLOCKS = "rel_path string, kind string, name string, line int, lines int, depth int, body string, raw string, queried int, place int"
 FUNCTION = (
     r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)?\s*\([^)]*\)[^{;]*\{"
     r"|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)[^={;]*=>\s*\{"
@@ -30,6 +30,7 @@ EACH = r"\.(?:forEach|map)\(\s*(?:async\s*)?(?:(?:\([^)]*\)|[\w$]+)\s*=>|functio
 EFFECT = r"\buseEffect\(\s*(?:async\s*)?(?:\([^)]*\)\s*=>|function\s*[\w$]*\s*\([^)]*\))\s*(\{)?"
 HEADS = [("function", re.compile(FUNCTION)), ("loop", re.compile(LOOP)), ("loop", re.compile(EACH)), ("effect", re.compile(EFFECT))]
 DECISION = r"(?<![.\w$])(?:if|for|while|case|catch)\b|&&(?!=)|\|\|(?!=)|\?\?(?!=)|(?<![?.])\?(?![?.:])"
+CLASS = re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)[^{};()]*\{")
 FLOW = re.compile(r"(?<![.\w$])(if|for|while|do|switch|try|catch|finally|else)\b|[{}();]")
 CLEANUP = re.compile(r"\breturn\s+(?:async\s*)?(?:(?:\([^)]*\)|[\w$]+)\s*=>|function\b)")
 QUERY = re.compile(detect.QUERY)
@@ -47,6 +48,20 @@ def closings(text: str) -> dict[int, int]:
     return out | dict.fromkeys(open_, len(text))
 
 
+def enclosing(text: str, places: list[int]) -> dict[int, int]:
+    """The brace that is open around each of some ascending places; one pass."""
+    out, open_, at = {}, [], 0
+    for m in re.finditer("[{}]", text):
+        while at < len(places) and places[at] <= m.start():
+            out[places[at]] = open_[-1] if open_ else -1
+            at += 1
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            open_.pop()
+    return out | {p: open_[-1] if open_ else -1 for p in places[at:]}
+
+
 def nesting(body: str) -> int:
     """Deepest control flow: if, loops, switch, try, catch; an `else if` lies in its `if`, a catch in its try."""
     most = parens = 0
@@ -95,6 +110,15 @@ def bodies(code: str, content: str) -> list[dict]:
     blanked. One pass for the braces; a body costs its own length."""
     close = closings(code)
     found = []
+    classes = sorted((m.end(), close.get(m.end() - 1, len(code)), m[1]) for m in CLASS.finditer(code))
+
+    def of_class(place: int, name: str) -> str:
+        at = bisect_right(classes, (place, FAR)) - 1
+        while at >= 0 and classes[at][1] < place:
+            at -= 1
+        return f"{classes[at][2]}.{name}" if at >= 0 and owner.get(place) == classes[at][0] - 1 else name
+
+    owner = enclosing(code, [m.start() for m in HEADS[0][1].finditer(code) if m[3]]) if classes else {}
     for kind, head in HEADS:
         for m in head.finditer(code):
             if code[m.end() - 1] == "{":
@@ -102,6 +126,8 @@ def bodies(code: str, content: str) -> list[dict]:
             else:  # an expression: up to the end of the call around it
                 start, end = m.end(), close.get(code.index("(", m.start()), len(code))
             name = next((g for g in m.groups() if g and g != "{"), None)
+            if kind == "function" and m[3]:  # a method is named with its class
+                name = of_class(m.start(), name)
             found.append((kind, name or "(anonymous)", m.start(), start, end))
     functions = sorted((a, b) for kind, _, _, a, b in found if kind == "function")
     loops = sorted((a, b) for kind, _, _, a, b in found if kind == "loop")
@@ -118,7 +144,7 @@ def bodies(code: str, content: str) -> list[dict]:
         query = QUERY.search(body) if kind == "loop" else None
         out.append({
             "kind": kind, "name": name, "line": line(head), "lines": line(b) - line(head) + 1, "depth": nesting(body) if kind == "function" else 0, "body": body,
-            "raw": content[a:b], "queried": line(a + query.start()) if query else None,
+            "raw": content[a:b], "queried": line(a + query.start()) if query else None, "place": head,
         })
         if kind == "effect":
             out[-1]["queried"] = leaks(code[a:b], body)
@@ -166,7 +192,7 @@ def blocks(masked: DataFrame) -> DataFrame:
 
 SCHEMA = pa.schema([
     ("rel_path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("lines", pa.int32()), ("depth", pa.int32()),
-    ("body", pa.string()), ("raw", pa.string()), ("queried", pa.int32()),
+    ("body", pa.string()), ("raw", pa.string()), ("queried", pa.int32()), ("place", pa.int32()),
 ])
 
 
@@ -207,15 +233,69 @@ def resolved(calls_: DataFrame, functions: DataFrame, edges: DataFrame) -> DataF
     return best.select(node("rel_path", "caller").alias("src"), F.concat("m.at", F.lit("#"), "callee").alias("dst"), "ord")
 
 
+#: What a call's text says about where it leaves the app, and the name of that, in order.
+EXTERNAL = [
+    (r"(?i)\.(?:findMany|findFirst|findUnique|findById|findOne|findAll|query|execute|aggregate)$", "Database call"),
+    (r"(?i)^(?:axios|fetch|got|superagent)(?:\.|$)", "Outbound HTTP call"),
+    (r"(?i)^https?\.request$", "Outbound HTTP call"),
+    (r"^fs(?:Promises)?\.", "File I/O"),
+    (r"(?i)\.(?:readFile|writeFile|readFileSync|writeFileSync|unlink|mkdir)$", "File I/O"),
+    (r"(?i)\.(?:publish|sendMessage|produce)$", "Queue/event publish"),
+]
+DOTTED = r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*+)\s*\("
+KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "new"]
+
+
+def whole_calls(blocks_: DataFrame) -> DataFrame:
+    """(rel_path, caller, callee, ord) of the calls in each function's own body, as written (`db.user.findOne`), in order."""
+    named = F.regexp_extract_all("body", F.lit(DOTTED), 1)
+    own = blocks_.where("kind = 'function'").select("rel_path", F.col("name").alias("caller"), "place", F.posexplode(named).alias("ord", "callee"))
+    return own.where(~F.col("callee").isin(KEYWORDS)).withColumn("callee", F.replace("callee", F.lit("?."), F.lit(".")))
+
+
+def classified(calls_: DataFrame, functions: DataFrame, bindings: DataFrame) -> DataFrame:
+    """calls_ with (kind, to_path, target): the first that holds of
+    `external` (the call leaves the app; target says how), `local` (a function of the file), `imported` (a function of the file
+    that the name was imported from), `opaque-project` (that file, but no function of it). Other calls are left out.
+
+    functions (rel_path, name, line): a method is found by its own name too, the first of equals by line.
+    bindings (rel_path, local, to_path). All joins are by equality, and one aggregate picks the best candidate of a call.
+    """
+    key = [c for c in calls_.columns]
+    dotted = F.split("callee", r"\.")
+    c = calls_.withColumn("base", dotted[0]).withColumn("member", F.get(dotted, 1))
+    label = F.lit(None).cast("string")
+    for pattern, name in reversed(EXTERNAL):
+        label = F.when(F.col("callee").rlike(pattern), name).otherwise(label)
+    parts = F.split("name", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    known = functions.select("rel_path", "name", "line", F.explode(suffixes).alias("called"))
+    known = known.groupBy(F.col("rel_path").alias("to_path"), "called").agg(F.min(F.struct("line", "name")).alias("f")).select("to_path", "called", F.col("f.name").alias("target"))
+    candidate = lambda rows, rank, kind: rows.select(*key, F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), "to_path", "target")
+    out = candidate(c.withColumn("target", label).where("target is not null").withColumn("to_path", F.lit(None).cast("string")), 0, "external")
+    bound = c.join(bindings.withColumnRenamed("local", "base").select("rel_path", "base", "to_path").distinct(), ["rel_path", "base"])
+    for rank, name, rows, kind in ((1, "callee", c.withColumn("to_path", F.col("rel_path")), "local"), (2, "base", c.withColumn("to_path", F.col("rel_path")), "local"), (3, "member", bound, "imported"), (4, "base", bound, "imported")):
+        out = out.unionByName(candidate(rows.withColumn("called", F.col(name)).join(known, ["to_path", "called"]), rank, kind))
+    out = out.unionByName(candidate(bound.withColumn("target", F.lit(None).cast("string")), 5, "opaque-project"))
+    best = out.groupBy(*key).agg(F.min(F.struct("rank", "to_path", "target", "kind")).alias("m"))
+    return best.select(*key, "m.kind", "m.to_path", "m.target")
+
+
+#: Calls of a handler that reach data or the network.
+SIDE_EFFECTS = r"\b(?:db|prisma|repository|model|axios|fetch|cache|queue)\b(?:\.\w+)*+\s*\("
+
+
 def body_trace(blocks_: DataFrame) -> DataFrame:
     """What a handler does: status codes, branches, error handling, whether it answers."""
     body = F.col("body")
     codes = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col("raw"), F.lit(r"\.(?:status|sendStatus)\(\s*(\d{3})"), 1)))
-    return blocks_.where("kind = 'function'").select("rel_path", "name", codes.alias("status_codes"), F.regexp_count(body, F.lit(r"\bif\b")).alias("branches"), body.rlike(r"\bcatch\b|\bnext\(").alias("handles_errors"), body.rlike(r"\bres\b[^;\n]*\.(?:json|send|end|render|redirect|sendStatus)\s*\(").alias("responds"))
+    effects = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit(SIDE_EFFECTS), 0), lambda c: F.regexp_replace(c, r"\s*\($", "")))
+    return blocks_.where("kind = 'function'").select("rel_path", "name", effects.alias("side_effects"), codes.alias("status_codes"), F.regexp_count(body, F.lit(r"\bif\b")).alias("branches"), body.rlike(r"\bcatch\b|\bnext\(").alias("handles_errors"), body.rlike(r"\bres\b[^;\n]*\.(?:json|send|end|render|redirect|sendStatus)\s*\(").alias("responds"))
 
 
 def steps(traces: DataFrame) -> DataFrame:
     """body_trace rows with what a handler does in words."""
     branches = F.when(F.col("branches") == 1, "1 branch").when(F.col("branches") > 1, F.concat(F.col("branches").cast("string"), F.lit(" branches")))
     answers = F.when(F.size("status_codes") > 0, F.concat(F.lit("answers "), F.array_join("status_codes", ", "))).when(F.col("responds"), "answers")
-    return traces.withColumn("steps", F.array_compact(F.array(branches, F.when(F.col("handles_errors"), "handles errors"), answers)))
+    calls_out = F.when(F.size("side_effects") > 0, F.concat(F.lit("calls "), F.array_join("side_effects", ", "))) if "side_effects" in traces.columns else F.lit(None)
+    return traces.withColumn("steps", F.array_compact(F.array(branches, calls_out, F.when(F.col("handles_errors"), "handles errors"), answers)))

@@ -83,6 +83,27 @@ def checked_rules(rules: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     return checked(rules.withColumn("rule_category", category), rule_constraints(now))
 
 
+def checklist(apps: DataFrame, manual: DataFrame, triage: DataFrame, rules: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(app_id, item, done, auto) of an app's four first steps: a scan done, a finding fixed, a gate set, suppression understood.
+
+    apps (app_id, status, scanned_at, fail_on), manual (app_id, gate_acknowledged, suppression_acknowledged): the last two steps
+    count as done when a person says so. Signals are asked for app by app before they are joined, so no side multiplies.
+    """
+    some = lambda df, name: df.select("app_id").distinct().withColumn(name, F.lit(True))
+    out = apps.join(manual.select("app_id", "gate_acknowledged", "suppression_acknowledged"), "app_id", "left")
+    for side, name in ((triage.where("state = 'fixed'"), "fixed"), (rules.select("app_id").unionByName(patterns.select("app_id")), "suppressed")):
+        out = out.join(some(side, name), "app_id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    gate = yes((F.coalesce("fail_on", F.lit("")) != "") & (F.col("fail_on") != "Critical"))
+    suppressed = yes(F.col("suppressed"))
+    step = lambda name, done, auto: F.struct(F.lit(name).alias("item"), done.alias("done"), auto.alias("auto"))
+    steps = F.array(
+        step("firstScan", yes((F.col("status") == "Done") & F.col("scanned_at").isNotNull()), F.lit(True)), step("firstFix", yes(F.col("fixed")), F.lit(True)),
+        step("ciGate", gate | yes(F.col("gate_acknowledged")), gate), step("suppression", suppressed | yes(F.col("suppression_acknowledged")), suppressed),
+    )
+    return out.select("app_id", F.explode(steps).alias("x")).select("app_id", "x.*")
+
+
 def checked_rule(reason: str, expires: str | None, now: str) -> None:
     """A rule needs a reason, and an expiry within a year from now."""
     from datetime import datetime, timedelta

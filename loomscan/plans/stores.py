@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomscan.functions import text
 from loomscan.operators import extract, graph, history, state
 from loomscan.plans import corpus, surface
 from loomscan.plans import portfolio as pf
@@ -110,3 +111,29 @@ def rule_rejects(spark, sf):
     )
     good, bad = state.checked_rules(rows, pf.now())
     return good.select(F.lit("").alias("reasons")).unionByName(bad.select(F.array_join("reasons", "; ").alias("reasons"))).groupBy("reasons").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(ctes(fx.SQL_APPS, fx.SQL_SNAPSHOTS, fx.SQL_ISSUES, fx.SQL_TRIAGE) + """, s AS (SELECT app_id, max(scanned_at) AS at FROM snapshots WHERE app_id % 8 <> 0 GROUP BY 1),
+x AS (SELECT a.app_id, s.at IS NOT NULL AND a.app_id % 9 <> 0 AS scan, a.app_id IN (SELECT app_id FROM triage WHERE state = 'fixed') AS fix, a.app_id % 3 = 1 AS gate, a.app_id % 5 = 1 AS ack,
+  a.app_id % 50 < 7 OR a.app_id % 11 = 0 AS rule, a.app_id % 7 = 1 AS known FROM apps a LEFT JOIN s USING (app_id))
+SELECT app_id, 'firstScan' AS item, scan AS done, true AS auto FROM x UNION ALL SELECT app_id, 'firstFix', fix, true FROM x
+UNION ALL SELECT app_id, 'ciGate', gate OR ack, gate FROM x UNION ALL SELECT app_id, 'suppression', rule OR known, rule FROM x""")
+def onboarding_checklist(spark, sf):
+    """The first steps of each app: from its scans, triage, gate, rules and patterns, and from what people ticked off."""
+    a = fx.apps(spark, sf)
+    last = fx.snapshots(spark, sf).where("app_id % 8 <> 0").groupBy("app_id").agg(F.max("scanned_at").alias("scanned_at"))
+    apps = a.join(last, "app_id", "left").select("app_id", F.when(F.col("app_id") % 9 != 0, "Done").otherwise("Scanning").alias("status"), "scanned_at", F.when(F.col("app_id") % 3 == 1, "High").when(F.col("app_id") % 3 == 2, "Critical").alias("fail_on"))
+    manual = a.where("app_id % 2 = 1 or app_id % 5 = 1 or app_id % 7 = 1").select("app_id", (F.col("app_id") % 5 == 1).alias("gate_acknowledged"), (F.col("app_id") % 7 == 1).alias("suppression_acknowledged"))
+    return state.checklist(apps, manual, fx.triage(spark, sf), a.where("app_id % 50 < 7"), a.where("app_id % 11 = 0"))
+
+
+@query(ctes(fx.SQL_SNAPSHOTS, fx.SQL_APPS) + f""", l AS (SELECT app_id, max(scanned_at) AS seen, sum((duration_ms * 10)::bigint) AS ms FROM snapshots GROUP BY 1),
+d AS (SELECT app_id, ms, date_diff('second', TIMESTAMP '{fx.NOW}', seen + to_minutes(schedule_minutes)) / 3600.0 AS h FROM l JOIN apps USING (app_id) WHERE schedule_minutes > 0)
+SELECT app_id, CASE WHEN h < -1 THEN floor(0.5 - h)::bigint || 'h overdue' WHEN h < 0 THEN 'due now' WHEN h < 1 THEN 'due within the hour' WHEN h < 24 THEN 'due in ' || floor(h + 0.5)::bigint || 'h' ELSE 'due in ' || floor(h / 24 + 0.5)::bigint || 'd' END AS due,
+  CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN (ms + 50) // 1000 || '.' || ((ms + 50) // 100) % 10 || 's' ELSE ms // 60000 || 'm ' || (ms % 60000 + 500) // 1000 || 's' END AS took FROM d""")
+def due_texts(spark, sf):
+    """When each app's next scan is due, and how long its scans took together, in words."""
+    last = fx.snapshots(spark, sf).groupBy("app_id").agg(F.max("scanned_at").alias("at"), F.sum(F.round(F.col("duration_ms") * 10).cast("long")).alias("ms"))
+    own = last.join(fx.apps(spark, sf).where("schedule_minutes > 0").select("app_id", "schedule_minutes"), "app_id")
+    due = F.col("at") + F.make_interval(mins=F.col("schedule_minutes"))
+    return own.select("app_id", text.due_text(due, pf.now()).alias("due"), text.duration_text(F.col("ms")).alias("took"))
