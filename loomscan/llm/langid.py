@@ -25,8 +25,8 @@ columns are passed through, one named as an output (`lang_pred`, `score`, `entro
 from __future__ import annotations
 
 import mmap
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -41,6 +41,7 @@ from loomscan.llm.common import add_columns, fresh_path, stored
 
 #: Slots of a scorer's memo of looked-up 4-grams, and bytes of its log probabilities; with more languages it holds fewer.
 SLOTS, MEMO = 1 << 21, 16 << 20
+MASK = (1 << 64) - 1
 #: Entries of a model file, on average at most.
 PART = 1 << 20
 #: One text of HELD is held back for the limits.
@@ -179,7 +180,7 @@ def kneser_ney(keys: np.ndarray, n: np.ndarray) -> list[dict]:
 
 
 def write_models(counts: DataFrame) -> tuple[str, list[tuple]]:
-    """Models of (l, gram, n), l a model's number: their folder, and (l, order, kind, bucket, file, entries) of each file."""
+    """Models of (l, gram, n), l a model's number: their folder, and (l, order, kind, bucket, file, entries, first hash) of each file."""
     spark = counts.sparkSession
     folder = fresh_path(spark, "models")
     count = {4: stored(counts.groupBy("l", F.col("gram").alias("k")).agg(F.sum("n").cast("double").alias("c")), "counts")}
@@ -207,15 +208,15 @@ def write_models(counts: DataFrame) -> tuple[str, list[tuple]]:
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         h = pdf["hash"].to_numpy(np.int64).view(np.uint64)
         o = np.argsort(h)
-        store, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        store, path = store_of(folder)
         store.create_dir(path)
         name = uuid.uuid4().hex  # only files named in the rows of tasks that finished are ever read
         with store.open_output_stream(f"{path}/{name}", compression=None) as out:
             out.write(h[o].tobytes())
             out.write(pdf["value"].to_numpy(np.float64)[o].astype(np.float32).tobytes())
-        return pd.DataFrame([[*key, name, len(h)]], columns=["l", "o", "kind", "bucket", "file", "n"])
+        return pd.DataFrame([[*key, name, len(h), int(h[o].view(np.int64)[0])]], columns=["l", "o", "kind", "bucket", "file", "n", "first"])
 
-    files = reduce(DataFrame.union, parts).groupBy("l", "o", "kind", "bucket").applyInPandas(write, "l int, o int, kind int, bucket long, file string, n long")
+    files = reduce(DataFrame.union, parts).groupBy("l", "o", "kind", "bucket").applyInPandas(write, "l int, o int, kind int, bucket long, file string, n long, first long")
     return folder, [tuple(r) for r in stored(files, "files").orderBy("l", "o", "kind", "bucket").collect()]
 
 
@@ -234,25 +235,65 @@ def hashed(df: DataFrame, order: int, kind: int) -> DataFrame:
     return df.mapInArrow(run, "l int, o int, kind int, bucket long, hash long, value double")
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+
+
+class Held:
+    """Parts of a model that are read from a shared store when a text asks for them, and let go by age beyond a bound."""
+
+    def __init__(self, store: fs.FileSystem, room: int = 256 << 20):
+        self.store, self.room, self.used = store, room, 0
+        self.parts: OrderedDict[str, bytes] = OrderedDict()
+
+    def read(self, path: str) -> bytes:
+        if path in self.parts:
+            self.parts.move_to_end(path)
+            return self.parts[path]
+        with self.store.open_input_file(path) as f:
+            raw = f.read()
+        self.parts[path] = raw
+        self.used += len(raw)
+        while self.used > self.room and len(self.parts) > 1:
+            self.used -= len(self.parts.popitem(last=False)[1])
+        return raw
+
+
+class Part:
+    """Sorted numbers of one file, or what is held for them; `first` tells which part a number is in without reading it."""
+
+    def __init__(self, held: Held, path: str, kind: type, size: int, offset: int, first: int):
+        self.held, self.path, self.kind, self.size, self.offset, self.first = held, path, kind, size, offset, first
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return np.frombuffer(self.held.read(self.path), self.kind, self.size, self.offset)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        return self.first if isinstance(at, int) and at == 0 else np.asarray(self)[at]
+
+
 def open_models(folder: str, files: list[tuple], n: int) -> list[list[dict]]:
-    """Levels of n languages, their arrays (lists of parts in order of hashes) mapped from files; none for a language without files."""
-    store, path = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+    """Levels of n languages, their arrays in parts in order of hashes: mapped into memory where the folder is a file system,
+    else read from the store part by part as texts need them. None for a language without files."""
+    store, path = store_of(folder)
     models: list[list[dict]] = [[] for _ in range(n)]
-    for l, order, kind, _, name, size in files:
-        if isinstance(store, fs.LocalFileSystem):
-            with open(f"{path}/{name}", "rb") as f:
-                raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
-        else:  # a copy on the task's disk that goes with its last use
-            with tempfile.TemporaryFile() as f, store.open_input_stream(f"{path}/{name}") as source:
-                while data := source.read(1 << 22):
-                    f.write(data)
-                f.flush()
-                raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+    held = Held(store)
+    for l, order, kind, _, name, size, first in files:
         if len(models[l]) < order:
             models[l].append({"order": order, "hash": [], "logp": [], "context": [], "back": []})
         keys, values = ("context", "back") if kind else ("hash", "logp")
-        models[l][-1][keys].append(np.frombuffer(raw, np.uint64, size))
-        models[l][-1][values].append(np.frombuffer(raw, np.float32, size, 8 * size))
+        if isinstance(store, fs.LocalFileSystem):
+            with open(f"{path}/{name}", "rb") as f:
+                raw = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False)
+            own, told = np.frombuffer(raw, np.uint64, size), np.frombuffer(raw, np.float32, size, 8 * size)
+        else:
+            own, told = (Part(held, f"{path}/{name}", t, size, at, np.uint64(first & MASK)) for t, at in ((np.uint64, 0), (np.float32, 8 * size)))
+        models[l][-1][keys].append(own)
+        models[l][-1][values].append(told)
     return models
 
 
@@ -261,14 +302,14 @@ def look(sorted_: np.ndarray | list, held: np.ndarray | list, values: np.ndarray
     if not isinstance(sorted_, list):
         sorted_, held = [sorted_], [held]
     if len(sorted_) == 1:
-        at, seen = find(sorted_[0], values)
-        return held[0][at], seen
+        at, seen = find(np.asarray(sorted_[0]), values)
+        return np.asarray(held[0])[at], seen
     out, seen = np.zeros(len(values), np.float32), np.zeros(len(values), bool)
     part = np.searchsorted(np.array([p[0] for p in sorted_]), values, side="right") - 1
     for i in np.unique(part[part >= 0]):
         own = np.flatnonzero(part == i)
-        at, seen[own] = find(sorted_[i], values[own])
-        out[own] = held[i][at]
+        at, seen[own] = find(np.asarray(sorted_[i]), values[own])
+        out[own] = np.asarray(held[i])[at]
     return out, seen
 
 

@@ -47,6 +47,37 @@ mpl: this source code form is subject to the terms of the [mozilla public licens
 gpl: this program is free software [you can redistribute it and or modify it under the terms of the gnu general public license] as published by the free software foundation
 lgpl: you should have received a copy of the [gnu lesser general public license]
 agpl: you should have received a copy of the [gnu affero general public license]
+mpl: if a copy of the mpl was not distributed with this file [you can obtain one at] https mozilla org mpl 2 0
+mpl: [covered software is provided under this license on an as is basis] without warranty of any kind either expressed implied or statutory
+gpl: everyone is permitted to copy and distribute verbatim copies of this license document but [changing it is not allowed]
+gpl: the licenses for most software and other practical works are designed to take away [your freedom to share and change the works]
+gpl: [you may convey verbatim copies of the program s source code] as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice
+gpl: you may convey a covered work in object code form [provided that you also convey the machine readable corresponding source] under the terms of this license
+gpl: this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the [gnu general public license] for more details
+lgpl: this version of the [gnu lesser general public license incorporates the terms and conditions of version 3] of the gnu general public license
+lgpl: you may convey a combined work under terms of your choice that taken together effectively do not restrict [modification of the portions of the library contained in the combined work]
+lgpl: this library is free software you can redistribute it and or modify it under the terms of the [gnu lesser general public license] as published by the free software foundation
+agpl: if you modify the program your modified version must prominently offer [all users interacting with it remotely through a computer network] an opportunity to receive the corresponding source of your version
+agpl: the [gnu affero general public license] is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software
+epl: the accompanying program is provided under the terms of this [eclipse public license] agreement any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement
+cddl: the contents of this file are subject to the terms of the [common development and distribution license] the license you may not use this file except in compliance with the license
+artistic: everyone is permitted to copy and distribute verbatim copies of [this license document but changing it is not allowed preamble this license establishes the terms] under which a given free software package may be copied modified distributed and or redistributed
+artistic: this package is free software you can redistribute it and or modify it under the terms of the [artistic license]
+ofl: this font software is licensed under the [sil open font license] version 1 1
+ofl: neither the font software nor any of its individual components in original or modified versions [may be sold by itself]
+sspl: if you make the functionality of the program or a modified version available to third parties as a service [you must make the service source code available via network download] to everyone at no charge under the terms of this license
+eupl: licensed under the [eupl] version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence
+wtfpl: everyone is permitted to copy and distribute verbatim or modified copies of this license document and [changing it is allowed as long as the name is changed]
+ms-pl: this license governs use of the accompanying software [if you use the software you accept this license] if you do not accept the license do not use the software
+psf: this license agreement is between the [python software foundation] psf and the individual or organization licensee accessing and otherwise using this software
+apache: [grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license] to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works
+apache: unless required by applicable law or agreed to in writing software distributed under the license is [distributed on an as is basis without warranties or conditions of any kind] either express or implied
+apache: you must give any other recipients of the work or derivative works [a copy of this license]
+mit: the software is provided as is without warranty of any kind express or implied including but not limited to the [warranties of merchantability fitness for a particular purpose and noninfringement]
+bsd: this software is provided by the copyright holders and contributors as is and [any express or implied warranties] including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+cc0: [to the extent possible under law] the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work
+cc-by-sa: [if you remix transform or build upon the material you must distribute your contributions under the same license] as the original
+cc-by-nc: [you may not use the material for commercial purposes]
 apache: you may obtain a copy of the license at http www [apache org licenses license 2 0]
 apache: [you may not use this file except in compliance with the license]
 cc-by-nc: [cc by nc]

@@ -92,3 +92,34 @@ def test_copies_of_one_fingerprint_get_their_class_from_every_part(spark):
     docs = spark.createDataFrame([(i, "the same four words again") for i in range(200)] + [(500, "other text with five words"), (None, "the same four words again")], "doc_id long, text string")
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == 202 and {r["component_id"] for r in got if r["doc_id"] != 500} == {0}
+
+
+def test_models_are_read_part_by_part_from_a_store(tmp_path, monkeypatch):
+    """A store that is no local file system: only the parts that texts ask for are held, oldest go first."""
+    keys = langid.grams(langid.symbols("words of a language with a few letters " * 20))
+    k, n = np.unique(keys, return_counts=True)
+    (levels,) = [langid.kneser_ney(k, n)]
+    files = []
+    for level in levels:
+        for kind, (a, b) in enumerate((("hash", "logp"), ("context", "back"))):
+            half = max(1, len(level[a]) // 2)
+            for bucket, cut in enumerate((slice(0, half), slice(half, None))):
+                h, v = level[a][cut], level[b][cut]
+                if len(h):
+                    name = f"{level['order']}-{kind}-{bucket}"
+                    (tmp_path / name).write_bytes(h.tobytes() + v.astype(np.float32).tobytes())
+                    files.append((0, level["order"], kind, bucket, name, len(h), int(h.view(np.int64)[0])))
+    local = langid.open_models(str(tmp_path), files, 1)
+    remote = langid.fs.SubTreeFileSystem("/", langid.fs.LocalFileSystem())
+    monkeypatch.setattr(langid, "store_of", lambda _: (remote, str(tmp_path)))
+    far = langid.open_models("x://store", files, 1)
+    assert isinstance(far[0][0]["hash"][0], langid.Part)
+    texts = ["words of a language", "other letters", "zzz"]
+    a, b = (langid.Scorer(["a"], m).sums(texts)[0] for m in (local, far))
+    assert np.array_equal(a, b)
+    held = far[0][0]["hash"][0].held
+    held.room, held.used = 1, 0
+    held.parts.clear()
+    for f in files:
+        held.read(str(tmp_path / f[4]))
+    assert list(held.parts) == [str(tmp_path / files[-1][4])]
