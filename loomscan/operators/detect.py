@@ -148,18 +148,13 @@ def custom_rules(files: DataFrame, rules: list[tuple[str, str, str]]) -> DataFra
         return F.transform(matches_with_lines(F.col("content"), pattern), lambda x: F.struct(F.lit(name).alias("category"), F.lit(severity).alias("severity"), x["match"].alias("match"), x["line"].alias("line")))
 
     found = F.concat(*[own(*rule) for rule in rules])
-    any_ = F.lit(False)
-    for *_, p in rules:
-        any_ = any_ | F.col("content").rlike(p)
-    return files.where(any_).select("rel_path", F.explode(found).alias("x")).select("rel_path", "x.*")
+    return files.select("rel_path", F.explode(found).alias("x")).select("rel_path", "x.*")
 
 
 def raw_findings(files: DataFrame, rules: list[Rule] = RAW_RULES) -> DataFrame:
-    """Findings on raw text; every file is read once, files without any match leave first."""
-    any_ = F.lit(False)
-    for r in rules:
-        any_ = any_ | F.col("content").rlike(r.pattern)
-    return exploded(files.where(any_), F.concat(*[hits(r, F.col("content")) for r in rules]))
+    """Findings on raw text; a file is read once. Each rule first asks whether it matches at all, so only files with a match
+    pay for its lines."""
+    return exploded(files, F.concat(*[hits(r, F.col("content")) for r in rules]))
 
 
 def debug_logging(code: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomscan.operators import detect, history, state
+from loomscan.operators.ranks import ranked
 from loomscan.plans import portfolio as pf
 from loomscan.plans.portfolio import ctes, query
 from loomscan.sources import fixtures as fx
@@ -41,8 +42,8 @@ def scan_calendar_ranked(spark, sf):
     own = pf.live(spark, sf).where("schedule_minutes > 0").join(history.latest(fx.snapshots(spark, sf)), "app_id", "left")
     due = own.withColumn("next_due", F.col("scanned_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("schedule_minutes")))
     overdue = (F.col("app_id") % 11 != 0) & F.coalesce(F.col("next_due") <= pf.now(), F.lit(True))
-    order = Window.partitionBy("environment").orderBy(F.asc_nulls_first("next_due"), "app_id")
-    return due.select("environment", "app_id", overdue.alias("overdue"), F.row_number().over(order).alias("rn"))
+    calendar = due.select("environment", "app_id", overdue.alias("overdue"), "next_due")
+    return ranked(calendar, "environment", [F.asc_nulls_first("next_due"), F.asc("app_id")]).drop("next_due")
 
 
 @query(ctes(fx.SQL_APPS) + """SELECT owner, tag, n, row_number() OVER (PARTITION BY owner ORDER BY n DESC, lower(tag), tag)::int AS rn
@@ -103,8 +104,8 @@ def scan_stats(spark, sf):
 def queue_positions(spark, sf):
     """Place of each waiting scan in its lane."""
     waiting = fx.read(spark, sf, "orders").where("o_orderstatus = 'O'")
-    order = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
-    return waiting.select(F.col("o_orderpriority").alias("lane"), F.col("o_orderkey").alias("scan_id"), F.row_number().over(order).alias("position"))
+    lanes = waiting.select(F.col("o_orderpriority").alias("lane"), F.col("o_orderkey").alias("scan_id"), "o_orderdate")
+    return ranked(lanes, "lane", [F.asc("o_orderdate"), F.asc("scan_id")], "position").drop("o_orderdate")
 
 
 @query(ctes(fx.SQL_APPS) + """, a AS (FROM apps WHERE app_id = 1), b AS (FROM apps WHERE app_id = 7)
