@@ -48,15 +48,14 @@ def tree_findings(found: DataFrame) -> DataFrame:
     """Findings that need the whole tree: dependencies, licences, files that nothing refers to."""
     imports = extract.components(found).where("kind = 'import'").select(F.col("rel_path").alias("from_path"), F.col("name").alias("spec"))
     code = found.where(F.col("ext").isin([*extract.JS, ".py"]))
-    dead = graph.unreferenced(imports, code, graph.entry_like(F.col("rel_path"), [e.rpartition("/")[2] for e in manifests.ENTRIES]))
-    unused = detect.issue_rows(dead.withColumn("line", F.lit(1)), "Possible Dead Code", "Low", "Remove the file if nothing uses it.", F.lit("No import refers to this file."))
+    unused = detect.dead_code(graph.unreferenced(imports, code, graph.entry_like(F.col("rel_path"), [e.rpartition("/")[2] for e in manifests.ENTRIES])))
     return detect.union([unused, manifests.advisory_findings(found, found.sparkSession), manifests.license_issues(found)])
 
 
-def scan(spark: SparkSession, root: str, rules: list[tuple[str, str, str]] = (), ignore: list[str] = (), cache: str | None = None, whole: bool = False) -> DataFrame:
+def scan(spark: SparkSession, root: str, rules: list[tuple[str, str, str]] = (), ignore: list[str] = (), cache: str | None = None, whole: bool = False, found: DataFrame | None = None) -> DataFrame:
     """All findings of a tree; contents are read and lexed once, for every detector. With `cache` the stored findings of
     files that did not change are taken over and the others are stored; `whole` adds what needs the whole tree."""
-    found = tree(spark, root, ignore).persist()
+    found = tree(spark, root, ignore).persist() if found is None else found
     if cache is None:
         issues = file_findings(found, rules)
     else:
@@ -91,13 +90,15 @@ def main(args: list[str] | None = None) -> int:
         opts = p.parse_args(args)
         spark = session()
         rules = [(r.partition("=")[0], "Medium", r.partition("=")[2]) for r in opts.rule]
-        issues = scan(spark, opts.path, rules, opts.ignore, opts.cache, whole=True).persist()
+        found = tree(spark, opts.path, opts.ignore).persist()  # read once, for findings and counts
+        issues = scan(spark, opts.path, rules, opts.ignore, opts.cache, whole=True, found=found).persist()
         counts = {r["severity"]: r["n"] for r in issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).collect()}
         failed = not issues.where(at_least(F.col("severity"), opts.fail_on)).isEmpty()
-        found = tree(spark, opts.path, opts.ignore)
         stats = {
             "files": found.count(), "models": extract.models(found).select("rel_path", "model").distinct().count(), "routes": extract.routes(found).count(), "issues": sum(counts.values()),
         }
+        issues.unpersist()
+        found.unpersist()
     except SystemExit as e:
         return 2 if e.code else 0
     except Exception as e:

@@ -199,6 +199,11 @@ def entropy_findings(masked: DataFrame, threshold: float = ENTROPY) -> DataFrame
     return issue_rows(scored, "Possible High-Entropy Secret", "Medium", "Check whether the value is a secret.", told)
 
 
+def dead_code(unreferenced: DataFrame) -> DataFrame:
+    """Findings of files (rel_path) that nothing refers to."""
+    return issue_rows(unreferenced.withColumn("line", F.lit(1)), "Possible Dead Code", "Low", "Remove the file if nothing uses it.", F.lit("No import refers to this file."))
+
+
 def with_weakness(findings: DataFrame) -> DataFrame:
     """Findings with the weakness class and risk group of their category; none for categories that are no weakness."""
     dims = findings.sparkSession.createDataFrame(WEAKNESSES, "category string, cwe string, owasp string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def append(snapshots: DataFrame, path: str) -> None:
-    snapshots.write.mode("append").partitionBy("app_id").parquet(path)
+    snapshots.hint("rebalance", "app_id").write.mode("append").partitionBy("app_id").parquet(path)
 
 
 #: Snapshot files: what they hold, and the time in a file's name, whose colons and points are hyphens there.

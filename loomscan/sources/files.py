@@ -101,6 +101,25 @@ def contents(files: DataFrame, root: str, max_bytes: int = MAX_BYTES) -> DataFra
     return files.select("rel_path", "ext", "size_bytes", "mtime_ms").mapInArrow(run, FILES)
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write (rel_path, content) as files under a folder that all tasks can write to; the number of files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
+                for path, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    full = os.path.join(root, path)
+                    os.makedirs(os.path.dirname(full), exist_ok=True)
+                    fresh = f"{full}.{os.getpid()}"
+                    with open(fresh, "wb") as f:
+                        f.write((text or "").encode())
+                    os.replace(fresh, full)  # a task that runs twice leaves one whole file
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], names=["n"])
+
+    return files.select("rel_path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+
+
 def tree(files: DataFrame, depth: int = 4) -> DataFrame:
     """(path, level) of the folders of a tree, down to a depth."""
     parts = F.split("rel_path", "/")

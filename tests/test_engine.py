@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomscan import cli
 from loomscan.functions import globs, text
 from loomscan.operators import detect, extract, graph, history, incremental, lexer, pages, render, state
-from loomscan.plans import calls, corpus, inventory, more, portfolio, rules, scans, sites, stores, streams, surface
+from loomscan.plans import calls, corpus, inventory, more, portfolio, rules, scans, sites, stores, streams, surface, trees
 from loomscan.plans import pages as page_plans
 from loomscan.sources import files as src
 from loomscan.sources import manifests
@@ -17,7 +17,7 @@ from loomscan.streaming import changes, events
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FILES = "rel_path string, ext string, size_bytes long, mtime_ms long, content string"
-assert corpus and inventory and page_plans and scans and surface and sites and more and calls and rules and stores and streams
+assert corpus and inventory and page_plans and scans and surface and sites and more and calls and rules and stores and streams and trees
 
 
 def files(spark, **by_name):
