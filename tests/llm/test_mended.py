@@ -123,3 +123,74 @@ def test_models_are_read_part_by_part_from_a_store(tmp_path, monkeypatch):
     for f in files:
         held.read(str(tmp_path / f[4]))
     assert list(held.parts) == [str(tmp_path / files[-1][4])]
+
+
+# --- 9: which nodes are marked, by the definition and without shortcuts
+
+
+def test_marked_nodes_by_the_definition():
+    import random
+
+    rng = random.Random(9)
+    tags = ["div", "section", "p", "ul", "li", "b", "a", "h2", "article", "main", "blockquote"]
+
+    def markup(depth):
+        name = rng.choice(tags if depth else ["p", "b", "h2"])
+        inner = "".join(markup(depth - 1) if depth and rng.random() < 0.6 else "word " * rng.randrange(0, 30) for _ in range(rng.randrange(1, 4)))
+        return f"<{name}{' href=x' if name == 'a' else ''}>{inner}</{name}>"
+
+    def under(node, live):
+        """The node and all live nodes in it, in page order."""
+        out = []
+        for x in live:
+            up = x
+            while up is not None and up is not node:
+                up = up.parent
+            if up is node:
+                out.append(x)
+        return out
+
+    checked = 0
+    for _ in range(300):
+        nodes, pieces = extract.parse(f"<body>{''.join(markup(4) for _ in range(rng.randrange(1, 4)))}</body>")
+        extract.densities(nodes)
+        live = [x for x in nodes if x.chars and not x.furniture]
+        if not live:
+            continue
+        best = max(live, key=lambda x: x.sum)
+        if not best.sum:
+            continue
+        path, up = [best.density], best
+        while up.parent and up.name != "body":
+            up = up.parent
+            path.append(up.density)
+        threshold = min(path)
+        chosen, inside = [], set()
+        for x in live:  # page order: what is marked further up stands for all in it
+            if x in inside or x.density < threshold or x.name not in extract.BLOCK and x.parent:
+                continue
+            most = max(under(x, live), key=lambda y: y.sum)  # the first of equals
+            most = most.frame or most
+            chosen.append(most)
+            if most is x or x in under(most, live):
+                inside.update(under(x, live))
+        marked = set(chosen)
+        holding = {y for x in marked for y in climb(x)}
+        for x in reversed([x for x in live if x.name in extract.HEADINGS]):  # a heading before a marked block is marked
+            after = [y for y in live if y.parent is x.parent and y.name in extract.BLOCK and live.index(y) > live.index(x)]
+            if after and after[0] in holding:
+                marked.add(x)
+                holding |= set(climb(x))
+        want = {x for x in marked if not any(y in marked for y in climb(x.parent))}
+        got = extract.marked(live, best)
+        assert set(got) == want and [nodes.index(x) for x in got] == sorted(nodes.index(x) for x in got)
+        checked += 1
+    assert checked > 250
+
+
+def climb(node):
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
