@@ -15,7 +15,7 @@ Bounds: pivots are at most CELLS vectors for each vector length (a sample of sma
 result), and the driver holds one row a cell; trees hold SHARD vectors on average, searches BLOCK queries at once.
 
 Results: vectors that are null, or hold null or non-finite components, take no part; vectors are compared with those
-of the same length only; equal scores go to the smaller id; rows that repeat an id are queries and candidates of their
+of the same length only; equal scores go to the smaller id, a missing one comes last; rows that repeat an id are queries and candidates of their
 own, and a query leaves out its own row only; a query with fewer candidates gets all; extra columns are ignored.
 Products must fit 64 bits.
 """
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from loomscan.llm.common import stored
 
 PAGE, SHARD, BLOCK = 256, 8192, 256
+#: Stands for a missing id inside: the last among equal scores.
+NO_ID = (1 << 63) - 1
 #: Vectors a cell on average, until there are CELLS cells.
 CELL, CELLS = 4096, 1024
 
@@ -42,7 +44,7 @@ def integers(df: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFram
     """(vec_id, v): usable vectors, each component floor(scale * x) with x as double."""
     v = F.col(embedding)
     good = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.where(good & F.col(vec_id).isNotNull()).select(F.col(vec_id).alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    return df.where(good).select(F.col(vec_id).alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
 
 
 def augmented(x: np.ndarray, m2: float) -> np.ndarray:
@@ -263,7 +265,7 @@ SCHEMA = pa.schema([("key", pa.int64()), ("dim", pa.int32()), ("v", pa.list_(pa.
 
 def top_k(vectors: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) over (vec_id, v) integer vectors; the rows that `wanted` selects are the queries."""
-    rows = stored(vectors.select("vec_id", "v", F.size("v").alias("dim"), F.coalesce(wanted, F.lit(False)).alias("query"), F.monotonically_increasing_id().alias("row")), "vectors")
+    rows = stored(vectors.select(F.coalesce("vec_id", F.lit(NO_ID)).alias("vec_id"), "v", F.size("v").alias("dim"), F.coalesce(wanted, F.lit(False)).alias("query"), F.monotonically_increasing_id().alias("row")), "vectors")
     of_equal = Window.partitionBy("v").orderBy("vec_id", "row")  # limited before the shuffle
     kept = rows.withColumn("n", F.row_number().over(of_equal)).where(F.col("n") <= k + 1)
     dealt, cells, table = deal(kept.select("row", "vec_id", "dim", "v"), k)
@@ -304,4 +306,6 @@ def top_k(vectors: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
     best = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "row"))).alias("best"))
     own = rows.where("query").select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "v").join(once.select("v", "key"), "v").join(best, "key")
     kept = F.slice(F.filter("best", lambda x: x["row"] != F.col("own")), 1, k)
-    return own.select("query_id", F.posexplode(kept).alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    named = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
+    out = own.select("query_id", F.posexplode(kept).alias("at", "b"))
+    return out.select(named("query_id").alias("query_id"), (F.col("at") + 1).alias("rank"), named("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomscan.llm import decontam, extract, langid, simhash, toxicity
+from loomscan.llm import decontam, extract, langid, mtree, simhash, toxicity
 from loomscan.llm.common import labelled
 
 LONG = "Plain words that go on for a while so that the paragraph is dense enough to be text. " * 3
@@ -194,3 +194,10 @@ def climb(node):
         out.append(node)
         node = node.parent
     return out
+
+
+def test_vectors_without_an_id_are_candidates_and_come_last(spark):
+    rows = [(100, [1.0, 0.0]), (None, [2.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [float("nan"), 0.0])]
+    vectors = mtree.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 4)
+    got = mtree.top_k(vectors, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(100, 1, None, 32), (100, 2, 3, 16), (100, 3, None, 16)]
