@@ -59,3 +59,18 @@ def change_stream(spark, sf):
         part.write.mode("append").parquet(folder)
         digests.run_now(changes.change_stream(arrived(spark, own, folder)), path, checkpoint)
     return spark.read.schema(changes.CHANGE).parquet(path)
+
+
+#: Customers join at the first of the ticks (days 1, 5, 9, 13) that comes after the last digit of their key.
+@query("""WITH c AS (SELECT c_custkey AS app_id, CASE WHEN c_custkey % 10 = 0 THEN 1 WHEN c_custkey % 10 < 5 THEN 5 WHEN c_custkey % 10 < 9 THEN 9 ELSE 13 END AS first FROM customer WHERE c_custkey % 3 <> 0)
+SELECT app_id, first AS day FROM c UNION ALL SELECT app_id, first + 8 FROM c WHERE first + 8 <= 13""")
+def digest_ticks(spark, sf):
+    """Four ticks of the digest: each sends what is due a week after the last one and remembers it for the next."""
+    path, out = stores.scratch(spark, "sent"), stores.scratch(spark, "texts")
+    c = fx.read(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("app_id"), F.col("c_name").alias("name"), F.lit(True).alias("digest_enabled"), F.lit("http://x").alias("webhook"))
+    zero = F.lit(0).cast("long")
+    counts = c.select("app_id", "name", zero.alias("new"), zero.alias("resolved"), zero.alias("active"))
+    for day in (1, 5, 9, 13):
+        send = lambda texts, day=day: texts.select("app_id", F.lit(day).alias("day")).write.mode("append").parquet(out)
+        digests.digest_tick(c.where(F.col("app_id") % 10 < day), counts, path, F.lit(f"2024-01-{day:02} 00:00:00").cast("timestamp"), send)
+    return spark.read.schema("app_id long, day int").parquet(out)
