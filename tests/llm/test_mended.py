@@ -201,3 +201,22 @@ def test_vectors_without_an_id_are_candidates_and_come_last(spark):
     vectors = mtree.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 4)
     got = mtree.top_k(vectors, F.col("vec_id") % 100 == 0).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(100, 1, None, 32), (100, 2, 3, 16), (100, 3, None, 16)]
+
+
+def test_contaminated_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"term{i}" for i in range(12))
+    rows = [(None, f"a {item} b"), (None, f"a {item} b"), (None, "clean words"), (None, "clean words"), (1, f"{item}"), (2, "clean words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in left)) == [(0, ""), (0, "clean words"), (0, "clean words"), (2, "clean words")]
+
+
+def test_captures_without_a_page_id_are_all_responses_among_themselves(spark):
+    from loomscan.llm import warc
+
+    pages = spark.createDataFrame([(None, "http://a/1", "same"), (None, "http://a/2", "same"), (None, "http://b/", None), (4, "http://c/", "other"), (5, "http://d/", "other"), (None, "http://e/", "other")], "page_id long, url string, html string")
+    got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive(pages).collect()), key=str)
+    assert got == sorted([(0, "response", None)] * 3 + [(4, "response", None), (5, "revisit", 4), (0, "revisit", 4)], key=str)
