@@ -6,8 +6,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Folders that a log's apps are dealt to: enough to read one app without the others, few enough to keep files large.
+BUCKETS = 64
+
+
+def bucket(app_id: Column | str = "app_id") -> Column:
+    return F.pmod(F.xxhash64(app_id), F.lit(BUCKETS)).cast("int")
+
+
 def append(snapshots: DataFrame, path: str) -> None:
-    snapshots.hint("rebalance", "app_id").write.mode("append").partitionBy("app_id").parquet(path)
+    """Add snapshots to a log whose folders are buckets of apps; runs do not touch what is there."""
+    snapshots.withColumn("bucket", bucket()).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, schema: str, app_id: int | None = None) -> DataFrame:
+    """The log's snapshots; those of one app come from its bucket alone."""
+    log = spark.read.schema(f"{schema}, bucket int").parquet(path)
+    if app_id is not None:
+        log = log.where((F.col("bucket") == bucket(F.lit(app_id).cast("long"))) & (F.col("app_id") == app_id))
+    return log.drop("bucket")
 
 
 #: Snapshot files: what they hold, and the time in a file's name, whose colons and points are hyphens there.
@@ -19,13 +36,13 @@ NAMED = r"(\d{4}-\d{2}-\d{2})T(\d{2})-(\d{2})-(\d{2})-(\d{3})Z[^/]*\.json$"
 
 
 def write_log(snapshots: DataFrame, path: str) -> None:
-    """Append snapshots (columns of SNAPSHOT) as JSON lines, an app's in a folder of its own."""
-    rows = snapshots.select("app_id", F.to_json(F.struct(*[c for c in snapshots.columns if c != "app_id"])).alias("value"))
-    rows.hint("rebalance", "app_id").write.mode("append").partitionBy("app_id").text(path)
+    """Append snapshots (columns of SNAPSHOT) as JSON lines, in files of a good size."""
+    snapshots.select(F.to_json(F.struct(*snapshots.columns)).alias("value")).hint("rebalance").write.mode("append").text(path)
 
 
 def read_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(snapshots, broken) of a folder of JSON lines, one snapshot a line, folders by app (`app_id=1`).
+    """(snapshots, broken) of a folder of JSON lines, one snapshot a line; a line without an app belongs to that of its folder
+    (`app_id=1`), if it is named so.
 
     The schema is fixed, so nothing is inferred. A snapshot without a time takes the one in its file's name. Lines that are
     no JSON, and snapshots that have no time at all, are kept apart as (app_id, file, line, reason).

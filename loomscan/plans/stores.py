@@ -67,7 +67,7 @@ def graph_edge_order(spark, sf):
 
 #: Every eleventh order is a broken line, every seventh of the rest has no time of its own.
 @query(ctes(fx.SQL_SNAPSHOTS) + """SELECT 'snapshot' AS kind, app_id, count(*) AS n, max(scanned_at) AS last FROM snapshots WHERE scan_id % 11 <> 0 AND scan_id % 7 <> 0 GROUP BY 2
-UNION ALL SELECT CASE WHEN scan_id % 11 = 0 THEN 'no JSON' ELSE 'no time' END, app_id, count(*), NULL FROM snapshots WHERE scan_id % 11 = 0 OR scan_id % 7 = 0 GROUP BY 1, 2""")
+UNION ALL SELECT CASE WHEN scan_id % 11 = 0 THEN 'no JSON' ELSE 'no time' END, CASE WHEN scan_id % 11 <> 0 THEN app_id END, count(*), NULL FROM snapshots WHERE scan_id % 11 = 0 OR scan_id % 7 = 0 GROUP BY 1, 2""")
 def snapshot_log(spark, sf):
     """Snapshots through a log of JSON lines in which some are broken and some have no time: what comes back, and what is
     kept apart."""
@@ -78,7 +78,7 @@ def snapshot_log(spark, sf):
         F.struct(F.lit(1).cast("long").alias("files"), F.col("scan_id").alias("issues"), F.lit(0).cast("long").alias("routes"), F.lit(0).cast("long").alias("models")).alias("stats"), F.array(issue).alias("issues"),
     )
     history.write_log(rows.where("scan_id % 11 <> 0"), path)
-    rows.where("scan_id % 11 = 0").select("app_id", F.concat(F.lit('{"scan_id": '), F.col("scan_id").cast("string"), F.lit(', "stats": {')).alias("value")).write.mode("append").partitionBy("app_id").text(path)
+    rows.where("scan_id % 11 = 0").select(F.concat(F.lit('{"scan_id": '), F.col("scan_id").cast("string"), F.lit(', "stats": {')).alias("value")).write.mode("append").text(path)
     good, bad = history.read_log(spark, path)
     counted = good.groupBy("app_id").agg(F.count(F.lit(1)).alias("n"), F.max("scanned_at").cast("timestamp_ntz").alias("last")).withColumn("kind", F.lit("snapshot"))
     apart = bad.groupBy(F.col("reason").alias("kind"), "app_id").agg(F.count(F.lit(1)).alias("n")).withColumn("last", F.lit(None).cast("timestamp_ntz"))
@@ -127,13 +127,13 @@ def onboarding_checklist(spark, sf):
     return state.checklist(apps, manual, fx.triage(spark, sf), a.where("app_id % 50 < 7"), a.where("app_id % 11 = 0"))
 
 
-@query(ctes(fx.SQL_SNAPSHOTS, fx.SQL_APPS) + f""", l AS (SELECT app_id, max(scanned_at) AS seen, sum((duration_ms * 10)::bigint) AS ms FROM snapshots GROUP BY 1),
+@query(ctes(fx.SQL_SNAPSHOTS, fx.SQL_APPS) + f""", l AS (SELECT app_id, max(scanned_at) AS seen, sum(floor(duration_ms * 10)::bigint) AS ms FROM snapshots GROUP BY 1),
 d AS (SELECT app_id, ms, date_diff('second', TIMESTAMP '{fx.NOW}', seen + to_minutes(schedule_minutes)) / 3600.0 AS h FROM l JOIN apps USING (app_id) WHERE schedule_minutes > 0)
 SELECT app_id, CASE WHEN h < -1 THEN floor(0.5 - h)::bigint || 'h overdue' WHEN h < 0 THEN 'due now' WHEN h < 1 THEN 'due within the hour' WHEN h < 24 THEN 'due in ' || floor(h + 0.5)::bigint || 'h' ELSE 'due in ' || floor(h / 24 + 0.5)::bigint || 'd' END AS due,
   CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN (ms + 50) // 1000 || '.' || ((ms + 50) // 100) % 10 || 's' ELSE ms // 60000 || 'm ' || (ms % 60000 + 500) // 1000 || 's' END AS took FROM d""")
 def due_texts(spark, sf):
     """When each app's next scan is due, and how long its scans took together, in words."""
-    last = fx.snapshots(spark, sf).groupBy("app_id").agg(F.max("scanned_at").alias("at"), F.sum(F.round(F.col("duration_ms") * 10).cast("long")).alias("ms"))
+    last = fx.snapshots(spark, sf).groupBy("app_id").agg(F.max("scanned_at").alias("at"), F.sum(F.floor(F.col("duration_ms") * 10)).alias("ms"))
     own = last.join(fx.apps(spark, sf).where("schedule_minutes > 0").select("app_id", "schedule_minutes"), "app_id")
     due = F.col("at") + F.make_interval(mins=F.col("schedule_minutes"))
     return own.select("app_id", text.due_text(due, pf.now()).alias("due"), text.duration_text(F.col("ms")).alias("took"))

@@ -72,7 +72,7 @@ def snapshot_append(spark, sf):
     own, path = fx.snapshots(spark, sf), stores.scratch(spark, "snapshots")
     for i in range(3):
         history.append(own.where(F.col("scan_id") % 3 == i), path)
-    log = spark.read.schema("scan_id long, scanned_at timestamp_ntz, duration_ms double, app_id long").parquet(path)
+    log = history.read_snapshots(spark, path, "scan_id long, app_id long, scanned_at timestamp_ntz, duration_ms double")
     n = log.groupBy("app_id").agg(F.count(F.lit(1)).alias("n"))
     return history.latest(log).join(n, "app_id").select("app_id", "n", F.col("scanned_at").alias("last"), "scan_id")
 

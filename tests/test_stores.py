@@ -93,3 +93,12 @@ def test_edges_come_in_the_order_of_their_first_import(spark):
     f = spark.createDataFrame([("src/a.js",), ("src/b.js",), ("src/c.ts",)], "rel_path string")
     i = spark.createDataFrame([("src/a.js", "./c", 5), ("src/a.js", "./b.js", 9), ("src/a.js", "./b", 2), ("src/a.js", "./a", 1)], "from_path string, spec string, ord int")
     assert rows(graph.edges(i, f), "from_path", "to_path", "ord") == [("src/a.js", "src/b.js", 2), ("src/a.js", "src/c.ts", 5)]
+
+
+def test_one_app_of_a_log_is_read_from_its_bucket(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "scan_id long, app_id long"
+    for i in range(2):
+        history.append(spark.range(100).select((F.col("id") + 100 * i).alias("scan_id"), (F.col("id") % 10).alias("app_id")), path)
+    own = history.read_snapshots(spark, path, schema, 3)
+    assert own.count() == 20 and set(own.columns) == {"scan_id", "app_id"} and history.read_snapshots(spark, path, schema).count() == 200
+    assert "PartitionFilters: [isnotnull(bucket" in own._jdf.queryExecution().toString()
