@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomscan.operators import extract, graph, lexer, metrics
-from loomscan.plans.sources import Tree, lines, matches, register
+from loomscan.plans.sources import Tree, lines, register
 from loomscan.sources import files as src
 from loomscan.sources import manifests
 
