@@ -220,3 +220,14 @@ def test_captures_without_a_page_id_are_all_responses_among_themselves(spark):
     pages = spark.createDataFrame([(None, "http://a/1", "same"), (None, "http://a/2", "same"), (None, "http://b/", None), (4, "http://c/", "other"), (5, "http://d/", "other"), (None, "http://e/", "other")], "page_id long, url string, html string")
     got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.archive(pages).collect()), key=str)
     assert got == sorted([(0, "response", None)] * 3 + [(4, "response", None), (5, "revisit", 4), (0, "revisit", 4)], key=str)
+
+
+def test_every_clause_is_found_and_tells_its_licence(spark):
+    from loomscan.llm import licenses
+
+    clauses = [t for t in licenses.templates() if not t["base"]]
+    texts = ["some words before " + " ".join(t["words"]) + " and some after" for t in clauses] + ["plain words about rights and copies of the works that people write"] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert len(clauses) > 50 and all(t["label"] in got[i]["labels"] for i, t in enumerate(clauses))
+    assert all(got[i]["labels"] == [] for i in range(len(clauses), len(texts)))
