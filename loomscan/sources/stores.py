@@ -17,6 +17,10 @@ def hadoop(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+#: Scratch folders that this session made.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or where it is unset, as in tests,
     a local one; a cluster must name one."""
@@ -29,7 +33,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not root:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomscan-"))
             root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this session; results that are still lazy need them."""
+    while _made:
+        store, p = hadoop(spark, _made.pop())
+        store.delete(p, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -102,3 +102,12 @@ def test_one_app_of_a_log_is_read_from_its_bucket(spark, tmp_path):
     own = history.read_snapshots(spark, path, schema, 3)
     assert own.count() == 20 and set(own.columns) == {"scan_id", "app_id"} and history.read_snapshots(spark, path, schema).count() == 200
     assert "PartitionFilters: [isnotnull(bucket" in own._jdf.queryExecution().toString()
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    held = stores.cut(spark.range(3), "held")
+    assert held.count() == 3
+    path = held.inputFiles()[0].rsplit("/", 1)[0]
+    stores.drop_scratch(spark)
+    store, p = stores.hadoop(spark, path)
+    assert not store.exists(p) and not stores._made
