@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomscan.operators import extract, graph, lexer, metrics
+from loomscan.functions.joins import sorted_side
+from loomscan.operators import extract, graph, metrics
 from loomscan.plans.sources import Tree
 from loomscan.plans.surface import IMPORTS, MEANT, over
 from loomscan.sources import stores
@@ -42,11 +43,11 @@ def bound(f: DataFrame) -> DataFrame:
     """(rel_path, local, to_path): names bound to files of the tree."""
     b = extract.bindings(f)
     files = graph.resolved_imports(b.select(F.col("rel_path").alias("from_path"), "spec"), f)
-    return b.join(files.withColumnRenamed("from_path", "rel_path"), ["rel_path", "spec"]).select("rel_path", "local", "to_path").distinct()
+    return b.join(sorted_side(files.withColumnRenamed("from_path", "rel_path")), ["rel_path", "spec"]).select("rel_path", "local", "to_path").distinct()
 
 
 def kinds(f: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    blocks = metrics.blocks(lexer.masked(f)) if blocks is None else blocks
+    blocks = metrics.blocks_of(f) if blocks is None else blocks
     functions = blocks.where("kind = 'function' and name <> '(anonymous)'").select("rel_path", "name", "line")
     return metrics.classified(metrics.whole_calls(blocks), functions, bound(f))
 
@@ -74,7 +75,7 @@ over(
     "import_bindings", lambda f: bound(f).orderBy("rel_path", "local"), "SELECT DISTINCT rel_path, local, to_path FROM bound", APP, IMPORTS, MEANT, BOUND,
 )
 over(
-    "route_functions", lambda f: extract.route_calls(extract.routes(f), metrics.blocks(lexer.masked(f)), bound(f)).select("rel_path", "method", "path", "name", "line", F.trim("body").alias("body")),
+    "route_functions", lambda f: extract.route_calls(extract.routes(f), metrics.blocks_of(f), bound(f)).select("rel_path", "method", "path", "name", "line", F.trim("body").alias("body")),
     r"""SELECT r.rel_path, upper(verb) AS method, path, CASE WHEN handler LIKE '(%' THEN '(anonymous)' ELSE f.name END AS name, f.line, trim(replace(f.body, '''/x''', '    ')) AS body
 FROM (SELECT rel_path, line, regexp_extract(x, '^app[.]([a-z]+)', 1) AS verb, regexp_extract(x, '''([^'']+)''', 1) AS path, CASE WHEN contains(x, '=>') THEN '(' || regexp_extract(x, '=> [{]([^}]*)', 1) ELSE regexp_extract(x, '([a-z]+)[)];', 1) END AS handler
   FROM (SELECT rel_path, line, unnest(regexp_extract_all(l, 'app[.][a-z]+[(]''[^'']+''.*?[)];(?: *$| (?:[}][)]; ?|app|res[^}]*[}][)];))')) AS x FROM l WHERE regexp_matches(l, '^app[.]'))) r
@@ -84,14 +85,14 @@ JOIN fn f ON (f.rel_path = r.rel_path OR handler = 'show' AND f.rel_path = repla
 
 def route_edges(f: DataFrame) -> DataFrame:
     """(src, dst, ord) from routes to what their handlers call, and from functions to what they call."""
-    blocks = stores.cut(metrics.blocks(lexer.masked(f)), "blocks")  # each is asked for more than once
+    blocks = stores.cut(metrics.blocks_of(f), "blocks")  # each is asked for more than once
     k = stores.cut(kinds(f, blocks), "calls")
     node = F.coalesce(F.concat("to_path", F.lit("#"), F.coalesce("target", F.lit("?"))), F.concat(F.lit("external: "), F.col("target")))
     calls = k.select(F.concat("rel_path", F.lit("#"), "caller").alias("src"), node.alias("dst"), "ord").where(~F.col("src").endswith("(anonymous)"))
     handlers = extract.route_calls(extract.routes(f), blocks, bound(f)).where("name <> '(anonymous)'")
     entries = handlers.select(F.concat_ws(" ", "rel_path", "method", "path").alias("src"), "name")
     named = extract.routes(f).select(F.concat_ws(" ", "rel_path", "method", "path").alias("src"), "rel_path").distinct()
-    first = entries.join(named, "src").join(k.select("rel_path", F.col("caller").alias("name"), node.alias("dst"), "ord"), ["rel_path", "name"])
+    first = entries.join(sorted_side(named), "src").join(sorted_side(k.select("rel_path", F.col("caller").alias("name"), node.alias("dst"), "ord")), ["rel_path", "name"])
     return calls.unionByName(first.select("src", "dst", "ord"))
 
 

@@ -115,7 +115,7 @@ def rule(name: str, id_: str, pattern: str, keep: str = "true", text: str = "con
 
     def make(spark: SparkSession, sf: str) -> DataFrame:
         own = TREE.files(spark, sf)
-        found = detect.raw_findings(own, [r]) if raw else detect.code_findings(lexer.masked(own)).where((F.col("category") == r.category) & (F.col("severity") == r.severity))
+        found = detect.raw_findings(own, [r]) if raw else detect.code_findings(lexer.masked(own), [r.category]).where((F.col("category") == r.category) & (F.col("severity") == r.severity))
         return found.select(*SHOWN)
 
     sql = f"WITH {TREE.sql()} SELECT rel_path AS file, line, {quoted(r.category)} AS category, {quoted(r.severity)} AS severity FROM ({matches(pattern, text)}) WHERE {keep}"
@@ -152,7 +152,7 @@ rule(
 
 
 def code_category(name: str, category: str, sql: str) -> None:
-    register(name, lambda spark, sf: detect.code_findings(lexer.masked(TREE.files(spark, sf))).where(F.col("category") == category).select(*SHOWN), sql, f"{category}.")
+    register(name, lambda spark, sf: detect.code_findings(lexer.masked(TREE.files(spark, sf)), [category]).select(*SHOWN), sql, f"{category}.")
 
 
 code_category(
@@ -188,7 +188,7 @@ SELECT rel_path AS file, line, 'Possible High-Entropy Secret' AS category, 'Medi
 
 def shape(name: str, category: str, sql: str) -> None:
     def make(spark: SparkSession, sf: str) -> DataFrame:
-        found = metrics.findings(metrics.blocks(lexer.masked(TREE.files(spark, sf))))
+        found = metrics.findings(metrics.blocks_of(TREE.files(spark, sf)))
         return found.where(F.col("category") == category).select("file", "line", "severity")
 
     register(name, make, f"WITH {TREE.sql()}, l AS ({lines()}) " + sql, f"{category}.")

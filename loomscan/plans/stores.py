@@ -53,7 +53,7 @@ def budgeted_trace(spark, sf):
 
 
 def placed_imports(f: DataFrame) -> DataFrame:
-    return extract.components(f).where("kind = 'import'").select(F.col("rel_path").alias("from_path"), F.col("name").alias("spec"), F.col("line").alias("ord"))
+    return extract.components(f, ["import"]).select(F.col("rel_path").alias("from_path"), F.col("name").alias("spec"), F.col("line").alias("ord"))
 
 
 @query(f"""WITH {surface.PROJECT.sql()}, l AS ({lines()}), {surface.IMPORTS}, {surface.MEANT}
