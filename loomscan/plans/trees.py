@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from loomscan.operators import detect, graph, history, lexer, metrics
+from loomscan.operators import detect, graph, history, metrics
 from loomscan.plans import calls, surface
 from loomscan.plans import sites as site_plans
 from loomscan.plans.portfolio import ctes, query
@@ -62,7 +62,8 @@ def bounded_read(spark, sf):
 def markdown_pages(spark, sf):
     """Pages of wikis, written as files and read as Markdown."""
     root = folder(spark, "wiki")
-    src.write_files(site_plans.wiki(spark, sf).select(F.concat(F.lit("app"), F.col("app_id").cast("string"), F.lit("/"), "path").alias("rel_path"), "content"), root)
+    shelf = F.floor(F.col("app_id") / 500).cast("string")  # no folder has more apps than one task lists at ease
+    src.write_files(site_plans.wiki(spark, sf).select(F.concat(shelf, F.lit("/app"), F.col("app_id").cast("string"), F.lit("/"), "path").alias("rel_path"), "content"), root)
     return src.markdown(spark, root).select(F.regexp_extract("path", r"/(app\d+/.*)$", 1).alias("path"), "content")
 
 
@@ -100,4 +101,4 @@ def dead_code_findings(spark, sf):
 @query(f"WITH {calls.APP.sql()}, l AS ({lines()}) SELECT rel_path, 'Store.' || regexp_extract(l, '^  ([a-z]+)[(]', 1) AS name, line FROM l WHERE rel_path LIKE '%audit.js' AND regexp_matches(l, '^  [a-z]+[(]')")
 def class_methods(spark, sf):
     """Methods of classes, named with them."""
-    return metrics.blocks(lexer.masked(calls.APP.files(spark, sf))).where("kind = 'function' and name like '%.%'").select("rel_path", "name", "line")
+    return metrics.blocks_of(calls.APP.files(spark, sf)).where("kind = 'function' and name like '%.%'").select("rel_path", "name", "line")
