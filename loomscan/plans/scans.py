@@ -108,6 +108,11 @@ HIDDEN = r"""regexp_replace(content, '"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''
 SHOWN = ["file", "line", "category", "severity"]
 
 
+def live(files: DataFrame, category: str) -> DataFrame:
+    """Findings of a category on live code; files that cannot have any are read, but not lexed."""
+    return detect.code_findings(lexer.masked(files.where(detect.may_have(category))), [category])
+
+
 def rule(name: str, id_: str, pattern: str, keep: str = "true", text: str = "content") -> None:
     """A rule of the detectors, and its twin."""
     r = next(x for x in detect.RAW_RULES + detect.CODE_RULES if x.id == id_)
@@ -115,7 +120,7 @@ def rule(name: str, id_: str, pattern: str, keep: str = "true", text: str = "con
 
     def make(spark: SparkSession, sf: str) -> DataFrame:
         own = TREE.files(spark, sf)
-        found = detect.raw_findings(own, [r]) if raw else detect.code_findings(lexer.masked(own), [r.category]).where((F.col("category") == r.category) & (F.col("severity") == r.severity))
+        found = detect.raw_findings(own, [r]) if raw else live(own, r.category).where((F.col("category") == r.category) & (F.col("severity") == r.severity))
         return found.select(*SHOWN)
 
     sql = f"WITH {TREE.sql()} SELECT rel_path AS file, line, {quoted(r.category)} AS category, {quoted(r.severity)} AS severity FROM ({matches(pattern, text)}) WHERE {keep}"
@@ -152,7 +157,7 @@ rule(
 
 
 def code_category(name: str, category: str, sql: str) -> None:
-    register(name, lambda spark, sf: detect.code_findings(lexer.masked(TREE.files(spark, sf)), [category]).select(*SHOWN), sql, f"{category}.")
+    register(name, lambda spark, sf: live(TREE.files(spark, sf), category).select(*SHOWN), sql, f"{category}.")
 
 
 code_category(
@@ -174,7 +179,7 @@ code_category(
 
 LITERAL = r"""["']([^"'\n]*)["']"""
 register(
-    "scan_entropy", lambda spark, sf: detect.entropy_findings(lexer.masked(TREE.files(spark, sf))).select(*SHOWN),
+    "scan_entropy", lambda spark, sf: detect.entropy_findings(lexer.masked(TREE.files(spark, sf).where(F.col("content").rlike(detect.LITERAL)))).select(*SHOWN),
     f"""WITH {TREE.sql()}, s AS (SELECT rel_path, line, m[2:-2] AS v FROM ({matches(LITERAL, "regexp_replace(content, '//[^" + chr(92) + "n]*', ' ', 'g')", "rel_path LIKE '%/strings.ts'")})),
 keyed AS (SELECT rel_path, line FROM ({matches(CREDENTIAL, where="rel_path LIKE '%/strings.ts'")})),
 c AS (SELECT DISTINCT rel_path, line, v FROM s WHERE len(v) BETWEEN 20 AND 200 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT regexp_matches(v, '\\s|^(https?://|/|\\./|\\.\\./)')
@@ -188,8 +193,7 @@ SELECT rel_path AS file, line, 'Possible High-Entropy Secret' AS category, 'Medi
 
 def shape(name: str, category: str, sql: str) -> None:
     def make(spark: SparkSession, sf: str) -> DataFrame:
-        found = metrics.findings(metrics.blocks_of(TREE.files(spark, sf)))
-        return found.where(F.col("category") == category).select("file", "line", "severity")
+        return metrics.findings_of(TREE.files(spark, sf), category).select("file", "line", "severity")
 
     register(name, make, f"WITH {TREE.sql()}, l AS ({lines()}) " + sql, f"{category}.")
 
