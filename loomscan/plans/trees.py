@@ -101,4 +101,4 @@ def dead_code_findings(spark, sf):
 @query(f"WITH {calls.APP.sql()}, l AS ({lines()}) SELECT rel_path, 'Store.' || regexp_extract(l, '^  ([a-z]+)[(]', 1) AS name, line FROM l WHERE rel_path LIKE '%audit.js' AND regexp_matches(l, '^  [a-z]+[(]')")
 def class_methods(spark, sf):
     """Methods of classes, named with them."""
-    return metrics.blocks_of(calls.APP.files(spark, sf)).where("kind = 'function' and name like '%.%'").select("rel_path", "name", "line")
+    return metrics.methods(calls.APP.files(spark, sf))
