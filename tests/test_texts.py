@@ -1,0 +1,52 @@
+"""Texts of files and lines of matches: the cheap way gives what the plain one gives."""
+
+import os
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomscan.functions.text import matches_with_lines
+from loomscan.operators import extract
+from loomscan.plans import calls, portfolio, scans, sites, sources, surface
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+TREES = {"scans": scans.TREE, "project": surface.PROJECT, "root": surface.ROOT, "lexed": surface.LEXED, "app": calls.APP, "wiki": sites.WIKI}
+#: Values that hold marks, make one with what follows, or are null.
+PARTS = [(1, "green §b §k", "Brand#1", "SMALL TIN", 2), (2, "red §", "§n", "§", 3), (3, None, "Brand#2", "LARGE", 4), (4, "pale blue", "Brand§", "ECONOMY §w", 30), (5, "§", "§", "§§", 45), (6, "a b", "c", "D", 6)]
+
+
+def replaced(tree, column):
+    return F.expr(tree.filled(column))
+
+
+def expected(tree, parts):
+    one = [F.struct(F.lit(p).alias("path"), F.lit(sources.extension(p)).alias("ext"), F.lit(t).alias("text")) for p, t in tree.templates.items()]
+    return sorted(str((r[0], r[1], r[2], r[3])) for r in parts.select("*", F.inline(F.array(*one))).select("p_partkey", replaced(tree, "path"), "ext", replaced(tree, "text")).collect())
+
+
+@pytest.mark.parametrize("name", list(TREES))
+def test_texts_are_those_of_marks_replaced_in_turn(spark, monkeypatch, tmp_path, name):
+    tree, path = TREES[name], str(tmp_path)
+    spark.createDataFrame(PARTS, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{path}/part.parquet")
+    for sf in (SF, path):
+        made = sorted(str((r[0], r[1], r[2], r[3])) for r in tree.files(spark, sf).select("app_id", "rel_path", "ext", "content").collect())
+        assert made == expected(tree, spark.read.parquet(f"{sf}/part.parquet"))
+
+
+@pytest.mark.parametrize("name", ["extract_js_exports", "extract_js_imports", "scan_sql_injection", "scan_forge_tokens", "scan_unpaged_loops", "scan_cloud_keys", "scan_command_injection", "scan_connection_strings"])
+def test_a_pattern_passes_once_over_a_text(spark, name):
+    plan = portfolio.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    patterns = 1 + sum(c[0] == "import" and c[1] == [".py"] for c in extract.COMPONENTS) * (name == "extract_js_imports")
+    assert plan.count("regexp_replace(") == patterns and "regexp_extract_all(" not in plan  # matches and lines come from one pass
+
+
+def test_matches_and_lines_of_odd_texts(spark):
+    texts = ["", "a", "\n", "a\na\n\na", "ba\x01a\nab", "aa\nb\n\x01\x01a", "é😀a\r\na", "x" * 9 + "\na" * 3000, "no", None]
+    for pattern in ("a", "a?", r"a\s*", r"(?m)^a|b$", "\n", r"[^b]+", "zz"):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", "t", matches_with_lines(F.col("t"), pattern).alias("m")).collect()
+        for r in rows:
+            plain = (r["t"] or "").replace("\x01", " ")
+            found = [] if r["t"] is None else [(m.group(), plain.count("\n", 0, m.start()) + 1) for m in re.finditer(pattern, plain)]
+            if pattern != "a?":  # the engines do not agree on empty matches after others
+                assert [(x["match"], x["line"]) for x in r["m"]] == found, (pattern, r["t"][:20])
