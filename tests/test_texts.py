@@ -50,3 +50,10 @@ def test_matches_and_lines_of_odd_texts(spark):
             found = [] if r["t"] is None else [(m.group(), plain.count("\n", 0, m.start()) + 1) for m in re.finditer(pattern, plain)]
             if pattern != "a?":  # the engines do not agree on empty matches after others
                 assert [(x["match"], x["line"]) for x in r["m"]] == found, (pattern, r["t"][:20])
+
+
+def test_imports_by_each_word(spark):
+    text = "import a from 'a';\nimport 'b'; require( 'c'); import( \"d\");\nexport * from\n'e'; const f = import('f'); perfrom 'g'; requires('h'); FROM 'i'"
+    files = spark.createDataFrame([("a.js", ".js", text)], "rel_path string, ext string, content string")
+    found = [(r["name"], r["line"]) for r in extract.components(files, ["import"]).orderBy("line", "name").collect()]
+    assert found == [("a", 1), ("b", 2), ("c", 2), ("d", 2), ("e", 3), ("f", 4), ("g", 4)]
