@@ -65,7 +65,7 @@ def test_what_a_rule_needs_is_in_every_match(spark):
         whole = r._replace(needs=())
         told = [sorted(map(str, detect.raw_findings(files, [x]).collect())) for x in (r, whole)]
         assert told[0] and told[0] == told[1], r.id
-    assert {r.id for r in detect.RAW_RULES + detect.CODE_RULES if r.needs} == set("D2 D3 D4 D5 D8 D9 D10 D11 D12 D13 D17 D22".split())
+    assert {r.id for r in detect.RAW_RULES + detect.CODE_RULES if r.needs} == set("D2 D3 D4 D5 D6 D8 D9 D10 D11 D12 D13 D17 D22".split())
 
 
 def test_imports_by_each_word(spark):
