@@ -32,6 +32,12 @@ def test_bodies_are_parsed_no_oftener_than_needed(spark, name, passes):
     assert plan.count("MapInArrow") == 2 * passes  # the lexer's pass and that of the bodies
 
 
+@pytest.mark.parametrize("name, passes", [("call_resolution", 1), ("entry_trace", 0), ("route_functions", 0), ("route_traces", 0)])
+def test_files_are_parsed_once(spark, name, passes):
+    plan = portfolio.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == passes
+
+
 def test_fewer_kinds_are_the_same_rows(spark):
     f, told = surface.PROJECT.files(spark, SF), lambda df: sorted(map(str, df.collect()))
     for kind in ("class", "import", "export", "function"):
