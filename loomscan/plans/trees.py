@@ -60,10 +60,9 @@ def bounded_read(spark, sf):
 
 @query(f"WITH {site_plans.WIKI.sql(where=site_plans.KEEP)} SELECT 'app' || app_id || '/' || rel_path AS path, content FROM code")
 def markdown_pages(spark, sf):
-    """Pages of wikis, written as files and read as Markdown."""
+    """Pages of wikis, written by tasks into archives of files and read as Markdown."""
     root = folder(spark, "wiki")
-    shelf = F.floor(F.col("app_id") / 500).cast("string")  # no folder has more apps than one task lists at ease
-    src.write_files(site_plans.wiki(spark, sf).select(F.concat(shelf, F.lit("/app"), F.col("app_id").cast("string"), F.lit("/"), "path").alias("rel_path"), "content"), root)
+    src.write_archives(site_plans.wiki(spark, sf).select(F.concat(F.lit("app"), F.col("app_id").cast("string"), F.lit("/"), "path").alias("rel_path"), "content"), root)
     return src.markdown(spark, root).select(F.regexp_extract("path", r"/(app\d+/.*)$", 1).alias("path"), "content")
 
 

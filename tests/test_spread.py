@@ -65,3 +65,11 @@ def test_tasks_list_and_read_pages(spark, tmp_path):
     pages = src.markdown(spark, str(tmp_path))
     assert sorted(map(tuple, pages.collect())) == sorted((f"{tmp_path}/{p}", f"# {p}\n") for p in ("a.md", "x/b.md", "x/y z/c.md"))
     assert "FileScan" not in pages._jdf.queryExecution().executedPlan().toString()  # its index would be the driver's
+
+
+def test_pages_of_archives_are_read_as_if_unpacked(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(src, "ARCHIVED", 3)
+    pages = [(f"app{i}/x/p{i}.md", f"é {i}") for i in range(8)] + [("app9/empty.md", None), ("app9/_no.md", "x"), ("app9/no.txt", "x"), (".git/no.md", "x")]
+    assert src.write_archives(spark.createDataFrame(pages, "rel_path string, content string").coalesce(1), str(tmp_path)) == 12
+    assert len(list(tmp_path.iterdir())) == 4  # files on disk do not grow with the pages
+    assert sorted(map(tuple, src.markdown(spark, str(tmp_path)).collect())) == sorted((f"{tmp_path}/{p}", t or "") for p, t in pages[:9])
