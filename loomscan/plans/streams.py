@@ -48,7 +48,9 @@ def change_stream(spark, sf):
     """The change feed of a stream of snapshots, fed in order by four runs that restart at one checkpoint, then late ones, then
     nothing: equal to comparing neighbours in a batch."""
     folder, path, checkpoint = (stores.scratch(spark, n) for n in ("scans", "changes", "progress"))
-    found = fx.issues(spark, sf).groupBy("scan_id").agg(F.collect_list(F.concat("category", F.col("line").cast("string"))).alias("fingerprints"))
+    line, part = fx.read(spark, sf, "lineitem"), fx.read(spark, sf, "part")  # findings without their apps, which snapshots know
+    said = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("scan_id"), F.concat("p_type", F.col("l_linenumber").cast("string")).alias("fingerprint"))
+    found = said.groupBy("scan_id").agg(F.collect_list("fingerprint").alias("fingerprints"))
     newest = F.max(F.when(F.col("scan_id") % 97 != 5, F.col("scanned_at"))).over(Window.partitionBy("app_id"))
     late = F.coalesce((F.col("scan_id") % 97 == 5) & (F.col("scanned_at") < newest), F.lit(False))
     scans = fx.snapshots(spark, sf).withColumn("late", late).join(found, "scan_id", "left").select("app_id", "scan_id", F.col("scanned_at").cast("timestamp").alias("scanned_at"), "fingerprints", "late")

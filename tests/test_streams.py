@@ -1,11 +1,12 @@
 """Digests by timers, ticks that remember, and schedules that fall due, as running queries."""
 
+import inspect
 import time
 
 from pyspark.sql import functions as F
 
 from loomscan.sources import stores
-from loomscan.streaming import digests
+from loomscan.streaming import changes, digests
 
 EVENT = "app_id long, ts string, every_days int"
 
@@ -62,3 +63,22 @@ def test_a_tick_hands_on_the_apps_that_are_due(spark, tmp_path):
     finally:
         query.stop()
     assert seen[:2] == [[1], []]
+
+
+def test_apps_of_a_bucket_share_one_row_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "BUCKETS", 3, raising=False)
+    folder, big = str(tmp_path / "scans"), (1 << 60) + 1
+    for day in (1, 3, 2):
+        rows = [(a, day, f"2024-01-0{day} 00:00:00", ["kept", f"of {day}"]) for a in [*range(40), big, None]]
+        made = spark.createDataFrame(rows, "app_id long, scan_id long, t string, fingerprints array<string>").selectExpr("app_id", "scan_id", "cast(t as timestamp) scanned_at", "fingerprints")
+        made.coalesce(1).write.mode("append").parquet(folder)
+    stream = changes.change_stream(spark.readStream.schema(made.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = stream.writeStream.format("memory").queryName("bucketed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+    want = [(a, d, *told) for a in [*range(40), big, None] for d, told in ((1, (0, 0, False)), (2, (0, 0, True)), (3, (1, 1, False)))]
+    assert sorted(map(tuple, spark.table("bucketed").collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_run_may_take_as_long_as_it_needs():
+    assert inspect.signature(digests.run_now).parameters["timeout"].default is None
