@@ -12,7 +12,7 @@ Of equal vectors only the k + 1 rows of smallest id can be among anyone's k best
 and equal queries are searched once: copies of a vector cost no more than one.
 
 Bounds: pivots are at most CELLS vectors for each vector length (a sample of smallest hashes, which shapes the index and no
-result), and the driver holds one row a cell; trees hold SHARD vectors on average, searches BLOCK queries at once.
+result), and the driver holds one row a cell; queries and trees meet by sorted joins, never through the driver; trees hold SHARD vectors on average, searches BLOCK queries at once.
 
 Results: vectors that are null, or hold null or non-finite components, take no part; vectors are compared with those
 of the same length only; equal scores go to the smaller id, a missing one comes last; rows that repeat an id are queries and candidates of their
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomscan.functions.joins import sorted_side
 from loomscan.llm.common import stored
 
 PAGE, SHARD, BLOCK = 256, 8192, 256
@@ -196,7 +197,9 @@ def deal(rows: DataFrame, k: int) -> tuple[DataFrame, Cells, DataFrame]:
     pivots = {}
     for f in facts:
         wanted = int(min(CELLS, -(-f["n"] // CELL)))
-        sample = rows.where(F.col("dim") == f["dim"]).select("v", F.xxhash64("v", "row").alias("h")).orderBy("h").limit(wanted).collect()
+        low = -(1 << 63) + min((1 << 64) - 1, (2 * wanted + 64 << 64) // f["n"])  # about twice as many are under it: tasks send no more, however many they are
+        hashed = rows.where(F.col("dim") == f["dim"]).select("v", F.xxhash64("v", "row").alias("h")).where(F.col("h") <= low)
+        sample = hashed.orderBy("h").limit(wanted).collect()
         pivots[f["dim"]] = np.unique(np.array([r["v"] or [0] for r in sample], np.int64), axis=0)
     cells = Cells({f["dim"]: f["m2"] for f in facts}, pivots)
     shared = spark.sparkContext.broadcast(cells)
@@ -243,7 +246,7 @@ def searched(sent: DataFrame, trees: DataFrame, k: int) -> DataFrame:
     load = sent.groupBy("dim", "cell", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("block")
     packed = sent.join(load, ["dim", "cell", "part"]).groupBy("dim", "cell", "part", block).agg(F.collect_list(F.struct("key", "v", "floor")).alias("queries"))
-    pairs = packed.join(trees, ["dim", "cell", "part"]).select("dim", "cell", "part", "queries", F.transform("pages", lambda p: p["body"]).alias("pages"))
+    pairs = packed.join(sorted_side(trees), ["dim", "cell", "part"]).select("dim", "cell", "part", "queries", F.transform("pages", lambda p: p["body"]).alias("pages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,7 +307,7 @@ def top_k(vectors: DataFrame, wanted: Column, k: int = 10) -> DataFrame:
     order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id", "row")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     best = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "row"))).alias("best"))
-    own = rows.where("query").select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "v").join(once.select("v", "key"), "v").join(best, "key")
+    own = rows.where("query").select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "v").join(sorted_side(once.select("v", "key")), "v").join(sorted_side(best), "key")
     kept = F.slice(F.filter("best", lambda x: x["row"] != F.col("own")), 1, k)
     named = lambda c: F.nullif(F.col(c), F.lit(NO_ID))
     out = own.select("query_id", F.posexplode(kept).alias("at", "b"))

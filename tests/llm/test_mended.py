@@ -231,3 +231,21 @@ def test_every_clause_is_found_and_tells_its_licence(spark):
     got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
     assert len(clauses) > 50 and all(t["label"] in got[i]["labels"] for i, t in enumerate(clauses))
     assert all(got[i]["labels"] == [] for i in range(len(clauses), len(texts)))
+
+
+def test_neither_queries_nor_trees_pass_through_the_driver(spark, monkeypatch):
+    plans, own = [], mtree.stored
+    monkeypatch.setattr(mtree, "stored", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or own(df, name))
+    monkeypatch.setattr(mtree, "CELL", 20)
+    rng = np.random.default_rng(1)
+    x = rng.integers(-50, 50, (300, 4))
+    found = mtree.top_k(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<long>"), F.col("vec_id") % 10 == 0, 3)
+    searches = [p for name, p in plans if name == "searched"]
+    assert len(searches) == 2 and all("SortMergeJoin" in p for p in searches)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 300, 10):
+        best = sorted((-int(x[q] @ x[i]), i) for i in range(300) if i != q)[:3]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
